@@ -43,7 +43,8 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = sketches.with_next(docs.withColumn("sketch", sketches.sketch(F.col("text"))), "doc_id", ["text", "sketch"])
+    rows = sketches.with_next(docs, "doc_id", ["text"])
+    rows = rows.withColumn("sketch", sketches.sketch(F.col("text"))).withColumn("next_sketch", sketches.sketch(F.col("next_text")))
     rows = rows.withColumn("edited", sketches.edited(F.col("text"), F.col("next_text"))).withColumn("edited_sketch", sketches.sketch(F.col("edited")))
     return rows.select(
         "doc_id",

@@ -76,23 +76,21 @@ def text_of(sketched: Column) -> Column:
 def with_next(docs: DataFrame, key: str, carried: list[str], per_bucket: int = 2_000) -> DataFrame:
     """Adds ``next_<c>`` for each carried column: that of the next row by key, the first row's for the last.
 
-    Keys fall into ranges of ``per_bucket`` ids, each sorted on its own; only the first row of each
-    range is taken to the end of the range before. Equal keys are ordered by the carried columns.
+    Keys fall into ranges of ``per_bucket`` ids, each sorted on its own. The first row of a range, found without
+    moving the others, is copied to the end of the range before, so that texts are shuffled once. Equal keys are ordered by the
+    carried columns.
     """
-    ranged = docs.withColumn("_range", F.floor(F.col(key) / per_bucket))
-    order = Window.partitionBy("_range").orderBy(key, *carried)
-    rows = ranged.withColumn("_n", F.row_number().over(order)).withColumn("_last", F.lead(F.lit(1)).over(order).isNull())
-    for c in carried:
-        rows = rows.withColumn(f"_lead_{c}", F.lead(c).over(order))
+    ranged = docs.select(F.floor(F.col(key) / per_bucket).alias("_range"), F.lit(False).alias("_copy"), *docs.columns)
+    inside = Window.partitionBy("_range").orderBy("_copy", key, *carried)
     ids = docs.select(F.floor(F.col(key) / per_bucket).alias("_range")).distinct()
     follows = Window.orderBy("_range")
-    after = ids.select(F.col("_range").alias("_here"), F.coalesce(F.lead("_range").over(follows), F.first("_range").over(follows)).alias("_after"))
-    heads = ranged.withColumn("_n", F.row_number().over(order)).where(F.col("_n") == 1)
-    first = heads.join(after, F.col("_range") == F.col("_after")).select("_here", *[F.col(c).alias(f"_first_{c}") for c in carried])
-    joined = rows.join(first, F.col("_last") & F.col("_range").eqNullSafe(F.col("_here")), "left")
+    before = ids.select(F.col("_range").alias("_of"), F.lag("_range").over(follows).alias("_lag"), F.max("_range").over(Window.partitionBy()).alias("_end")).select("_of", F.coalesce("_lag", "_end").alias("_before"))
+    heads = ranged.withColumn("_n", F.row_number().over(inside)).where(F.col("_n") == 1).drop("_n")
+    copies = heads.join(before, F.col("_range") == F.col("_of")).select(F.col("_before").alias("_range"), F.lit(True).alias("_copy"), *docs.columns)
+    rows = ranged.union(copies)
     for c in carried:
-        joined = joined.withColumn(f"next_{c}", F.when(F.col("_last"), F.col(f"_first_{c}")).otherwise(F.col(f"_lead_{c}")))
-    return joined.drop("_range", "_n", "_last", "_here", *[f"_lead_{c}" for c in carried], *[f"_first_{c}" for c in carried])
+        rows = rows.withColumn(f"next_{c}", F.lead(c).over(inside))
+    return rows.where(~F.col("_copy")).drop("_range", "_copy")
 
 
 def edited(text: Column, following: Column) -> Column:
