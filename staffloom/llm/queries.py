@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffloom.llm import bpe, packing, quality, secrets, simhash, sketches
+from staffloom.llm import bpe, packing, quality, secrets, simhash, sketches, toxicity, warc
 from staffloom.llm.shared import table, written
 
 
@@ -26,6 +26,16 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), keep_tokens=False)
 
 
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -58,7 +68,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_byte_bpe, op7_best_fit_packing, op8_simhash_components, op9_secret_scan, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_byte_bpe, op5_warc_round_trip, op6_toxicity, op7_best_fit_packing, op8_simhash_components, op9_secret_scan, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
