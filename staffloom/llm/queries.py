@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffloom.llm import bpe, packing, quality, secrets, simhash, sketches, toxicity, warc
+from staffloom.llm import bpe, packing, quality, secrets, sharding, simhash, sketches, toxicity, warc
 from staffloom.llm.shared import table, written
 
 
@@ -22,6 +22,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "_m.n_words", "_m.word_chars", "_m.n_symbols", "_m.n_dup_lines", "_m.n_repeat_words", F.col("_base_failed").alias("base_failed"), "kept")
 
 
+def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.place(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "n_equal")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), keep_tokens=False)
 
@@ -68,7 +73,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_byte_bpe, op5_warc_round_trip, op6_toxicity, op7_best_fit_packing, op8_simhash_components, op9_secret_scan, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_shards, op4_byte_bpe, op5_warc_round_trip, op6_toxicity, op7_best_fit_packing, op8_simhash_components, op9_secret_scan, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
