@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffloom.llm import bpe, packing, quality, secrets, sharding, simhash, sketches, toxicity, warc
+from staffloom.llm import bpe, licenses, packing, quality, secrets, sharding, simhash, sketches, toxicity, warc
 from staffloom.llm.shared import table, written
 
 
@@ -27,6 +27,11 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "n_equal")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
+    return licenses.scan(docs).select("doc_id", "path", "license", F.round("license_score", 6).alias("license_score"), "n_license_lines", "is_license_file", "effective_license", "inherited_from")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), keep_tokens=False)
 
@@ -73,7 +78,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_shards, op4_byte_bpe, op5_warc_round_trip, op6_toxicity, op7_best_fit_packing, op8_simhash_components, op9_secret_scan, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_shards, op3_license_scan, op4_byte_bpe, op5_warc_round_trip, op6_toxicity, op7_best_fit_packing, op8_simhash_components, op9_secret_scan, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
