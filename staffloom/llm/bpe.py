@@ -19,7 +19,7 @@ import heapq
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -31,8 +31,8 @@ FIRST = 8  # added to the class of a text's first character
 NONE, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_WHITE, AFTER_SPACE, LEFT_1, LEFT_2 = range(8)
 #: Unicode's White_Space characters.
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-BLOCK = 1 << 20
-CACHED = 300_000
+BLOCK = 1 << 18
+CACHED = 1_000_000
 
 
 @lru_cache(1)
@@ -128,8 +128,8 @@ def piece_starts(codes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins[before, kinds])
 
 
-def slices(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """(place of the text, pieces of it in order); a long text comes in several parts."""
+def slices(texts: list[str]) -> Iterator[tuple[list[str], list[tuple[int, int, int]]]]:
+    """Blocks of pieces in order, with (place of the text, first piece, end) of the texts in it; a long text takes several blocks."""
     held: list[int] = []
     size = 0
     for i, text in enumerate([*texts, None]):
@@ -143,18 +143,17 @@ def slices(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
             size += len(text)
 
 
-def together(some: list[tuple[int, str]]) -> Iterator[tuple[int, list[str]]]:
+def together(some: list[tuple[int, str]]) -> Iterator[tuple[list[str], list[tuple[int, int, int]]]]:
     joined = "".join(t for _, t in some)
     firsts = np.concatenate([[0], np.cumsum([len(t) for _, t in some])])
     starts = piece_starts(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), firsts[:-1])
-    cuts = np.searchsorted(starts, firsts)
+    cuts = np.searchsorted(starts, firsts).tolist()
     places = [*starts.tolist(), len(joined)]
     pieces = [joined[a:b] for a, b in zip(places, places[1:], strict=False)]
-    for (i, _), a, b in zip(some, cuts, cuts[1:], strict=False):
-        yield i, pieces[a:b]
+    yield pieces, [(i, a, b) for (i, _), a, b in zip(some, cuts, cuts[1:], strict=False)]
 
 
-def by_blocks(i: int, text: str) -> Iterator[tuple[int, list[str]]]:
+def by_blocks(i: int, text: str) -> Iterator[tuple[list[str], list[tuple[int, int, int]]]]:
     at, width = 0, BLOCK
     while at < len(text):
         part = text[at : at + width + 3]  # the look ahead
@@ -166,7 +165,7 @@ def by_blocks(i: int, text: str) -> Iterator[tuple[int, list[str]]]:
                 continue
         else:
             starts.append(len(part))
-        yield i, [part[a:b] for a, b in zip(starts, starts[1:], strict=False)]
+        yield [part[a:b] for a, b in zip(starts, starts[1:], strict=False)], [(i, 0, len(starts) - 1)]
         at, width = at + starts[-1], BLOCK
 
 
@@ -231,22 +230,30 @@ def ranks_of(path: str) -> tuple[dict[bytes, int], list[bytes]]:
 
 
 class Encoder:
-    """Encodes batches of texts; ``fresh`` gives the ids of pieces that aren't cached."""
+    """Encodes batches of texts; ``fresh`` gives the ids of pieces that aren't cached.
+
+    The cache holds ids as packed 32-bit integers, so that a text's ids are one concatenation.
+    """
 
     def __init__(self, fresh: Callable[[list[str]], list[list[int]]]):
         self.fresh, self.cache = fresh, {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        found: list[list[np.ndarray]] = [[] for _ in texts]
-        for i, pieces in slices(texts):
-            new = [p for p in set(pieces) if p not in self.cache]
-            if new:
-                if len(self.cache) + len(new) > CACHED:
-                    self.cache.clear()
-                    new = list(set(pieces))
-                self.cache.update(zip(new, self.fresh(new), strict=True))
-            found[i].append(np.fromiter(chain.from_iterable(map(self.cache.__getitem__, pieces)), np.uint32))
-        return [x[0] if len(x) == 1 else np.concatenate([np.zeros(0, np.uint32), *x]) for x in found]
+        found: list[list[bytes]] = [[] for _ in texts]
+        for pieces, parts in slices(texts):
+            cache = self.cache
+            distinct = dict.fromkeys(pieces)  # small beside the cache, so that most look-ups stay near
+            new = [p for p in distinct if p not in cache]
+            if len(cache) + len(new) > CACHED:
+                cache.clear()
+                new = list(distinct)
+            cache.update((p, pack(f"<{len(ids)}I", *ids)) for p, ids in zip(new, self.fresh(new), strict=True))
+            for p in distinct:
+                distinct[p] = cache[p]
+            ids = [distinct[p] for p in pieces]
+            for i, first, end in parts:
+                found[i].append(b"".join(ids[first:end]))
+        return [np.frombuffer(b"".join(x), "<u4") for x in found]
 
 
 @lru_cache(2)
