@@ -237,7 +237,7 @@ def include_link(text: Column, url: Column, label: str, names: list[str]) -> Col
     replaced = text
     for name in names:
         replaced = F.replace(replaced, F.lit("{" + name + "}"), url)
-    return F.when((replaced == text) & ~text.contains(url), F.concat(text, F.lit(f"\n\n{label}: "), url)).otherwise(replaced)
+    return F.when((replaced == text) & ~text.contains(url), F.concat(F.regexp_replace(text, r"(?U)\s+$", ""), F.lit(f"\n\n{label}: "), url)).otherwise(replaced)
 
 
 def coerce(col: Column, known: list[str], default: str) -> Column:
