@@ -62,13 +62,15 @@ def propagate(cells: DataFrame, rows: int, shards: int, rounds: int = 12) -> Dat
     for step in range(rounds):
         loads = {r["shard"]: r["m"] for r in cells.groupBy("shard").agg(F.sum("m").alias("m")).collect()}
         room = {s: caps[s] - loads.get(s, 0) for s in range(shards)}
-        # a group's cells by size; a cell looks for the largest one before it, first among shards with room
-        lists = cells.groupBy("_g", "_c").agg(F.sort_array(F.collect_list(F.struct("m", "shard")), asc=False).alias("all"))  # at most `shards` entries
-        larger = lambda c: (c["m"] > F.col("m")) | ((c["m"] == F.col("m")) & (c["shard"] > F.col("shard")))
+        # a group's cells by size, equal ones by a hash of the round, so that they flow both ways; a cell looks for the first one
+        # before it in a shard with room, else for the first
+        lots = cells.withColumn("r", F.xxhash64("_g", "_c", "shard", F.lit(step)))
+        lists = lots.groupBy("_g", "_c").agg(F.sort_array(F.collect_list(F.struct("m", "r", "shard")), asc=False).alias("all"))  # at most `shards` entries
+        larger = lambda c: (c["m"] > F.col("m")) | ((c["m"] == F.col("m")) & (c["r"] > F.col("r")))
         open_ = [s for s in range(shards) if room[s] > 0]
         better = F.filter("all", larger)
         target = F.coalesce(F.get(F.filter(better, lambda c: c["shard"].isin(open_ or [-1])), F.lit(0)), F.get(better, F.lit(0)))
-        wishes = cells.join(lists, ["_g", "_c"]).select("_g", "_c", "shard", "m", let(target, lambda t: t).alias("t")).select("_g", "_c", "shard", "m", F.col("t.shard").alias("to"), F.floor(F.log2(F.col("t.m").cast("double"))).cast("int").alias("gain"))
+        wishes = lots.join(lists, ["_g", "_c"]).select("_g", "_c", "shard", "m", let(target, lambda t: t).alias("t")).select("_g", "_c", "shard", "m", F.col("t.shard").alias("to"), F.floor(F.log2(F.col("t.m").cast("double"))).cast("int").alias("gain"))
         asked = wishes.where("to is not null").groupBy("shard", "to", "gain").agg(F.sum("m").alias("m")).collect()  # at most shards^2 x 64 rows
         if not asked:
             break

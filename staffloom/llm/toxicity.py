@@ -124,7 +124,8 @@ def clusters(votes: np.ndarray, weight: np.ndarray, rates: np.ndarray, least: fl
         centred = (votes - rates[y]) * np.sqrt(weight[y])[:, None]
         covariance = centred.T @ centred
         spread = np.sqrt(np.clip(np.diag(covariance), 1e-9, None))
-        same |= covariance / spread[:, None] / spread[None, :] >= least
+        often = weight[y] @ votes >= 5  # of rarer firings a correlation says nothing
+        same |= (covariance / spread[:, None] / spread[None, :] >= least) & often[:, None] & often[None, :]
     names = np.arange(len(same))
     while True:
         new = np.array([names[row].min() for row in same])
