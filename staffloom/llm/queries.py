@@ -81,5 +81,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_rules, op2_shards, op3_license_scan, op4_byte_bpe, op5_warc_round_trip, op6_toxicity, op7_best_fit_packing, op8_simhash_components, op9_secret_scan, op10_fingerprints)}
 
 
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
+w AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d)),
+g AS (SELECT rid, i, w, CASE WHEN lead(w, 4) OVER x IS NOT NULL THEN concat_ws(chr(32), w, lead(w, 1) OVER x, lead(w, 2) OVER x, lead(w, 3) OVER x, lead(w, 4) OVER x) END AS gram FROM w WINDOW x AS (PARTITION BY rid ORDER BY i)),
+r AS (SELECT rid, i, w, gram IS NOT NULL AND count(*) OVER (PARTITION BY rid, gram) > 1 AS twice FROM g),
+c AS (SELECT rid, w, bool_or(twice) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS covered FROM r),
+words AS (SELECT rid, count(*) AS n_words, CAST(sum(length(w)) AS BIGINT) AS word_chars, count(*) FILTER (covered) AS n_repeat FROM c GROUP BY rid),
+l AS (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d),
+lines AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+m AS (SELECT d.rid, doc_id, lang, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words,
+ length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, coalesce(n_lines, 0) AS n_lines FROM d LEFT JOIN words USING (rid) LEFT JOIN lines USING (rid)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+s AS (SELECT rid, doc_id, lang, base_failed, unnest(['symbols', 'duplicate_lines', 'repeated_words', 'upper_case', 'long_words']) AS rule,
+ unnest([CAST(ceil(n_symbols / greatest(word_chars, 1) * 100) AS INT), CAST(ceil(n_dup_lines / greatest(n_lines, 1) * 100) AS INT), CAST(ceil(n_repeat_words / greatest(n_words, 1) * 100) AS INT), CAST(ceil(n_upper / greatest(word_chars, 1) * 100) AS INT), CAST(ceil(least(word_chars / greatest(n_words, 1) / 40, 1.0) * 100) AS INT)]) AS step FROM b),
+y AS (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+k AS (SELECT lang, rule, step, q FROM s JOIN y USING (doc_id) WHERE NOT base_failed),
+strata AS (SELECT greatest(1, count(*)) AS n FROM (SELECT DISTINCT lang FROM k)),
+tot AS (SELECT lang, rule, count(*) FILTER (q = 1) AS good, count(*) FILTER (q = 0) AS bad FROM k GROUP BY ALL),
+cut AS (SELECT lang, rule, c.cut, good, bad, (SELECT count(*) FROM k WHERE k.lang IS NOT DISTINCT FROM tot.lang AND k.rule = tot.rule AND k.q = 1 AND k.step > c.cut) AS lost, (SELECT count(*) FROM k WHERE k.lang IS NOT DISTINCT FROM tot.lang AND k.rule = tot.rule AND k.q = 0 AND k.step > c.cut) AS caught FROM tot, (SELECT unnest(range(100)) AS cut) AS c),
+p AS (SELECT *, CASE WHEN good = 0 THEN 1.0 WHEN lost >= good THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(0, lost + 1), lambda i: exp(lgamma(good + 1) - lgamma(i + 1) - lgamma(good - i + 1) + i * ln(0.05 / 5) + (good - i) * ln(1 - 0.05 / 5))))) END AS pv FROM cut),
+ok AS (SELECT *, bool_and(pv <= 0.05 / (SELECT n FROM strata) / 5) OVER (PARTITION BY lang, rule ORDER BY cut DESC) AS safe FROM p),
+gain AS (SELECT lang, rule, 100 AS cut, 0.0::DOUBLE AS gain FROM tot UNION ALL SELECT lang, rule, cut, caught / greatest(bad, 1) - lost / good FROM ok WHERE safe),
+best AS (SELECT *, max(gain) OVER (PARTITION BY lang, rule) AS top FROM gain),
+chosen AS (SELECT lang, rule, CASE WHEN max(top) > 0.01 THEN max(cut) FILTER (gain >= top - 0.01) ELSE 100 END AS cut FROM best GROUP BY lang, rule),
+verdict AS (SELECT rid, bool_or(coalesce(step > cut, false)) AS rejected FROM s LEFT JOIN chosen c ON c.lang IS NOT DISTINCT FROM s.lang AND c.rule = s.rule GROUP BY rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM b JOIN verdict USING (rid)"""
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), q AS (SELECT page_id, strlen(h) AS n, sha256(h) AS digest FROM p),
+first AS (SELECT digest, min(page_id) AS first FROM q WHERE n >= 100 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM q LEFT JOIN first USING (digest)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what it can express; the others are fitted models, searches or encodings and are tested against brute force."""
+    return {"op1_quality_rules": OP1_SQL, "op5_warc_round_trip": OP5_SQL}
