@@ -31,3 +31,16 @@ def test_run_ends_in_pieces(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
     assert toxicity.MAX_LABELLED == 20_000
+
+
+def test_entry_works_without_this_subpackage(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(corpus_pipeline.__file__).parent
+    shutil.copytree(root / "staffloom", tmp_path / "staffloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and not any(k.startswith('op') for k in q) and len(q) > 90; assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
