@@ -161,3 +161,76 @@ def split_job_descriptions(docs: DataFrame, key: str, text: str) -> DataFrame:
     return out.select(key, "kind", F.when(F.col("kind") == "section", F.regexp_extract(first, section, 1).cast("int")).alias("number"), F.when(F.col("kind") == "section", F.regexp_extract(first, section, 2)).alias("title"), "body")
 
 
+
+
+# Label patterns of profile fields; a value ends at a cell border or line end.
+GENDER = r"성별\s*[:：]?\s*(남성|여성|남|여|男|女)"
+DISABILITY = [r"보훈\s*[/／]\s*장애[^\n]{0,20}?\s*[：:|｜]?\s*([^\n|｜]{1,64})", r"(?<!시스템 )(?<!네트워크 )장애(?:\s*인(?:\([^)]*\))?)?\s*[:：]\s*([^\n\|｜]{1,64})"]
+VETERAN = [r"(?:국가\s*)?보훈(?:\s*여부)?[^\n:：]{0,12}[：:｜│]\s*([^｜|\n]{1,64})", r"보훈(?:\s*등록)?(?:\s*번호)?[^\n:：]{0,8}[：:｜│]\s*([^｜|\n]{1,64})", r"보훈\s*(?:등록|증)?\s*번호\s*[：:]\s*(\d[\d\s\-]{5,16})"]
+LOCATION = [r"희망\s*근무지\s*(?:[^\n\:：]{0,12}?)?[:：]\s*([^\n]{1,100})", r"희망근무[^\n]{0,12}?\s*[：:|｜]\s*([^｜|\n]{1,80})"]
+SALARY = r"희망\s*연봉\s*[:：]?\s*([^\n]{1,100})"
+HEADER_VALUES = ["대상여부", "1.대상2.비대상", "해당여부"]
+PROSE_MARKS = ["저는", "입사 후", "지원하였", "예상치", "특히", "삼성전자는", "서비스", "복잡한"]
+# A heading line of a cover letter, and bullets.
+HEADING = r"^\s*(?:\d+[.)]\s+.{1,260}|[■▪●□▢▣]+\s*\S.{1,420})\s*$"
+BULLETS = "■▪●□▢▣・‧•∙"
+MAX_LETTER_ROWS, MAX_ANSWER = 30, 20_000
+
+
+def clip_scalar(value: Column, most: int) -> Column:
+    """One line up to a cell border or the hobby column, cut to a length."""
+    line = F.regexp_replace(x.strip(value), r"(?U)\s+", " ")
+    cell = x.strip(F.regexp_extract(line, r"^[^|｜]*", 0))
+    before = F.when(cell.rlike("취미|특기"), F.regexp_replace(x.strip(F.regexp_extract(cell, r"^(.*?)(?:취미|특기)", 1)), r"[/\s]+$", "")).otherwise(cell)
+    return x.strip(F.substring(before, 1, most))
+
+
+def profile_value(value: Column, most: int = 120) -> Column:
+    """A clipped value; null if it is a header, prose or empty."""
+    prose = sum((value.contains(w).cast("int") for w in PROSE_MARKS), F.lit(0)) >= 2
+    junk = x.squeezed(value).isin(HEADER_VALUES) | ((F.char_length(value) > 120) & prose)
+    clipped = clip_scalar(value, most)
+    return F.when(junk | (clipped == ""), None).otherwise(clipped)
+
+
+def extract_profile_scalars(text: Column) -> Column:
+    """struct(gender, disability, veteran, desired_location, desired_salary); null where a label isn't found or its value is noise."""
+    plain = F.replace(text, F.lit("\r"), F.lit(""))
+    first = lambda patterns: F.coalesce(*[profile_value(found(plain, p)) for p in patterns])
+    gender = found(plain, GENDER)
+    veteran = F.coalesce(*[F.when(~x.squeezed(v).rlike(r"^[\d.,·\[\]①②③]+$") | F.lit(i == 2), v) for i, v in enumerate(profile_value(found(plain, p)) for p in VETERAN)])
+    location = first(LOCATION)
+    mixed = (F.char_length(location) > 52) & location.rlike(r"보훈|장애\s*인|미해당\s*취미|취미\s*/\s*특기")
+    return F.struct(
+        F.when(gender.isin("여", "女", "여성"), "여").when(gender.isNotNull(), "남").alias("gender"), first(DISABILITY).alias("disability"), veteran.alias("veteran"),
+        F.when(~F.coalesce(mixed, F.lit(False)), location).alias("desired_location"), F.when(found(plain, SALARY).isNotNull(), clip_scalar(found(plain, SALARY), 100)).alias("desired_salary"),
+    )
+
+
+def question_title(line: Column) -> Column:
+    """A heading without number, bullets and outer brackets."""
+    one = F.regexp_replace(x.strip(line), r"(?U)\s+", " ")
+    bare = F.regexp_replace(F.regexp_replace(one, r"^[0-9]+\s*[.)．、]\s*", ""), rf"^[{BULLETS}]+\s*", "")
+    return F.substring(F.regexp_replace(x.strip(bare), r"^\[(.+)\]$", "$1"), 1, 500)
+
+
+def split_cover_letter(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows (key, row_no, question, answer): a row per heading line and what follows it, at most 30; without a heading one row without question.
+
+    A first line that repeats the heading and bullets left at the end go; rows without an answer go where there are several headings.
+    Texts under 10 characters have no rows. Needs a unique key.
+    """
+    blocks = df.select(key, x.strip(F.replace(F.col(text), F.lit("\r"), F.lit(""))).alias("_t")).where(F.char_length("_t") >= 10)
+    lines = blocks.select(key, F.posexplode(F.split("_t", "\n")).alias("n", "line")).withColumn("_h", F.col("line").rlike(HEADING))
+    so_far = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    marked = lines.withColumn("_s", F.sum(F.col("_h").cast("int")).over(so_far)).withColumn("_all", F.sum(F.col("_h").cast("int")).over(Window.partitionBy(key)))
+    body = F.transform(F.sort_array(F.collect_list(F.when(~F.col("_h"), F.struct("n", "line")))), lambda p: p["line"])
+    rows = marked.where("_all = 0 OR _s > 0").groupBy(key, "_s", "_all").agg(question_title(F.max(F.when(F.col("_h"), F.col("line")))).alias("question"), F.array_join(body, "\n").alias("_b"))
+    tight = lambda c: F.regexp_replace(x.squeezed(c), rf"^[{BULLETS}]+", "")
+    start = F.regexp_replace("_b", r"^\s*\n", "")
+    repeated = tight(question_title(F.regexp_extract(start, r"^[^\n]*", 0))) == tight(F.col("question"))
+    rest = F.when(F.coalesce(repeated, F.lit(False)), F.regexp_replace(start, r"^[^\n]*\n?", "")).otherwise(F.col("_b"))
+    answer = F.substring(x.strip(F.regexp_replace(rest, rf"(?:\s*\n\s*[{BULLETS}]+\s*)+$", "")), 1, MAX_ANSWER)
+    kept = rows.withColumn("answer", answer).where("_all < 2 OR answer <> ''")
+    order = Window.partitionBy(key).orderBy("_s")
+    return kept.select(key, F.row_number().over(order).alias("row_no"), "question", "answer").where(F.col("row_no") <= MAX_LETTER_ROWS)

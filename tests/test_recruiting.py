@@ -192,7 +192,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "d.pdf").write_bytes(b"%PDF")
     out = {r.path[-5:]: (r.text, r.error) for r in files.read_resume_text(spark, str(tmp_path)).collect()}
     assert out == {"a.txt": ("안녕\n\nx y", None), "/b.md": ("hello", None), "c.txt": (None, "empty file"), "d.pdf": (None, "unsupported file type")}
-    files.write_csv_export(spark.createDataFrame([("a\"b", None)], "p string, q string"), {"p": "이름", "q": "Q"}, str(tmp_path / "out"))
+    files.write_csv_export(spark.createDataFrame([("a\"b", None)], "p string, q string").coalesce(1), {"p": "이름", "q": "Q"}, str(tmp_path / "out"))
     assert "".join(p.read_text() for p in (tmp_path / "out").glob("part-*")) == '"이름","Q"\n"a""b",""\n'
 
 
@@ -215,3 +215,16 @@ def test_streams_match_batch(spark, tmp_path):
     q = jobs.stream_resume_intake(texts, lambda b: b.withColumn("error", F.when(F.col("status") == "failed", "bad")), str(tmp_path / "out"), str(tmp_path / "c2"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out/parsed")).count() == 7 and spark.read.parquet(str(tmp_path / "out/errors")).count() == 1
+
+
+def test_profile_scalars(spark):
+    text = "성별: 여성\n보훈 여부: 비대상 | x\n장애인(등급): 해당없음\n희망 근무지: 서울 본사 취미/특기 독서\n희망 연봉: 4,000만원\n시스템 장애: 복구"
+    assert tuple(one(spark, text, resume_text.extract_profile_scalars)) == ("여", "해당없음", "비대상", "서울 본사", "4,000만원")
+    assert tuple(one(spark, "보훈: 대상 여부\n", resume_text.extract_profile_scalars)) == (None,) * 5
+
+
+def test_cover_letters(spark):
+    rows = [(1, "intro\n1. 지원 동기\n1. 지원 동기\n첫 답\n둘째 줄\n■\n■ [성장 과정]\n다른 답\n2) 빈 문항 제목\n\n"), (2, "just prose without any heading"), (3, "short"), (4, None), (5, "■ 하나의 문항\n본문 하나")]
+    out = resume_text.split_cover_letter(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()
+    assert sorted((r.id, r.row_no, r.question, r.answer) for r in out if r.question) == [(1, 1, "지원 동기", "첫 답\n둘째 줄"), (1, 2, "성장 과정", "다른 답"), (5, 1, "하나의 문항", "본문 하나")]
+    assert [(r.id, r.question, r.answer) for r in out if not r.question] == [(2, None, "just prose without any heading")]
