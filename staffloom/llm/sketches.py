@@ -76,13 +76,16 @@ def text_of(sketched: Column) -> Column:
 def with_next(docs: DataFrame, key: str, carried: list[str], per_bucket: int = 2_000) -> DataFrame:
     """Adds ``next_<c>`` for each carried column: that of the next row by key, the first row's for the last.
 
-    Keys fall into ranges of ``per_bucket`` ids, each sorted on its own. The first row of a range, found without
-    moving the others, is copied to the end of the range before, so that texts are shuffled once. Equal keys are ordered by the
-    carried columns.
+    Keys fall into ranges of equal width, ``per_bucket`` rows each on average, each sorted on its own. The first row of a range,
+    found without moving the others, is copied to the end of the range before, so that texts are shuffled once. Equal keys are
+    ordered by the carried columns; null keys come first.
     """
-    ranged = docs.select(F.floor(F.col(key) / per_bucket).alias("_range"), F.lit(False).alias("_copy"), *docs.columns)
+    least, most, rows_in = docs.agg(F.min(key), F.max(key), F.count(key)).first()
+    width = 1 if least is None else max(1, -(-(most - least + 1) * per_bucket // rows_in))
+    place = F.coalesce(F.floor((F.col(key) - F.lit(least)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
+    ranged = docs.select(place.alias("_range"), F.lit(False).alias("_copy"), *docs.columns)
     inside = Window.partitionBy("_range").orderBy("_copy", key, *carried)
-    ids = docs.select(F.floor(F.col(key) / per_bucket).alias("_range")).distinct()
+    ids = docs.select(place.alias("_range")).distinct()
     follows = Window.orderBy("_range")
     before = ids.select(F.col("_range").alias("_of"), F.lag("_range").over(follows).alias("_lag"), F.max("_range").over(Window.partitionBy()).alias("_end")).select("_of", F.coalesce("_lag", "_end").alias("_before"))
     heads = ranged.withColumn("_n", F.row_number().over(inside)).where(F.col("_n") == 1).drop("_n")

@@ -10,7 +10,7 @@ others are revisit records that refer to it. Which is decided by aggregation ove
 Archives go to the shared folder. A task writes under a name of its own attempt and renames the finished file; only files of
 tasks that succeeded are in the manifest, which is itself a written table, so a lost executor neither loses nor doubles a record.
 
-Defined results: a null payload is an empty one; an empty table gives no archives; a repeated row gives a record each,
+Defined results: a null payload is an empty one; a null id is a response of its own; an empty table gives no archives; a repeated row gives a record each,
 with the same id and type.
 """
 
@@ -35,11 +35,11 @@ DATE = "2024-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
-def record_id(page: int) -> str:
+def record_id(page: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'page:{page}')}>"
 
 
-def record(page: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page: str, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """One WARC/1.1 record; a revisit has no payload of its own."""
     kind = "response" if refers_to is None else "revisit"
     headers = {
@@ -48,11 +48,11 @@ def record(page: int, url: str | None, payload: bytes, digest: str, refers_to: i
         "WARC-Date": DATE,
         "WARC-Target-URI": (url or "").replace("\r", "%0D").replace("\n", "%0A"),
         "WARC-Payload-Digest": f"sha256:{digest}",
-        "X-Page-ID": str(page),
+        "X-Page-ID": page,
         "X-Payload-Length": str(len(payload)),
     }
     if refers_to is not None:
-        headers |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(refers_to), "X-Refers-To-Page-ID": str(refers_to)}
+        headers |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(refers_to), "X-Refers-To-Page-ID": refers_to}
     body = payload if refers_to is None else b""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(len(payload)).encode() + NEW_LINE * 2 + body
     headers |= {"Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block))}
@@ -155,7 +155,7 @@ def write_archives(pages: DataFrame, key: str = "page_id", body: str = "html", u
 
         for batch in batches:
             for page, address, payload, digest, refers_to in batch.itertuples(index=False, name=None):
-                held.append(record(int(page), address, payload, digest, None if pd.isna(refers_to) else int(refers_to)))
+                held.append(record(page or "", address, payload, digest, refers_to))
                 size += len(held[-1])
                 if size >= archive_bytes:
                     yield close()
@@ -163,7 +163,7 @@ def write_archives(pages: DataFrame, key: str = "page_id", body: str = "html", u
         if held:
             yield close()
 
-    return written(with_types(pages, key, body, url, least).select("page", "url", "payload", "digest", "refers_to").mapInPandas(write, "path string, n_records long, bytes long"), "warc-manifest").withColumn("folder", F.lit(folder))
+    return written(with_types(pages, key, body, url, least).select(F.col("page").cast("string"), "url", "payload", "digest", "refers_to").mapInPandas(write, "path string, n_records long, bytes long"), "warc-manifest").withColumn("folder", F.lit(folder))
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
@@ -181,9 +181,9 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                         digest = headers["WARC-Payload-Digest"].removeprefix("sha256:")
                         if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
                             raise ValueError(f"page {headers['X-Page-ID']}: the payload doesn't match its digest")
-                        rows.append((int(headers["X-Page-ID"]), int(headers["X-Payload-Length"]), digest, kind, int(headers["X-Refers-To-Page-ID"]) if kind == "revisit" else None))
+                        rows.append((int(headers["X-Page-ID"]) if headers["X-Page-ID"] else None, int(headers["X-Payload-Length"]), digest, kind, int(headers["X-Refers-To-Page-ID"]) if kind == "revisit" else None))
                 out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                yield out.astype({"refers_to": "Int64"})
+                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
     files = manifest.select("folder", "path")
     n = max(1, min(manifest.count(), 4 * manifest.sparkSession.sparkContext.defaultParallelism))

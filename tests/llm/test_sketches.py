@@ -46,6 +46,9 @@ def test_next_rows_in_order_with_ties_gaps_and_one_row(spark):
     ordered = sorted(rows)
     assert out == sorted((a[0], a[1], b[1]) for a, b in zip(ordered, [*ordered[1:], ordered[0]], strict=True))
     assert sketches.with_next(df.limit(0), "doc_id", ["text"]).count() == 0
+    wide = spark.createDataFrame([(i * 10**12, f"w{i}") for i in range(50)] + [(None, "none")], "doc_id long, text string")
+    found = {r.text: r.next_text for r in sketches.with_next(wide, "doc_id", ["text"], per_bucket=5).collect()}
+    assert found == {f"w{i}": f"w{i + 1}" for i in range(49)} | {"w49": "none", "none": "w0"}
     one = sketches.with_next(df.where("doc_id = 1"), "doc_id", ["text"]).collect()
     assert [(r.text, r.next_text) for r in one] == [("t1", "t1")]
 
