@@ -1,7 +1,7 @@
 """Matching of resumes to positions, position categories, job descriptions.
 
-Positions are a small dimension; up to ``BROADCAST_POSITIONS`` of them are broadcast beside the terms of a resume, and beyond that
-terms and positions meet by shared three-character pieces, as every rule but the synonyms needs a common substring.
+Positions and job descriptions are small dimensions: up to ``BROADCAST_POSITIONS`` rows of them are broadcast to the distinct terms
+of all resumes. More are refused, so that none is left out unseen; the best of parts is the best of all.
 """
 
 from __future__ import annotations
@@ -79,6 +79,13 @@ def pair_score(term: Column, name: Column) -> Column:
     return F.when((name == term) & (name != ""), 100).when(name == "", 0).otherwise(F.greatest(inside, holds, kin))
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A dimension for broadcast, after a check of its size."""
+    if df.limit(BROADCAST_POSITIONS + 1).count() > BROADCAST_POSITIONS:
+        raise ValueError(f"more than {BROADCAST_POSITIONS} rows: split them and take the best of the parts")
+    return F.broadcast(df)
+
+
 def scores(evidence: DataFrame, positions: DataFrame) -> DataFrame:
     """evidence: id, index, text. The best score of each (id, position) over all evidence, capped by index: 0 none, 1 90, others 75.
 
@@ -86,9 +93,7 @@ def scores(evidence: DataFrame, positions: DataFrame) -> DataFrame:
     """
     terms = evidence.select("id", "index", F.explode(x.position_terms(F.col("text"))).alias("term"))
     names = positions.select("position_id", x.normalize_position(F.col("position_name")).alias("name"))
-    if names.limit(BROADCAST_POSITIONS + 1).count() > BROADCAST_POSITIONS:
-        raise ValueError(f"more than {BROADCAST_POSITIONS} positions: split them and take the best of the parts")
-    known = terms.select("term").distinct().join(F.broadcast(names), pair_score(F.col("term"), F.col("name")) > 0).select("term", "position_id", pair_score(F.col("term"), F.col("name")).alias("score"))
+    known = terms.select("term").distinct().join(small(names), pair_score(F.col("term"), F.col("name")) > 0).select("term", "position_id", pair_score(F.col("term"), F.col("name")).alias("score"))
     cap = F.when(F.col("index") == 0, 100).when(F.col("index") == 1, 90).otherwise(75)
     return terms.join(known, "term").groupBy("id", "position_id").agg(F.max(F.least("score", cap)).cast("int").alias("score"))
 
@@ -120,7 +125,7 @@ def match_resume_positions(evidence: DataFrame, positions: DataFrame) -> DataFra
 def select_job_description(positions: DataFrame, sections: DataFrame) -> DataFrame:
     """sections: number, title. By equal title, then containing or contained in it, then by number = id; the first section wins."""
     names = positions.select("position_id", x.normalize_position(F.col("position_name")).alias("name"))
-    heads = F.broadcast(sections.limit(10_000).select("number", x.normalize_position(F.col("title")).alias("head")))
+    heads = small(sections.select("number", x.normalize_position(F.col("title")).alias("head")))
     same, part, number = F.col("name") == F.col("head"), F.col("name").contains(F.col("head")) | F.col("head").contains(F.col("name")), F.col("number") == F.col("position_id")
     rows = names.join(heads, same | part | number, "left").withColumn("_rule", F.when(same | part, 1).when(number, 2))
     order = Window.partitionBy("position_id").orderBy("_rule", "number")
