@@ -92,3 +92,30 @@ def _(t: Tables) -> DataFrame:
 @query("a5_parse_resume_json", "SELECT event_id, CAST(NULL AS VARCHAR) AS error FROM events")
 def _(t: Tables) -> DataFrame:
     return t.raw("events").select("event_id", files.parse_resume_json(F.col("props"))["error"].alias("error"))
+
+
+@query("c2_profile_scalars")
+def _(t: Tables) -> DataFrame:
+    return t.resumes.select("resume_id", r.extract_profile_scalars(F.col("raw_text")).alias("p")).select("resume_id", "p.*")
+
+
+@query("c4_education_level", "SELECT position_id, CASE WHEN contains(position_name, 'PhD') THEN '박사' END AS level FROM positions")
+def _(t: Tables) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return t.positions.select("position_id", r.education_level(F.col("position_name"), none, none, none).alias("level"))
+
+
+@query("c11_split_cover_letter")
+def _(t: Tables) -> DataFrame:
+    return r.split_cover_letter(t.raw(DOC), "doc_id", "text")
+
+
+@query("c17_resume_prompt_text")
+def _(t: Tables) -> DataFrame:
+    rows = t.resumes.join(t.candidates.select("candidate_id", F.col("name"), "experience_level"), "candidate_id")
+    return rows.select("resume_id", r.prompt_text(rows, {"Experience": "experience_level", "Summary": "summary", "Resume": "raw_text"}).alias("prompt"))
+
+
+@query("c20_split_job_descriptions")
+def _(t: Tables) -> DataFrame:
+    return r.split_job_descriptions(t.raw(DOC), "doc_id", "text")
