@@ -32,7 +32,7 @@ NONE, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_WHITE, AFTER_SPACE, LEFT_1, LEFT_2 =
 #: Unicode's White_Space characters.
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 BLOCK = 1 << 18
-CACHED = 1_000_000
+CACHED = 600_000
 
 
 @lru_cache(1)
@@ -232,21 +232,23 @@ def ranks_of(path: str) -> tuple[dict[bytes, int], list[bytes]]:
 class Encoder:
     """Encodes batches of texts; ``fresh`` gives the ids of pieces that aren't cached.
 
-    The cache holds ids as packed 32-bit integers, so that a text's ids are one concatenation.
+    The cache holds ids as packed 32-bit integers, so that a text's ids are one concatenation. It has two halves: when the
+    younger one is full it becomes the older, and what is used of that one is taken over, so common pieces stay.
     """
 
     def __init__(self, fresh: Callable[[list[str]], list[list[int]]]):
-        self.fresh, self.cache = fresh, {}
+        self.fresh, self.cache, self.older = fresh, {}, {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         found: list[list[bytes]] = [[] for _ in texts]
         for pieces, parts in slices(texts):
-            cache = self.cache
             distinct = dict.fromkeys(pieces)  # small beside the cache, so that most look-ups stay near
+            if len(self.cache) > CACHED // 2:
+                self.cache, self.older = {}, self.cache
+            cache, older = self.cache, self.older
             new = [p for p in distinct if p not in cache]
-            if len(cache) + len(new) > CACHED:
-                cache.clear()
-                new = list(distinct)
+            cache.update((p, older[p]) for p in new if p in older)
+            new = [p for p in new if p not in older]
             cache.update((p, pack(f"<{len(ids)}I", *ids)) for p, ids in zip(new, self.fresh(new), strict=True))
             for p in distinct:
                 distinct[p] = cache[p]
