@@ -7,6 +7,12 @@ same value of a block make one search group (a fingerprint is in radius + 1 of t
 own group, which follow only edges within the radius. So a group of any size is searched by many tasks, no tree outgrows a
 task, and no link is lost. A search returns the links of a spanning forest of what it found, not all pairs.
 
+With a ``similarity``, texts are near copies from that Jaccard similarity of their word shingles on. A radius wide enough for
+0.8 (20 of 64 bits: at 0.8 about 10 differ, more than 20 in about one pair of 3,000) has no blocks that all linked fingerprints
+share, so the search groups are the values of 16 bands of 4 minhashes there (at 0.8 a pair misses all of them with probability
+0.0002). The BK-trees search within the groups as before, and what they find is verified on the shingles themselves, so every
+link has the similarity; texts with the same shingles are one value. These fingerprints take each shingle once, as the similarity does.
+
 Connected components of the links are found by alternating large-star and small-star steps, written to the shared folder
 in each round.
 
@@ -21,13 +27,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from staffloom.llm.shared import dealt, written
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: Minhashes: bands of so many rows, and what each one mixes into a shingle's hash.
+BANDS, ROWS = 16, 4
+MIX = np.random.default_rng(42).integers(0, 1 << 64, (BANDS * ROWS, 2), np.uint64)
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -46,10 +55,66 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n).view(">u8")[0])
 
 
-@F.pandas_udf(T.LongType())
-def fingerprints(texts: pd.Series) -> pd.Series:
+def fingerprints(text: Column, width: int = 3) -> Column:
     """Fingerprints as signed longs."""
-    return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+
+    @F.pandas_udf(T.LongType())
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64))
+
+    return found(text)
+
+
+def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, ascending; a shorter text is one shingle, a blank one has none."""
+    found = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(found[i : i + width]), seed) for i in range(max(len(found) - width, 0) + 1)] if found else [], np.uint64))
+
+
+def summary(found: np.ndarray) -> tuple[int, int, list[int]]:
+    """(value, fingerprint, bands) of a text's distinct shingles: a hash of all of them, their SimHash, and hashes of minhashes."""
+    value = xxhash.xxh64_intdigest(found.astype("<u8").tobytes())
+    if not len(found):
+        return value, 0, []
+    ones, least = np.zeros(64, np.int64), np.full(len(MIX), np.iinfo(np.uint64).max)
+    for at in range(0, len(found), 1 << 12):
+        part = found[at : at + (1 << 12)]
+        ones += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        least = np.minimum(least, ((part[None, :] ^ MIX[:, :1]) * (MIX[:, 1:] | np.uint64(1))).min(1))
+    fp = int(np.packbits(2 * ones > len(found)).view(">u8")[0])
+    return value, fp, [xxhash.xxh64_intdigest(band.astype("<u8").tobytes()) for band in least.reshape(-1, ROWS)]
+
+
+def summaries(text: Column, width: int) -> Column:
+    """The summaries as structs of signed longs."""
+
+    @F.pandas_udf("value long, fp long, bands array<long>")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        rows = [summary(shingles(t, width)) for t in texts]
+        signed = lambda x: np.array(x, np.uint64).view(np.int64)
+        return pd.DataFrame({"value": signed([r[0] for r in rows]), "fp": signed([r[1] for r in rows]), "bands": [signed(r[2]) for r in rows]})
+
+    return found(text)
+
+
+def shingle_bytes(text: Column, width: int) -> Column:
+    """(value, shingles): a text's distinct shingles as bytes."""
+
+    @F.pandas_udf("value long, shingles binary")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        rows = [shingles(t, width).astype("<u8").tobytes() for t in texts]
+        return pd.DataFrame({"value": np.array([xxhash.xxh64_intdigest(r) for r in rows], np.uint64).view(np.int64), "shingles": rows})
+
+    return found(text)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The similarity of two ascending arrays of distinct hashes."""
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared / max(len(both) - shared, 1)
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -196,6 +261,67 @@ def links(values: DataFrame, radius: int = 2, shard: int = 4096) -> DataFrame:
     return units.repartition(n, "unit").sortWithinPartitions("unit", "b", "v", "other").select("b", "v", "other", "tree", "fp").mapInPandas(find, "a long, b long").where("a <> b")
 
 
+def verified_links(values: DataFrame, texts: DataFrame, radius: int, similarity: float, width: int, shard: int = 1024) -> DataFrame:
+    """Links (a, b) between values, each of at least that similarity, that keep the components of their groups together.
+
+    values: value, fp, bands, least (a key of the value); texts: key, text. Groups with the same members are searched once. A large
+    group is cut into shards that meet pairwise, as in ``links``.
+    """
+    grouped = values.select("value", "fp", F.posexplode("bands").alias("b", "v"))
+    member = [F.bit_xor(F.xxhash64("value", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    counts = grouped.groupBy("b", "v").agg(F.count(F.lit(1)).alias("n"), *member).where(F.col("n") > 1)
+    counts = counts.groupBy("n", "x0", "x1").agg(F.min(F.struct("b", "v")).alias("g")).select("g.b", "g.v", "n")
+    sized = written(grouped.join(counts, ["b", "v"]), "near-groups")
+    wanted = values.join(sized.select("value").distinct(), "value", "left_semi").select(F.col("least").alias("key")).distinct()
+    sets = texts.join(wanted, "key", "left_semi").select(shingle_bytes(F.col("text"), width).alias("s")).select("s.*").groupBy("value").agg(F.first("shingles").alias("shingles"))
+    parts = F.when(F.col("n") <= shard, F.lit(1)).otherwise(F.ceil(F.col("n") * 2 / shard)).cast("int")
+    placed = sized.withColumn("parts", parts).withColumn("s", F.pmod(F.xxhash64("value"), F.col("parts")).cast("int")).join(sets, "value")
+    placed = placed.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    other = (F.least("s", "t") * F.col("parts") + F.greatest("s", "t")).cast("int")
+    units = placed.select(F.xxhash64("b", "v", other).alias("unit"), "b", "v", other.alias("other"), (F.col("s") <= F.col("t")).alias("tree"), "value", "fp", "shingles")
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:  # sorted by group: all groups but the last are whole
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            ids = held[["b", "v", "other"]].to_numpy()
+            ends = (np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1).tolist()
+            for start, end in zip([0, *ends], ends, strict=False):
+                yield from linked(held.iloc[start:end])
+            held = held.iloc[ends[-1] :].reset_index(drop=True) if ends else held
+        if held is not None and len(held):
+            yield from linked(held)
+
+    def linked(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        rows = rows.sort_values("tree", ascending=False, kind="stable")
+        fp, value, n = rows["fp"].to_numpy().view(np.uint64), rows["value"].to_numpy(), int(rows["tree"].sum())
+        own = [np.frombuffer(s, "<u8") for s in rows["shingles"]]
+        size = np.array([len(s) for s in own])
+        start = 0 if n == len(fp) else n  # within one shard each is a query, else the other shard's
+        found = []
+        for q, t in search(bk_tree(fp[:n]), fp[start:], radius, 1 << 20):
+            q = q + start
+            near = (q > t) & (np.minimum(size[q], size[t]) >= similarity * np.maximum(size[q], size[t]) - 1e-9)
+            found.append(np.stack((q[near], t[near])))
+        if not found:
+            return
+        q, t = np.concatenate(found, 1)
+        order = np.argsort(popcount(fp[q] ^ fp[t]), kind="stable")  # nearest first: most others are in one set by then
+        forest, out = Forest(len(fp)), []
+        for at in range(0, len(order), 1024):
+            some = order[at : at + 1024]
+            some = some[forest.up[q[some]] != forest.up[t[some]]]
+            for i, j in zip(q[some].tolist(), t[some].tolist(), strict=True):
+                if forest.root(i) != forest.root(j) and jaccard(own[i], own[j]) >= similarity - 1e-9:
+                    out += [(value[a], value[b]) for a, b in forest.add(np.array([i]), np.array([j]))]
+        if out:
+            pairs = np.array(out, np.int64)
+            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    n = max(12, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return units.repartition(n, "unit").sortWithinPartitions("unit", "b", "v", "other").select("b", "v", "other", "tree", "value", "fp", "shingles").mapInPandas(find, "a long, b long").where("a <> b")
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component) of every node with a link; a component is its smallest node. edges: a, b.
 
@@ -219,12 +345,23 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2) -> DataFrame:
-    """Returns key, fp (signed), component_id (the smallest key reachable) of every row."""
-    found = written(docs.select(F.col(key), fingerprints(F.col(text)).alias("fp")), "fingerprints")
-    values = written(found.groupBy("fp").agg(F.min(key).alias("least")), "fingerprint-values")
-    names = values.select(F.col("fp").alias("value"), "least")
-    edges = links(values.select("fp"), radius)
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2, width: int = 3, similarity: float | None = None) -> DataFrame:
+    """Returns key, fp (signed), component_id (the smallest key reachable) of every row.
+
+    Without a similarity, fingerprints within the radius are linked, whatever the texts share. With one, the radius only chooses
+    the candidates, and texts of that Jaccard similarity of their shingles are linked.
+    """
+    if similarity is None:
+        found = written(docs.select(F.col(key), fingerprints(F.col(text), width).alias("fp")), "fingerprints")
+        values = written(found.groupBy("fp").agg(F.min(key).alias("least")), "fingerprint-values").withColumn("value", F.col("fp"))
+        edges = links(values.select("fp"), radius)
+    else:
+        found = written(docs.select(F.col(key), summaries(F.col(text), width).alias("s")).select(key, "s.*"), "fingerprints")
+        values = written(found.groupBy("value").agg(F.min(key).alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "fingerprint-values")
+        edges = verified_links(values, docs.select(F.col(key).alias("key"), F.col(text).alias("text")), radius, similarity, width)
+        found = found.drop("bands")
+    names = values.select("value", "least")
     edges = edges.join(names, F.col("a") == F.col("value")).select(F.col("least").alias("a"), "b").join(names, F.col("b") == F.col("value")).select("a", F.col("least").alias("b"))
-    labels = values.join(components(edges), F.col("least") == F.col("node"), "left").select(F.col("fp").alias("value"), F.coalesce("component", "least").alias("component_id"))
-    return found.join(labels, F.col("fp") == F.col("value")).select(key, "fp", "component_id")
+    labels = values.join(components(edges), F.col("least") == F.col("node"), "left").select("value", F.coalesce("component", "least").alias("component_id"))
+    found = found.withColumn("value", F.col("fp")) if similarity is None else found
+    return found.join(labels, "value").select(key, "fp", "component_id")
