@@ -54,3 +54,21 @@ def test_close_to_the_lower_bound():
     lengths = np.random.default_rng(1).integers(1, 900, 3000)
     bins = packing.local_search(packing.best_fit(lengths, 2048), lengths, 2048)
     assert len(bins) <= -(-lengths.sum() // 2048) + 1
+
+
+def test_ids_equal_the_library_s():
+    tokenizer, encode = Tokenizer.from_file(PATH), packing.encoder(PATH)
+    for text in ("", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x" * 100_000, " " * 5_000 + "a", "it's　we've  \n\n  y" * 20_000):
+        assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
+    for i in range(tokenizer.get_vocab_size()):  # every token by itself
+        text = tokenizer.decode([i], skip_special_tokens=False)
+        assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_every_underfull_bin_gives():
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(500, 900, 2_000)
+    bins = packing.best_fit(lengths, 2048)
+    found = packing.local_search([list(b) for b in bins], lengths, 2048)
+    assert sorted(i for b in found for i in b) == list(range(len(lengths))) and all(lengths[b].sum() <= 2048 for b in found)
+    assert len(found) <= len(bins) - 20  # many bins must give before as many are empty
