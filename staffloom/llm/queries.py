@@ -16,7 +16,7 @@ from staffloom.llm.shared import table, written
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = quality.measured(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", "_m", "_base_failed")
+    docs = quality.measured(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", "_m", "_md5", "_base_failed")
     found = written(docs, "op1-measures")
     kept = quality.apply_cutoffs(found, quality.fit_cutoffs(found, table(spark, sf_dir, "labels")))
     return kept.select("doc_id", "_m.n_words", "_m.word_chars", "_m.n_symbols", "_m.n_dup_lines", "_m.n_repeat_words", F.col("_base_failed").alias("base_failed"), "kept")
@@ -90,21 +90,27 @@ c AS (SELECT rid, w, bool_or(twice) OVER (PARTITION BY rid ORDER BY i ROWS BETWE
 words AS (SELECT rid, count(*) AS n_words, CAST(sum(length(w)) AS BIGINT) AS word_chars, count(*) FILTER (covered) AS n_repeat FROM c GROUP BY rid),
 l AS (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d),
 lines AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
-m AS (SELECT d.rid, doc_id, lang, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words,
+m AS (SELECT d.rid, doc_id, lang, t, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words,
  length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, coalesce(n_lines, 0) AS n_lines FROM d LEFT JOIN words USING (rid) LEFT JOIN lines USING (rid)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
-s AS (SELECT rid, doc_id, lang, base_failed, unnest(['symbols', 'duplicate_lines', 'repeated_words', 'upper_case', 'long_words']) AS rule,
+s AS (SELECT rid, doc_id, lang, t, base_failed, unnest(['symbols', 'duplicate_lines', 'repeated_words', 'upper_case', 'long_words']) AS rule,
  unnest([CAST(ceil(n_symbols / greatest(word_chars, 1) * 100) AS INT), CAST(ceil(n_dup_lines / greatest(n_lines, 1) * 100) AS INT), CAST(ceil(n_repeat_words / greatest(n_words, 1) * 100) AS INT), CAST(ceil(n_upper / greatest(word_chars, 1) * 100) AS INT), CAST(ceil(least(word_chars / greatest(n_words, 1) / 40, 1.0) * 100) AS INT)]) AS step FROM b),
 y AS (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-k AS (SELECT lang, rule, step, q FROM s JOIN y USING (doc_id) WHERE NOT base_failed),
+k AS (SELECT lang, md5(t) AS h, rule, max(step) AS step, min(q) AS q FROM s JOIN y USING (doc_id) WHERE NOT base_failed AND q IN (0, 1) GROUP BY ALL),
 strata AS (SELECT greatest(1, count(*)) AS n FROM (SELECT DISTINCT lang FROM k)),
-tot AS (SELECT lang, rule, count(*) FILTER (q = 1) AS good, count(*) FILTER (q = 0) AS bad FROM k GROUP BY ALL),
-cut AS (SELECT lang, rule, c.cut, good, bad, (SELECT count(*) FROM k WHERE k.lang IS NOT DISTINCT FROM tot.lang AND k.rule = tot.rule AND k.q = 1 AND k.step > c.cut) AS lost, (SELECT count(*) FROM k WHERE k.lang IS NOT DISTINCT FROM tot.lang AND k.rule = tot.rule AND k.q = 0 AND k.step > c.cut) AS caught FROM tot, (SELECT unnest(range(100)) AS cut) AS c),
-p AS (SELECT *, CASE WHEN good = 0 THEN 1.0 WHEN lost >= good THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(0, lost + 1), lambda i: exp(lgamma(good + 1) - lgamma(i + 1) - lgamma(good - i + 1) + i * ln(0.05 / 5) + (good - i) * ln(1 - 0.05 / 5))))) END AS pv FROM cut),
-ok AS (SELECT *, bool_and(pv <= 0.05 / (SELECT n FROM strata) / 5) OVER (PARTITION BY lang, rule ORDER BY cut DESC) AS safe FROM p),
-gain AS (SELECT lang, rule, 100 AS cut, 0.0::DOUBLE AS gain FROM tot UNION ALL SELECT lang, rule, cut, caught / greatest(bad, 1) - lost / good FROM ok WHERE safe),
-best AS (SELECT *, max(gain) OVER (PARTITION BY lang, rule) AS top FROM gain),
-chosen AS (SELECT lang, rule, CASE WHEN max(top) > 0.01 THEN max(cut) FILTER (gain >= top - 0.01) ELSE 100 END AS cut FROM best GROUP BY lang, rule),
+path AS (SELECT unnest(range(13)) AS place, unnest([30, 20, 10, 5, 0, 5, 10, 20, 30, 40, 50, 75, 100]) AS v),
+design AS (SELECT lang, rule, step, q FROM k WHERE h < '8'),
+tot AS (SELECT lang, rule, count(*) FILTER (q = 1) AS good, count(*) FILTER (q = 0) AS bad, max(step) FILTER (q = 1) AS most FROM design GROUP BY ALL),
+grid AS (SELECT lang, rule, c AS cut, good, bad, most, (SELECT count(*) FROM design e WHERE e.lang IS NOT DISTINCT FROM tot.lang AND e.rule = tot.rule AND q = 1 AND step > c) AS lost, (SELECT count(*) FROM design e WHERE e.lang IS NOT DISTINCT FROM tot.lang AND e.rule = tot.rule AND q = 0 AND step > c) AS caught FROM tot, (SELECT unnest(range(101)) AS c)),
+cuts AS (SELECT lang, rule, place, min(cut) AS cut FROM grid, path WHERE good > 0 AND CASE WHEN place < 5 THEN cut = least(100, most + v) ELSE 1000 * lost <= v * good END GROUP BY ALL),
+sets AS (SELECT c.lang, c.rule, c.place, CASE WHEN caught / greatest(bad, 1) - lost / good > 0.01 THEN c.cut ELSE 100 END AS cut FROM cuts c JOIN grid ON grid.lang IS NOT DISTINCT FROM c.lang AND grid.rule = c.rule AND grid.cut = c.cut),
+held AS (SELECT k.lang, place, h, min(q) AS q, bool_or(step > cut) AS goes FROM k JOIN sets ON sets.lang IS NOT DISTINCT FROM k.lang AND sets.rule = k.rule WHERE h >= '8' GROUP BY k.lang, place, h),
+tested AS (SELECT lang, place, count(*) FILTER (goes AND q = 1) AS lost, count(*) FILTER (goes AND q = 0) AS caught, count(*) FILTER (q = 1) AS good, count(*) FILTER (q = 0) AS bad FROM held GROUP BY ALL),
+p AS (SELECT *, CASE WHEN good = 0 OR lost >= good THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(0, lost + 1), lambda i: exp(lgamma(good + 1) - lgamma(i + 1) - lgamma(good - i + 1) + i * ln(0.05) + (good - i) * ln(1 - 0.05))))) END AS pv FROM tested),
+ok AS (SELECT *, caught / greatest(bad, 1) - lost / greatest(good, 1) AS gain, bool_and(pv <= 0.05 / (SELECT n FROM strata)) OVER (PARTITION BY lang ORDER BY place) AS safe FROM p),
+best AS (SELECT *, max(gain) OVER (PARTITION BY lang) AS top FROM ok WHERE safe),
+taken AS (SELECT lang, min(place) AS place FROM best WHERE top > 0.01 AND gain >= top - 0.01 GROUP BY lang),
+chosen AS (SELECT sets.lang, sets.rule, sets.cut FROM sets JOIN taken ON taken.lang IS NOT DISTINCT FROM sets.lang AND taken.place = sets.place),
 verdict AS (SELECT rid, bool_or(coalesce(step > cut, false)) AS rejected FROM s LEFT JOIN chosen c ON c.lang IS NOT DISTINCT FROM s.lang AND c.rule = s.rule GROUP BY rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM b JOIN verdict USING (rid)"""
 
