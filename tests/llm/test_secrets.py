@@ -29,8 +29,10 @@ def rows() -> list[tuple[int, str | None]]:
 
 
 def test_base_spans_match_brute_force(spark):
-    docs = spark.createDataFrame([(*r, "c") for r in rows()], "doc_id long, text string, _hex string").drop("_hex")
+    docs = spark.createDataFrame([(*r, "c") for r in rows()], "doc_id long, text string, _hex string")
+    docs = docs.withColumns({c: F.lit("own") for c in ("_assign", "_run", "_row", "v", "id", "_text")})  # names that the scan uses inside
     out = secrets.scan_documents(docs).collect()
+    assert all(r._hex == "c" and r._assign == r._run == r._row == r.v == "own" for r in out)
     assert len(out) == len(rows())
     for r in out:
         spans = [(s.start, s.kind, s.end) for s in r._base]
@@ -38,11 +40,32 @@ def test_base_spans_match_brute_force(spark):
         assert set(spans) <= {(s.start, s.kind, s.end) for s in r._spans}
 
 
-def test_the_models_add_random_strings_only(spark):
+IDENTIFIERS = """get_user_account_by_name_and_id internationalizationconfiguration AbstractUserSessionFactoryBuilder src/main/handlers/request/parser
+MAX_CONNECTION_RETRY_COUNT my-component-library-for-tables convertTemperatureReading static/images/banner_large_blue 20240131120000123456 onthtionwhonattionnd
+enkeitlichenzuversch""".split()
+
+
+def test_the_models_find_random_strings_and_leave_identifiers(spark):
+    rng = random.Random(9)
+    alphabets = ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789ABCDEF"]
+    planted = ["x" + "".join(rng.choice(a) for _ in range(rng.randint(24, 44))) for a in alphabets for _ in range(40)] + ["wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY"]
+    texts = [f"we saw {p} in the log" for p in planted] + [f"we call {w} here" for w in IDENTIFIERS]
+    docs = spark.createDataFrame([*rows(), *[(1000 + i, t) for i, t in enumerate(texts)]], "doc_id long, text string")
+    found = {r.doc_id - 1000: [r.text[s.start : s.end] for s in r._spans if s.kind == 3] for r in secrets.scan_documents(docs).where("doc_id >= 1000").collect()}
+    caught = [i for i, p in enumerate(planted) if found[i] and found[i][0] in p and len(found[i][0]) >= len(p) - 2]
+    assert len(caught) >= 0.97 * len(planted) and len(planted) - 1 in caught
+    assert [w for i, w in enumerate(IDENTIFIERS) if found[len(planted) + i]] == []
+
+
+def test_scores_match_brute_force(spark):
     docs = spark.createDataFrame(rows(), "doc_id long, text string")
-    added = {r.doc_id: [r.text[s.start : s.end] for s in r._spans if s.kind == 3] for r in secrets.scan_documents(docs).collect() if r.text}
-    assert all(not v for k, v in added.items() if k < 100)
-    assert "internationalizationconfiguration" not in " ".join(added[106])
+    ratios = secrets.train(docs)
+    assert len(ratios) == 66 * 66
+    runs = [*IDENTIFIERS, "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY", "a", "", "Zz" * 50_000]
+    place = {c: i for i, c in enumerate(secrets.SYMBOLS)}
+    for r in spark.createDataFrame([(x,) for x in runs], "x string").select("x", secrets.log_ratio(F.col("x"), ratios).alias("s")).collect():
+        own = sum(ratios[place[a] * 66 + place[b]] for a, b in zip(r.x, r.x[1:], strict=False)) / max(len(r.x) - 1, 1)
+        assert abs(r.s - own) < 1e-9
 
 
 def test_span_text_and_redaction(spark):
