@@ -74,6 +74,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         sketches.text_of(F.col("edited_sketch")).alias("edited_fingerprint"),
         sketches.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         sketches.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        sketches.containment(F.col("sketch"), F.col("edited_sketch")).alias("contained_in_edited"),
+        sketches.distinct_shingles(F.col("sketch")).alias("n_distinct_shingles"),
     )
 
 

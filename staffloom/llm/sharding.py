@@ -5,32 +5,33 @@ neighbours by shard are its group's numbers by shard, and documents of one group
 propagation is one row (a cell) per group and shard, at most ``shards`` rows for a group of any size, and no pair of
 documents is ever made.
 
-Each round joins the cells with their group's cells: a cell wants to move to a larger cell of its group in a shard
-with quota. Quotas between two shards are what they exchange evenly, and beyond that the room of the target. Where more
-want to move than may, each cell moves in part, those with the most neighbours at the target first. Rounds end when nothing moves.
+Each round looks at the cells of each group: a cell wants to move to a larger cell of its group, to one in a shard with
+room if there is one. Wishes are summed by pair of shards and size, quotas are set on those sums, and the cells are joined with what is
+granted. Quotas between two shards are what they exchange evenly, and beyond that the room of the target. Where more
+want to move than may, each cell moves in part, those with the most neighbours at the target first. Rounds end when nothing may
+move, when the number of links within shards has not risen in two rounds, or after ``rounds`` (24) of them.
 The last step turns cells into documents: members of a group are numbered and take the cells' places in turn; what a shard
 can't hold and documents without links fill the room that is left. So the law ``rows`` holds exactly: shard sizes differ by one
 at most, and only groups that no shard can hold whole, or that quotas kept apart, are cut.
 
-Defined results: a null text has no bytes and is grouped with empty texts; repeated rows are placed each; an empty
-table gives no rows. With fewer rows than shards the first shards get one row each.
+Defined results: a null text has no bytes and is grouped with empty texts; a null key is a key; repeated rows are placed each; an
+empty table gives no rows; other columns are left out. With fewer rows than shards the first shards get one row each.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from staffloom.llm.shared import buckets_for, dealt, gapless, let, written
+from staffloom.llm.shared import buckets_for, dealt, gapless, written
 
 
 def base(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, size, text_crc32 and the group: narrow rows, all that is ever shuffled."""
     raw = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(key), (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), F.xxhash64(raw).alias("_g"))
+    return docs.select(F.col(key), F.monotonically_increasing_id().alias("_u"), (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), F.xxhash64(raw).alias("_g"))
 
 
 def capacity(shard: Column, rows: int, shards: int) -> Column:
@@ -41,8 +42,9 @@ def first_cells(groups: DataFrame, shards: int) -> DataFrame:
     """Members dealt round-robin from a shard of the group's own: the random but even start."""
     start = dealt("_g", F.lit("start"), n=shards)
     used = F.least(F.col("n"), F.lit(shards)).cast("int")
-    cells = groups.select("_g", F.col("text_crc32").alias("_c"), "n", start.alias("at"), F.explode(F.sequence(F.lit(0), used - 1)).alias("i"))
-    return cells.select("_g", "_c", ((F.col("at") + F.col("i")) % shards).cast("int").alias("shard"), (F.floor(F.col("n") / shards) + (F.col("i") < F.col("n") % shards).cast("long")).cast("long").alias("m"))
+    each = F.floor(F.col("n") / shards)
+    cell = lambda i: F.struct((each + (i < F.col("n") % shards).cast("long")).cast("long").alias("m"), ((F.col("at") + i) % shards).cast("int").alias("shard"))
+    return groups.withColumn("at", start).select("_g", F.col("text_crc32").alias("_c"), F.transform(F.sequence(F.lit(0), used - 1), cell).alias("cells"))
 
 
 def quotas(wants: dict[tuple[int, int], int], room: dict[int, int]) -> dict[tuple[int, int], int]:
@@ -56,56 +58,57 @@ def quotas(wants: dict[tuple[int, int], int], room: dict[int, int]) -> dict[tupl
     return allowed
 
 
-def propagate(cells: DataFrame, rows: int, shards: int, rounds: int = 12) -> DataFrame:
-    """Cells (group, shard, number of members) after the moves."""
+def wishes(cells: DataFrame, open_: list[int], step: int) -> DataFrame:
+    """A row per cell: its group, shard, number m, the shard it wants to move to (null: none) and the log of that one's number."""
+    # equal cells are ordered by a hash of the round, so that they flow both ways
+    lots = F.transform("cells", lambda c: F.struct(c["m"].alias("m"), F.xxhash64("_g", "_c", c["shard"], F.lit(step)).alias("r"), c["shard"].alias("shard")))
+    all_ = cells.select("_g", "_c", F.sort_array(lots, asc=False).alias("all"))
+    larger = F.slice("all", F.lit(1), F.col("i"))
+    target = F.coalesce(F.get(F.filter(larger, lambda c: c["shard"].isin(open_ or [-1])), F.lit(0)), F.get(larger, F.lit(0)))
+    each = all_.select("_g", "_c", "all", F.posexplode("all").alias("i", "cell")).select("_g", "_c", "cell", F.when(F.col("i") > 0, target).alias("t"))
+    return each.select("_g", "_c", "cell.shard", "cell.m", F.col("t.shard").alias("to"), F.floor(F.log2(F.col("t.m").cast("double"))).cast("int").alias("gain"))
+
+
+def propagate(cells: DataFrame, rows: int, shards: int, rounds: int = 24) -> DataFrame:
+    """Groups with their cells (number of members, shard) after the moves."""
     caps = {s: rows // shards + (s < rows % shards) for s in range(shards)}
+    open_, best, idle = list(range(shards)), -1.0, 0
     for step in range(rounds):
-        loads = {r["shard"]: r["m"] for r in cells.groupBy("shard").agg(F.sum("m").alias("m")).collect()}
-        room = {s: caps[s] - loads.get(s, 0) for s in range(shards)}
-        # a group's cells by size, equal ones by a hash of the round, so that they flow both ways; a cell looks for the first one
-        # before it in a shard with room, else for the first
-        lots = cells.withColumn("r", F.xxhash64("_g", "_c", "shard", F.lit(step)))
-        lists = lots.groupBy("_g", "_c").agg(F.sort_array(F.collect_list(F.struct("m", "r", "shard")), asc=False).alias("all"))  # at most `shards` entries
-        larger = lambda c: (c["m"] > F.col("m")) | ((c["m"] == F.col("m")) & (c["r"] > F.col("r")))
-        open_ = [s for s in range(shards) if room[s] > 0]
-        better = F.filter("all", larger)
-        target = F.coalesce(F.get(F.filter(better, lambda c: c["shard"].isin(open_ or [-1])), F.lit(0)), F.get(better, F.lit(0)))
-        wishes = lots.join(lists, ["_g", "_c"]).select("_g", "_c", "shard", "m", let(target, lambda t: t).alias("t")).select("_g", "_c", "shard", "m", F.col("t.shard").alias("to"), F.floor(F.log2(F.col("t.m").cast("double"))).cast("int").alias("gain"))
-        asked = wishes.where("to is not null").groupBy("shard", "to", "gain").agg(F.sum("m").alias("m")).collect()  # at most shards^2 x 64 rows
-        if not asked:
+        wanted = wishes(cells, open_, step)
+        square = (F.col("m").cast("double") * F.col("m")).alias("square")
+        sums = wanted.select("*", square).groupBy("shard", "to", "gain").agg(F.sum("m").alias("m"), F.sum("square").alias("square")).collect()  # at most shards^2 x 64 rows
+        asked = [r for r in sums if r["to"] is not None]
+        inside = sum(r["square"] for r in sums)
+        idle = 0 if inside > best else idle + 1
+        best = max(best, inside)
+        if not asked or idle == 2:
             break
-        wants: dict[tuple[int, int], int] = {}
+        loads, wants = Counter(), Counter()
+        for r in sums:
+            loads[r["shard"]] += r["m"]
         for r in asked:
-            wants[r["shard"], r["to"]] = wants.get((r["shard"], r["to"]), 0) + r["m"]
-        left, share = quotas(wants, room), []
+            wants[r["shard"], r["to"]] += r["m"]
+        left, share = quotas(wants, {s: caps[s] - loads[s] for s in range(shards)}), []
         for r in sorted(asked, key=lambda r: (-r["gain"], r["shard"], r["to"])):
             n = min(r["m"], left[r["shard"], r["to"]])
             left[r["shard"], r["to"]] -= n
+            loads[r["shard"]] -= n
+            loads[r["to"]] += n
             share.append((r["shard"], r["to"], r["gain"], n / r["m"]))
         if not any(part for *_, part in share):
             break
-        granted = cells.sparkSession.createDataFrame(share, "shard int, to int, gain int, part double")
+        open_ = [s for s in range(shards) if caps[s] > loads[s]]
+        granted = F.broadcast(cells.sparkSession.createDataFrame(share, "shard int, to int, gain int, part double"))
         chance = dealt("_g", "_c", "shard", F.lit(step), n=1 << 20) / float(1 << 20)
-        moved = wishes.join(F.broadcast(granted), ["shard", "to", "gain"], "left").withColumn("k", F.least(F.col("m"), F.floor(F.col("m") * F.coalesce("part", F.lit(0.0)) + chance).cast("long")))
-        stay = moved.select("_g", "_c", "shard", (F.col("m") - F.col("k")).alias("m"))
-        go = moved.where("k > 0").select("_g", "_c", F.col("to").alias("shard"), F.col("k").alias("m"))
-        cells = written(stay.union(go).groupBy("_g", "_c", "shard").agg(F.sum("m").alias("m")).where("m > 0"), "shard-cells")
+        moved = wanted.join(granted, ["shard", "to", "gain"], "left").withColumn("k", F.least(F.col("m"), F.floor(F.col("m") * F.coalesce("part", F.lit(0.0)) + chance).cast("long")))
+        ends = F.array(F.struct((F.col("m") - F.col("k")).alias("m"), "shard"), F.struct(F.col("k").alias("m"), F.col("to").alias("shard")))
+        parts = moved.select("_g", "_c", F.explode(F.filter(ends, lambda e: e["m"] > 0)).alias("e")).groupBy("_g", "_c").agg(F.collect_list("e").alias("e"))  # at most 2 x shards entries
+        together = lambda s: F.struct(F.aggregate(F.filter("e", lambda x: x["shard"] == s), F.lit(0).cast("long"), lambda a, x: a + x["m"]).alias("m"), s.alias("shard"))
+        cells = written(parts.select("_g", "_c", F.transform(F.array_distinct(F.col("e.shard")), together).alias("cells")), "shard-cells")
     return cells
 
 
-def numbered(linked: DataFrame, key: str, hot: int = 10_000, buckets: int = 64) -> DataFrame:
-    """Members of each group numbered from 0 (``_r``); a group larger than ``hot`` is numbered in hash buckets side by side."""
-    part = linked.withColumn("_b", F.when(F.col("n") > hot, dealt(key, n=buckets)).otherwise(F.lit(0)))
-    local = Window.partitionBy("_g", "text_crc32", "_b").orderBy(key, "size")
-    counts = part.where(F.col("n") > hot).groupBy("_g", "text_crc32", "_b").agg(F.count(F.lit(1)).alias("_k"))
-    earlier = Window.partitionBy("_g", "text_crc32").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_g", "text_crc32", "_b", F.coalesce(F.sum("_k").over(earlier), F.lit(0)).alias("_s"))
-    small = part.where(F.col("n") <= hot).withColumn("_r", F.row_number().over(local) - 1)
-    large = part.where(F.col("n") > hot).withColumn("_r", F.row_number().over(local) - 1).join(starts, ["_g", "text_crc32", "_b"]).withColumn("_r", F.col("_r") + F.col("_s")).drop("_s")
-    return small.unionByName(large).drop("_b")
-
-
-def place(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 24, rounds: int = 12) -> DataFrame:
+def place(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 24, rounds: int = 24) -> DataFrame:
     """Returns key, size, text_crc32, shard, slot (from 0 within the shard) and n_equal (rows with the same text)."""
     found = written(base(docs, key, text), "shard-rows")
     rows = found.count()
@@ -116,22 +119,20 @@ def place(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     cells = propagate(written(first_cells(groups, shards), "shard-cells"), rows, shards, rounds)
     sized = found.join(groups, ["_g", "text_crc32"], "left")
     # linked documents take the places of their group's cells in turn, the largest cell first
-    steps = F.sort_array(F.collect_list(F.struct("m", "shard")), asc=False)
-    ends = cells.groupBy("_g", F.col("_c").alias("text_crc32")).agg(steps.alias("cells")).withColumn("ends", let(F.col("cells"), lambda c: F.transform(c, lambda x, i: F.struct(F.aggregate(F.slice(c, F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, y: a + y["m"]).alias("end"), x["shard"].alias("shard")))))
-    linked = numbered(sized.where("n is not null"), key).join(ends, ["_g", "text_crc32"]).withColumn("shard", F.get(F.filter("ends", lambda e: e["end"] > F.col("_r")), F.lit(0))["shard"])
-    placed = written(gapless(linked.select(key, "size", "text_crc32", "n", "shard"), ["shard"], [key, "size"], buckets, "slot"), "shard-linked")
+    ordered = cells.select("_g", F.col("_c").alias("text_crc32"), F.sort_array("cells", asc=False).alias("cells"))
+    upto = lambda i: F.aggregate(F.slice("cells", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, y: a + y["m"])
+    ends = ordered.select("_g", "text_crc32", F.transform("cells", lambda x, i: F.struct(upto(i).alias("end"), x["shard"].alias("shard"))).alias("ends"))
+    members = gapless(sized.where("n is not null"), ["_g", "text_crc32"], [key, "_u"], 64, "_nth")
+    linked = members.join(ends, ["_g", "text_crc32"]).withColumn("shard", F.get(F.filter("ends", lambda e: e["end"] > F.col("_nth")), F.lit(0))["shard"])
+    placed = written(gapless(linked.select(key, "_u", "size", "text_crc32", "n", "shard"), ["shard"], [key, "_u"], buckets, "slot"), "shard-linked")
     kept = placed.where(F.col("slot") < capacity(F.col("shard"), rows, shards))
-    excess = placed.where(F.col("slot") >= capacity(F.col("shard"), rows, shards)).select(key, "size", "text_crc32", "n")
+    excess = placed.where(F.col("slot") >= capacity(F.col("shard"), rows, shards)).select(key, "_u", "size", "text_crc32", "n")
     taken = {r["shard"]: r["k"] for r in kept.groupBy("shard").agg(F.count(F.lit(1)).alias("k")).collect()}
     free = [(s, rows // shards + (s < rows % shards) - taken.get(s, 0)) for s in range(shards)]
-    pool = gapless(sized.where("n is null").select(key, "size", "text_crc32", "n").union(excess), [], [key, "size", "text_crc32"], buckets, "_p")
-    before, shard, first = 0, [], []
-    for s, n in free:  # ranges of the pool, by shard
-        if n:
-            inside = (F.col("_p") >= before) & (F.col("_p") < before + n)
-            shard.append(F.when(inside, F.lit(s)))
-            first.append(F.when(inside, F.col("_p") - before + taken.get(s, 0)))
-            before += n
-    filled = pool.select(key, "size", "text_crc32", "n", reduce(F.coalesce, shard, F.lit(None).cast("int")).alias("shard"), reduce(F.coalesce, first, F.lit(None).cast("long")).alias("slot"))
+    pool = gapless(sized.where("n is null").select(key, "_u", "size", "text_crc32", "n").union(excess), [], [key, "_u"], buckets, "_p")
+    starts = [sum(n for _, n in free[:s]) for s in range(shards)]  # the pool fills the shards' room in their order
+    found_at = F.size(F.filter(F.lit([a + n for a, (_, n) in zip(starts, free, strict=True)]), lambda end: end <= F.col("_p")))
+    first = F.get(F.lit([taken.get(s, 0) - a for s, a in enumerate(starts)]), F.col("shard"))
+    filled = pool.withColumn("shard", found_at).select(key, "size", "text_crc32", "n", "shard", (F.col("_p") + first).alias("slot"))
     both = kept.select(key, "size", "text_crc32", "n", "shard", "slot").union(filled)
     return both.select(key, "size", "text_crc32", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.coalesce("n", F.lit(1)).alias("n_equal"))

@@ -5,7 +5,8 @@ words is one shingle; one without words has none), sorted. Sketches of parts mer
 whole, and two of them estimate resemblance, containment and numbers of distinct shingles.
 
 Defined results: a null text counts as empty; equal texts have equal sketches; two empty sketches are
-alike (1.0), an empty one and another are not (0.0).
+alike (1.0), an empty one and another are not (0.0); a table of one row has itself as the next; an empty table gives no rows; other
+columns pass by, but for one named as a column that is added.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from staffloom.llm.shared import let, words
+from staffloom.llm.shared import let, words, written
 
 K = 64
 WIDTH = 5
@@ -73,27 +74,31 @@ def text_of(sketched: Column) -> Column:
     return F.array_join(F.transform(sketched, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, key: str, carried: list[str], per_bucket: int = 2_000) -> DataFrame:
+def with_next(docs: DataFrame, key: str, carried: list[str], per_range: int = 2_000, most_ranges: int = 100_000) -> DataFrame:
     """Adds ``next_<c>`` for each carried column: that of the next row by key, the first row's for the last.
 
-    Keys fall into ranges of equal width, ``per_bucket`` rows each on average, each sorted on its own. The first row of a range,
-    found without moving the others, is copied to the end of the range before, so that texts are shuffled once. Equal keys are
-    ordered by the carried columns; null keys come first.
+    Rows are ordered by key and, where keys are equal or null (nulls first), by the carried columns. Spark's range
+    partitioning of the key and the first 64 characters of the first carried column gives ranges of about ``per_range`` rows whatever the spread of keys (of more, once there are
+    ``most_ranges``); the ranges' first places are written down, and every row finds its range by bisecting them. Each range is
+    sorted on its own. The first row of a range is copied to the end of the range before, so that texts are shuffled once.
     """
-    least, most, rows_in = docs.agg(F.min(key), F.max(key), F.count(key)).first()
-    width = 1 if least is None else max(1, -(-(most - least + 1) * per_bucket // rows_in))
-    place = F.coalesce(F.floor((F.col(key) - F.lit(least)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
-    ranged = docs.select(place.alias("_range"), F.lit(False).alias("_copy"), *docs.columns)
-    inside = Window.partitionBy("_range").orderBy("_copy", key, *carried)
-    ids = docs.select(place.alias("_range")).distinct()
-    follows = Window.orderBy("_range")
-    before = ids.select(F.col("_range").alias("_of"), F.lag("_range").over(follows).alias("_lag"), F.max("_range").over(Window.partitionBy()).alias("_end")).select("_of", F.coalesce("_lag", "_end").alias("_before"))
-    heads = ranged.withColumn("_n", F.row_number().over(inside)).where(F.col("_n") == 1).drop("_n")
-    copies = heads.join(before, F.col("_range") == F.col("_of")).select(F.col("_before").alias("_range"), F.lit(True).alias("_copy"), *docs.columns)
-    rows = ranged.union(copies)
-    for c in carried:
-        rows = rows.withColumn(f"next_{c}", F.lead(c).over(inside))
-    return rows.where(~F.col("_copy")).drop("_range", "_copy")
+    place = F.struct(F.col(key).alias("k"), F.substring(F.col(carried[0]).cast("string"), 1, 64).alias("t"))
+    n = max(1, min(most_ranges, -(-docs.count() // per_range)))
+    first = docs.select(place.alias("p")).repartitionByRange(n, "p").groupBy(F.spark_partition_id().alias("part")).agg(F.min("p").alias("low"))
+    ranges = written(first, "next-ranges")
+    lows = ranges.agg(F.sort_array(F.collect_list("low")).alias("lows")).scalar()  # at most most_ranges keys and short strings
+    bits = F.lit([1 << i for i in reversed(range(n.bit_length()))])
+    bisected = F.aggregate(bits, F.lit(0), lambda at, bit: F.when(F.get(F.col("_lows"), at + bit) <= F.col("_p"), at + bit).otherwise(at))
+    own = [c for c in docs.columns if c not in {f"next_{c}" for c in carried}]
+    placed = docs.select(F.struct(*own).alias("_row"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carried)], place.alias("_p"), lows.alias("_lows")).withColumn("_range", bisected)
+    names = [f"_c{i}" for i in range(len(carried))]
+    heads = placed.where(F.get("_lows", F.col("_range")) == F.col("_p")).groupBy("_range").agg(F.min(F.struct("_p", *names)).alias("h")).select("_range", "h.*")
+    m = ranges.count()
+    copies = heads.select(F.pmod(F.col("_range") - 1, F.lit(max(m, 1))).alias("_range"), F.lit(True).alias("_copy"), F.col("_p"), *names)
+    rows = placed.select("_range", F.lit(False).alias("_copy"), "_p", *names, "_row").unionByName(copies, allowMissingColumns=True)
+    inside = Window.partitionBy("_range").orderBy("_copy", "_p", *names)
+    following = rows.select("_copy", "_row", *[F.lead(c).over(inside).alias(f"next_{own_c}") for c, own_c in zip(names, carried, strict=True)])
+    return following.where(~F.col("_copy")).select("_row.*", *[f"next_{c}" for c in carried])
 
 
 def edited(text: Column, following: Column) -> Column:

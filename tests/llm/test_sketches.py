@@ -42,13 +42,20 @@ def test_merging_parts_gives_the_whole(spark):
 def test_next_rows_in_order_with_ties_gaps_and_one_row(spark):
     rows = [(i, f"t{i}") for i in (5, 1, 9_999, 10_000, 77_000, 3)] + [(3, "t3b"), (3, "t3b")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    out = sorted((r.doc_id, r.text, r.next_text) for r in sketches.with_next(df, "doc_id", ["text"], per_bucket=10).collect())
+    out = sorted((r.doc_id, r.text, r.next_text) for r in sketches.with_next(df, "doc_id", ["text"], per_range=10).collect())
     ordered = sorted(rows)
     assert out == sorted((a[0], a[1], b[1]) for a, b in zip(ordered, [*ordered[1:], ordered[0]], strict=True))
     assert sketches.with_next(df.limit(0), "doc_id", ["text"]).count() == 0
     wide = spark.createDataFrame([(i * 10**12, f"w{i}") for i in range(50)] + [(None, "none")], "doc_id long, text string")
-    found = {r.text: r.next_text for r in sketches.with_next(wide, "doc_id", ["text"], per_bucket=5).collect()}
+    found = {r.text: r.next_text for r in sketches.with_next(wide, "doc_id", ["text"], per_range=5).collect()}
     assert found == {f"w{i}": f"w{i + 1}" for i in range(49)} | {"w49": "none", "none": "w0"}
+    clustered = spark.createDataFrame([(i, f"w{i}", "r", True) for i in [*range(400), 10**15]] + [(None, f"n{i}", "r", True) for i in range(30)], "doc_id long, text string, _range string, _copy boolean")
+    found = sketches.with_next(clustered, "doc_id", ["text"], per_range=10)
+    assert found.columns == [*clustered.columns, "next_text"]
+    assert found.withColumn("part", F.spark_partition_id()).where("doc_id is null or doc_id < 400").groupBy("part").count().agg(F.max("count")).first()[0] < 300
+    after = {r.text: r.next_text for r in found.collect()}
+    assert len(after) == 431 and all(after[f"w{i}"] == f"w{i + 1}" for i in range(399)) and after["w399"] == f"w{10**15}" and after[f"w{10**15}"][0] == "n"
+    assert sorted(after.values()) == sorted(after)  # a ring
     one = sketches.with_next(df.where("doc_id = 1"), "doc_id", ["text"]).collect()
     assert [(r.text, r.next_text) for r in one] == [("t1", "t1")]
 
