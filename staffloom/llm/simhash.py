@@ -1,11 +1,17 @@
 """SimHash near-duplicate detection with BK-trees.
 
 Fingerprints are linked at up to ``radius`` differing bits. Equal fingerprints are taken together first. Then the
-64 bits are split into radius + 1 blocks: linked fingerprints agree on one block at least, so the fingerprints with the
-same value of a block make one search group (a fingerprint is in radius + 1 of them). Groups are cut into shards of at most
-``shard`` fingerprints; each shard's BK-tree (children keyed by their distance to the parent) is broadcast to the shards of its
-own group, which follow only edges within the radius. So a group of any size is searched by many tasks, no tree outgrows a
-task, and no link is lost. A search returns the links of a spanning forest of what it found, not all pairs.
+64 bits are split into radius + 2 blocks: linked fingerprints agree on two blocks at least, so the fingerprints with the
+same values of two blocks make one search group (a fingerprint is in one group for each two blocks; with 16-bit blocks a group is what
+32 bits have in common, so that groups stay small in large tables). Groups with the same members are searched once.
+
+A group of more than ``shard`` fingerprints is cut into shards by a hash that differs from group to group. A shard's BK-tree (children
+keyed by their distance to the parent) is first searched by the shard's own members, which follow only edges within the radius. As the
+shards of different groups overlap, what is in one component mostly is in one component by then. For the rest, the members of a
+large group outside its largest component, the group's shard trees are built once and broadcast to packs of those members (behind
+a check of their bytes; a larger set of trees is joined by shuffle). So no link between different components is missed, a hot group of one
+component costs no more than its rows, and no pairs of all members are ever made. A search returns the links of a spanning forest of
+what it found.
 
 With a ``similarity``, texts are near copies from that Jaccard similarity of their word shingles on. A radius wide enough for
 0.8 (20 of 64 bits: at 0.8 about 10 differ, more than 20 in about one pair of 3,000) has no blocks that all linked fingerprints
@@ -14,15 +20,18 @@ share, so the search groups are the values of 16 bands of 4 minhashes there (at
 link has the similarity; texts with the same shingles are one value. These fingerprints take each shingle once, as the similarity does.
 
 Connected components of the links are found by alternating large-star and small-star steps, written to the shared folder
-in each round.
+in each round; they settle in a number of rounds that grows with the logarithm of the longest path, and after ``rounds`` (40) without
+settling an error is raised, never a wrong result given.
 
-Defined results: a null, empty or blank text has fingerprint zero and is linked like any other; repeated rows get
-a row each; fingerprints and components don't depend on the order or the partitioning of rows.
+Defined results: a null, empty or blank text has fingerprint zero and is linked like any other; a row with a null key gets
+the component of its text, or a null one where no row with a key is in it; repeated rows get a row each; an empty table gives no rows;
+other columns are left out; fingerprints and components don't depend on the order or the partitioning of rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -31,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from staffloom.llm.shared import dealt, written
+from staffloom.llm.shared import written
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Minhashes: bands of so many rows, and what each one mixes into a shingle's hash.
@@ -205,121 +214,161 @@ class Forest:
         return new
 
 
-def links(values: DataFrame, radius: int = 2, shard: int = 4096) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints of column ``fp`` that keep their components together."""
-    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    block = lambda i: F.shiftrightunsigned(F.shiftleft("fp", cuts[i]), 64 - cuts[i + 1] + cuts[i])
-    grouped = values.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("b"), block(i).alias("v")) for i in range(radius + 1)])).alias("g")).select("fp", "g.b", "g.v")
-    counts = grouped.groupBy("b", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    sized = grouped.join(counts, ["b", "v"])
-    # shards: a small group is one; a large one is dealt by hash
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") * 2 / shard)).cast("int")
-    placed = sized.select("b", "v", "fp", "n", F.when(F.col("n") <= shard, F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), parts)).cast("int").alias("s"), F.when(F.col("n") <= shard, F.lit(1)).otherwise(parts).alias("parts"))
-    small = placed.where("parts = 1").select(dealt("b", "v", n=1 << 30).alias("unit"), "b", "v", F.lit(0).alias("other"), F.lit(True).alias("tree"), "fp")
-    # a large group's shard is a tree for the pairs of shards (s, t), s <= t, and a query set for (t, s)
-    large = placed.where("parts > 1").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    pair_id = F.least("s", "t") * F.col("parts") + F.greatest("s", "t") + 1
-    large = large.select(dealt("b", "v", pair_id, n=1 << 30).alias("unit"), "b", "v", pair_id.alias("other"), (F.col("s") <= F.col("t")).alias("tree"), "fp")
+Shingles = list[np.ndarray] | None
+
+
+def found_links(tree: tuple[np.ndarray, np.ndarray, np.ndarray], fp: np.ndarray, value: np.ndarray, own: Shingles, start: int, radius: int, similarity: float | None) -> list[tuple[int, int]]:
+    """Links (value, value) between the tree's members, which come first, and those from ``start`` on, as a spanning forest."""
+    forest, out = Forest(len(fp)), []
+    if own is None:
+        for q, t in search(tree, fp[start:], radius):
+            out += forest.add(q + start, t)
+        return [(value[i], value[j]) for i, j in out]
+    size, found = np.array([len(s) for s in own]), []
+    for q, t in search(tree, fp[start:], radius, 1 << 20):
+        q = q + start
+        near = (q > t) & (np.minimum(size[q], size[t]) >= similarity * np.maximum(size[q], size[t]) - 1e-9)
+        found.append(np.stack((q[near], t[near])))
+    if found:
+        q, t = np.concatenate(found, 1)
+        order = np.argsort(popcount(fp[q] ^ fp[t]), kind="stable")  # nearest first: most others are in one set by then
+        for at in range(0, len(order), 1024):
+            some = order[at : at + 1024]
+            some = some[forest.up[q[some]] != forest.up[t[some]]]
+            for i, j in zip(q[some].tolist(), t[some].tolist(), strict=True):
+                if forest.root(i) != forest.root(j) and jaccard(own[i], own[j]) >= similarity - 1e-9:
+                    out += forest.add(np.array([i]), np.array([j]))
+    return [(value[i], value[j]) for i, j in out]
+
+
+def as_frame(pairs: list[tuple[int, int]]) -> pd.DataFrame:
+    return pd.DataFrame(np.array(pairs, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+
+def sets_of(shingles: Iterable) -> Shingles:
+    found = list(shingles)
+    return None if not found or found[0] is None else [np.frombuffer(s, "<u8") for s in found]
+
+
+def links_within(members: DataFrame, radius: int, similarity: float | None) -> DataFrame:
+    """Links (a, b) within each shard (b, v, s) of members: b, v, s, value, fp, shingles."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
-        for batch in batches:  # sorted by group: all groups but the last are whole
+        for batch in batches:  # sorted by shard: all shards but the last are whole
             held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            ids = held[["b", "v", "other"]].to_numpy()
+            ids = held[["b", "v", "s"]].to_numpy()
             last = np.flatnonzero((ids[1:] != ids[:-1]).any(1))
             if len(last):
-                yield from groups(held.iloc[: last[-1] + 1])
+                yield shards(held.iloc[: last[-1] + 1])
                 held = held.iloc[last[-1] + 1 :].reset_index(drop=True)
-        if held is not None:
-            yield from groups(held)
-
-    def groups(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        ids = rows[["b", "v", "other"]].to_numpy()
-        ends = np.append(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1, len(rows))
-        fp, tree = rows["fp"].to_numpy().view(np.uint64), rows["tree"].to_numpy()
-        out, at = [], 0
-        for end in ends.tolist():
-            out += linked(fp[at:end], tree[at:end])
-            at = end
-        if out:
-            pairs = np.array(out, np.uint64).view(np.int64)
-            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    def linked(fp: np.ndarray, tree: np.ndarray) -> list[tuple[int, int]]:
-        if len(fp) == 2:
-            return [(int(fp[0]), int(fp[1]))] if int(fp[0] ^ fp[1]).bit_count() <= radius else []
-        order = np.argsort(~tree, kind="stable")
-        fp, n = fp[order], int(tree.sum())
-        forest, out = Forest(len(fp)), []
-        queries = fp if n == len(fp) else fp[n:]  # within one shard each is a query, else the other shard's
-        for q, t in search(bk_tree(fp[:n]), queries, radius):
-            out += [(int(fp[i]), int(fp[j])) for i, j in forest.add(q + (len(fp) - len(queries)), t)]
-        return out
-
-    n = max(12, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    units = small.unionByName(large)
-    return units.repartition(n, "unit").sortWithinPartitions("unit", "b", "v", "other").select("b", "v", "other", "tree", "fp").mapInPandas(find, "a long, b long").where("a <> b")
+        if held is not None and len(held):
+            yield shards(held)
 
+    def shards(rows: pd.DataFrame) -> pd.DataFrame:
+        ids = rows[["b", "v", "s"]].to_numpy()
+        ends = [*(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1).tolist(), len(rows)]
+        fp, value, shingle = rows["fp"].to_numpy().view(np.uint64), rows["value"].to_numpy(), rows["shingles"].to_numpy()
+        out: list[tuple[int, int]] = []
+        for at, end in zip([0, *ends], ends, strict=False):
+            if end - at == 2 and int(fp[at] ^ fp[at + 1]).bit_count() > radius:
+                continue
+            if end - at > 1:
+                out += found_links(bk_tree(fp[at:end]), fp[at:end], value[at:end], sets_of(shingle[at:end]), 0, radius, similarity)
+        return as_frame(out)
 
-def verified_links(values: DataFrame, texts: DataFrame, radius: int, similarity: float, width: int, shard: int = 1024) -> DataFrame:
-    """Links (a, b) between values, each of at least that similarity, that keep the components of their groups together.
+    n = max(12, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    units = members.select(F.xxhash64("b", "v", "s").alias("unit"), "b", "v", "s", "value", "fp", "shingles")
+    return units.repartition(n, "unit").sortWithinPartitions("unit", "b", "v", "s").select("b", "v", "s", "value", "fp", "shingles").mapInPandas(find, "a long, b long")
+
+
+TREE = "b int, v long, s int, nodes binary, parents binary, edges binary, ids binary, sets array<binary>"
+
+
+def shard_trees(members: DataFrame) -> DataFrame:
+    """The BK-tree of each shard as a row, with its members' values and shingles."""
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        nodes, parent, edge = bk_tree(rows["fp"].to_numpy().view(np.uint64))
+        first, sets = rows.iloc[0], None if rows["shingles"].iloc[0] is None else list(rows["shingles"])
+        return pd.DataFrame([(first.b, first.v, first.s, nodes.tobytes(), parent.astype("<i8").tobytes(), edge.astype("<i8").tobytes(), rows["value"].to_numpy().tobytes(), sets)], columns=["b", "v", "s", "nodes", "parents", "edges", "ids", "sets"])
+
+    return members.select("b", "v", "s", "value", "fp", "shingles").groupBy("b", "v", "s").applyInPandas(build, TREE)
+
+
+def links_across(packs: DataFrame, trees: DataFrame, radius: int, similarity: float | None, broadcast_bytes: int) -> DataFrame:
+    """Links (a, b) between packs of members (b, v, s: the shard to search, pack) and that shard's tree."""
 
-    values: value, fp, bands, least (a key of the value); texts: key, text. Groups with the same members are searched once. A large
-    group is cut into shards that meet pairwise, as in ``links``.
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                nodes = np.frombuffer(row.nodes, np.uint64)
+                tree = (nodes, np.frombuffer(row.parents, "<i8"), np.frombuffer(row.edges, "<i8"))
+                asked = [(p["value"], p["fp"], p["shingles"]) for p in row.pack]
+                fp = np.concatenate([nodes, np.array([p[1] for p in asked], np.int64).view(np.uint64)])
+                value = np.concatenate([np.frombuffer(row.ids, np.int64), np.array([p[0] for p in asked], np.int64)])
+                own = sets_of([*([None] * len(nodes) if row.sets is None else row.sets), *(p[2] for p in asked)])
+                yield as_frame(found_links(tree, fp, value, own, len(nodes), radius, similarity))
+
+    size = trees.agg(F.sum(F.octet_length("nodes") * 4 + F.coalesce(F.aggregate("sets", F.lit(0).cast("long"), lambda a, s: a + F.octet_length(s)), F.lit(0)))).first()[0]
+    built = F.broadcast(trees) if (size or 0) <= broadcast_bytes else trees
+    return packs.join(built, ["b", "v", "s"]).select("nodes", "parents", "edges", "ids", "sets", "pack").mapInPandas(walk, "a long, b long")
+
+
+def searched(groups: DataFrame, sets: DataFrame | None, radius: int, similarity: float | None, shard: int, broadcast_bytes: int = 64 << 20, per_pack: int = 256) -> DataFrame:
+    """Links (a, b) between values that keep the components of all groups together.
+
+    groups: a row per group and member, written: b, v, n (of members), value, fp. sets: value, shingles, for a similarity.
     """
-    grouped = values.select("value", "fp", F.posexplode("bands").alias("b", "v"))
+    parts = F.when(F.col("n") <= shard, F.lit(1)).otherwise(F.ceil(F.col("n") * 2 / shard)).cast("int")
+    placed = groups.withColumn("parts", parts).withColumn("s", F.pmod(F.xxhash64("value", "b", "v"), F.col("parts")).cast("int"))
+    with_sets = lambda rows: rows.withColumn("shingles", F.lit(None).cast("binary")) if sets is None else rows.join(sets, "value")
+    near = written(links_within(with_sets(placed), radius, similarity), "near-links")
+    hot = placed.where("parts > 1")
+    if hot.isEmpty():
+        return near
+    named = hot.join(components(near).select(F.col("node").alias("value"), "component"), "value", "left").withColumn("component", F.coalesce("component", "value"))
+    named = written(named, "near-hot")
+    sizes = named.groupBy("b", "v", "component").agg(F.count(F.lit(1)).alias("k"))
+    open_ = sizes.groupBy("b", "v").agg(F.max(F.struct("k", "component")).alias("main"), F.sum("k").alias("all"), F.count(F.lit(1)).alias("c")).where("c > 1").select("b", "v", F.col("main.component").alias("main"), (F.col("all") - F.col("main.k")).alias("rest"))
+    open_ = written(open_, "near-open")
+    if open_.isEmpty():
+        return near
+    rows = with_sets(named.join(open_, ["b", "v"]))
+    trees = written(shard_trees(rows), "near-trees")
+    asked = rows.where("component <> main").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("t <> s")
+    dealt_to = F.pmod(F.xxhash64("value"), F.ceil(F.col("rest") / per_pack)).cast("int")
+    packs = asked.groupBy("b", "v", F.col("t").alias("s"), dealt_to.alias("_p")).agg(F.collect_list(F.struct("value", "fp", "shingles")).alias("pack"))  # about per_pack entries
+    return near.union(written(links_across(packs, trees, radius, similarity, broadcast_bytes), "near-links"))
+
+
+def sized_groups(grouped: DataFrame) -> DataFrame:
+    """b, v, n, value, fp of groups of two or more; of groups with the same members one is left."""
     member = [F.bit_xor(F.xxhash64("value", F.lit(i))).alias(f"x{i}") for i in range(2)]
     counts = grouped.groupBy("b", "v").agg(F.count(F.lit(1)).alias("n"), *member).where(F.col("n") > 1)
     counts = counts.groupBy("n", "x0", "x1").agg(F.min(F.struct("b", "v")).alias("g")).select("g.b", "g.v", "n")
-    sized = written(grouped.join(counts, ["b", "v"]), "near-groups")
-    wanted = values.join(sized.select("value").distinct(), "value", "left_semi").select(F.col("least").alias("key")).distinct()
-    sets = texts.join(wanted, "key", "left_semi").select(shingle_bytes(F.col("text"), width).alias("s")).select("s.*").groupBy("value").agg(F.first("shingles").alias("shingles"))
-    parts = F.when(F.col("n") <= shard, F.lit(1)).otherwise(F.ceil(F.col("n") * 2 / shard)).cast("int")
-    placed = sized.withColumn("parts", parts).withColumn("s", F.pmod(F.xxhash64("value"), F.col("parts")).cast("int")).join(sets, "value")
-    placed = placed.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    other = (F.least("s", "t") * F.col("parts") + F.greatest("s", "t")).cast("int")
-    units = placed.select(F.xxhash64("b", "v", other).alias("unit"), "b", "v", other.alias("other"), (F.col("s") <= F.col("t")).alias("tree"), "value", "fp", "shingles")
+    return written(grouped.join(counts, ["b", "v"]).select("b", "v", "n", "value", "fp"), "near-groups")
+
+
+def links(values: DataFrame, radius: int = 2, shard: int = 4096) -> DataFrame:
+    """Links (a, b) between the distinct fingerprints of column ``fp`` that keep their components together."""
+    k = radius + 2
+    cuts = [64 * i // k for i in range(k + 1)]
+    block = lambda i: F.shiftrightunsigned(F.shiftleft("fp", cuts[i]), 64 - cuts[i + 1] + cuts[i])
+    two = [F.struct(F.lit(n).alias("b"), F.shiftleft(block(i), cuts[j + 1] - cuts[j]).bitwiseOR(block(j)).alias("v")) for n, (i, j) in enumerate(combinations(range(k), 2))]
+    grouped = values.select("fp", F.explode(F.array(*two)).alias("g")).select("g.b", "g.v", F.col("fp").alias("value"), "fp")
+    return searched(sized_groups(grouped), None, radius, None, shard)
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:  # sorted by group: all groups but the last are whole
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            ids = held[["b", "v", "other"]].to_numpy()
-            ends = (np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1).tolist()
-            for start, end in zip([0, *ends], ends, strict=False):
-                yield from linked(held.iloc[start:end])
-            held = held.iloc[ends[-1] :].reset_index(drop=True) if ends else held
-        if held is not None and len(held):
-            yield from linked(held)
-
-    def linked(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        rows = rows.sort_values("tree", ascending=False, kind="stable")
-        fp, value, n = rows["fp"].to_numpy().view(np.uint64), rows["value"].to_numpy(), int(rows["tree"].sum())
-        own = [np.frombuffer(s, "<u8") for s in rows["shingles"]]
-        size = np.array([len(s) for s in own])
-        start = 0 if n == len(fp) else n  # within one shard each is a query, else the other shard's
-        found = []
-        for q, t in search(bk_tree(fp[:n]), fp[start:], radius, 1 << 20):
-            q = q + start
-            near = (q > t) & (np.minimum(size[q], size[t]) >= similarity * np.maximum(size[q], size[t]) - 1e-9)
-            found.append(np.stack((q[near], t[near])))
-        if not found:
-            return
-        q, t = np.concatenate(found, 1)
-        order = np.argsort(popcount(fp[q] ^ fp[t]), kind="stable")  # nearest first: most others are in one set by then
-        forest, out = Forest(len(fp)), []
-        for at in range(0, len(order), 1024):
-            some = order[at : at + 1024]
-            some = some[forest.up[q[some]] != forest.up[t[some]]]
-            for i, j in zip(q[some].tolist(), t[some].tolist(), strict=True):
-                if forest.root(i) != forest.root(j) and jaccard(own[i], own[j]) >= similarity - 1e-9:
-                    out += [(value[a], value[b]) for a, b in forest.add(np.array([i]), np.array([j]))]
-        if out:
-            pairs = np.array(out, np.int64)
-            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    n = max(12, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return units.repartition(n, "unit").sortWithinPartitions("unit", "b", "v", "other").select("b", "v", "other", "tree", "value", "fp", "shingles").mapInPandas(find, "a long, b long").where("a <> b")
+def verified_links(values: DataFrame, texts: DataFrame, radius: int, similarity: float, width: int, shard: int = 1024) -> DataFrame:
+    """Links (a, b) between values, each of at least that similarity, that keep the components of their groups together.
+
+    values: value, fp, bands, least (a key of the value); texts: key, text.
+    """
+    groups = sized_groups(values.select("value", "fp", F.posexplode("bands").alias("b", "v")))
+    wanted = values.join(groups.select("value").distinct(), "value", "left_semi").select(F.col("least").alias("key")).distinct()
+    sets = texts.join(wanted, "key", "left_semi").select(shingle_bytes(F.col("text"), width).alias("s")).select("s.*").groupBy("value").agg(F.first("shingles").alias("shingles"))
+    return searched(groups, written(sets, "near-shingles"), radius, similarity, shard)
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -351,17 +400,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     Without a similarity, fingerprints within the radius are linked, whatever the texts share. With one, the radius only chooses
     the candidates, and texts of that Jaccard similarity of their shingles are linked.
     """
+    keyed = F.col("least").isNotNull()
     if similarity is None:
-        found = written(docs.select(F.col(key), fingerprints(F.col(text), width).alias("fp")), "fingerprints")
-        values = written(found.groupBy("fp").agg(F.min(key).alias("least")), "fingerprint-values").withColumn("value", F.col("fp"))
-        edges = links(values.select("fp"), radius)
+        found = written(docs.select(F.col(key).alias("key"), fingerprints(F.col(text), width).alias("fp")).withColumn("value", F.col("fp")), "fingerprints")
+        values = written(found.groupBy("value").agg(F.min("key").alias("least"), F.first("fp").alias("fp")), "fingerprint-values")
+        edges = links(values.where(keyed).select("fp"), radius)
     else:
-        found = written(docs.select(F.col(key), summaries(F.col(text), width).alias("s")).select(key, "s.*"), "fingerprints")
-        values = written(found.groupBy("value").agg(F.min(key).alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "fingerprint-values")
-        edges = verified_links(values, docs.select(F.col(key).alias("key"), F.col(text).alias("text")), radius, similarity, width)
-        found = found.drop("bands")
+        found = written(docs.select(F.col(key).alias("key"), summaries(F.col(text), width).alias("s")).select("key", "s.*"), "fingerprints")
+        values = written(found.groupBy("value").agg(F.min("key").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "fingerprint-values")
+        edges = verified_links(values.where(keyed), docs.select(F.col(key).alias("key"), F.col(text).alias("text")), radius, similarity, width)
     names = values.select("value", "least")
     edges = edges.join(names, F.col("a") == F.col("value")).select(F.col("least").alias("a"), "b").join(names, F.col("b") == F.col("value")).select("a", F.col("least").alias("b"))
     labels = values.join(components(edges), F.col("least") == F.col("node"), "left").select("value", F.coalesce("component", "least").alias("component_id"))
-    found = found.withColumn("value", F.col("fp")) if similarity is None else found
-    return found.join(labels, "value").select(key, "fp", "component_id")
+    return found.select("key", "value", "fp").join(labels, "value").select(F.col("key").alias(key), "fp", "component_id")

@@ -90,3 +90,36 @@ def test_a_large_group_in_shards_loses_no_link(spark):
         edges = spark.createDataFrame([(names[r.a], names[r.b]) for r in found], "a long, b long")
         labels = {r.node: r.component for r in simhash.components(edges).collect()}
         assert {i: labels.get(i, i) for i in rows} == own
+
+
+def test_members_outside_the_largest_component_meet_all_shards(spark):
+    """Two families share a search group; in shards of few members some links can only be found across shards."""
+    rng, rows = random.Random(8), {}
+    for family in range(3):
+        base = prose(50 + family, 60).split()
+        for i in range(30):
+            copy = list(base)
+            for at in rng.sample(range(60), rng.randrange(1, 3)):
+                copy[at] += f"{family}x{i}"
+            rows[100 * family + i] = " ".join(copy)
+    own = groups({i: own_shingles(t) for i, t in rows.items()})
+    docs = frame(spark, rows)
+    values = docs.select("doc_id", simhash.summaries(docs.text, 5).alias("s")).selectExpr("doc_id AS least", "s.*")
+    names = {r.value: r.least for r in values.collect()}
+    sets = docs.select(simhash.shingle_bytes(docs.text, 5).alias("s")).select("s.*")
+    one_group = values.selectExpr("0 AS b", "0L AS v", f"{len(names)}L AS n", "value", "fp")
+    for bound in (64 << 20, 0):  # trees broadcast, and joined by shuffle
+        found = simhash.searched(one_group, sets, 64, 0.8, 8, bound, per_pack=4).collect()
+        edges = spark.createDataFrame([(names[r.a], names[r.b]) for r in found], "a long, b long")
+        labels = {r.node: r.component for r in simhash.components(edges).collect()}
+        assert {i: labels.get(i, i) for i in rows} == own
+
+
+def test_the_stage_with_nulls_repeats_clashing_columns_and_empty(spark):
+    text = prose(77, 80)
+    rows = [(1, text, "en", "s", 1, "x"), (1, text + " more words", "en", "s", 1, "x"), (2, text, None, None, None, "x"), (None, text, "en", "s", 1, "x"), (None, prose(78, 50), "en", "s", 1, "x"), (3, None, "en", "s", 0, "x"), (4, "", "en", "s", 0, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, component_id string")
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    assert kept.columns == corpus_pipeline.COLUMNS
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, text), (0, text), (0, prose(78, 50)), (3, "")])
+    assert corpus_pipeline.near_duplicate_stage(spark, docs.limit(0), SF).count() == 0
