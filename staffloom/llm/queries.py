@@ -29,7 +29,7 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
-    return licenses.scan(docs).select("doc_id", "path", "license", F.round("license_score", 6).alias("license_score"), "n_license_lines", "is_license_file", "effective_license", "inherited_from")
+    return licenses.scan(docs).select("doc_id", "path", "license", F.round("license_score", 6).alias("license_score"), "n_license_lines", "n_license_blocks", "is_license_file", "effective_license", "inherited_from")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

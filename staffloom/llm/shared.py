@@ -20,13 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+    """The folder that the driver and all executors share, by the setting ``spark.checkpoint.dir``.
 
-    It is read from ``spark.checkpoint.dir``; only where that is unset (local tests) is a
-    temporary folder made and set.
+    Where it is unset, a local session (tests, a first try) gets a folder of its own, kept for the session; on a cluster that would be a
+    folder of one machine, so an error is raised there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="staffloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -36,11 +38,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Writes a frame to the shared folder and reads it back.
 
     Later jobs read the files, so that a lost executor costs nothing that was finished. Each
-    call takes a folder of its own.
+    call takes a folder of its own; the files go when the session's application ends.
     """
-    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def within(df: DataFrame, rows: int) -> bool:

@@ -1,8 +1,8 @@
 """WARC archives, each record compressed by itself with a dictionary of its archive.
 
 An archive starts with a skippable frame that holds a Zstandard dictionary; the frames after it are one record each,
-so that a record can be read alone. The dictionary of an archive is built from the archive's own records, spread evenly
-over it up to ``sample_bytes``.
+so that a record can be read alone. The dictionary of an archive is built from the archive's own records, whole and spread evenly
+over it, up to ``sample_bytes`` in all and one record more.
 
 Records with equal payloads of ``least`` bytes or more are stored once: the one with the smallest id is the response, the
 others are revisit records that refer to it. Which is decided by aggregation over payload digests, before anything is written.
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staffloom.llm.shared import scratch_dir, written
+from staffloom.llm.shared import broadcast_within, scratch_dir, written
 
 SKIPPABLE = 0x184D2A5D  # the frame that holds the dictionary
 NEW_LINE = b"\r\n"
@@ -70,10 +70,20 @@ def parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block.partition(NEW_LINE * 2)[2]
 
 
+def samples_of(records: list[bytes], sample_bytes: int) -> list[bytes]:
+    """Whole records spread evenly over the list, of about ``sample_bytes`` in all."""
+    step, out, taken = max(1, -(-sum(map(len, records)) // sample_bytes)), [], 0
+    for r in records[::step]:
+        if taken >= sample_bytes:
+            break
+        out.append(r)
+        taken += len(r)
+    return out
+
+
 def dictionary(records: list[bytes], size: int, sample_bytes: int) -> bytes:
     """A dictionary from records spread evenly over the list; raw content where there are too few to train one."""
-    step = max(1, -(-sum(map(len, records)) // sample_bytes))
-    samples = [r[: 1 << 17] for r in records[::step]]
+    samples = samples_of(records, sample_bytes)
     try:
         return zstandard.train_dictionary(size, samples, k=200, d=8).as_bytes()
     except zstandard.ZstdError:
@@ -122,14 +132,22 @@ def opened(folder: str):
     return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
 
 
+#: Revisits up to which their marks are broadcast; beyond, the payloads are shuffled to them.
+BROADCAST_REVISITS = 500_000
+
+
 def with_types(pages: DataFrame, key: str, body: str, url: str, least: int) -> DataFrame:
-    """Adds payload, digest, length and refers_to (null: a response)."""
+    """Adds payload, digest, length and refers_to (null: a response).
+
+    The first page of each digest comes from partial aggregates; a digest of a third of all rows is one row by then. Marks of revisits are
+    narrow and, if few, broadcast, so that payloads stay where they were read.
+    """
     payload = F.coalesce(F.col(body).cast("binary"), F.lit("").cast("binary"))
     full = pages.select(F.col(key).cast("long").alias("page"), F.col(url).cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    marks = written(full.select("page", "digest", F.octet_length("payload").cast("long").alias("length")), "warc-digests")
-    groups = marks.where(F.col("length") >= least).groupBy("digest").agg(F.min("page").alias("first"), F.max("page").alias("last")).where("first < last")
-    revisits = marks.join(groups.select("digest", "first"), "digest").where("page > first").select("page", "digest", F.col("first").cast("string").alias("refers_to")).distinct()
-    return full.join(revisits, ["page", "digest"], "left")
+    marks = full.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page").alias("first"), F.max("page").alias("last")).where("first < last")
+    groups = written(marks.select(F.col("digest").alias("_digest"), "first"), "warc-groups")
+    refers_to = F.when(F.col("page") > F.col("first"), F.col("first").cast("string")).alias("refers_to")
+    return full.join(broadcast_within(groups, BROADCAST_REVISITS), F.col("digest") == F.col("_digest"), "left").select("page", "url", "payload", "digest", refers_to)
 
 
 def write_archives(pages: DataFrame, key: str = "page_id", body: str = "html", url: str = "url", least: int = 100, archive_bytes: int = 16 << 20, level: int = 3, dictionary_size: int = 64 << 10, sample_bytes: int = 4 << 20, folder: str | None = None) -> DataFrame:
