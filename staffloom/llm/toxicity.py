@@ -2,17 +2,19 @@
 
 1. Voters. On a bounded sample of labelled rows, words and word beginnings are counted by document and label; those
    far commoner in toxic texts become voters (the lexicon and the patterns), each of which fires on a text or abstains.
-2. Label model. A generative model of the votes of the sampled texts: a hidden label, and for each voter its rates of
-   firing under either label. The rates (the voter's accuracies) are estimated by expectation maximisation from a start at
-   their rates on the labels; correlations between voters under each label are estimated along with them, and voters that are
-   correlated form clusters, of which only the strongest vote counts.
+   Other voters speak for clean texts: no word of the lexicon fires, no pattern does, fewer than one firing in 200 words.
+2. Label model. A generative model of the votes of the sampled texts, which sees no labels: a hidden label, for each voter its rates of
+   firing under either label (its accuracies), and correlations as parameters: each voter's rates depend on another
+   voter as well, the one that it shares most information with given the label (a tree over the voters). All is estimated by expectation
+   maximisation from the start that texts with a toxic vote are toxic. A voter that doesn't fire abstains.
 3. Classifier. A logistic regression on the voters' firings and rates is trained on the label model's posterior labels and
    scores every text.
 
-``max_labelled`` (20,000) bounds the sample: the labelled rows with the smallest hashed ids. Scores read nothing but the text.
+``max_labelled`` (20,000) bounds the sample in rows: the labelled ids with the smallest hashes, a text each. Scores read nothing but the text.
 
-Defined results: a null or empty text fires no voter and gets the score of such a text; without toxic labels in the
-sample every score is 0; repeated rows get equal scores.
+Defined results: a null or empty text fires no toxic voter and gets the score of such a text; without toxic labels in the
+sample every score is 0; rows with a null id are scored, but not sampled; of several texts of an id the smallest is sampled; repeated rows
+get equal scores; an empty table gives no rows; other columns pass by, but for one named as the score.
 """
 
 from __future__ import annotations
@@ -57,8 +59,8 @@ class Model:
     voters: list[str]
     weights: np.ndarray  # of firings, then of rates
     bias: float
-    accuracies: np.ndarray  # firing rates under label 0 and 1
-    groups: np.ndarray  # clusters of correlated voters
+    accuracies: np.ndarray  # firing rates of all voters under label 0 and 1, those for clean texts last
+    parents: np.ndarray  # the voter that each one depends on, -1 for the root
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         return features(texts, {v: i for i, v in enumerate(self.voters)})
@@ -72,18 +74,19 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def features(texts: list[str | None], place: dict[str, int]) -> np.ndarray:
-    """Firings and log rates per thousand words of each voter."""
-    out = np.zeros((len(texts), 2 * len(place)))
+    """Firings and log rates per thousand words of each voter; a distinct word's marks are looked up once a batch."""
+    n = len(place)
+    out, known = np.zeros((len(texts), 2 * n)), {}
     for row, text in enumerate(texts):
-        words = Counter(WORD.findall((text or "").lower()))
-        total = sum(words.values())
-        for word, n in words.items():
-            for mark in (f"={word}", *(f"^{word[:k]}" for k in PREFIXES if len(word) >= k)):
-                at = place.get(mark)
-                if at is not None:
-                    out[row, at] += n
-        out[row, len(place) :] = np.log1p(1000 * out[row, : len(place)] / max(total, 1))
-    out[:, : len(place)] = out[:, : len(place)] > 0
+        words = WORD.findall((text or "").lower())
+        for word in words:
+            at = known.get(word)
+            if at is None:
+                at = known[word] = [place[m] for m in (f"={word}", *(f"^{word[:k]}" for k in PREFIXES if len(word) >= k)) if m in place]
+            for i in at:
+                out[row, i] += 1
+        out[row, n:] = np.log1p(1000 * out[row, :n] / max(len(words), 1))
+    out[:, :n] = out[:, :n] > 0
     return out
 
 
@@ -91,7 +94,7 @@ def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, max_labell
     """(text, y) of the sampled labelled rows. The labels are cut to the sample before they meet the texts."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("_key")).agg(F.max("toxic").cast("int").alias("y"))
     sample = known.orderBy(F.xxhash64("_key"), "_key").limit(max_labelled)  # at most max_labelled rows of two numbers
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(sample), "_key").select("text", "y")
+    return docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(sample), "_key").groupBy("_key").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
 
 
 def find_voters(sample: DataFrame, toxic: int, clean: int, max_voters: int = MAX_VOTERS, least_precision: float = 0.97) -> list[str]:
@@ -117,48 +120,63 @@ def find_voters(sample: DataFrame, toxic: int, clean: int, max_voters: int = MAX
     return [r["mark"] for r in rows if r["mark"] not in longer][:max_voters]  # a mark that a longer one says as well is left out
 
 
-def clusters(votes: np.ndarray, weight: np.ndarray, rates: np.ndarray, least: float) -> np.ndarray:
-    """The cluster of each voter: voters correlated at ``least`` or more under either label are one."""
-    same = np.eye(votes.shape[1], dtype=bool)
+def with_clean_voters(voters: list[str], x: np.ndarray) -> np.ndarray:
+    """Firings of the toxic voters and of those for clean texts. x: rows of ``features``."""
+    n = len(voters)
+    fires, rate = x[:, :n] > 0, np.expm1(x[:, n:]).max(1, initial=0)
+    lexicon = np.array([v[0] == "=" for v in voters], bool)
+    clean = [~fires[:, lexicon].any(1), ~fires[:, ~lexicon].any(1), rate < 5]
+    return np.hstack([fires, np.stack(clean, 1)]).astype(float)
+
+
+def tree(votes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The parent of each voter in the tree of most mutual information given the label (-1: the root)."""
+    gain = np.zeros((votes.shape[1], votes.shape[1]))
     for y in (0, 1):
-        centred = (votes - rates[y]) * np.sqrt(weight[y])[:, None]
-        covariance = centred.T @ centred
-        spread = np.sqrt(np.clip(np.diag(covariance), 1e-9, None))
-        often = weight[y] @ votes >= 5  # of rarer firings a correlation says nothing
-        same |= (covariance / spread[:, None] / spread[None, :] >= least) & often[:, None] & often[None, :]
-    names = np.arange(len(same))
-    while True:
-        new = np.array([names[row].min() for row in same])
-        if (new == names).all():
-            return names
-        names = new
-
-
-def label_model(votes: np.ndarray, start: np.ndarray, least: float = 0.5, anchor: float = 0.5, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior labels, firing rates under labels 0 and 1, and the cluster of each voter.
-
-    A voter that doesn't fire abstains; one more voter fires where all abstain. anchor: weight of the labelled rates, as a
-    prior, against those of the posterior labels.
+        total = weight[y].sum() + 1e-9
+        one = weight[y] @ votes / total
+        both = (votes * weight[y][:, None]).T @ votes / total
+        for a, b, joint in ((1, 1, both), (1, 0, one[:, None] - both), (0, 1, one[None, :] - both), (0, 0, 1 - one[:, None] - one[None, :] + both)):
+            apart = (one if a else 1 - one)[:, None] * (one if b else 1 - one)[None, :]
+            joint = np.clip(joint, 1e-12, None)
+            gain += total * joint * np.log(joint / np.clip(apart, 1e-12, None))
+    parent, best, link, left = np.full(len(gain), -1), gain[0].copy(), np.zeros(len(gain), int), np.ones(len(gain), bool)
+    left[0] = False
+    while left.any():
+        j = int(np.flatnonzero(left)[best[left].argmax()])
+        parent[j], left[j] = link[j], False
+        better = left & (gain[j] > best)
+        best[better], link[better] = gain[j][better], j
+    return parent
+
+
+def label_model(votes: np.ndarray, toxic: int, prior: float = 5.0, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior labels, firing rates under labels 0 and 1, and the tree of the voters, without any label.
+
+    votes: firings; the first ``toxic`` voters speak for label 1. prior: how many texts a voter's rate counts for where its parent
+    changes it.
     """
-    votes = np.hstack([votes, ~votes.any(1, keepdims=True)]).astype(float)
-    posterior = start.astype(float)
-    known = np.stack([1 - posterior, posterior])
-    for _ in range(rounds):
+    posterior = np.where(votes[:, :toxic].any(1), 0.9, 0.02)
+    for step in range(rounds):
         weight = np.stack([1 - posterior, posterior])
-        total = weight.sum(1, keepdims=True)
-        rates = np.clip(((weight + anchor * known) @ votes + 0.1) / (total + anchor * known.sum(1, keepdims=True) + 1), 1e-6, 1 - 1e-6)
-        cluster = clusters(votes, weight, rates, least)
-        says = votes * np.log(rates[1] / rates[0])
-        logit = np.full(len(votes), np.log(total[1, 0] + 1) - np.log(total[0, 0] + 1))
-        for c in np.unique(cluster):  # of correlated voters the strongest speaks
-            own = says[:, cluster == c]
-            logit += own[np.arange(len(own)), np.abs(own).argmax(1)]
+        if step % 5 == 0:
+            parent = tree(votes, weight)
+        of = votes[:, np.maximum(parent, 0)] * (parent >= 0)
+        logit = np.full(len(votes), np.log((weight[1].sum() + 1) / (weight[0].sum() + 1)))
+        rates = np.stack([(w @ votes + 0.1) / (w.sum() + 1) for w in weight])
+        for y, sign in ((0, -1), (1, 1)):
+            w = weight[y]
+            both, above = w @ (votes * of), w @ of
+            given_1 = (both + prior * rates[y]) / (above + prior)
+            given_0 = (w @ votes - both + prior * rates[y]) / (w.sum() - above + prior)
+            chance = np.clip(np.where(of > 0, given_1, given_0), 1e-6, 1 - 1e-6)
+            logit += sign * np.where(votes > 0, np.log(chance), np.log(1 - chance)).sum(1)
         new = sigmoid(logit)
-        done = np.abs(new - posterior).max() < 1e-4
+        done = np.abs(new - posterior).max() < 1e-4 and step % 5
         posterior = new
         if done:
             break
-    return posterior, rates[:, :-1], cluster[:-1]
+    return posterior, rates, parent
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 40) -> tuple[np.ndarray, float]:
@@ -183,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     times = {r["y"]: r["count"] for r in known}
     voters = find_voters(sample, times.get(1, 0), times.get(0, 0), max_voters) if times.get(1) else []
     if not voters:
-        return Model([], np.zeros(0), 0.0, np.zeros((2, 0)), np.zeros(0))
+        return Model([], np.zeros(0), 0.0, np.zeros((2, 0)), np.zeros(0, int))
     place = {v: i for i, v in enumerate(voters)}
 
     def fire(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,14 +209,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             x = features(list(batch["text"]), place).astype(np.float32)
             yield pd.DataFrame({"x": [r.tobytes() for r in x], "y": batch["y"].to_numpy()})
 
-    # texts that fire alike are one row: few distinct rows reach the driver, at most max_labelled
-    rows = sample.mapInPandas(fire, "x binary, y int").groupBy("x", "y").count().collect()
-    n = np.array([r["count"] for r in rows])
-    x = np.repeat(np.stack([np.frombuffer(r["x"], np.float32) for r in rows]).astype(np.float64), n, axis=0)
-    y = np.repeat(np.array([r["y"] for r in rows]), n)
-    posterior, rates, groups = label_model(x[:, : len(voters)], y)
+    # texts that fire alike are one row, at most max_labelled
+    rows = sample.mapInPandas(fire, "x binary, y int").groupBy("x").count().collect()
+    x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]).astype(np.float64)
+    x = np.repeat(x, [r["count"] for r in rows], axis=0)
+    posterior, rates, parents = label_model(with_clean_voters(voters, x), len(voters))
     weights, bias = logistic(x, posterior)
-    return Model(voters, weights, bias, rates, groups)
+    return Model(voters, weights, bias, rates, parents)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:

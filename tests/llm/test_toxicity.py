@@ -55,11 +55,21 @@ def test_nulls_empties_and_no_toxic_labels(spark, docs, corpus):
     assert toxicity.scored(docs.limit(0), model).count() == 0
 
 
-def test_label_model_merges_correlated_voters():
+def test_label_model_learns_rates_and_correlations_without_labels():
     rng = np.random.default_rng(0)
-    y = rng.random(4000) < 0.1
-    a, b = (y & (rng.random(4000) < 0.6)), (y & (rng.random(4000) < 0.6))
-    votes = np.stack([a, a, b], 1).astype(float)
-    posterior, rates, groups = toxicity.label_model(votes, y.astype(float))
-    assert groups[0] == groups[1] != groups[2] and np.allclose(rates[1, :1], 0.6, atol=0.06)
-    assert (posterior[a | b] > 0.9).all()
+    y = rng.random(6000) < 0.15
+    fire = lambda on, off: np.where(y, rng.random(6000) < on, rng.random(6000) < off)
+    a, b, c = fire(0.6, 0.002), fire(0.6, 0.002), fire(0.5, 0.03)
+    once = np.stack([a, b, c, ~(a | b | c)], 1).astype(float)
+    twice = np.hstack([a[:, None], once]).astype(float)  # one voter says what another says
+    first, rates, _ = toxicity.label_model(once, 3)
+    second, _, parents = toxicity.label_model(twice, 4)
+    assert parents[1] == 0 or parents[0] == 1  # the copy depends on its twin
+    assert np.abs(first - second).mean() < 0.01  # and isn't counted twice
+    assert np.allclose(rates[1, :3], [(y & v).sum() / y.sum() for v in (a, b, c)], atol=0.15) and (rates[0, :3] < 0.05).all()
+    assert (first[a | b] > 0.5).mean() > 0.97 and ((first > 0.5) == y)[a | b | ~c].mean() > 0.95
+
+
+def test_the_sample_is_bounded_in_rows(corpus):
+    docs, labels, _ = corpus
+    assert toxicity.labelled(docs.union(docs).union(docs), labels, "doc_id", "text", 100).count() == 100
