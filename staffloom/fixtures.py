@@ -108,16 +108,46 @@ def slot_interviewers(t: Tables) -> DataFrame:
     return t.raw("lineitem").selectExpr("l_orderkey + 1 AS slot_id", "l_suppkey + 1 AS interviewer_id").distinct()
 
 
+@view
+def slot_plans(t: Tables) -> DataFrame:
+    """Requests for new slots, some of which break a rule."""
+    rows = t.raw("lineitem").selectExpr("l_orderkey % 20 AS batch_id", "l_orderkey * 10 + l_linenumber AS request_no", "l_suppkey + 1 AS i", "l_shipdate + make_dt_interval(0, 9 + l_linenumber) AS s", "l_shipdate + make_dt_interval(0, 13 + l_linenumber) AS e")
+    rows = rows.groupBy("batch_id", "request_no").agg(F.sort_array(F.collect_set("i")).alias("ids"), F.min("s").alias("starts_at"), F.min("e").alias("e")).withColumn("interviewer_id", F.get("ids", F.lit(0)))
+    return rows.join(t.interviewers.select("interviewer_id", "position_id", "interview_round"), "interviewer_id", "left").selectExpr(
+        "batch_id", "request_no", "starts_at", "CASE WHEN request_no % 31 = 0 THEN starts_at ELSE e END AS ends_at",
+        "CASE WHEN request_no % 13 = 0 THEN request_no % 40 ELSE position_id END AS position_id",
+        "CASE WHEN request_no % 17 = 0 THEN '4차' ELSE coalesce(interview_round, '1차') END AS interview_round",
+        "CASE WHEN request_no % 23 = 0 THEN concat(ids, slice(ids, 1, 1)) WHEN request_no % 29 = 0 THEN concat(ids, array(0L)) WHEN request_no % 41 = 0 THEN concat(ids, array(1000000000L)) ELSE ids END AS interviewer_ids",
+        "CASE WHEN request_no % 19 = 0 THEN '   ' ELSE concat(' Room ', request_no % 12) END AS interview_location", "CAST(CASE WHEN request_no % 37 = 0 THEN 0 ELSE 1 + request_no % 4 END AS INT) AS capacity",
+    )
+
+
 @view
 def slot_requests(t: Tables) -> DataFrame:
-    rows = t.raw("lineitem").where("l_orderkey % 10 = 0").selectExpr("l_orderkey % 20 AS batch_id", "l_orderkey * 10 + l_linenumber AS request_no", "l_suppkey + 1 AS interviewer_id", "l_shipdate + make_dt_interval(0, 9 + l_linenumber) AS s", "l_shipdate + make_dt_interval(0, 13 + l_linenumber) AS e")
-    return rows.groupBy("batch_id", "request_no", "interviewer_id").agg(F.min("s").alias("starts_at"), F.min("e").alias("ends_at"))
+    return t.slot_plans.select("batch_id", "request_no", F.explode("interviewer_ids").alias("interviewer_id"), "starts_at", "ends_at").distinct()
+
+
+@view
+def slot_patches(t: Tables) -> DataFrame:
+    n = t.count("supplier")
+    return t.slots.selectExpr(
+        "slot_id", "CASE WHEN slot_id % 5 = 0 THEN slot_id % 28 + 1 END AS new_position_id", "CASE WHEN slot_id % 11 = 0 THEN '2차' END AS new_interview_round", "CAST(CASE WHEN slot_id % 3 = 0 THEN 9 END AS INT) AS new_capacity",
+        "CASE WHEN slot_id % 2 = 0 THEN interview_starts_at + INTERVAL 1 HOUR END AS new_starts_at", "CASE WHEN slot_id % 4 = 0 THEN interview_ends_at + INTERVAL 1 HOUR END AS new_ends_at",
+        "CASE WHEN slot_id % 6 = 0 THEN concat('Hall ', slot_id % 5) END AS new_interview_location", f"CASE WHEN slot_id % 7 = 0 THEN array(slot_id % {n} + 1) WHEN slot_id % 53 = 0 THEN array(1000000000L) END AS new_interviewer_ids",
+    )
 
 
 @view
 def admission_bookings(t: Tables) -> DataFrame:
+    """The first active booking of each candidate; two of three candidates have cancelled theirs."""
     w = Window.partitionBy("candidate_id").orderBy("booking_id")
-    return t.bookings.where("cancelled_at IS NULL AND candidate_id % 3 = 0").withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    first = t.bookings.where("cancelled_at IS NULL").withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    return first.withColumn("cancelled_at", F.expr("CASE WHEN candidate_id % 3 <> 0 THEN created_at + INTERVAL 1 DAY END"))
+
+
+@view
+def half_cancelled_bookings(t: Tables) -> DataFrame:
+    return t.bookings.withColumn("cancelled_at", F.expr("CASE WHEN candidate_id % 2 = 1 THEN created_at ELSE cancelled_at END"))
 
 
 @view
@@ -125,21 +155,30 @@ def booking_requests(t: Tables) -> DataFrame:
     n = t.count("customer")
     w = Window.partitionBy("position_id")
     pos = t.candidates.where("position_id IS NOT NULL").select("candidate_id", "position_id", F.row_number().over(w.orderBy("candidate_id")).alias("k"), F.count("*").over(w).alias("n"))
-    req = t.raw("lineitem").where("l_orderkey % 4 = 0").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request_no"), (F.col("l_orderkey") + 1).alias("slot_id")).agg(F.min("l_partkey").alias("pk"))
+    req = t.raw("lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request_no"), (F.col("l_orderkey") + 1).alias("slot_id")).agg(F.min("l_partkey").alias("pk"))
     sizes = pos.groupBy("position_id").agg(F.max("n").alias("n"))
     r = req.join(t.slots.select("slot_id", "position_id"), "slot_id").join(sizes, "position_id", "left").withColumn("k", F.expr("pk % n + 1"))
     r = r.join(pos.select("position_id", "k", F.col("candidate_id").alias("p")), ["position_id", "k"], "left")
     return r.selectExpr("request_no", "slot_id", f"CASE WHEN request_no % 10 = 1 THEN (pk * 3) % {n + 20} + 1 ELSE coalesce(p, pk % {n} + 1) END AS candidate_id")
 
 
+EXTRA = ["CASE WHEN candidate_id % 4 = 1 THEN '남' WHEN candidate_id % 4 = 2 THEN '여' END AS gender", "CASE WHEN candidate_id % 5 < 3 THEN concat('Street ', candidate_id % 90) END AS address"]
+
+
+@view
+def old_candidates(t: Tables) -> DataFrame:
+    """The candidates before the intake: two of three under another name."""
+    return t.candidates.selectExpr("candidate_id", "position_id", "concat(name, CASE WHEN candidate_id % 3 = 0 THEN '' ELSE ' (old)' END) AS name", "date_of_birth", "phone", "CASE WHEN candidate_id % 2 = 0 THEN email END AS email", "experience_level", "meets_preferred_criteria", "CASE WHEN candidate_id % 7 = 0 THEN '여' END AS gender", "'Old Road' AS address")
+
+
 @view
 def resume_intake(t: Tables) -> DataFrame:
-    return t.candidates.where("candidate_id % 2 = 0").selectExpr("candidate_id AS seq", "name", "phone", "date_of_birth", "CASE WHEN candidate_id % 4 = 0 THEN NULL ELSE email END AS email", "position_id", "CASE WHEN candidate_id % 5 = 0 THEN '경력' ELSE '신입' END AS experience_level", "meets_preferred_criteria")
+    return t.candidates.selectExpr(*EXTRA, "candidate_id AS seq", "name", "phone", "date_of_birth", "CASE WHEN candidate_id % 4 = 0 THEN NULL ELSE email END AS email", "position_id", "CASE WHEN candidate_id % 5 = 0 THEN '경력' ELSE '신입' END AS experience_level", "meets_preferred_criteria")
 
 
 @view
 def parse_files(t: Tables) -> DataFrame:
-    return t.raw("documents").selectExpr("doc_id % 10 AS batch_id", "doc_id AS file_id", "CASE WHEN n_chars < 200 THEN 'too short' END AS error")
+    return t.raw("documents").selectExpr("doc_id % 10 AS batch_id", "doc_id AS file_id", "CASE WHEN n_chars < 200 THEN 'too short' END AS error", "CASE WHEN doc_id % 10 IN (3, 7) THEN doc_id % 97 >= 60 ELSE false END AS after_cancel")
 
 
 @view
@@ -173,7 +212,7 @@ def questions(t: Tables) -> DataFrame:
     n = t.count("customer")
     return t.raw("conversations").selectExpr(
         "conv_id * 1000 + turn + 1 AS question_id", f"CASE WHEN turn % 3 = 0 THEN NULL ELSE conv_id % {n} + 1 END AS candidate_id", "CASE WHEN conv_id % 5 = 0 THEN NULL ELSE conv_id % 25 + 1 END AS position_id",
-        "concat(CASE WHEN turn % 2 = 0 THEN '[ ] ' ELSE '' END, substr(text, 1, 120)) AS question_text",
+        "concat(CASE WHEN turn % 2 = 0 THEN '[ ] ' ELSE '' END, text) AS question_text",
         "CASE role WHEN 'user' THEN 'position_based' WHEN 'assistant' THEN 'candidate_job_fit_based' ELSE 'candidate_resume_based' END AS question_type",
     )
 

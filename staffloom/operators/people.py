@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -63,11 +61,36 @@ def delete_positions(ids: DataFrame, positions: DataFrame, bridge: DataFrame, **
     return out | {"slot_interviewers": bridge.join(people, "interviewer_id", "left_anti")}
 
 
+def delete_interviewers(ids: DataFrame, interviewers: DataFrame, bridge: DataFrame, invites: DataFrame, questions: DataFrame, jobs: DataFrame) -> dict[str, DataFrame]:
+    """The tables after deleting interviewers: their assignments and invites go, questions and jobs lose their author."""
+    gone = ids.select("interviewer_id").distinct()
+    mark = gone.select(F.col("interviewer_id").alias("created_by_interviewer_id"), F.lit(True).alias("_gone"))
+    clear = lambda df: df.join(mark, "created_by_interviewer_id", "left").withColumn("created_by_interviewer_id", F.when(F.col("_gone").isNull(), F.col("created_by_interviewer_id"))).select(*df.columns)
+    out = {name: df.join(gone, "interviewer_id", "left_anti") for name, df in (("interviewers", interviewers), ("slot_interviewers", bridge), ("interviewer_invites", invites))}
+    return out | {"questions": clear(questions), "question_jobs": clear(jobs)}
+
+
+def delete_candidates(ids: DataFrame, questions: DataFrame, **owned: DataFrame) -> dict[str, DataFrame]:
+    """The tables after deleting candidates: what belongs to them goes (bookings, invitations, resumes, jobs), questions lose their candidate."""
+    gone = ids.select("candidate_id").distinct()
+    cleared = questions.join(gone.withColumn("_gone", F.lit(True)), "candidate_id", "left").withColumn("candidate_id", F.when(F.col("_gone").isNull(), F.col("candidate_id"))).select(*questions.columns)
+    return {name: df.join(gone, "candidate_id", "left_anti") for name, df in owned.items()} | {"questions": cleared}
+
+
 def candidates_for_interviewer(interviewers: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidates of each interviewer's position; an interviewer without one has none."""
     return interviewers.where("position_id IS NOT NULL").select("interviewer_id", "position_id").join(candidates.select("candidate_id", "position_id"), "position_id")
 
 
+def candidate_access(requests: DataFrame, interviewers: DataFrame, candidates: DataFrame) -> DataFrame:
+    """requests: interviewer_id, candidate_id. What an interviewer gets who asks for a candidate: ok, forbidden (no position, or another one) or not_found."""
+    staff = interviewers.select("interviewer_id", F.col("position_id").alias("_own"), F.lit(True).alias("_staff"))
+    people = candidates.select("candidate_id", F.col("position_id").alias("_theirs"), F.lit(True).alias("_person"))
+    rows = requests.join(staff, "interviewer_id", "left").join(people, "candidate_id", "left")
+    outcome = F.when(F.col("_staff").isNull() | F.col("_own").isNull(), "forbidden").when(F.col("_person").isNull(), "not_found").when(~F.col("_own").eqNullSafe(F.col("_theirs")), "forbidden").otherwise("ok")
+    return rows.select("interviewer_id", "candidate_id", outcome.alias("outcome"))
+
+
 def duplicates(df: DataFrame, name: Column, phone: Column, email: Column) -> DataFrame:
     """Adds is_duplicate: another row shares two of name, phone and e-mail. The three are normalized keys, empty for none.
 
@@ -130,14 +153,14 @@ def employment_months(careers: DataFrame, now: str) -> DataFrame:
     Ranges are merged by a running maximum of ends; months are never listed.
     """
     this = int(now[:4]) * 12 + int(now[5:7])
-    text = F.lower(x.squeezed(F.concat_ws(" ", "company_name", "employment_type", "position")))
-    company = x.clean(F.col("company_name")).isNotNull() & ~reduce(lambda a, b: a | b, [text.contains(k) for k in EXCLUDED_CAREERS])
-    going_on = lambda c: reduce(lambda a, b: a | b, [F.lower(x.squeezed(F.coalesce(x.clean(F.col(c)), F.lit("")))).contains(k) for k in PRESENT])
+    # each text is made once, in a projection of its own that Spark keeps apart, and met by one pattern
+    once = lambda c, of: F.get(F.transform(F.array(c), of), F.lit(0))
+    company = x.clean(F.col("company_name")).isNotNull() & ~once(F.concat_ws(" ", "company_name", "employment_type", "position"), lambda v: F.lower(x.squeezed(v)).rlike("|".join(EXCLUDED_CAREERS)))
+    going_on = lambda c: once(F.col(c), lambda v: x.clean(v).isNotNull() & F.lower(x.squeezed(v)).rlike("|".join(PRESENT)))
 
     def month(c: str) -> Column:
-        part = lambda i: F.regexp_extract(F.col(c), r"(\d{4})\D{0,4}(\d{1,2})", i)
-        m = part(2).try_cast("int")
-        return F.when(m.between(1, 12), part(1).try_cast("int") * 12 + m)
+        part = lambda v, i: F.regexp_extract(v, r"(\d{4})\D{0,4}(\d{1,2})", i).try_cast("int")
+        return once(F.col(c), lambda v: once(part(v, 2), lambda m: F.when(m.between(1, 12), part(v, 1) * 12 + m)))
 
     rows = careers.where(company).select("candidate_id", month("start_date").alias("a"), F.least(F.when(going_on("end_date"), this).otherwise(month("end_date")), F.lit(this)).alias("b")).where("a <= b")
     order = Window.partitionBy("candidate_id").orderBy("a", "b")
@@ -149,11 +172,11 @@ def employment_months(careers: DataFrame, now: str) -> DataFrame:
 def upsert_candidates(existing: DataFrame, intake: DataFrame) -> DataFrame:
     """Candidates after folding intake rows, in order of ``seq``, by (phone, name).
 
-    Of several candidates with the key the smallest id is updated. Name, phone and birth date are those last given; e-mail and
+    Of several candidates with the key the smallest id is updated. Name, phone, gender, address and birth date are those last given; e-mail and
     position are filled where empty, by the first given; experience level and criteria are the last. A row without phone or
     name is always a new candidate; new ids follow the greatest one in order of first appearance.
     """
-    fields = ["name", "phone", "date_of_birth", "email", "position_id", "experience_level", "meets_preferred_criteria"]
+    fields = ["name", "phone", "gender", "address", "date_of_birth", "email", "position_id", "experience_level", "meets_preferred_criteria"]
     own = existing.select("candidate_id", F.lit(-1).cast("long").alias("seq"), *fields)
     new = intake.select(F.lit(None).cast("long").alias("candidate_id"), F.col("seq").cast("long"), *fields)
     keyed = lambda df: df.withColumn("_p", x.clean(F.col("phone"))).withColumn("_m", x.clean(F.col("name")))
@@ -167,6 +190,7 @@ def upsert_candidates(existing: DataFrame, intake: DataFrame) -> DataFrame:
     folded = touched.unionByName(new.where(whole)).groupBy("_p", "_m").agg(
         F.max("candidate_id").alias("candidate_id"), F.min("seq").alias("_first"),
         last("name", F.col("name").isNotNull()), last("phone", F.col("phone").isNotNull()), last("date_of_birth", F.col("date_of_birth").isNotNull()),
+        last("gender", x.clean(F.col("gender")).isNotNull()), last("address", x.clean(F.col("address")).isNotNull()),
         first("email", x.clean(F.col("email")).isNotNull()), first("position_id", F.col("position_id").isNotNull()),
         F.max_by("experience_level", "seq").alias("experience_level"), F.max_by("meets_preferred_criteria", "seq").alias("meets_preferred_criteria"),
     )
@@ -191,10 +215,39 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> tuple[Da
     return df.orderBy(*order).offset((number - 1) * size).limit(size), total
 
 
-def sort_interviewers(interviewers: DataFrame, key: str, descending: bool = False) -> DataFrame:
+def interviewer_order(key: str, descending: bool = False) -> list[Column]:
     """By a key, rounds by their number; null and blank always last."""
     value = F.regexp_extract("interview_round", r"(\d+)", 1).try_cast("int") if key == "interview_round" else F.when(x.strip(F.col(key).cast("string")) != "", F.col(key))
-    return interviewers.orderBy(value.desc_nulls_last() if descending else value.asc_nulls_last(), "interviewer_id")
+    return [value.desc_nulls_last() if descending else value.asc_nulls_last(), F.col("interviewer_id").asc()]
+
+
+def sort_interviewers(interviewers: DataFrame, key: str, descending: bool = False) -> DataFrame:
+    return interviewers.orderBy(*interviewer_order(key, descending))
+
+
+def sort_applicants(candidates: DataFrame) -> DataFrame:
+    """Adds rank: those past the documents first, then the newest."""
+    passed = (F.coalesce("application_status", F.lit("")) != "서류").cast("int")
+    return candidates.withColumn("_passed", passed).orderBy(F.desc("_passed"), F.desc("candidate_id")).drop("_passed")
+
+
+def ranked(df: DataFrame, order: list[Column], per: Column, name: str = "rank") -> DataFrame:
+    """The place of each row in an order, from 1, within a part of the table."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(per).orderBy(*order)))
+
+
+def issue_totals(candidates: DataFrame, positions: DataFrame) -> DataFrame:
+    """One row: candidates with an issue, and with a duplicate."""
+    issues = applicant_issues(candidates, positions).agg(F.count_if("has_issue").alias("with_issue"), F.lit(1).alias("_k"))
+    twice = duplicate_candidates(candidates, "loose").agg(F.count_if("is_duplicate").alias("with_duplicate"), F.lit(1).alias("_k"))
+    return issues.join(twice, "_k").drop("_k")
+
+
+def table_rows(items: DataFrame) -> DataFrame:
+    """items: candidates with target_position, matched_position and raw_position. Adds position (the first of them given, else 미분류), criteria_met, email, is_duplicate."""
+    given = [F.nullif(c, F.lit("")) for c in ("target_position", "matched_position", "raw_position")]
+    rows = duplicate_candidates(items, "loose").withColumn("position", F.coalesce(*given, F.lit("미분류")))
+    return rows.withColumn("criteria_met", F.coalesce(F.size("meets_preferred_criteria"), F.lit(0)) > 0).withColumn("email", F.coalesce(F.nullif("email", F.lit("")), F.lit("—")))
 
 
 def page_summaries(candidates: DataFrame, positions: DataFrame, interviewers: DataFrame, now: str) -> DataFrame:
@@ -208,8 +261,14 @@ def page_summaries(candidates: DataFrame, positions: DataFrame, interviewers: Da
 
 
 def parse_batch_summary(files: DataFrame) -> DataFrame:
-    """Per batch: files, items, errors, status; a bad file doesn't fail its batch."""
-    return files.groupBy("batch_id").agg(F.count("*").alias("total"), F.count_if(F.col("error").isNull()).alias("items"), F.count_if(F.col("error").isNotNull()).alias("errors")).withColumn("status", F.lit("succeeded"))
+    """files: batch_id, error, after_cancel (a cancel request came before the file's turn). Per batch: files, processed ones, items, errors, status, percent.
+
+    A bad file doesn't fail its batch; a cancelled batch keeps what was done until then.
+    """
+    done = ~F.coalesce("after_cancel", F.lit(False))
+    sums = files.groupBy("batch_id").agg(F.count("*").alias("total"), F.count_if(done).alias("processed"), F.count_if(done & F.col("error").isNull()).alias("items"), F.count_if(done & F.col("error").isNotNull()).alias("errors"))
+    percent = F.least(F.lit(100), F.floor(F.col("processed") * 100 / F.col("total") + 0.5)).cast("int")
+    return sums.withColumn("status", F.when(F.col("processed") < F.col("total"), "cancelled").otherwise("succeeded")).withColumn("percent", percent)
 
 
 def resume_question_context(candidates: DataFrame, resumes: DataFrame, positions: DataFrame, requested_position: int | None = None) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from staffloom.functions.text import strip
+
 ROUNDS = ["1차", "2차", "3차"]
 
 
@@ -139,9 +141,10 @@ def assignment_check(slots: DataFrame, bridge: DataFrame, interviewers: DataFram
 
 
 def assignable_interviewers(slots: DataFrame, interviewers: DataFrame) -> DataFrame:
-    """For each slot how many interviewers have its position and round."""
+    """For each slot how many interviewers have its position and round (null equals null)."""
     people = interviewers.groupBy("position_id", "interview_round").agg(F.count("*").alias("n"))
-    rows = slots.select("slot_id", "position_id", "interview_round").join(people, ["position_id", "interview_round"], "left")
+    people = people.withColumnsRenamed({"position_id": "_p", "interview_round": "_r"})
+    rows = slots.select("slot_id", "position_id", "interview_round").join(people, F.col("position_id").eqNullSafe(F.col("_p")) & F.col("interview_round").eqNullSafe(F.col("_r")), "left")
     return rows.select("slot_id", F.coalesce("n", F.lit(0)).cast("long").alias("assignable"))
 
 
@@ -215,15 +218,35 @@ def upcoming_per_interviewer(slots: DataFrame, bridge: DataFrame, now: str, limi
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def validate_slot_requests(requests: DataFrame, slots: DataFrame, bridge: DataFrame, interviewers: DataFrame) -> DataFrame:
-    """The first rule that a request fails: unknown interviewer, time order, conflict with a slot, conflict in its batch; ``ok`` else."""
-    known = interviewers.select("interviewer_id", F.lit(True).alias("_known"))
-    held = interviewer_conflicts(requests, slots, bridge).select("request_no", "interviewer_id").distinct().withColumn("_held", F.lit(True))
-    both = batch_conflicts(requests)
-    clash = both.select(F.col("first_no").alias("request_no"), "interviewer_id").union(both.select(F.col("second_no").alias("request_no"), "interviewer_id")).distinct().withColumn("_clash", F.lit(True))
-    rows = requests.join(known, "interviewer_id", "left").join(held, ["request_no", "interviewer_id"], "left").join(clash, ["request_no", "interviewer_id"], "left")
-    reason = F.when(F.col("_known").isNull(), "unknown_interviewer").when(F.col("starts_at") >= F.col("ends_at"), "time_order").when(F.col("_held").isNotNull(), "slot_conflict").when(F.col("_clash").isNotNull(), "batch_conflict").otherwise("ok")
-    return rows.select("batch_id", "request_no", "interviewer_id", reason.alias("reason"), F.when(reason == "ok", F.col("starts_at") - F.expr("INTERVAL 24 HOUR")).alias("booking_deadline_at"))
+def fitness(each: DataFrame, interviewers: DataFrame, key: str) -> DataFrame:
+    """Per request whether an interviewer is unknown, or has another position or round. each: key, interviewer_id, position_id, interview_round."""
+    staff = interviewers.select("interviewer_id", F.col("position_id").alias("_p"), F.col("interview_round").alias("_r"), F.lit(True).alias("_known"))
+    rows = each.join(staff, "interviewer_id", "left")
+    fits = F.col("position_id").eqNullSafe(F.col("_p")) & F.col("interview_round").eqNullSafe(F.col("_r"))
+    return rows.groupBy(key).agg(F.bool_or(F.col("_known").isNull()).alias("_missing"), F.bool_or(F.col("_known").isNotNull() & ~fits).alias("_unfit"))
+
+
+def validate_slot_requests(requests: DataFrame, slots: DataFrame, bridge: DataFrame, interviewers: DataFrame, positions: DataFrame) -> DataFrame:
+    """The first rule that a request fails, ``ok`` else, with the deadline (24 hours before the start) and the stripped location.
+
+    requests: batch_id, request_no, position_id, interview_round, interviewer_ids, starts_at, ends_at, interview_location, capacity. Rules of
+    the request itself come first, then conflicts within its batch, then what the tables say.
+    """
+    each = requests.select("batch_id", "request_no", "position_id", "interview_round", F.explode(F.array_distinct("interviewer_ids")).alias("interviewer_id"), "starts_at", "ends_at")
+    times = each.select("batch_id", "request_no", "interviewer_id", "starts_at", "ends_at")
+    both = batch_conflicts(times)
+    clash = both.select(F.col("first_no").alias("request_no")).union(both.select("second_no")).distinct().withColumn("_clash", F.lit(True))
+    held = interviewer_conflicts(times, slots, bridge).select("request_no").distinct().withColumn("_held", F.lit(True))
+    known = positions.select("position_id", F.lit(True).alias("_position"))
+    rows = requests.join(fitness(each, interviewers, "request_no"), "request_no", "left").join(clash, "request_no", "left").join(held, "request_no", "left").join(known, "position_id", "left")
+    place, ids = strip(F.coalesce("interview_location", F.lit(""))), F.col("interviewer_ids")
+    reason = (
+        F.when(F.coalesce("position_id", F.lit(0)) <= 0, "bad_position").when(~F.coalesce(F.col("interview_round").isin(ROUNDS), F.lit(False)), "bad_round").when((F.array_min(ids) <= 0) | (F.size(F.array_distinct(ids)) < F.size(ids)), "bad_ids")
+        .when((place == "") | (F.char_length("interview_location") > 255), "bad_location").when(F.coalesce("capacity", F.lit(0)) < 1, "bad_capacity").when(F.col("starts_at") >= F.col("ends_at"), "time_order").when(F.col("_clash"), "batch_conflict")
+        .when(F.col("_position").isNull(), "unknown_position").when(F.col("_missing"), "unknown_interviewer").when(F.col("_unfit"), "not_eligible").when(F.col("_held"), "slot_conflict").otherwise("ok")
+    )
+    ok = reason == "ok"
+    return rows.select("batch_id", "request_no", reason.alias("reason"), F.when(ok, F.col("starts_at") - F.expr("INTERVAL 24 HOUR")).alias("booking_deadline_at"), F.when(ok, place).alias("interview_location"), F.when(ok, "open").alias("slot_status"))
 
 
 def validate_bookings(requests: DataFrame, candidates: DataFrame, slots: DataFrame, bookings: DataFrame, now: str) -> DataFrame:
@@ -279,14 +302,43 @@ def generate_slot_grid(days: DataFrame, start_hour: int, end_hour: int, step: in
     return rows.select("day", (F.col("_b") + F.expr(f"make_dt_interval(0, 0, i * {step})")).alias("starts_at"), (F.col("_b") + F.expr(f"make_dt_interval(0, 0, (i + 1) * {step})")).alias("ends_at"), F.lit(capacity).alias("capacity"), F.lit(total % step).alias("minutes_left"))
 
 
-def apply_slot_update(slots: DataFrame, patches: DataFrame, bookings: DataFrame) -> DataFrame:
-    """patches: slot_id and new_<column> for position_id, interview_round, capacity, starts_at, ends_at; null keeps the old.
+def apply_slot_update(slots: DataFrame, patches: DataFrame, bookings: DataFrame, bridge: DataFrame, interviewers: DataFrame, positions: DataFrame) -> DataFrame:
+    """Slots after patches, with the first rule that a patch fails (the slot stays as it is then) and the assigned interviewers.
 
-    A slot with active bookings is refused. The deadline follows the start by 24 hours.
+    patches: slot_id and new_<column> for position_id, interview_round, capacity, interview_location, starts_at, ends_at, interviewer_ids; null keeps the
+    old. New interviewers must exist and have the slot's position and round; those that stay are cut to the ones that have it if position or
+    round are patched. None may be busy in another slot at that time. The deadline follows the start by 24 hours.
     """
-    rows = slots.join(patches, "slot_id").join(booked(bookings), "slot_id", "left")
-    start, end = F.coalesce("new_starts_at", "interview_starts_at"), F.coalesce("new_ends_at", "interview_ends_at")
-    refused = F.coalesce(F.col("active_count"), F.lit(0)) > 0
-    reason = F.when(refused, "has_bookings").when(start >= end, "time_order").otherwise("ok")
-    keep = lambda new, old: F.when(reason == "ok", new).otherwise(F.col(old))
-    return rows.select("slot_id", reason.alias("reason"), keep(F.coalesce("new_position_id", "position_id"), "position_id").alias("position_id"), keep(F.coalesce("new_interview_round", "interview_round"), "interview_round").alias("interview_round"), keep(F.coalesce("new_capacity", "capacity"), "capacity").alias("capacity"), keep(start, "interview_starts_at").alias("interview_starts_at"), keep(end, "interview_ends_at").alias("interview_ends_at"), keep(start - F.expr("INTERVAL 24 HOUR"), "booking_deadline_at").alias("booking_deadline_at"))
+    now_ = bridge.groupBy("slot_id").agg(F.collect_set("interviewer_id").alias("_now"))
+    rows = slots.join(patches, "slot_id").join(booked(bookings), "slot_id", "left").join(now_, "slot_id", "left").withColumn("_now", F.coalesce("_now", F.array().cast("array<bigint>")))
+    news = {"_position": F.coalesce("new_position_id", "position_id"), "_round": F.coalesce("new_interview_round", "interview_round"), "_start": F.coalesce("new_starts_at", "interview_starts_at"), "_end": F.coalesce("new_ends_at", "interview_ends_at")}
+    rows = rows.withColumns(news).withColumn("_set", F.col("new_interviewer_ids").isNotNull()).withColumn("_moved", F.col("new_position_id").isNotNull() | F.col("new_interview_round").isNotNull())
+    asked = rows.select("slot_id", F.col("_position").alias("position_id"), F.col("_round").alias("interview_round"), "_start", "_end", "_set", "_moved", F.explode(F.coalesce("new_interviewer_ids", "_now")).alias("interviewer_id"))
+    staff = interviewers.select("interviewer_id", F.col("position_id").alias("_p"), F.col("interview_round").alias("_r"), F.lit(True).alias("_known"))
+    fits = F.col("position_id").eqNullSafe(F.col("_p")) & F.col("interview_round").eqNullSafe(F.col("_r"))
+    marked = asked.join(staff, "interviewer_id", "left").withColumn("_fits", F.col("_known").isNotNull() & fits)
+    state = marked.groupBy("slot_id").agg(F.bool_or(F.col("_known").isNull()).alias("_missing"), F.bool_or("_set").alias("_chosen"), F.bool_or(~F.col("_fits")).alias("_unfit"))
+    kept = marked.where(F.col("_set") | ~F.col("_moved") | F.col("_fits"))
+    people = kept.groupBy("slot_id").agg(F.sort_array(F.collect_set("interviewer_id")).alias("_people"))
+    times = kept.where("_start < _end").select("interviewer_id", F.col("_start").alias("starts_at"), F.col("_end").alias("ends_at"), F.col("slot_id").alias("own"))
+    held = interviewer_conflicts(times, slots, bridge, "own").select(F.col("own").alias("slot_id")).distinct().withColumn("_held", F.lit(True))
+    known = positions.select(F.col("position_id").alias("_position"), F.lit(True).alias("_exists"))
+    rows = rows.join(state, "slot_id", "left").join(people, "slot_id", "left").join(held, "slot_id", "left").join(known, "_position", "left")
+    reason = (
+        F.when(F.coalesce("active_count", F.lit(0)) > 0, "has_bookings").when(F.col("_position").isNull(), "no_position").when(F.col("_start") >= F.col("_end"), "time_order").when(F.col("_exists").isNull(), "unknown_position")
+        .when(F.col("_missing"), "unknown_interviewer").when(F.col("_chosen") & F.col("_unfit"), "not_eligible").when(F.col("_held"), "slot_conflict").otherwise("ok")
+    )
+    keep = lambda new, old: F.when(reason == "ok", new).otherwise(F.col(old)).alias(old)
+    capacity, place = F.coalesce(F.nullif("new_capacity", F.lit(0)), "capacity"), F.coalesce(F.nullif("new_interview_location", F.lit("")), "interview_location")
+    none = F.array().cast("array<bigint>")
+    return rows.select(
+        "slot_id", reason.alias("reason"), keep(F.col("_position"), "position_id"), keep(F.col("_round"), "interview_round"), keep(capacity, "capacity"), keep(place, "interview_location"), keep(F.col("_start"), "interview_starts_at"),
+        keep(F.col("_end"), "interview_ends_at"), keep(F.col("_start") - F.expr("INTERVAL 24 HOUR"), "booking_deadline_at"), F.coalesce(F.when(reason == "ok", F.col("_people")).otherwise(F.sort_array("_now")), none).alias("interviewer_ids"),
+    )
+
+
+def calendar_totals(slots: DataFrame, day: str) -> DataFrame:
+    """One row: slots in the week (from Sunday) and in the month of a day."""
+    date, start = F.to_date(F.lit(day)), F.to_date("interview_starts_at")
+    week = F.date_sub(date, F.dayofweek(date) - 1)
+    return slots.agg(F.count_if((start >= week) & (start < F.date_add(week, 7))).alias("n_week"), F.count_if(F.trunc(start, "MM") == F.trunc(date, "MM")).alias("n_month"))

@@ -47,6 +47,40 @@ def _(t: Tables) -> DataFrame:
     return row("candidates", "candidate_id").union(row("interviewers", "interviewer_id")).union(out["slot_interviewers"].select(F.lit("slot_interviewers"), "slot_id", F.lit(None).cast("int")))
 
 
+@query("d10_delete_interviewers", """SELECT 'interviewers' AS tab, interviewer_id AS id FROM interviewers WHERE interviewer_id % 4 <> 0 UNION ALL SELECT 'slot_interviewers', slot_id * 1000000 + interviewer_id FROM slot_interviewers WHERE interviewer_id % 4 <> 0 OR interviewer_id NOT IN (SELECT interviewer_id FROM interviewers)
+ UNION ALL SELECT 'interviewer_invites', invite_id FROM interviewer_invites WHERE interviewer_id % 4 <> 0 UNION ALL SELECT 'question_jobs', job_id FROM question_jobs WHERE created_by_interviewer_id IS NOT NULL AND (created_by_interviewer_id % 4 <> 0 OR created_by_interviewer_id NOT IN (SELECT interviewer_id FROM interviewers))""")
+def _(t: Tables) -> DataFrame:
+    questions = t.questions.withColumn("created_by_interviewer_id", F.col("question_id") % 5)
+    out = p.delete_interviewers(t.interviewers.where("interviewer_id % 4 = 0"), t.interviewers, t.slot_interviewers, t.interviewer_invites, questions, t.question_jobs)
+    row = lambda name, key: out[name].select(F.lit(name).alias("tab"), F.expr(key).alias("id"))
+    jobs = out["question_jobs"].where("created_by_interviewer_id IS NOT NULL").select(F.lit("question_jobs"), "job_id")
+    return row("interviewers", "interviewer_id").union(row("slot_interviewers", "slot_id * 1000000 + interviewer_id")).union(row("interviewer_invites", "invite_id")).union(jobs)
+
+
+@query("d10_delete_candidates", """SELECT 'bookings' AS tab, booking_id AS id FROM bookings WHERE candidate_id % 3 <> 0 UNION ALL SELECT 'invitations', invitation_id FROM booking_invitations WHERE candidate_id % 3 <> 0 OR candidate_id NOT IN (SELECT candidate_id FROM candidates)
+ UNION ALL SELECT 'resumes', resume_id FROM resumes WHERE candidate_id % 3 <> 0 UNION ALL SELECT 'questions', question_id FROM questions WHERE candidate_id % 3 <> 0""")
+def _(t: Tables) -> DataFrame:
+    out = p.delete_candidates(t.candidates.where("candidate_id % 3 = 0"), t.questions, bookings=t.bookings, invitations=t.booking_invitations, resumes=t.resumes)
+    row = lambda name, key: out[name].select(F.lit(name).alias("tab"), F.col(key).alias("id"))
+    return row("bookings", "booking_id").union(row("invitations", "invitation_id")).union(row("resumes", "resume_id")).union(out["questions"].where("candidate_id IS NOT NULL").select(F.lit("questions"), "question_id"))
+
+
+ACCESS = "SELECT interviewer_id, candidate_id * 2 AS candidate_id FROM slot_interviewers JOIN bookings USING (slot_id)"
+
+
+@query("d15_candidate_access", f"""WITH r AS ({ACCESS}) SELECT r.interviewer_id, r.candidate_id, CASE WHEN i.position_id IS NULL THEN 'forbidden' WHEN c.candidate_id IS NULL THEN 'not_found' WHEN i.position_id IS DISTINCT FROM c.position_id THEN 'forbidden' ELSE 'ok' END AS outcome
+ FROM r LEFT JOIN interviewers i ON i.interviewer_id = r.interviewer_id LEFT JOIN candidates c ON c.candidate_id = r.candidate_id""")
+def _(t: Tables) -> DataFrame:
+    asked = t.slot_interviewers.join(t.bookings, "slot_id").select("interviewer_id", (F.col("candidate_id") * 2).alias("candidate_id"))
+    return p.candidate_access(asked, t.interviewers, t.candidates)
+
+
+@query("f7_sort_applicants", "SELECT candidate_id, position_id, CAST(row_number() OVER (PARTITION BY position_id ORDER BY CASE WHEN application_status <> '서류' THEN 1 ELSE 0 END DESC, candidate_id DESC) AS INTEGER) AS rank FROM candidates")
+def _(t: Tables) -> DataFrame:
+    order = [(F.col("application_status") != "서류").desc(), F.desc("candidate_id")]
+    return p.ranked(p.sort_applicants(t.candidates), order, F.col("position_id")).select("candidate_id", "position_id", "rank")
+
+
 @query("d15_candidates_for_interviewer", "SELECT interviewer_id, candidate_id FROM interviewers JOIN candidates USING (position_id)")
 def _(t: Tables) -> DataFrame:
     return p.candidates_for_interviewer(t.interviewers, t.candidates).select("interviewer_id", "candidate_id")
@@ -88,6 +122,11 @@ def _(t: Tables) -> DataFrame:
     return p.applicant_issues(t.candidates, t.positions).select("candidate_id", joined("reasons"))
 
 
+@query("e9_issue_totals", f"""WITH i AS ({ISSUES}), d AS ({dup_sql(LOOSE.format("name"), LOOSE.format("phone"), LOOSE.format("email"))}) SELECT (SELECT count(*) FROM i WHERE reasons <> '') AS with_issue, (SELECT count(*) FROM d WHERE is_duplicate) AS with_duplicate""")
+def _(t: Tables) -> DataFrame:
+    return p.issue_totals(t.candidates, t.positions)
+
+
 @query("d22_applicant_filter", f"WITH dup AS ({IDENTITY_DUPS}) SELECT candidate_id FROM candidates JOIN dup USING (candidate_id) WHERE is_duplicate AND len(meets_preferred_criteria) > 0 AND (contains(lower(name), '0100') OR contains(replace(coalesce(phone, ''), '-', ''), '0100') OR contains(lower(coalesce(email, '')), '0100'))")
 def _(t: Tables) -> DataFrame:
     return p.applicant_filter(p.applicant_issues(p.duplicate_candidates(t.candidates), t.positions), keyword="010-0", criteria="HAS", duplicates_only=True).select("candidate_id")
@@ -128,32 +167,40 @@ def _(t: Tables) -> DataFrame:
     return p.page(t.interviewers.where(F.col("interviewer_name").ilike("%0%")), [F.desc("interviewer_id")], 2, 5)[1]
 
 
-@query("f7_sort_interviewers", "SELECT interviewer_id, interview_round FROM interviewers")
+@query("f7_sort_interviewers", "SELECT interviewer_id, position_id, CAST(row_number() OVER (PARTITION BY position_id ORDER BY CAST(substr(interview_round, 1, 1) AS INTEGER) DESC NULLS LAST, interviewer_id) AS INTEGER) AS rank FROM interviewers")
 def _(t: Tables) -> DataFrame:
-    return p.sort_interviewers(t.interviewers, "interview_round").select("interviewer_id", "interview_round")
+    return p.ranked(t.interviewers, p.interviewer_order("interview_round", descending=True), F.col("position_id")).select("interviewer_id", "position_id", "rank")
+
+
+FOLD = "gender, address, date_of_birth, email, position_id, experience_level, array_to_string(meets_preferred_criteria, '|') AS criteria"
+KEPT = "name, phone, gender, address, date_of_birth, email, position_id, experience_level, criteria"
 
 
-@query("f8_upsert_candidates", r"""WITH own AS (SELECT candidate_id, -1 AS seq, name, phone, date_of_birth, email, position_id, experience_level FROM candidates WHERE candidate_id % 3 = 0), mx AS (SELECT max(candidate_id) AS top FROM own),
+@query("f8_upsert_candidates", rf"""WITH own AS (SELECT candidate_id, -1 AS seq, name, phone, {FOLD} FROM old_candidates), mx AS (SELECT max(candidate_id) AS top FROM own), inc AS (SELECT CAST(NULL AS BIGINT) AS candidate_id, seq, name, phone, {FOLD} FROM resume_intake),
  tgt AS (SELECT phone, name, min(candidate_id) AS target FROM own WHERE phone IS NOT NULL AND name IS NOT NULL GROUP BY ALL),
  un AS (SELECT * FROM own WHERE candidate_id NOT IN (SELECT target FROM tgt)),
- al AS (SELECT o.* FROM own o JOIN tgt ON tgt.target = o.candidate_id UNION ALL SELECT NULL, seq, name, phone, date_of_birth, email, position_id, experience_level FROM resume_intake WHERE phone IS NOT NULL AND name IS NOT NULL),
- f AS (SELECT max(candidate_id) AS candidate_id, min(seq) AS first, name, phone, arg_max(date_of_birth, seq) AS date_of_birth, arg_min(email, seq) FILTER (email IS NOT NULL) AS email, arg_min(position_id, seq) FILTER (position_id IS NOT NULL) AS position_id, arg_max(experience_level, seq) AS experience_level FROM al GROUP BY phone, name),
- nw AS (SELECT first, name, phone, date_of_birth, email, position_id, experience_level FROM f WHERE candidate_id IS NULL UNION ALL SELECT seq, name, phone, date_of_birth, email, position_id, experience_level FROM resume_intake WHERE phone IS NULL OR name IS NULL),
- u AS (SELECT candidate_id, name, phone, date_of_birth, email, position_id, experience_level FROM un UNION ALL SELECT candidate_id, name, phone, date_of_birth, email, position_id, experience_level FROM f WHERE candidate_id IS NOT NULL
- UNION ALL SELECT row_number() OVER (ORDER BY first) + (SELECT top FROM mx), name, phone, date_of_birth, email, position_id, experience_level FROM nw)
- SELECT candidate_id, name, phone, strftime(date_of_birth, '%Y-%m-%d') AS born, email, position_id, experience_level FROM u""")
+ al AS (SELECT o.* FROM own o JOIN tgt ON tgt.target = o.candidate_id UNION ALL SELECT * FROM inc WHERE phone IS NOT NULL AND name IS NOT NULL),
+ f AS (SELECT max(candidate_id) AS candidate_id, min(seq) AS first, name, phone, arg_max(gender, seq) FILTER (gender IS NOT NULL) AS gender, arg_max(address, seq) FILTER (address IS NOT NULL) AS address, arg_max(date_of_birth, seq) AS date_of_birth, arg_min(email, seq) FILTER (email IS NOT NULL) AS email,
+  arg_min(position_id, seq) FILTER (position_id IS NOT NULL) AS position_id, arg_max(experience_level, seq) AS experience_level, arg_max(criteria, seq) AS criteria FROM al GROUP BY phone, name),
+ nw AS (SELECT first, {KEPT} FROM f WHERE candidate_id IS NULL UNION ALL SELECT seq, {KEPT} FROM inc WHERE phone IS NULL OR name IS NULL),
+ u AS (SELECT candidate_id, {KEPT} FROM un UNION ALL SELECT candidate_id, {KEPT} FROM f WHERE candidate_id IS NOT NULL UNION ALL SELECT row_number() OVER (ORDER BY first) + (SELECT top FROM mx), {KEPT} FROM nw)
+ SELECT candidate_id, name, phone, gender, address, strftime(date_of_birth, '%Y-%m-%d') AS born, email, position_id, experience_level, criteria FROM u""")
 def _(t: Tables) -> DataFrame:
-    out = p.upsert_candidates(t.candidates.where("candidate_id % 3 = 0"), t.resume_intake)
-    return out.select("candidate_id", "name", "phone", F.date_format("date_of_birth", "yyyy-MM-dd").alias("born"), "email", "position_id", "experience_level")
+    out = p.upsert_candidates(t.old_candidates, t.resume_intake)
+    return out.select("candidate_id", "name", "phone", "gender", "address", F.date_format("date_of_birth", "yyyy-MM-dd").alias("born"), "email", "position_id", "experience_level", joined("meets_preferred_criteria", "criteria"))
+
+
+ITEMS = "CASE WHEN candidate_id % 5 = 0 THEN 'Target ' || candidate_id % 9 WHEN candidate_id % 5 = 1 THEN '' END AS target_position, position_name AS matched_position, CASE WHEN candidate_id % 2 = 0 THEN 'Raw ' || candidate_id % 7 END AS raw_position"
 
 
-@query("f9_parse_table_rows", dup_sql(LOOSE.format("name"), LOOSE.format("phone"), LOOSE.format("email")).replace("SELECT candidate_id, candidate_id IN (SELECT candidate_id FROM hit) AS is_duplicate FROM candidates", "SELECT candidate_id, coalesce(position_name, '미분류') AS position, len(meets_preferred_criteria) > 0 AS criteria_met, candidate_id IN (SELECT candidate_id FROM hit) AS is_duplicate FROM candidates LEFT JOIN positions USING (position_id)"))
+@query("f9_parse_table_rows", dup_sql(LOOSE.format("name"), LOOSE.format("phone"), LOOSE.format("email")).replace("SELECT candidate_id, candidate_id IN (SELECT candidate_id FROM hit) AS is_duplicate FROM candidates", f"SELECT candidate_id, coalesce(nullif(target_position, ''), matched_position, raw_position, '미분류') AS position, len(meets_preferred_criteria) > 0 AS criteria_met, coalesce(email, '—') AS email, candidate_id IN (SELECT candidate_id FROM hit) AS is_duplicate FROM (SELECT *, {ITEMS} FROM candidates LEFT JOIN positions USING (position_id))"))
 def _(t: Tables) -> DataFrame:
-    rows = p.duplicate_candidates(t.candidates, "loose").join(t.positions.select("position_id", "position_name"), "position_id", "left")
-    return rows.select("candidate_id", F.coalesce("position_name", F.lit("미분류")).alias("position"), (F.size("meets_preferred_criteria") > 0).alias("criteria_met"), "is_duplicate")
+    items = t.candidates.join(t.positions.select("position_id", "position_name"), "position_id", "left").selectExpr("*", *ITEMS.replace(" || candidate_id", " || CAST(candidate_id").replace("% 9", "% 9 AS STRING)").replace("% 7", "% 7 AS STRING)").split(", "))
+    return p.table_rows(items).select("candidate_id", "position", "criteria_met", "email", "is_duplicate")
 
 
-@query("e13_parse_batch_summary", "SELECT batch_id, count(*) AS total, count(*) FILTER (error IS NULL) AS items, count(error) AS errors, 'succeeded' AS status FROM parse_files GROUP BY batch_id")
+@query("e13_parse_batch_summary", """SELECT batch_id, count(*) AS total, count(*) FILTER (NOT after_cancel) AS processed, count(*) FILTER (NOT after_cancel AND error IS NULL) AS items, count(error) FILTER (NOT after_cancel) AS errors, CASE WHEN bool_or(after_cancel) THEN 'cancelled' ELSE 'succeeded' END AS status,
+ CAST(least(100, floor(count(*) FILTER (NOT after_cancel) * 100 / count(*) + 0.5)) AS INTEGER) AS percent FROM parse_files GROUP BY batch_id""")
 def _(t: Tables) -> DataFrame:
     return p.parse_batch_summary(t.parse_files)
 

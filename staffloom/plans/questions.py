@@ -81,11 +81,11 @@ def _(t: Tables) -> DataFrame:
     return q.review_questions(t.question_reviews, rows)
 
 
-@query("h5_booking_invitation_status", f"""WITH has AS (SELECT DISTINCT candidate_id FROM bookings WHERE cancelled_at IS NULL AND candidate_id % 2 = 0) SELECT token_hash, invitation_id, CASE WHEN revoked_at IS NOT NULL THEN 'revoked' WHEN expires_at <= {NE} THEN 'expired' WHEN candidate_id IN (SELECT candidate_id FROM has) THEN 'booked' ELSE 'usable' END AS status FROM booking_invitations
+@query("h5_booking_invitation_status", f"""WITH has AS (SELECT DISTINCT candidate_id FROM half_cancelled_bookings WHERE cancelled_at IS NULL) SELECT token_hash, invitation_id, CASE WHEN revoked_at IS NOT NULL THEN 'revoked' WHEN expires_at <= {NE} THEN 'expired' WHEN candidate_id IN (SELECT candidate_id FROM has) THEN 'booked' ELSE 'usable' END AS status FROM booking_invitations
  UNION ALL SELECT sha256('x' || CAST(candidate_id AS VARCHAR)), NULL, 'unknown' FROM candidates""")
 def _(t: Tables) -> DataFrame:
     tokens = t.booking_invitations.select("token_hash").union(t.candidates.select(F.sha2(F.concat(F.lit("x"), F.col("candidate_id").cast("string")), 256)))
-    return q.booking_invitation_status(tokens, t.booking_invitations, t.bookings.where("candidate_id % 2 = 0"), NOW_EV)
+    return q.booking_invitation_status(tokens, t.booking_invitations, t.half_cancelled_bookings, NOW_EV)
 
 
 @query("h6_interviewer_invite_status", f"SELECT token_hash, invite_id, CASE WHEN revoked_at IS NOT NULL THEN 'revoked' WHEN expires_at < {NE} THEN 'expired' ELSE 'ok' END AS status FROM interviewer_invites UNION ALL SELECT sha256('x' || CAST(candidate_id AS VARCHAR)), NULL, 'unknown' FROM candidates")

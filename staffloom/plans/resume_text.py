@@ -82,11 +82,14 @@ def _(t: Tables) -> DataFrame:
     return r.vote_fields(t.provider_fields)
 
 
-@query("a4_cumulative_export", """WITH o AS (SELECT 0 AS p, candidate_id AS o, coalesce(name, '') AS name, coalesce(phone, '') AS contact, coalesce(email, '') AS email FROM candidates WHERE candidate_id % 3 = 0 UNION ALL SELECT 1, seq, coalesce(name, ''), coalesce(phone, ''), coalesce(email, '') FROM resume_intake)
- SELECT name, contact, email FROM (SELECT *, row_number() OVER (PARTITION BY name, contact ORDER BY p DESC, o DESC) AS n FROM o) WHERE n = 1""")
+EXPORTED = ", ".join(c if c in ("name", "contact", "email", "address") else f"'' AS {c}" for c in files.EXPORT_COLUMNS)
+
+
+@query("a4_cumulative_export", f"""WITH o AS (SELECT 0 AS p, candidate_id AS o, coalesce(name, '') AS name, coalesce(phone, '') AS contact, coalesce(email, '') AS email, coalesce(address, '') AS address FROM old_candidates UNION ALL SELECT 1, seq, coalesce(name, ''), coalesce(phone, ''), coalesce(email, ''), coalesce(address, '') FROM resume_intake)
+ SELECT {EXPORTED} FROM (SELECT *, row_number() OVER (PARTITION BY name, contact ORDER BY p DESC, o DESC) AS n FROM o) WHERE n = 1""")
 def _(t: Tables) -> DataFrame:
-    old = t.candidates.where("candidate_id % 3 = 0").selectExpr("candidate_id AS seq", "name", "phone AS contact", "email")
-    return files.cumulative_export(old, t.resume_intake.selectExpr("seq", "name", "phone AS contact", "email")).select("name", "contact", "email")
+    old = t.old_candidates.selectExpr("candidate_id AS seq", "name", "phone AS contact", "email", "address")
+    return files.cumulative_export(old, t.resume_intake.selectExpr("seq", "name", "phone AS contact", "email", "address"))
 
 
 @query("a5_parse_resume_json", "SELECT event_id, CAST(NULL AS VARCHAR) AS error FROM events")

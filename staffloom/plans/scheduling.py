@@ -92,7 +92,7 @@ def _(t: Tables) -> DataFrame:
     return s.assignment_check(t.slots, t.slot_interviewers, t.interviewers)
 
 
-@query("d7_assignable_interviewers", "SELECT slot_id, count(i.interviewer_id) AS assignable FROM slots s LEFT JOIN interviewers i ON s.position_id = i.position_id AND s.interview_round = i.interview_round GROUP BY slot_id")
+@query("d7_assignable_interviewers", "SELECT slot_id, count(i.interviewer_id) AS assignable FROM slots s LEFT JOIN interviewers i ON s.position_id IS NOT DISTINCT FROM i.position_id AND s.interview_round IS NOT DISTINCT FROM i.interview_round GROUP BY slot_id")
 def _(t: Tables) -> DataFrame:
     return s.assignable_interviewers(t.slots, t.interviewers)
 
@@ -152,16 +152,31 @@ def _(t: Tables) -> DataFrame:
     return s.upcoming_per_interviewer(t.slots, t.slot_interviewers, NOW).select("interviewer_id", "slot_id", "rank")
 
 
-@query("h1_validate_slot_requests", f"""WITH held AS (SELECT DISTINCT r.request_no, r.interviewer_id FROM slot_requests r JOIN slot_interviewers b USING (interviewer_id) JOIN slots s ON s.slot_id = b.slot_id WHERE s.interview_starts_at < r.ends_at AND s.interview_ends_at > r.starts_at),
- pairs AS ({CLASH}), clash AS (SELECT first_no AS request_no, interviewer_id FROM pairs UNION SELECT second_no, interviewer_id FROM pairs),
- v AS (SELECT r.*, CASE WHEN i.interviewer_id IS NULL THEN 'unknown_interviewer' WHEN starts_at >= ends_at THEN 'time_order' WHEN h.request_no IS NOT NULL THEN 'slot_conflict' WHEN c.request_no IS NOT NULL THEN 'batch_conflict' ELSE 'ok' END AS reason
-  FROM slot_requests r LEFT JOIN interviewers i ON i.interviewer_id = r.interviewer_id LEFT JOIN held h ON h.request_no = r.request_no AND h.interviewer_id = r.interviewer_id LEFT JOIN clash c ON c.request_no = r.request_no AND c.interviewer_id = r.interviewer_id)
- SELECT batch_id, request_no, interviewer_id, reason, CASE WHEN reason = 'ok' THEN strftime(starts_at - INTERVAL 24 HOUR, '{TS}') END AS booking_deadline_at FROM v""")
+@query("h1_validate_slot_requests", f"""WITH held AS (SELECT DISTINCT r.request_no FROM slot_requests r JOIN slot_interviewers b USING (interviewer_id) JOIN slots s ON s.slot_id = b.slot_id WHERE s.interview_starts_at < r.ends_at AND s.interview_ends_at > r.starts_at),
+ pairs AS ({CLASH}), clash AS (SELECT first_no AS request_no FROM pairs UNION SELECT second_no FROM pairs),
+ staff AS (SELECT r.request_no, bool_or(i.interviewer_id IS NULL) AS missing, bool_or(i.interviewer_id IS NOT NULL AND (i.position_id IS DISTINCT FROM q.position_id OR i.interview_round IS DISTINCT FROM q.interview_round)) AS unfit
+  FROM slot_requests r JOIN slot_plans q USING (request_no) LEFT JOIN interviewers i ON i.interviewer_id = r.interviewer_id GROUP BY 1),
+ v AS (SELECT q.*, CASE WHEN coalesce(q.position_id, 0) <= 0 THEN 'bad_position' WHEN interview_round NOT IN ('1차', '2차', '3차') THEN 'bad_round' WHEN list_min(interviewer_ids) <= 0 OR len(list_distinct(interviewer_ids)) < len(interviewer_ids) THEN 'bad_ids'
+  WHEN trim(interview_location) = '' THEN 'bad_location' WHEN capacity < 1 THEN 'bad_capacity' WHEN starts_at >= ends_at THEN 'time_order' WHEN q.request_no IN (SELECT request_no FROM clash) THEN 'batch_conflict' WHEN p.position_id IS NULL THEN 'unknown_position'
+  WHEN missing THEN 'unknown_interviewer' WHEN unfit THEN 'not_eligible' WHEN q.request_no IN (SELECT request_no FROM held) THEN 'slot_conflict' ELSE 'ok' END AS reason FROM slot_plans q LEFT JOIN staff USING (request_no) LEFT JOIN positions p ON p.position_id = q.position_id)
+ SELECT batch_id, request_no, reason, CASE WHEN reason = 'ok' THEN strftime(starts_at - INTERVAL 24 HOUR, '{TS}') END AS booking_deadline_at, CASE WHEN reason = 'ok' THEN trim(interview_location) END AS interview_location, CASE WHEN reason = 'ok' THEN 'open' END AS slot_status FROM v""")
 def _(t: Tables) -> DataFrame:
-    return s.validate_slot_requests(t.slot_requests, t.slots, t.slot_interviewers, t.interviewers).withColumn("booking_deadline_at", stamp("booking_deadline_at"))
+    return s.validate_slot_requests(t.slot_plans, t.slots, t.slot_interviewers, t.interviewers, t.positions).withColumn("booking_deadline_at", stamp("booking_deadline_at"))
 
 
-@query("h2_validate_bookings", f"""WITH booked AS (SELECT slot_id, count(*) AS n FROM admission_bookings GROUP BY slot_id), has AS (SELECT DISTINCT candidate_id FROM admission_bookings)
+@query("e7_calendar_totals", f"""SELECT count(*) FILTER (CAST(interview_starts_at AS DATE) >= w AND CAST(interview_starts_at AS DATE) < w + 7) AS n_week, count(*) FILTER (strftime(interview_starts_at, '%Y-%m') = '{NOW[:7]}') AS n_month
+ FROM slots, (SELECT DATE '{NOW[:10]}' - CAST(dayofweek(DATE '{NOW[:10]}') AS INT) AS w)""")
+def _(t: Tables) -> DataFrame:
+    return s.calendar_totals(t.slots, NOW[:10])
+
+
+@query("b18_kst_year_and_day", """SELECT slot_id, 'year' AS kind FROM slots WHERE year(interview_starts_at) = 1996 UNION ALL SELECT slot_id, 'day' FROM slots WHERE CAST(interview_starts_at AS DATE) = DATE '1996-02-29'""")
+def _(t: Tables) -> DataFrame:
+    of = lambda kind, *day: t.slots.where(s.kst_range("interview_starts_at", *day)).select("slot_id", F.lit(kind).alias("kind"))
+    return of("year", 1996).union(of("day", 1996, 2, 29))
+
+
+@query("h2_validate_bookings", f"""WITH booked AS (SELECT slot_id, count(*) AS n FROM admission_bookings WHERE cancelled_at IS NULL GROUP BY slot_id), has AS (SELECT DISTINCT candidate_id FROM admission_bookings WHERE cancelled_at IS NULL)
  SELECT request_no, r.slot_id, r.candidate_id, CASE WHEN c.candidate_id IS NULL THEN 'unknown_candidate' WHEN c.position_id IS NULL THEN 'no_position' WHEN h.candidate_id IS NOT NULL THEN 'already_booked' WHEN s.slot_id IS NULL THEN 'unknown_slot'
  WHEN c.position_id IS DISTINCT FROM s.position_id THEN 'other_position' WHEN slot_status <> 'open' THEN 'not_open' WHEN booking_deadline_at <= {N} THEN 'deadline' WHEN interview_starts_at <= {N} THEN 'started' WHEN capacity - coalesce(n, 0) <= 0 THEN 'full' ELSE 'ok' END AS reason
  FROM booking_requests r LEFT JOIN candidates c ON c.candidate_id = r.candidate_id LEFT JOIN has h ON h.candidate_id = r.candidate_id LEFT JOIN slots s ON s.slot_id = r.slot_id LEFT JOIN booked b ON b.slot_id = r.slot_id""")
@@ -188,9 +203,17 @@ def _(t: Tables) -> DataFrame:
     return s.generate_slot_grid(days, 9, 18, 50, 2).select(stamp("starts_at"), stamp("ends_at"), "minutes_left")
 
 
-@query("h12_apply_slot_update", f"""WITH {BOOKED}, p AS (SELECT s.*, n, CASE WHEN slot_id % 2 = 0 THEN interview_starts_at + INTERVAL 2 HOUR ELSE interview_starts_at END AS ns, CASE WHEN slot_id % 3 = 0 THEN 9 ELSE capacity END AS nc FROM slots s LEFT JOIN booked USING (slot_id)),
- v AS (SELECT *, CASE WHEN coalesce(n, 0) > 0 THEN 'has_bookings' WHEN ns >= interview_ends_at THEN 'time_order' ELSE 'ok' END AS reason FROM p)
- SELECT slot_id, reason, CASE WHEN reason = 'ok' THEN nc ELSE capacity END AS capacity, strftime(CASE WHEN reason = 'ok' THEN ns ELSE interview_starts_at END, '{TS}') AS starts_at, strftime(CASE WHEN reason = 'ok' THEN ns - INTERVAL 24 HOUR ELSE booking_deadline_at END, '{TS}') AS deadline FROM v""")
-def _(t: Tables) -> DataFrame:
-    patches = t.slots.selectExpr("slot_id", "CAST(NULL AS BIGINT) AS new_position_id", "CAST(NULL AS STRING) AS new_interview_round", "CASE WHEN slot_id % 3 = 0 THEN 9 END AS new_capacity", "CASE WHEN slot_id % 2 = 0 THEN interview_starts_at + INTERVAL 2 HOUR END AS new_starts_at", "CAST(NULL AS TIMESTAMP_NTZ) AS new_ends_at")
-    return s.apply_slot_update(t.slots, patches, t.bookings).select("slot_id", "reason", "capacity", stamp("interview_starts_at", "starts_at"), stamp("booking_deadline_at", "deadline"))
+@query("h12_apply_slot_update", f"""WITH {BOOKED}, cur AS (SELECT slot_id, list_sort(list(DISTINCT interviewer_id)) AS cur FROM slot_interviewers GROUP BY 1),
+ p AS (SELECT s.*, n, coalesce(cur, []) AS cur, q.* EXCLUDE (slot_id), coalesce(new_position_id, position_id) AS np, coalesce(new_interview_round, interview_round) AS nr, coalesce(new_starts_at, interview_starts_at) AS ns, coalesce(new_ends_at, interview_ends_at) AS ne FROM slots s JOIN slot_patches q USING (slot_id) LEFT JOIN booked USING (slot_id) LEFT JOIN cur USING (slot_id)),
+ a AS (SELECT slot_id, np, nr, ns, ne, new_interviewer_ids IS NOT NULL AS chosen, new_position_id IS NOT NULL OR new_interview_round IS NOT NULL AS moved, unnest(coalesce(new_interviewer_ids, cur)) AS interviewer_id FROM p),
+ m AS (SELECT a.*, i.interviewer_id IS NOT NULL AS known, i.interviewer_id IS NOT NULL AND i.position_id IS NOT DISTINCT FROM np AND i.interview_round IS NOT DISTINCT FROM nr AS fits FROM a LEFT JOIN interviewers i USING (interviewer_id)),
+ st AS (SELECT slot_id, bool_or(NOT known) AS missing, bool_or(chosen) AS chosen, bool_or(NOT fits) AS unfit FROM m GROUP BY 1), k AS (SELECT * FROM m WHERE chosen OR NOT moved OR fits), pe AS (SELECT slot_id, list_sort(list(DISTINCT interviewer_id)) AS people FROM k GROUP BY 1),
+ held AS (SELECT DISTINCT k.slot_id FROM k JOIN slot_interviewers b ON b.interviewer_id = k.interviewer_id AND b.slot_id <> k.slot_id JOIN slots s ON s.slot_id = b.slot_id WHERE s.interview_starts_at < k.ne AND s.interview_ends_at > k.ns),
+ v AS (SELECT p.*, people, CASE WHEN coalesce(n, 0) > 0 THEN 'has_bookings' WHEN np IS NULL THEN 'no_position' WHEN ns >= ne THEN 'time_order' WHEN np NOT IN (SELECT position_id FROM positions) THEN 'unknown_position' WHEN missing THEN 'unknown_interviewer' WHEN chosen AND unfit THEN 'not_eligible'
+  WHEN slot_id IN (SELECT slot_id FROM held) THEN 'slot_conflict' ELSE 'ok' END AS reason FROM p LEFT JOIN st USING (slot_id) LEFT JOIN pe USING (slot_id))
+ SELECT slot_id, reason, CASE WHEN reason = 'ok' THEN np ELSE position_id END AS position_id, CASE WHEN reason = 'ok' THEN nr ELSE interview_round END AS interview_round, CASE WHEN reason = 'ok' THEN coalesce(new_capacity, capacity) ELSE capacity END AS capacity,
+ CASE WHEN reason = 'ok' THEN coalesce(new_interview_location, interview_location) ELSE interview_location END AS interview_location, strftime(CASE WHEN reason = 'ok' THEN ns ELSE interview_starts_at END, '{TS}') AS starts_at, strftime(CASE WHEN reason = 'ok' THEN ne ELSE interview_ends_at END, '{TS}') AS ends_at,
+ strftime(CASE WHEN reason = 'ok' THEN ns - INTERVAL 24 HOUR ELSE booking_deadline_at END, '{TS}') AS deadline, array_to_string(CASE WHEN reason = 'ok' THEN coalesce(people, []) ELSE cur END, '|') AS interviewer_ids FROM v""")
+def _(t: Tables) -> DataFrame:
+    rows = s.apply_slot_update(t.slots, t.slot_patches, t.bookings, t.slot_interviewers, t.interviewers, t.positions)
+    return rows.select("slot_id", "reason", "position_id", "interview_round", "capacity", "interview_location", stamp("interview_starts_at", "starts_at"), stamp("interview_ends_at", "ends_at"), stamp("booking_deadline_at", "deadline"), F.array_join(F.col("interviewer_ids").cast("array<string>"), "|").alias("interviewer_ids"))

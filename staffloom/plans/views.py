@@ -63,17 +63,37 @@ FROM supplier
 """,
     "slot_interviewers": """
 SELECT DISTINCT l_orderkey + 1 AS slot_id, l_suppkey + 1 AS interviewer_id FROM lineitem
+""",
+    "slot_plans": """
+WITH g AS (
+  SELECT l_orderkey % 20 AS batch_id, l_orderkey * 10 + l_linenumber AS request_no, list_sort(list(DISTINCT l_suppkey + 1)) AS ids,
+    min(l_shipdate + to_hours(CAST(9 + l_linenumber AS INT))) AS starts_at, min(l_shipdate + to_hours(CAST(13 + l_linenumber AS INT))) AS e
+  FROM lineitem GROUP BY 1, 2)
+SELECT batch_id, request_no, starts_at, CASE WHEN request_no % 31 = 0 THEN starts_at ELSE e END AS ends_at,
+  CASE WHEN request_no % 13 = 0 THEN request_no % 40 ELSE position_id END AS position_id,
+  CASE WHEN request_no % 17 = 0 THEN '4차' ELSE coalesce(interview_round, '1차') END AS interview_round,
+  CASE WHEN request_no % 23 = 0 THEN list_append(ids, ids[1]) WHEN request_no % 29 = 0 THEN list_append(ids, 0) WHEN request_no % 41 = 0 THEN list_append(ids, 1000000000) ELSE ids END AS interviewer_ids,
+  CASE WHEN request_no % 19 = 0 THEN '   ' ELSE ' Room ' || CAST(request_no % 12 AS VARCHAR) END AS interview_location,
+  CASE WHEN request_no % 37 = 0 THEN 0 ELSE 1 + request_no % 4 END AS capacity
+FROM g LEFT JOIN interviewers ON interviewer_id = ids[1]
 """,
     "slot_requests": """
-SELECT l_orderkey % 20 AS batch_id, l_orderkey * 10 + l_linenumber AS request_no, l_suppkey + 1 AS interviewer_id,
-  min(l_shipdate + to_hours(CAST(9 + l_linenumber AS INT))) AS starts_at,
-  min(l_shipdate + to_hours(CAST(13 + l_linenumber AS INT))) AS ends_at
-FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1, 2, 3
+SELECT DISTINCT batch_id, request_no, unnest(interviewer_ids) AS interviewer_id, starts_at, ends_at FROM slot_plans
+""",
+    "slot_patches": """
+SELECT slot_id, CASE WHEN slot_id % 5 = 0 THEN slot_id % 28 + 1 END AS new_position_id, CASE WHEN slot_id % 11 = 0 THEN '2차' END AS new_interview_round,
+  CASE WHEN slot_id % 3 = 0 THEN 9 END AS new_capacity, CASE WHEN slot_id % 2 = 0 THEN interview_starts_at + INTERVAL 1 HOUR END AS new_starts_at,
+  CASE WHEN slot_id % 4 = 0 THEN interview_ends_at + INTERVAL 1 HOUR END AS new_ends_at, CASE WHEN slot_id % 6 = 0 THEN 'Hall ' || CAST(slot_id % 5 AS VARCHAR) END AS new_interview_location,
+  CASE WHEN slot_id % 7 = 0 THEN [slot_id % (SELECT count(*) FROM supplier) + 1] WHEN slot_id % 53 = 0 THEN [1000000000] END AS new_interviewer_ids
+FROM slots
 """,
     "admission_bookings": """
-SELECT booking_id, slot_id, candidate_id, created_at, cancelled_at FROM (
+SELECT booking_id, slot_id, candidate_id, created_at, CASE WHEN candidate_id % 3 <> 0 THEN created_at + INTERVAL 1 DAY END AS cancelled_at FROM (
   SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY booking_id) AS rn
-  FROM bookings WHERE cancelled_at IS NULL AND candidate_id % 3 = 0) AS t WHERE rn = 1
+  FROM bookings WHERE cancelled_at IS NULL) AS t WHERE rn = 1
+""",
+    "half_cancelled_bookings": """
+SELECT booking_id, slot_id, candidate_id, created_at, CASE WHEN candidate_id % 2 = 1 THEN created_at ELSE cancelled_at END AS cancelled_at FROM bookings
 """,
     "booking_requests": """
 WITH pos AS (
@@ -83,21 +103,27 @@ WITH pos AS (
   FROM candidates WHERE position_id IS NOT NULL),
 req AS (
   SELECT l_orderkey * 10 + l_linenumber AS request_no, l_orderkey + 1 AS slot_id, min(l_partkey) AS pk
-  FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY 1, 2)
+  FROM lineitem GROUP BY 1, 2)
 SELECT r.request_no, r.slot_id,
   CASE WHEN r.request_no % 10 = 1 THEN (r.pk * 3) % (SELECT count(*) + 20 FROM customer) + 1
        ELSE coalesce(p.candidate_id, r.pk % (SELECT count(*) FROM customer) + 1) END AS candidate_id
 FROM req r JOIN slots s ON s.slot_id = r.slot_id
 LEFT JOIN pos p ON p.position_id = s.position_id AND p.k = r.pk % p.n + 1
+""",
+    "old_candidates": """
+SELECT candidate_id, position_id, name || CASE WHEN candidate_id % 3 = 0 THEN '' ELSE ' (old)' END AS name, date_of_birth, phone, CASE WHEN candidate_id % 2 = 0 THEN email END AS email,
+  experience_level, meets_preferred_criteria, CASE WHEN candidate_id % 7 = 0 THEN '여' END AS gender, 'Old Road' AS address
+FROM candidates
 """,
     "resume_intake": """
-SELECT candidate_id AS seq, name, phone, date_of_birth,
+SELECT CASE WHEN candidate_id % 4 = 1 THEN '남' WHEN candidate_id % 4 = 2 THEN '여' END AS gender, CASE WHEN candidate_id % 5 < 3 THEN 'Street ' || CAST(candidate_id % 90 AS VARCHAR) END AS address, candidate_id AS seq, name, phone, date_of_birth,
   CASE WHEN candidate_id % 4 = 0 THEN NULL ELSE email END AS email, position_id,
   CASE WHEN candidate_id % 5 = 0 THEN '경력' ELSE '신입' END AS experience_level, meets_preferred_criteria
-FROM candidates WHERE candidate_id % 2 = 0
+FROM candidates
 """,
     "parse_files": """
-SELECT doc_id % 10 AS batch_id, doc_id AS file_id, CASE WHEN n_chars < 200 THEN 'too short' END AS error FROM documents
+SELECT doc_id % 10 AS batch_id, doc_id AS file_id, CASE WHEN n_chars < 200 THEN 'too short' END AS error,
+  CASE WHEN doc_id % 10 IN (3, 7) THEN doc_id % 97 >= 60 ELSE false END AS after_cancel FROM documents
 """,
     "question_reviews": """
 SELECT conv_id AS job_id, 60 + conv_id % 41 AS score, conv_id % 6 <> 0 AS passed,
@@ -126,7 +152,7 @@ FROM orders
 SELECT conv_id * 1000 + turn + 1 AS question_id,
   CASE WHEN turn % 3 = 0 THEN NULL ELSE conv_id % (SELECT count(*) FROM customer) + 1 END AS candidate_id,
   CASE WHEN conv_id % 5 = 0 THEN NULL ELSE conv_id % 25 + 1 END AS position_id,
-  CASE WHEN turn % 2 = 0 THEN '[ ] ' ELSE '' END || substr(text, 1, 120) AS question_text,
+  CASE WHEN turn % 2 = 0 THEN '[ ] ' ELSE '' END || text AS question_text,
   CASE role WHEN 'user' THEN 'position_based' WHEN 'assistant' THEN 'candidate_job_fit_based'
             ELSE 'candidate_resume_based' END AS question_type
 FROM conversations
