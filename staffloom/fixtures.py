@@ -260,3 +260,9 @@ def provider_fields(t: Tables) -> DataFrame:
 def email_templates(t: Tables) -> DataFrame:
     rows = [(1, "invite", "Interview for {candidate_name}", "Hello {candidate_name}, pick a time: {invitation_url}"), (2, "nolink", "Notice", "Hello {candidate_name}. You have {slot_count} slots."), (3, "broken", "Hi {unknown_key}", "Body {access_link}")]
     return t.spark.createDataFrame(rows, "id int, name string, subject string, body string")
+
+
+@view
+def written_templates(t: Tables) -> DataFrame:
+    """A mail template per order, with keys that depend on it."""
+    return t.raw("orders").selectExpr("o_orderkey AS id", "concat('Hi {k', o_orderkey % 7, '}') AS subject", "concat('{k', o_orderkey % 5, '} then {name_', o_orderkey % 3, '} and {bad key} {k', o_orderkey % 7, '}') AS body")

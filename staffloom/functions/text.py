@@ -140,6 +140,11 @@ def repair_broken_text(col: Column, kind: str) -> Column:
     return col
 
 
+def lower_tight(col: Column) -> Column:
+    """Lower case without white space; null is empty."""
+    return F.lower(squeezed(F.coalesce(col, F.lit(""))))
+
+
 def normalize_list(col: Column, fold: bool = False, max_len: int | None = None) -> Column:
     """Items stripped, blanks dropped, the first of equal ones kept; with ``fold`` equal but for case, and cut to max_len."""
     items = F.filter(F.transform(col, strip), lambda x: x != "")

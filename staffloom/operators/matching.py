@@ -6,6 +6,8 @@ of all resumes. More are refused, so that none is left out unseen; the best of p
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -79,57 +81,83 @@ def pair_score(term: Column, name: Column) -> Column:
     return F.when((name == term) & (name != ""), 100).when(name == "", 0).otherwise(F.greatest(inside, holds, kin))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A dimension for broadcast, after a check of its size."""
-    if df.limit(BROADCAST_POSITIONS + 1).count() > BROADCAST_POSITIONS:
-        raise ValueError(f"more than {BROADCAST_POSITIONS} rows: split them and take the best of the parts")
-    return F.broadcast(df)
+def in_blocks(df: DataFrame, key: str) -> list[DataFrame]:
+    """A dimension in parts small enough for broadcast, by a hash of its key; one part where the whole is."""
+    n = -(-df.count() // BROADCAST_POSITIONS) or 1
+    return [F.broadcast(df.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) if n > 1 else df) for i in range(n)]
+
+
+KINDS = ["exact", "contains", "contained", "synonym"]
+
+
+def pair_reason(term: Column, name: Column, score: Column) -> Column:
+    """Which rule gave a score; of rules that give the same the first."""
+    usable = ~term.isin(BROAD)
+    contains = usable & term.contains(name) & (F.char_length(name) >= 4) & (score == F.when(F.char_length(name) >= 8, 95).otherwise(90))
+    contained = usable & name.contains(term) & (F.char_length(term) >= 4) & (score == F.when(F.char_length(term) >= 8, 95).otherwise(85))
+    return F.when(score == 100, "exact").when(contains, "contains").when(contained, "contained").otherwise("synonym")
 
 
 def scores(evidence: DataFrame, positions: DataFrame) -> DataFrame:
     """evidence: id, index, text. The best score of each (id, position) over all evidence, capped by index: 0 none, 1 90, others 75.
 
-    Terms are scored per distinct term, so a term that many resumes share is matched once.
+    Terms are scored per distinct term, so a term that many resumes share is matched once. The reason is that of the greatest score, of
+    equal ones that of the first term.
     """
     terms = evidence.select("id", "index", F.explode(x.position_terms(F.col("text"))).alias("term"))
     names = positions.select("position_id", x.normalize_position(F.col("position_name")).alias("name"))
-    known = terms.select("term").distinct().join(small(names), pair_score(F.col("term"), F.col("name")) > 0).select("term", "position_id", pair_score(F.col("term"), F.col("name")).alias("score"))
+    asked, score = terms.select("term").distinct(), pair_score(F.col("term"), F.col("name"))
+    found = [asked.join(part, score > 0).select("term", "name", "position_id", score.alias("score")) for part in in_blocks(names, "position_id")]
+    known = reduce(DataFrame.union, found).select("term", "position_id", "score", pair_reason(F.col("term"), F.col("name"), F.col("score")).alias("reason"))
     cap = F.when(F.col("index") == 0, 100).when(F.col("index") == 1, 90).otherwise(75)
-    return terms.join(known, "term").groupBy("id", "position_id").agg(F.max(F.least("score", cap)).cast("int").alias("score"))
+    return terms.join(known, "term").withColumn("score", F.least("score", cap).cast("int")).groupBy("id", "position_id").agg(F.max("score").alias("score"), F.min(F.struct((-F.col("score")).alias("s"), "term", "reason")).alias("_why")).select("id", "position_id", "score", F.concat_ws(": ", "_why.reason", "_why.term").alias("reason"))
 
 
-def decide(scored: DataFrame, ids: DataFrame, least: int) -> DataFrame:
-    """Per id: status, matched_position_id, best score and the five best candidates."""
+def decide(scored: DataFrame, ids: DataFrame, least: int, positions: DataFrame) -> DataFrame:
+    """Per id: status, matched_position_id, the reason of the match, best score and the five best candidates."""
+    none_there = positions.isEmpty()
     order = Window.partitionBy("id").orderBy(F.desc("score"), "position_id")
     ranked = scored.withColumn("_n", F.row_number().over(order)).withColumn("_best", F.max("score").over(Window.partitionBy("id"))).withColumn("_tied", F.count(F.when(F.col("score") == F.col("_best"), 1)).over(Window.partitionBy("id")))
-    top = ranked.where("_n <= 5").groupBy("id").agg(F.max("_best").alias("score"), F.max("_tied").alias("tied"), F.min(F.when(F.col("_n") == 1, F.col("position_id"))).alias("first"), F.transform(F.sort_array(F.collect_list(F.struct("_n", "position_id"))), lambda c: c["position_id"]).alias("candidates"))
+    top = ranked.where("_n <= 5").groupBy("id").agg(F.max("_best").alias("score"), F.max("_tied").alias("tied"), F.min(F.when(F.col("_n") == 1, F.col("position_id"))).alias("first"), F.min(F.when(F.col("_n") == 1, F.col("reason"))).alias("why"), F.transform(F.sort_array(F.collect_list(F.struct("_n", "position_id"))), lambda c: c["position_id"]).alias("candidates"))
     rows = ids.join(top, "id", "left")
-    status = F.when(~F.col("provided"), "notProvided").when(F.col("score").isNull(), "noMatch").when(F.col("score") < least, "lowConfidence").when(F.col("tied") > 1, "ambiguous").otherwise("matched")
-    return rows.select("id", status.alias("status"), F.when(status == "matched", F.col("first")).alias("matched_position_id"), "score", F.coalesce("candidates", F.array().cast("array<bigint>")).alias("candidates"))
+    status = F.when(~F.col("provided"), "notProvided").when(F.lit(none_there), "noPositions").when(F.col("score").isNull(), "noMatch").when(F.col("score") < least, "lowConfidence").when(F.col("tied") > 1, "ambiguous").otherwise("matched")
+    return rows.select("id", status.alias("status"), F.when(status == "matched", F.col("first")).alias("matched_position_id"), F.when(status == "matched", F.col("why")).alias("reason"), "score", F.coalesce("candidates", F.array().cast("array<bigint>")).alias("candidates"))
 
 
 def match_positions(texts: DataFrame, positions: DataFrame) -> DataFrame:
     """texts: id, text. One text per id."""
     given = texts.select("id", x.clean(F.col("text")).alias("text"))
     ids = given.select("id", F.col("text").isNotNull().alias("provided"))
-    return decide(scores(given.where("text IS NOT NULL").withColumn("index", F.lit(0)), positions), ids, 0)
+    return decide(scores(given.where("text IS NOT NULL").withColumn("index", F.lit(0)), positions), ids, 0, positions)
 
 
 def match_resume_positions(evidence: DataFrame, positions: DataFrame) -> DataFrame:
     """evidence: id, fields (array of texts in order of weight). Blank fields go before places are counted."""
     given = evidence.select("id", F.filter(F.transform("fields", x.clean), lambda v: v.isNotNull()).alias("fields"))
     ids = given.select("id", (F.size("fields") > 0).alias("provided"))
-    return decide(scores(given.select("id", F.posexplode("fields").alias("index", "text")), positions), ids, 80)
+    return decide(scores(given.select("id", F.posexplode("fields").alias("index", "text")), positions), ids, 80, positions)
+
+
+def section_number(value: Column) -> Column:
+    """A section number without its chapter; null if blank."""
+    return F.nullif(x.strip(F.regexp_replace(x.strip(value), r"^3\.", "")), F.lit(""))
 
 
 def select_job_description(positions: DataFrame, sections: DataFrame) -> DataFrame:
-    """sections: number, title. By equal title, then containing or contained in it, then by number = id; the first section wins."""
-    names = positions.select("position_id", x.normalize_position(F.col("position_name")).alias("name"))
-    heads = small(sections.select("number", x.normalize_position(F.col("title")).alias("head")))
-    same, part, number = F.col("name") == F.col("head"), F.col("name").contains(F.col("head")) | F.col("head").contains(F.col("name")), F.col("number") == F.col("position_id")
-    rows = names.join(heads, same | part | number, "left").withColumn("_rule", F.when(same | part, 1).when(number, 2))
+    """positions: position_id, position_name and, where one is asked for, section_number. sections: number, title; sections in order of number.
+
+    An explicit number must be found. Else the first section whose title equals, contains or is contained in the name; else the one whose number is the id.
+    """
+    asked = section_number(F.col("section_number").cast("string")) if "section_number" in positions.columns else F.lit(None).cast("string")
+    names = positions.select("position_id", x.lower_tight(F.col("position_name")).alias("name"), asked.alias("asked"))
+    heads = sections.select("number", x.lower_tight(F.col("title")).alias("head"))
+    own = F.col("number").cast("string")
+    part = F.col("name").contains(F.col("head")) | F.col("head").contains(F.col("name"))
+    rule = F.when(F.col("asked").isNotNull(), F.when(own == F.col("asked"), 0)).when(part, 1).when(own == F.col("position_id").cast("string"), 2)
+    found = reduce(DataFrame.union, [names.join(block, rule.isNotNull()).select("position_id", "number", rule.alias("_rule")) for block in in_blocks(heads, "number")])
     order = Window.partitionBy("position_id").orderBy("_rule", "number")
-    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("position_id", F.col("number").alias("section"))
+    first = found.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("position_id", F.col("number").alias("section"))
+    return names.select("position_id").join(first, "position_id", "left").select("position_id", "section", F.when(F.col("section").isNull(), "no section").alias("error"))
 
 
 def criteria_input(resumes: DataFrame, matches: DataFrame, chosen: DataFrame, sections: DataFrame) -> DataFrame:

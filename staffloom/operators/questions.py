@@ -60,6 +60,13 @@ def normalize_questions(questions: DataFrame, limit: int | None = None) -> DataF
     return rows if limit is None else rows.where(F.col("rank") <= limit)
 
 
+def question_shortfall(questions: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted: job_id, n_wanted. Per job how many different questions there are, and the error of having fewer than asked for."""
+    have = normalize_questions(questions).groupBy("job_id").agg(F.count("*").alias("n_questions"))
+    rows = wanted.join(have, "job_id", "left").withColumn("n_questions", F.coalesce("n_questions", F.lit(0)).cast("long"))
+    return rows.withColumn("error", F.when(F.col("n_questions") < F.col("n_wanted"), "too few questions"))
+
+
 def active_job_per_owner(jobs: DataFrame) -> DataFrame:
     """The latest queued or running job of each owner; owner_kind is user or interviewer."""
     open_ = jobs.where(F.col("status").isin(UNFINISHED))
@@ -69,11 +76,27 @@ def active_job_per_owner(jobs: DataFrame) -> DataFrame:
     return users.union(staff).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def admit_jobs(requests: DataFrame, jobs: DataFrame) -> DataFrame:
-    """requests: request_no, owner_kind, owner_id. Refused while the owner has a job that isn't done, or an earlier request here."""
+def admit_jobs(requests: DataFrame, jobs: DataFrame, candidates: DataFrame, positions: DataFrame, interviewers: DataFrame) -> DataFrame:
+    """requests: request_no, owner_kind (user, interviewer), owner_id, candidate_id, position_id. The first rule that each fails, else ok with the job's position.
+
+    A user's job takes the candidate's own position, else the requested one, which must exist. An interviewer's job takes the interviewer's, which
+    must be the candidate's too. Refused while the owner has a job that isn't done; of several sound requests of an owner the first is admitted.
+    """
     busy = active_job_per_owner(jobs).select("owner_kind", "owner_id").withColumn("_busy", F.lit(True))
-    rows = requests.join(busy, ["owner_kind", "owner_id"], "left").withColumn("_n", F.row_number().over(Window.partitionBy("owner_kind", "owner_id").orderBy("request_no")))
-    return rows.withColumn("reason", F.when(F.col("_busy").isNotNull(), "already_running").when(F.col("_n") > 1, "second_in_batch").otherwise("ok")).drop("_busy", "_n")
+    staff = interviewers.select(F.lit("interviewer").alias("owner_kind"), F.col("interviewer_id").alias("owner_id"), F.col("position_id").alias("_staff"))
+    people = candidates.select("candidate_id", F.col("position_id").alias("_own"), F.lit(True).alias("_person"))
+    rows = requests.join(busy, ["owner_kind", "owner_id"], "left").join(staff, ["owner_kind", "owner_id"], "left").join(people, "candidate_id", "left")
+    rows = rows.withColumn("_position", F.when(F.col("owner_kind") == "user", F.coalesce("_own", "position_id")).otherwise(F.col("_staff")))
+    rows = rows.join(positions.select(F.col("position_id").alias("_position"), F.lit(True).alias("_exists")), "_position", "left")
+    inter = F.col("owner_kind") == "interviewer"
+    reason = (
+        F.when(inter & F.col("_staff").isNull(), "no_owner_position").when(F.col("_busy").isNotNull(), "already_running").when(F.col("_person").isNull(), "unknown_candidate")
+        .when(inter & ~F.col("_own").eqNullSafe(F.col("_staff")), "other_position").when(~inter & F.col("_exists").isNull(), "unknown_position")
+    )
+    rows = rows.withColumn("_reason", reason)
+    turn = F.row_number().over(Window.partitionBy("owner_kind", "owner_id", F.col("_reason").isNull()).orderBy("request_no"))
+    rows = rows.withColumn("reason", F.coalesce("_reason", F.when(turn > 1, "second_in_batch").otherwise("ok")))
+    return rows.select("request_no", "owner_kind", "owner_id", "reason", F.when(F.col("reason") == "ok", F.col("_position")).alias("position_id"))
 
 
 GENERATED = "array<struct<question_text:string,questionText:string,question_type:string,questionType:string>>"
@@ -133,6 +156,29 @@ def active_invites(invites: DataFrame, now: str) -> DataFrame:
     return usable.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
+def invite_requests(requests: DataFrame, invites: DataFrame, interviewers: DataFrame, now: str) -> DataFrame:
+    """requests: interviewer_id, expires_in_days. The invite that can still be shown is used again; else one is created, for an interviewer that exists."""
+    usable = active_invites(invites, now).select("interviewer_id", "invite_id", F.col("expires_at").alias("_until"))
+    rows = requests.join(usable, "interviewer_id", "left").join(interviewers.select("interviewer_id", F.lit(True).alias("_known")), "interviewer_id", "left")
+    outcome = F.when(F.col("invite_id").isNotNull(), "reused").when(F.col("_known").isNull(), "not_found").otherwise("created")
+    until = F.when(outcome == "reused", F.col("_until")).when(outcome == "created", at(now) + F.expr("make_dt_interval(expires_in_days)"))
+    return rows.select("interviewer_id", outcome.alias("outcome"), "invite_id", until.alias("expires_at"))
+
+
+def active_booking_invitations(invitations: DataFrame, now: str) -> DataFrame:
+    """Each candidate's invitations that are neither revoked nor expired, the newest first, as an array of ids."""
+    usable = invitations.where(F.col("revoked_at").isNull() & (F.col("expires_at") > at(now)))
+    newest = F.sort_array(F.collect_list(F.struct("created_at", "invitation_id")), asc=False)
+    return usable.groupBy("candidate_id").agg(F.transform(newest, lambda i: i["invitation_id"]).alias("invitation_ids"))
+
+
+def slot_summaries(slots: DataFrame) -> DataFrame:
+    """Per position the number of its slots and a line for each: time, round and place, by start; made once, not per recipient."""
+    line = F.concat_ws(" · ", F.concat(F.date_format("interview_starts_at", "yyyy-MM-dd HH:mm"), F.lit(" - "), F.date_format("interview_ends_at", "HH:mm")), "interview_round", F.coalesce("interview_location", F.lit("장소 미정")))
+    rows = slots.select("position_id", F.struct("interview_starts_at", "slot_id", line.alias("line")).alias("s"))
+    return rows.groupBy("position_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["line"]), "\n").alias("slot_summary"), F.count("*").cast("string").alias("slot_count"))
+
+
 def supersede_invitations(invitations: DataFrame) -> DataFrame:
     """An invitation neither revoked nor expired when its candidate gets the next one is revoked then."""
     after = F.lead("created_at").over(Window.partitionBy("candidate_id").orderBy("created_at", "invitation_id"))
@@ -140,15 +186,26 @@ def supersede_invitations(invitations: DataFrame) -> DataFrame:
 
 
 def mail_merge(recipients: DataFrame, template: DataFrame, extra: Column | None = None, slot_summary: str = "", slot_count: int = 0, label: str = "Interview booking link", names: tuple[str, ...] = ("invitation_url", "access_link")) -> DataFrame:
-    """recipients: candidate_id, name, email, invitation_url. template: one row, small by nature. The caller's variables win over the defaults.
+    """recipients: candidate_id, name, email, invitation_url and, where they differ, slot_summary and slot_count. template: one row, small by nature.
 
-    Returns subject, content and error; a recipient without e-mail is an error.
+    The caller's variables win over the defaults. Returns subject, content and error; a recipient without e-mail is an error.
     """
-    values = {"candidate_id": F.col("candidate_id").cast("string"), "candidate_name": F.col("name"), "recipient_name": F.col("name"), "candidate_email": F.col("email"), "invitation_url": F.col("invitation_url"), "access_link": F.col("invitation_url"), "slot_count": F.lit(str(slot_count)), "slot_summary": F.lit(slot_summary)}
+    own = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in recipients.columns else F.lit(default)
+    values = {"candidate_id": F.col("candidate_id").cast("string"), "candidate_name": F.col("name"), "recipient_name": F.col("name"), "candidate_email": F.col("email"), "invitation_url": F.col("invitation_url"), "access_link": F.col("invitation_url"), "slot_count": own("slot_count", str(slot_count)), "slot_summary": own("slot_summary", slot_summary)}
+    return merged(recipients, template, values, extra, "invitation_url", label, list(names), "candidate_id")
+
+
+def interviewer_mail_merge(recipients: DataFrame, template: DataFrame, extra: Column | None = None, label: str = "Interviewer access link") -> DataFrame:
+    """recipients: interviewer_id, email, invite_url, availability_url. As ``mail_merge``, with the variables of interviewers."""
+    values = {"interviewer_id": F.col("interviewer_id").cast("string"), "interviewer_email": F.col("email"), "invite_url": F.col("invite_url"), "access_link": F.col("invite_url"), "availability_url": F.col("availability_url"), "interviewer_response_url": F.col("availability_url")}
+    return merged(recipients, template, values, extra, "invite_url", label, ["invite_url", "access_link"], "interviewer_id")
+
+
+def merged(recipients: DataFrame, template: DataFrame, values: dict[str, Column], extra: Column | None, url: str, label: str, names: list[str], key: str) -> DataFrame:
     defaults = F.create_map(*[v for k, c in values.items() for v in (F.lit(k), c)])
     variables = defaults if extra is None else F.map_concat(F.map_filter(defaults, lambda k, _: ~F.map_contains_key(extra, k)), extra)
     rows = recipients.withColumn("_k", F.lit(1)).join(F.broadcast(template.limit(1).select(F.lit(1).alias("_k"), F.col("subject").alias("_s"), F.col("body").alias("_b"))), "_k")
     rows = rows.withColumn("_subject", x.render_template(F.col("_s"), variables)).withColumn("_content", x.render_template(F.col("_b"), variables))
     error = F.coalesce(F.when(F.coalesce(F.col("email"), F.lit("")) == "", F.lit("no e-mail")), F.col("_subject.error"), F.col("_content.error"))
-    content = x.include_link(F.col("_content.text"), F.col("invitation_url"), label, list(names))
-    return rows.select("candidate_id", "email", F.when(error.isNull(), F.col("_subject.text")).alias("subject"), F.when(error.isNull(), content).alias("content"), error.alias("error"))
+    content = x.include_link(F.col("_content.text"), F.col(url), label, names)
+    return rows.select(key, "email", F.when(error.isNull(), F.col("_subject.text")).alias("subject"), F.when(error.isNull(), content).alias("content"), error.alias("error"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,6 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 SEPARATORS = ["\n\n", "\n", " ", ""]
-MAX_QUERIES = 10_000
 
 
 def chunks(text: str, size: int = 500, overlap: int = 50, separators: list[str] = SEPARATORS) -> list[str]:
@@ -57,35 +57,36 @@ def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return docs.select(key, F.posexplode(split(F.col(text))).alias("chunk_no", "chunk"))
 
 
-def topk_similar(queries: DataFrame, corpus: DataFrame, k: int = 3, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def topk_similar(queries: DataFrame, corpus: DataFrame, k: int = 3, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding", per_block: int = 4_096) -> DataFrame:
     """The k nearest corpus vectors of each query: (query_id, key, rank, score); ties go to the smaller key.
 
-    Queries are few (at most MAX_QUERIES, checked) and go to every task; each batch of the corpus is one matrix product whose best k
-    per query are kept, so only k rows per query and batch are shuffled.
+    Queries of any number are worked through in blocks of about ``per_block`` by a hash of their key; a block goes to every task. Each batch of
+    the corpus is one matrix product whose best k per query are kept, so only k rows per query and batch are shuffled. Null vectors have no rank.
     """
-    rows = queries.select(key, vector).limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: split them")
-    ids = [r[0] for r in rows]
-    wanted = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
-    if metric == "cosine" and len(rows):
-        wanted = wanted / np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-300)
-    shared = queries.sparkSession.sparkContext.broadcast((ids, wanted))
+    asked = queries.select(key, vector).where(F.col(vector).isNotNull())
+    n = max(1, -(-asked.count() // per_block))
+    return reduce(DataFrame.union, [nearest(asked.where(F.pmod(F.xxhash64(key), F.lit(n)) == i), corpus, k, metric, key, vector) for i in range(n)])
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str, key: str, vector: str) -> DataFrame:
+    """``topk_similar`` of one block of queries."""
+    rows = queries.collect()  # a block
+    ids, wanted = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+    scaled = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) if metric == "cosine" and len(m) else m
+    shared = queries.sparkSession.sparkContext.broadcast((np.array(ids), scaled(wanted)))
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, q = shared.value
         for batch in batches:
             batch = batch[batch[vector].notna()]
-            if not len(batch) or not names:
+            if not len(batch) or not len(names):
                 continue
-            block, own = np.stack(batch[vector].to_numpy()).astype(np.float64), batch[key].to_numpy()
-            if metric == "cosine":
-                score = q @ (block / np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-300)).T
-            else:
-                score = -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (block**2).sum(1)[None, :] - 2 * q @ block.T, 0))
-            for name, line in zip(names, score, strict=True):
-                best = np.lexsort((own, -line))[:k]
-                yield pd.DataFrame({"query_id": name, key: own[best], "score": line[best]})
+            block, own = scaled(np.stack(batch[vector].to_numpy()).astype(np.float64)), batch[key].to_numpy()
+            by_key = np.argsort(own, kind="stable")
+            block, own = block[by_key], own[by_key]
+            score = q @ block.T if metric == "cosine" else -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (block**2).sum(1)[None, :] - 2 * q @ block.T, 0))
+            best = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ties by key
+            yield pd.DataFrame({"query_id": np.repeat(names, best.shape[1]), key: own[best.ravel()], "score": np.take_along_axis(score, best, 1).ravel()})
 
     found = corpus.select(key, vector).mapInPandas(near, f"query_id long, {key} long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)

@@ -21,15 +21,19 @@ PAIR = f"""CASE WHEN pname = '' THEN 0 WHEN pname = term THEN 100 ELSE greatest(
  CASE WHEN term NOT IN ({BROAD}) AND contains(pname, term) AND length(term) >= 4 THEN CASE WHEN length(term) >= 8 THEN 95 ELSE 85 END ELSE 0 END, CASE WHEN {KIN} THEN 80 ELSE 0 END) END"""
 
 
+WHY = f"""CASE WHEN s = 100 THEN 'exact' WHEN term NOT IN ({BROAD}) AND contains(term, pname) AND length(pname) >= 4 AND s = CASE WHEN length(pname) >= 8 THEN 95 ELSE 90 END THEN 'contains'
+ WHEN term NOT IN ({BROAD}) AND contains(pname, term) AND length(term) >= 4 AND s = CASE WHEN length(term) >= 8 THEN 95 ELSE 85 END THEN 'contained' ELSE 'synonym' END"""
+
+
 def decided(evidence: str, least: int) -> str:
     """SQL of a match over evidence(id, idx, text) and ids(id)."""
     return f"""WITH {evidence}, raw AS (SELECT id, idx, unnest(list_concat([text], string_split_regex(text, '{SEP}'))) AS t FROM ev), terms AS (SELECT DISTINCT id, idx, {NORM.format('t')} AS term FROM raw WHERE {NORM.format('t')} <> ''),
- names AS (SELECT position_id, {NORM.format('position_name')} AS pname FROM positions), known AS (SELECT term, position_id, {PAIR} AS s FROM (SELECT DISTINCT term FROM terms), names),
- sc AS (SELECT id, position_id, max(least(s, CASE idx WHEN 0 THEN 100 WHEN 1 THEN 90 ELSE 75 END)) AS s FROM terms JOIN known USING (term) WHERE s > 0 GROUP BY id, position_id),
+ names AS (SELECT position_id, {NORM.format('position_name')} AS pname FROM positions), known AS (SELECT term, position_id, s, {WHY} AS why FROM (SELECT term, pname, position_id, {PAIR} AS s FROM (SELECT DISTINCT term FROM terms), names)),
+ sc AS (SELECT id, position_id, max(c) AS s, arg_min(why || ': ' || term, (-c, term)) AS why FROM (SELECT *, least(s, CASE idx WHEN 0 THEN 100 WHEN 1 THEN 90 ELSE 75 END) AS c FROM terms JOIN known USING (term) WHERE s > 0) GROUP BY id, position_id),
  rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, position_id) AS n, max(s) OVER (PARTITION BY id) AS best FROM sc),
- top AS (SELECT id, max(best) AS score, count(*) FILTER (s = best) AS tied, min(position_id) FILTER (n = 1) AS first, string_agg(CAST(position_id AS VARCHAR), '|' ORDER BY n) FILTER (n <= 5) AS candidates FROM rk GROUP BY id),
- st AS (SELECT ids.id, score, first, candidates, CASE WHEN ids.id NOT IN (SELECT id FROM ev) THEN 'notProvided' WHEN score IS NULL THEN 'noMatch' WHEN score < {least} THEN 'lowConfidence' WHEN tied > 1 THEN 'ambiguous' ELSE 'matched' END AS status FROM ids LEFT JOIN top ON top.id = ids.id)
- SELECT id, status, CASE WHEN status = 'matched' THEN first END AS matched_position_id, CAST(score AS INTEGER) AS score, coalesce(candidates, '') AS candidates FROM st"""
+ top AS (SELECT id, max(best) AS score, count(*) FILTER (s = best) AS tied, min(position_id) FILTER (n = 1) AS first, min(why) FILTER (n = 1) AS why, string_agg(CAST(position_id AS VARCHAR), '|' ORDER BY n) FILTER (n <= 5) AS candidates FROM rk GROUP BY id),
+ st AS (SELECT ids.id, score, first, why, candidates, CASE WHEN ids.id NOT IN (SELECT id FROM ev) THEN 'notProvided' WHEN score IS NULL THEN 'noMatch' WHEN score < {least} THEN 'lowConfidence' WHEN tied > 1 THEN 'ambiguous' ELSE 'matched' END AS status FROM ids LEFT JOIN top ON top.id = ids.id)
+ SELECT id, status, CASE WHEN status = 'matched' THEN first END AS matched_position_id, CASE WHEN status = 'matched' THEN why END AS reason, CAST(score AS INTEGER) AS score, coalesce(candidates, '') AS candidates FROM st"""
 
 
 def shown(df: DataFrame) -> DataFrame:
@@ -71,15 +75,26 @@ def _(t: Tables) -> DataFrame:
     return m.category_groups(t.positions).select("category", F.array_join(F.col("position_ids").cast("array<string>"), "|").alias("position_ids"))
 
 
-SECTIONS = [("1", "백엔드 개발"), ("2", "Data"), ("3", "영업"), ("4", "Product"), ("20", "x-none"), ("7", "생산 관리 및 품질")]
+TIGHT = r"regexp_replace(lower(coalesce({}, '')), '\s+', '', 'g')"
+
+
+@query("d19_select_job_description", f"""WITH s AS (SELECT CAST(s_suppkey + 1 AS INTEGER) AS num, {TIGHT.format("CASE WHEN s_suppkey % 3 = 0 THEN position_name || ' 담당' WHEN s_suppkey % 3 = 1 THEN s_name ELSE position_name END")} AS head FROM supplier JOIN positions ON position_id = s_nationkey + 1),
+ p AS (SELECT p_partkey AS position_id, {TIGHT.format("CASE WHEN p_partkey % 3 = 0 THEN position_name ELSE p_name END")} AS pname, CASE WHEN p_partkey % 5 = 0 THEN CAST(p_partkey % 37 AS VARCHAR) END AS asked FROM part JOIN positions ON position_id = p_partkey % 24 + 1),
+ r AS (SELECT p.position_id, num, CASE WHEN asked IS NOT NULL THEN CASE WHEN CAST(num AS VARCHAR) = asked THEN 0 END WHEN contains(pname, head) OR contains(head, pname) THEN 1 WHEN num = p.position_id THEN 2 END AS rule FROM p, s),
+ f AS (SELECT position_id, num FROM (SELECT *, row_number() OVER (PARTITION BY position_id ORDER BY rule, num) AS n FROM r WHERE rule IS NOT NULL) WHERE n = 1)
+ SELECT p.position_id, num AS section, CASE WHEN num IS NULL THEN 'no section' END AS error FROM p LEFT JOIN f USING (position_id)""")
+def _(t: Tables) -> DataFrame:
+    sections = t.raw("supplier").join(t.positions, F.expr("position_id = s_nationkey + 1")).selectExpr("CAST(s_suppkey + 1 AS INT) AS number", "CASE WHEN s_suppkey % 3 = 0 THEN concat(position_name, ' 담당') WHEN s_suppkey % 3 = 1 THEN s_name ELSE position_name END AS title")
+    wanted = t.raw("part").join(t.positions, F.expr("position_id = p_partkey % 24 + 1")).selectExpr("p_partkey AS position_id", "CASE WHEN p_partkey % 3 = 0 THEN position_name ELSE p_name END AS position_name", "CASE WHEN p_partkey % 5 = 0 THEN concat(CASE WHEN p_partkey % 2 = 0 THEN '3.' ELSE ' ' END, p_partkey % 37) END AS section_number")
+    return m.select_job_description(wanted, sections)
 
 
-@query("d19_select_job_description", f"""WITH s AS (SELECT row_number() OVER () AS ord, col0 AS num, {NORM.format('col1')} AS head FROM (VALUES {', '.join(f"('{n}', '{h}')" for n, h in SECTIONS)})), p AS (SELECT position_id, {NORM.format('position_name')} AS pname FROM positions),
- r AS (SELECT position_id, num, ord, CASE WHEN contains(pname, head) OR contains(head, pname) THEN 1 ELSE 2 END AS rule FROM p LEFT JOIN s ON contains(pname, head) OR contains(head, pname) OR num = CAST(position_id AS VARCHAR))
- SELECT position_id, CAST(num AS INTEGER) AS section FROM (SELECT *, row_number() OVER (PARTITION BY position_id ORDER BY rule, CAST(num AS INTEGER)) AS n FROM r) WHERE n = 1""")
+@query("d24_criteria_input", """WITH c AS (SELECT candidate_id AS id, CASE WHEN candidate_id % 17 <> 0 THEN position_id END AS pos, name FROM candidates) SELECT id, CASE WHEN pos % 2 = 0 THEN '{"careers": [{"company_name": "C' || id || '"}]}' END AS resume, CASE WHEN pos % 2 = 0 THEN 'About ' || pos END AS description FROM c""")
 def _(t: Tables) -> DataFrame:
-    sections = t.spark.createDataFrame([(int(n), h) for n, h in SECTIONS], "number int, title string")
-    return m.select_job_description(t.positions, sections)
+    resumes = t.candidates.select(F.col("candidate_id").alias("id"), F.to_json(F.struct(F.col("name"), F.col("phone"), F.array(F.struct(F.concat(F.lit("C"), F.col("candidate_id").cast("string")).alias("company_name"), F.col("email"))).alias("careers"))).alias("parsed"))
+    matches = t.candidates.selectExpr("candidate_id AS id", "CASE WHEN candidate_id % 17 <> 0 THEN position_id END AS matched_position_id")
+    chosen = t.positions.selectExpr("position_id", "CASE WHEN position_id % 2 = 0 THEN position_id END AS section")
+    return m.criteria_input(resumes, matches, chosen, t.positions.selectExpr("position_id AS number", "concat('About ', position_id) AS body"))
 
 
 @query("c18_chunk_documents")
@@ -87,20 +102,20 @@ def _(t: Tables) -> DataFrame:
     return vectors.chunk_documents(t.raw("documents"))
 
 
-NEAR = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id < 10), s AS (SELECT q.vec_id AS query_id, v.vec_id, {} AS score FROM q, v), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
- SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3"""
+NEAR = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 50 = 0), s AS (SELECT q.vec_id AS query_id, v.vec_id, {} AS score FROM q, v), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+ SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 4) AS score FROM r WHERE rank <= 3"""
 
 
 @query("c19_topk_similar", NEAR.format("list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e)) / sqrt(list_dot_product(v.e, v.e))"))
 def _(t: Tables) -> DataFrame:
     e = t.raw("embeddings")
-    return vectors.topk_similar(e.where("vec_id < 10"), e).drop("score")
+    return vectors.topk_similar(e.where("vec_id % 50 = 0"), e).withColumn("score", F.round("score", 4))
 
 
-@query("c19_topk_l2", NEAR.format("-list_distance(q.e, v.e)"))
+@query("c19_topk_l2", NEAR.format("0 - list_distance(q.e, v.e)"))
 def _(t: Tables) -> DataFrame:
     e = t.raw("embeddings")
-    return vectors.topk_similar(e.where("vec_id < 10"), e, metric="l2").drop("score")
+    return vectors.topk_similar(e.where("vec_id % 50 = 0"), e, metric="l2").withColumn("score", F.round("score", 4))
 
 
 @query("h8_audit_constraints", """SELECT 'interview_bookings' AS table_name, 'one_active_per_candidate' AS rule, CAST(candidate_id AS VARCHAR) AS key FROM bookings WHERE cancelled_at IS NULL GROUP BY candidate_id HAVING count(*) > 1

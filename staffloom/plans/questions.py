@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staffloom.fixtures import NOW_EV, Tables
+from staffloom.fixtures import NOW, NOW_EV, Tables
+from staffloom.functions import text as x
 from staffloom.operators import questions as q
+from staffloom.operators.scheduling import available_slots
 from staffloom.plans.catalog import query, stamp
 
 NE = f"TIMESTAMP '{NOW_EV}'"
@@ -58,11 +60,36 @@ def _(t: Tables) -> DataFrame:
     return q.active_job_per_owner(t.question_jobs).select("owner_kind", "owner_id", "job_id")
 
 
-@query("h11_admit_jobs", f"""WITH {OPEN}, req AS (SELECT candidate_id AS request_no, 'user' AS owner_kind, candidate_id % 700 + 1 AS owner_id FROM candidates)
- SELECT request_no, CASE WHEN EXISTS (SELECT 1 FROM open o WHERE o.owner_kind = r.owner_kind AND o.owner_id = r.owner_id) THEN 'already_running' WHEN row_number() OVER (PARTITION BY owner_kind, owner_id ORDER BY request_no) > 1 THEN 'second_in_batch' ELSE 'ok' END AS reason FROM req r""")
+JOB_REQUESTS = "SELECT candidate_id AS request_no, CASE WHEN candidate_id % 3 = 0 THEN 'interviewer' ELSE 'user' END AS owner_kind, CASE WHEN candidate_id % 3 = 0 THEN candidate_id % 130 + 1 ELSE candidate_id % 7000 + 1 END AS owner_id, candidate_id + CASE WHEN candidate_id % 11 = 0 THEN 1000000000 ELSE 0 END AS candidate_id, CASE WHEN candidate_id % 4 = 0 THEN candidate_id % 40 END AS position_id FROM candidates"
+
+
+@query("h11_admit_jobs", f"""WITH {OPEN}, req AS ({JOB_REQUESTS}),
+ v AS (SELECT r.*, i.position_id AS staff, c.candidate_id AS person, c.position_id AS own, CASE WHEN owner_kind = 'user' THEN coalesce(c.position_id, r.position_id) ELSE i.position_id END AS pos FROM req r LEFT JOIN interviewers i ON owner_kind = 'interviewer' AND i.interviewer_id = owner_id LEFT JOIN candidates c ON c.candidate_id = r.candidate_id),
+ s AS (SELECT v.*, CASE WHEN owner_kind = 'interviewer' AND staff IS NULL THEN 'no_owner_position' WHEN EXISTS (SELECT 1 FROM open o WHERE o.owner_kind = v.owner_kind AND o.owner_id = v.owner_id) THEN 'already_running' WHEN person IS NULL THEN 'unknown_candidate'
+  WHEN owner_kind = 'interviewer' AND own IS DISTINCT FROM staff THEN 'other_position' WHEN owner_kind = 'user' AND (pos IS NULL OR pos NOT IN (SELECT position_id FROM positions)) THEN 'unknown_position' END AS bad FROM v)
+ SELECT request_no, owner_kind, owner_id, coalesce(bad, CASE WHEN n > 1 THEN 'second_in_batch' ELSE 'ok' END) AS reason, CASE WHEN bad IS NULL AND n = 1 THEN pos END AS position_id FROM (SELECT *, row_number() OVER (PARTITION BY owner_kind, owner_id, bad IS NULL ORDER BY request_no) AS n FROM s)""")
+def _(t: Tables) -> DataFrame:
+    requests = t.candidates.selectExpr("candidate_id AS request_no", "CASE WHEN candidate_id % 3 = 0 THEN 'interviewer' ELSE 'user' END AS owner_kind", "CASE WHEN candidate_id % 3 = 0 THEN candidate_id % 130 + 1 ELSE candidate_id % 7000 + 1 END AS owner_id", "candidate_id + CASE WHEN candidate_id % 11 = 0 THEN 1000000000 ELSE 0 END AS candidate_id", "CASE WHEN candidate_id % 4 = 0 THEN candidate_id % 40 END AS position_id")
+    return q.admit_jobs(requests, t.question_jobs, t.candidates, t.positions, t.interviewers)
+
+
+@query("g2_question_shortfall", rf"""WITH n AS (SELECT conv_id AS job_id, count(DISTINCT {ST.format("text")}) FILTER ({ST.format("text")} <> '') AS k FROM conversations GROUP BY 1) SELECT conv_id AS job_id, 1 + conv_id % 9 AS n_wanted, coalesce(k, 0) AS n_questions, CASE WHEN coalesce(k, 0) < 1 + conv_id % 9 THEN 'too few questions' END AS error FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN n ON job_id = conv_id""")
+def _(t: Tables) -> DataFrame:
+    rows = t.raw("conversations").select(F.col("conv_id").alias("job_id"), F.col("turn").alias("seq"), F.col("text").alias("question_text"))
+    return q.question_shortfall(rows, rows.selectExpr("job_id", "1 + job_id % 9 AS n_wanted").distinct())
+
+
+@query("h6_invite_requests", f"""WITH act AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY interviewer_id ORDER BY created_at DESC, invite_id DESC) AS rn FROM interviewer_invites WHERE revoked_at IS NULL AND expires_at > {NE} AND raw_token IS NOT NULL) WHERE rn = 1),
+ r AS (SELECT DISTINCT l_suppkey * 2 + 1 AS interviewer_id, CAST(1 + l_suppkey % 14 AS INTEGER) AS days FROM lineitem)
+ SELECT r.interviewer_id, CASE WHEN invite_id IS NOT NULL THEN 'reused' WHEN i.interviewer_id IS NULL THEN 'not_found' ELSE 'created' END AS outcome, invite_id, strftime(CASE WHEN invite_id IS NOT NULL THEN expires_at WHEN i.interviewer_id IS NOT NULL THEN {NE} + to_days(days) END, '{TS}') AS expires_at FROM r LEFT JOIN act USING (interviewer_id) LEFT JOIN interviewers i ON i.interviewer_id = r.interviewer_id""")
+def _(t: Tables) -> DataFrame:
+    asked = t.raw("lineitem").selectExpr("l_suppkey * 2 + 1 AS interviewer_id", "CAST(1 + l_suppkey % 14 AS INT) AS expires_in_days").distinct()
+    return q.invite_requests(asked, t.interviewer_invites, t.interviewers, NOW_EV).withColumn("expires_at", stamp("expires_at"))
+
+
+@query("f4_active_booking_invitations", f"SELECT candidate_id, string_agg(CAST(invitation_id AS VARCHAR), '|' ORDER BY created_at DESC, invitation_id DESC) AS invitation_ids FROM booking_invitations WHERE revoked_at IS NULL AND expires_at > {NE} GROUP BY candidate_id")
 def _(t: Tables) -> DataFrame:
-    requests = t.candidates.selectExpr("candidate_id AS request_no", "'user' AS owner_kind", "candidate_id % 700 + 1 AS owner_id")
-    return q.admit_jobs(requests, t.question_jobs).select("request_no", "reason")
+    return q.active_booking_invitations(t.booking_invitations, NOW_EV).select("candidate_id", F.array_join(F.col("invitation_ids").cast("array<string>"), "|").alias("invitation_ids"))
 
 
 @query("h7_check_saved_questions", """WITH i AS (SELECT j.*, job_id % 5 AS k FROM question_jobs j)
@@ -88,10 +115,10 @@ def _(t: Tables) -> DataFrame:
     return q.booking_invitation_status(tokens, t.booking_invitations, t.half_cancelled_bookings, NOW_EV)
 
 
-@query("h6_interviewer_invite_status", f"SELECT token_hash, invite_id, CASE WHEN revoked_at IS NOT NULL THEN 'revoked' WHEN expires_at < {NE} THEN 'expired' ELSE 'ok' END AS status FROM interviewer_invites UNION ALL SELECT sha256('x' || CAST(candidate_id AS VARCHAR)), NULL, 'unknown' FROM candidates")
+@query("h6_interviewer_invite_status", f"SELECT token_hash, invite_id, CASE WHEN revoked_at IS NOT NULL THEN 'revoked' WHEN expires_at < {NE} THEN 'expired' ELSE 'ok' END AS status, CASE WHEN revoked_at IS NULL AND expires_at >= {NE} THEN strftime({NE}, '{TS}') END AS last_used_at FROM interviewer_invites UNION ALL SELECT sha256('x' || CAST(candidate_id AS VARCHAR)), NULL, 'unknown', NULL FROM candidates")
 def _(t: Tables) -> DataFrame:
     tokens = t.interviewer_invites.select("token_hash").union(t.candidates.select(F.sha2(F.concat(F.lit("x"), F.col("candidate_id").cast("string")), 256)))
-    return q.interviewer_invite_status(tokens, t.interviewer_invites, NOW_EV).drop("last_used_at")
+    return q.interviewer_invite_status(tokens, t.interviewer_invites, NOW_EV).withColumn("last_used_at", stamp("last_used_at"))
 
 
 @query("f4_active_invites", f"SELECT interviewer_id, invite_id FROM (SELECT *, row_number() OVER (PARTITION BY interviewer_id ORDER BY created_at DESC, invite_id DESC) AS rn FROM interviewer_invites WHERE revoked_at IS NULL AND expires_at > {NE} AND raw_token IS NOT NULL) WHERE rn = 1")
@@ -113,11 +140,38 @@ def _(t: Tables) -> DataFrame:
     return q.mail_merge(recipients(t), t.email_templates.where("id = 1"))
 
 
+FREE_SLOTS = """free AS (SELECT s.* FROM slots s LEFT JOIN (SELECT slot_id, count(*) AS n FROM bookings WHERE cancelled_at IS NULL GROUP BY 1) b USING (slot_id) WHERE slot_status = 'open' AND interview_starts_at > TIMESTAMP '1998-01-01 10:00:00' AND (booking_deadline_at IS NULL OR booking_deadline_at > TIMESTAMP '1998-01-01 10:00:00') AND capacity > coalesce(n, 0)),
+ told AS (SELECT position_id, count(*) AS n, string_agg(strftime(interview_starts_at, '%Y-%m-%d %H:%M') || ' - ' || strftime(interview_ends_at, '%H:%M') || ' · ' || interview_round || ' · ' || interview_location, chr(10) ORDER BY interview_starts_at, slot_id) AS txt FROM free GROUP BY position_id)"""
+
+
+@query("d21_mail_merge_slots", f"""WITH {FREE_SLOTS} SELECT c.candidate_id, sha256(CASE WHEN coalesce(email, '') <> '' THEN 'Hello ' || name || '. You have ' || coalesce(n, 0) || ' slots:' || coalesce(chr(10) || txt, '') || chr(10) || chr(10) || 'Interview booking link: https://x.example/' || candidate_id END) AS content FROM candidates c LEFT JOIN told ON told.position_id = c.position_id""")
+def _(t: Tables) -> DataFrame:
+    free = available_slots(t.slots, t.bookings, NOW)
+    rows = t.candidates.join(q.slot_summaries(free), "position_id", "left").select("candidate_id", "name", "email", F.concat(F.lit("https://x.example/"), F.col("candidate_id").cast("string")).alias("invitation_url"), "slot_summary", "slot_count")
+    template = t.spark.range(1).select(F.lit("Slots").alias("subject"), F.lit("Hello {candidate_name}. You have {slot_count} slots:\n{slot_summary}").alias("body"))
+    return q.mail_merge(rows, template).select("candidate_id", F.sha2("content", 256).alias("content"))
+
+
+@query("d21_interviewer_mail", "SELECT interviewer_id, interviewer_email AS email, 'Interviews' AS subject, 'Sign in: https://i.example/' || interviewer_id || ', or answer: https://i.example/' || interviewer_id || '/times' AS content, CAST(NULL AS VARCHAR) AS error FROM interviewers")
+def _(t: Tables) -> DataFrame:
+    url = F.concat(F.lit("https://i.example/"), F.col("interviewer_id").cast("string"))
+    rows = t.interviewers.select("interviewer_id", F.col("interviewer_email").alias("email"), url.alias("invite_url"), F.concat(url, F.lit("/times")).alias("availability_url"))
+    template = t.spark.range(1).select(F.lit("Interviews").alias("subject"), F.lit("Sign in: {access_link}, or answer: {availability_url}").alias("body"))
+    return q.interviewer_mail_merge(rows, template)
+
+
 @query("b22_include_link", "SELECT candidate_id, CASE WHEN coalesce(email, '') <> '' THEN 'Hello ' || name || '. You have 3 slots.' || chr(10) || chr(10) || 'Interview booking link: https://x.example/' || candidate_id END AS content FROM candidates")
 def _(t: Tables) -> DataFrame:
     return q.mail_merge(recipients(t), t.email_templates.where("id = 2"), slot_count=3).select("candidate_id", "content")
 
 
-@query("b20_render_template", "SELECT candidate_id, CASE WHEN coalesce(email, '') = '' THEN 'no e-mail' ELSE 'missing: unknown_key' END AS error FROM candidates")
+@query("b20_missing_key", "SELECT candidate_id, CASE WHEN coalesce(email, '') = '' THEN 'no e-mail' ELSE 'missing: unknown_key' END AS error FROM candidates")
 def _(t: Tables) -> DataFrame:
     return q.mail_merge(recipients(t), t.email_templates.where("id = 3")).select("candidate_id", "error")
+
+
+@query("b20_render_template", """SELECT candidate_id, CASE candidate_id % 4 WHEN 0 THEN 'Dear ' || name || ' {x} ' || candidate_id WHEN 3 THEN 'No keys' END AS text, CASE candidate_id % 4 WHEN 1 THEN 'missing: absent' WHEN 2 THEN 'malformed' END AS error FROM candidates""")
+def _(t: Tables) -> DataFrame:
+    text = F.expr("CASE candidate_id % 4 WHEN 0 THEN 'Dear {name}{nothing} {{x}} {id}' WHEN 1 THEN '{name} and {absent}' WHEN 2 THEN 'stray { brace {name}' ELSE 'No keys' END")
+    values = F.create_map(F.lit("name"), F.col("name"), F.lit("id"), F.col("candidate_id").cast("string"), F.lit("nothing"), F.lit(None).cast("string"))
+    return t.candidates.select("candidate_id", x.render_template(text, values).alias("r")).select("candidate_id", "r.text", "r.error")

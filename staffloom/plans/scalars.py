@@ -78,9 +78,10 @@ def _(t: Tables) -> DataFrame:
     return t.raw("documents").select("doc_id", x.normalize_text(F.col("text")).alias("text"))
 
 
-@query("b11_normalize_list", "SELECT candidate_id, CASE WHEN candidate_id % 3 = 1 THEN 'SQL|Spark' ELSE '' END AS criteria FROM candidates")
+@query("b11_normalize_list", r"""WITH i AS (SELECT doc_id, i, substr(regexp_replace(w, '^\s+|\s+$', '', 'g'), 1, 12) AS w FROM (SELECT doc_id, unnest(string_split(text, '.')) AS w, generate_subscripts(string_split(text, '.'), 1) AS i FROM documents)), d AS (SELECT doc_id, w, i, row_number() OVER (PARTITION BY doc_id, lower(w) ORDER BY i) AS n FROM i WHERE w <> '')
+ SELECT doc_id, coalesce((SELECT sha256(string_agg(w, '|' ORDER BY i)) FROM d WHERE d.doc_id = documents.doc_id AND n = 1), sha256('')) AS items FROM documents""")
 def _(t: Tables) -> DataFrame:
-    return t.candidates.select("candidate_id", F.array_join(x.normalize_list(F.col("meets_preferred_criteria"), fold=True, max_len=200), "|").alias("criteria"))
+    return t.raw("documents").select("doc_id", F.sha2(F.array_join(x.normalize_list(F.split("text", "[.]"), fold=True, max_len=12), "|"), 256).alias("items"))
 
 
 @query("b12_mask_pii", f"SELECT doc_id, {masked('text')} AS text FROM documents")
@@ -107,14 +108,22 @@ def _(t: Tables) -> DataFrame:
     return t.interviewer_invites.select("invite_id", x.hash_token(F.col("raw_token")).alias("hashed"))
 
 
-@query("b21_template_keys", r"SELECT id, array_to_string(list_distinct_ordered, ',') AS keys FROM (SELECT id, list_filter(regexp_extract_all(subject || ' ' || body, '\{([A-Za-z0-9_]+)\}', 1), lambda k, i: list_position(regexp_extract_all(subject || ' ' || body, '\{([A-Za-z0-9_]+)\}', 1), k) = i) AS list_distinct_ordered FROM email_templates)")
+@query("b21_template_keys", r"SELECT id, array_to_string(list_distinct_ordered, ',') AS keys FROM (SELECT id, list_filter(regexp_extract_all(subject || ' ' || body, '\{([A-Za-z0-9_]+)\}', 1), lambda k, i: list_position(regexp_extract_all(subject || ' ' || body, '\{([A-Za-z0-9_]+)\}', 1), k) = i) AS list_distinct_ordered FROM written_templates)")
 def _(t: Tables) -> DataFrame:
-    return t.email_templates.select("id", F.array_join(x.template_keys(F.col("subject"), F.col("body")), ",").alias("keys"))
+    return t.written_templates.select("id", F.array_join(x.template_keys(F.col("subject"), F.col("body")), ",").alias("keys"))
 
 
-@query("b23_coerce_enum", "SELECT candidate_id, CASE WHEN final_status IN ('진행중', '합격', '불합격') THEN final_status ELSE '진행중' END AS final_status, CASE WHEN application_status IN ('서류', '면접', '최종합격', '불합격') THEN application_status ELSE '서류' END AS application_status FROM candidates")
+@query("b15_drop_sensitive_fields", """SELECT event_id, '{"kind": "' || event_type || '", "careers": [{"company": "C' || user_id || '"}]}' AS kept FROM events""")
 def _(t: Tables) -> DataFrame:
-    return t.candidates.select("candidate_id", x.coerce(F.col("final_status"), *x.FINAL).alias("final_status"), x.coerce(F.col("application_status"), *x.APPLICATION).alias("application_status"))
+    inner = F.array(F.struct(F.concat(F.lit("C"), F.col("user_id").cast("string")).alias("company"), F.lit("a@b.c").alias("email")))
+    raw = F.to_json(F.struct(F.col("event_type").alias("kind"), F.lit("Kim").alias("name"), inner.alias("careers"), F.struct(F.lit(1).alias("x")).alias("address")))
+    return t.raw("events").select("event_id", x.drop_sensitive_fields(raw).alias("kept"))
+
+
+@query("b23_coerce_enum", "SELECT candidate_id, CASE WHEN level IN ('신입', '경력', '무관') THEN level ELSE '무관' END AS experience, CASE WHEN final_status IN ('진행중', '합격', '불합격') THEN final_status ELSE '진행중' END AS final_status, CASE WHEN application_status IN ('서류', '면접', '최종합격', '불합격') THEN application_status ELSE '서류' END AS application_status FROM (SELECT *, CASE WHEN candidate_id % 5 = 0 THEN 'x' ELSE experience_level END AS level FROM candidates)")
+def _(t: Tables) -> DataFrame:
+    level = F.when(F.col("candidate_id") % 5 == 0, "x").otherwise(F.col("experience_level"))
+    return t.candidates.select("candidate_id", x.coerce(level, *x.EXPERIENCE).alias("experience"), x.coerce(F.col("final_status"), *x.FINAL).alias("final_status"), x.coerce(F.col("application_status"), *x.APPLICATION).alias("application_status"))
 
 
 @query("a6_first_json_object", "SELECT event_id, CASE WHEN json_valid(props) THEN props ELSE '{}' END AS json FROM events")

@@ -196,6 +196,10 @@ FROM events
 SELECT c_custkey AS doc_id, p AS provider_no, 'name' AS field,
   CASE WHEN (c_custkey + p) % 5 = 0 THEN '' WHEN (c_custkey * p) % 4 = 1 THEN c_name || ' Jr' ELSE c_name END AS value
 FROM customer, (SELECT unnest([1, 2, 3]) AS p)
+""",
+    "written_templates": """
+SELECT o_orderkey AS id, 'Hi {k' || CAST(o_orderkey % 7 AS VARCHAR) || '}' AS subject, '{k' || CAST(o_orderkey % 5 AS VARCHAR) || '} then {name_' || CAST(o_orderkey % 3 AS VARCHAR) || '} and {bad key} {k' || CAST(o_orderkey % 7 AS VARCHAR) || '}' AS body
+FROM orders
 """,
     "email_templates": """
 SELECT * FROM (VALUES
