@@ -83,7 +83,7 @@ def gapless(df: DataFrame, keys: list[str], order: list[str], buckets: int, out:
     return local.join(starts, on).withColumn(out, (F.col("_start") + F.col("_r")).cast("long")).drop("_b", "_r", "_start", "_kb", *[f"_k_{k}" for k in keys])
 
 
-def buckets_for(rows: int, per_bucket: int = 20_000, least: int = 16) -> int:
+def buckets_for(rows: int, per_bucket: int = 20_000, least: int = 64) -> int:
     """How many buckets keep each at about ``per_bucket`` rows."""
     return max(least, -(-rows // per_bucket))
 

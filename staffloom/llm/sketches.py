@@ -74,7 +74,7 @@ def text_of(sketched: Column) -> Column:
     return F.array_join(F.transform(sketched, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, key: str, carried: list[str], per_range: int = 2_000, most_ranges: int = 100_000) -> DataFrame:
+def with_next(docs: DataFrame, key: str, carried: list[str], per_range: int = 10_000, most_ranges: int = 100_000) -> DataFrame:
     """Adds ``next_<c>`` for each carried column: that of the next row by key, the first row's for the last.
 
     Rows are ordered by key and, where keys are equal or null (nulls first), by the carried columns. Spark's range
@@ -87,13 +87,13 @@ def with_next(docs: DataFrame, key: str, carried: list[str], per_range: int = 2_
     first = docs.select(place.alias("p")).repartitionByRange(n, "p").groupBy(F.spark_partition_id().alias("part")).agg(F.min("p").alias("low"))
     ranges = written(first, "next-ranges")
     lows = ranges.agg(F.sort_array(F.collect_list("low")).alias("lows")).scalar()  # at most most_ranges keys and short strings
-    bits = F.lit([1 << i for i in reversed(range(n.bit_length()))])
+    m = ranges.count()
+    bits = F.lit([1 << i for i in reversed(range(max(m, 1).bit_length()))])
     bisected = F.aggregate(bits, F.lit(0), lambda at, bit: F.when(F.get(F.col("_lows"), at + bit) <= F.col("_p"), at + bit).otherwise(at))
     own = [c for c in docs.columns if c not in {f"next_{c}" for c in carried}]
     placed = docs.select(F.struct(*own).alias("_row"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carried)], place.alias("_p"), lows.alias("_lows")).withColumn("_range", bisected)
     names = [f"_c{i}" for i in range(len(carried))]
     heads = placed.where(F.get("_lows", F.col("_range")) == F.col("_p")).groupBy("_range").agg(F.min(F.struct("_p", *names)).alias("h")).select("_range", "h.*")
-    m = ranges.count()
     copies = heads.select(F.pmod(F.col("_range") - 1, F.lit(max(m, 1))).alias("_range"), F.lit(True).alias("_copy"), F.col("_p"), *names)
     rows = placed.select("_range", F.lit(False).alias("_copy"), "_p", *names, "_row").unionByName(copies, allowMissingColumns=True)
     inside = Window.partitionBy("_range").orderBy("_copy", "_p", *names)
