@@ -266,3 +266,37 @@ def email_templates(t: Tables) -> DataFrame:
 def written_templates(t: Tables) -> DataFrame:
     """A mail template per order, with keys that depend on it."""
     return t.raw("orders").selectExpr("o_orderkey AS id", "concat('Hi {k', o_orderkey % 7, '}') AS subject", "concat('{k', o_orderkey % 5, '} then {name_', o_orderkey % 3, '} and {bad key} {k', o_orderkey % 7, '}') AS body")
+
+
+NAMES = ["김민수", "이서연", "박지훈", "최유진", "정하늘"]
+ROLES = ["백엔드 개발", "데이터 분석", "생산 관리", "국내영업"]
+SCHOOLS = ["한국대학교", "서울대학교", "미래전문대학", "동서대학교"]
+MAJORS = ["컴퓨터공학과", "경영학과", "기계공학과"]
+COMPANIES = ["한빛전자", "가온소프트", "누리산업"]
+JOBS = ["펌웨어개발", "품질관리", "사업기획"]
+
+
+@view
+def resume_parts(t: Tables) -> DataFrame:
+    """What the resume of each customer says."""
+    c = t.raw("customer").withColumn("k", F.col("c_custkey"))
+    of = lambda items, k: F.get(F.lit(items), F.expr(f"CAST({k} % {len(items)} AS INT)"))
+    return c.select(
+        (F.col("k") + 1).alias("doc_id"), "k", F.expr("element_at(array('text', 'pdf', 'hwp'), CAST(k % 3 AS INT) + 1)").alias("kind"), of(NAMES, "k").alias("name"), F.expr("concat(1970 + k % 25, '.0', 1 + k % 9, '.1', k % 9)").alias("birth"),
+        F.expr("CASE WHEN k % 6 = 0 THEN concat('02-555-', lpad(k % 10000, 4, '0')) ELSE concat('010-1234-', lpad(k % 10000, 4, '0')) END").alias("phone"), F.expr("concat('user', k, '@example.com')").alias("email"), F.expr("concat('서울시 강남구 ', k % 300, '번지')").alias("address"), of(ROLES, "k").alias("role"),
+        F.expr("CASE WHEN k % 5 <> 4 THEN 1 ELSE 0 END").alias("has_school"), of(SCHOOLS, "k").alias("school"), of(MAJORS, "k").alias("major"), F.expr("concat(2000 + k % 15, '.03~', 2004 + k % 15, '.02')").alias("studied"),
+        F.expr("CAST(k % 3 AS INT)").alias("n_careers"), of(COMPANIES, "k").alias("company"), of(JOBS, "k").alias("job"), F.expr("CASE WHEN k % 4 = 0 THEN '2019.05' END").alias("passed"), F.expr("CAST(k % 6 AS INT)").alias("served"),
+    )
+
+
+LETTER = "저는 꾸준히 배우는 사람입니다. "
+
+
+@view
+def resume_texts(t: Tables) -> DataFrame:
+    """A resume as text for each customer; schools stand in a line, or as a table that fell into lines."""
+    return t.resume_parts.selectExpr("*", f"""concat_ws('\n', '이력서', concat('성명: ', name), concat('생년월일: ', birth), concat('연락처: ', phone), concat('E-mail: ', email), concat('주소: ', address), concat('지원직무: ', role), CASE WHEN k % 2 = 0 THEN '성별: 여' ELSE '성별: 남성' END,
+     CASE WHEN k % 8 = 0 THEN '국가 보훈 대상: 비대상' END, CASE WHEN k % 3 = 0 THEN '희망 근무지: 서울' END, CASE WHEN k % 3 = 1 THEN concat('희망 연봉: ', 3000 + k % 50, '만원') END, '경력사항', CASE WHEN n_careers > 0 THEN concat('2015.03~2018.02 ', company, ' ', job) END, CASE WHEN n_careers > 1 THEN concat('2018.04~현재 ', company, '주식회사 ', job) END,
+     '자격사항', '자격증', concat('정보처리기사', coalesce(concat(' ', passed), ''), ' 한국산업인력공단'), '학 교 명', '컴퓨터활용능력 1급', CASE WHEN served < 5 THEN '병역사항' END,
+     CASE served WHEN 0 THEN '군필 육군 2012년 5월 ~ 2014년 2월' WHEN 1 THEN '면제 사유: 신체 등급 판정' WHEN 2 THEN '면제 (모름)' WHEN 3 THEN '병역사항 | 필 / 2012년 5월 ~ 2014년 2월 / 해군 / 병장' WHEN 4 THEN '복무기간: 2011년 1월 ~ 2012년 12월' END,
+     '자기소개서', '1. 지원동기', repeat('{LETTER}', 20), '학력사항', CASE WHEN has_school = 0 THEN '서울고등학교' WHEN k % 2 = 0 THEN concat(school, ' ', major, ' 졸업 (', studied, ')') ELSE concat(studied, '\n', school, '\n', major, '\n졸업') END) AS text""")

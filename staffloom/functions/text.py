@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 import unicodedata
 
 import pandas as pd
@@ -140,6 +141,11 @@ def repair_broken_text(col: Column, kind: str) -> Column:
     return col
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it (as a column of its own Spark may put it in each place)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lower_tight(col: Column) -> Column:
     """Lower case without white space; null is empty."""
     return F.lower(squeezed(F.coalesce(col, F.lit(""))))

@@ -23,6 +23,8 @@ OPEN_ENDS = ["현재", "재직", "재학", "중", "진행"]
 UNCLEAR_GRADUATE = "석사인지 박사인지 확인 필요"
 # Lines of qualification tables that are headers.
 HEADERS = ["자격사항", "자격증", "종류", "등급", "발행처", "취득일", "-", "기간", "활동내역", "자격종류", "평가년월", "구분", "자격증명", "합격번호", "합격증", "기관명", "발급기관", "언어점수"]
+# Lines of any table that are headers.
+TABLE_HEADERS = ["학력사항", "학력구분", "학교명", "단과대학", "단과대학(학부)", "학과", "평균학점", "소재지", "경력사항", "회사명", "직급", "부서", "담당업무", "연봉", "해외경험", "외국어", "병역사항", "자기소개", "년", "월", "기관", "국가보훈", "대상여부"]
 MAX_QUALIFICATIONS = 30
 
 
@@ -40,19 +42,20 @@ def extract_basic(text: Column) -> Column:
 
 def parse_period(text: Column) -> Column:
     """struct(start, end): a range (an open end is null), else the first and last year.month, else 년/월."""
+    pair = lambda start, end: F.struct(start.alias("start"), end.alias("end"))
+    ends = lambda a: x.once(a, lambda v: F.when(F.size(v) > 0, pair(F.get(v, F.lit(0)), F.when(F.size(v) > 1, F.element_at(v, -1)))))
     months = F.regexp_extract_all(text, F.lit(YEAR_MONTH), F.lit(0))
-    years, numbers = F.regexp_extract_all(text, F.lit(KOREAN_MONTH), F.lit(1)), F.regexp_extract_all(text, F.lit(KOREAN_MONTH), F.lit(2))
-    korean = F.zip_with(years, numbers, lambda y, m: F.concat(y, F.lit("."), F.lpad(m, 2, "0")))
-    ends = lambda a: F.struct(F.get(a, F.lit(0)).alias("start"), F.when(F.size(a) > 1, F.element_at(a, -1)).alias("end"))
+    korean = F.transform(F.regexp_extract_all(text, F.lit(KOREAN_MONTH), F.lit(0)), lambda m: F.concat(F.regexp_extract(m, KOREAN_MONTH, 1), F.lit("."), F.lpad(F.regexp_extract(m, KOREAN_MONTH, 2), 2, "0")))
     end = F.regexp_extract(text, RANGE, 2)
-    whole = F.struct(F.regexp_extract(text, RANGE, 1).alias("start"), F.when(~end.isin(OPEN_ENDS), end).alias("end"))
-    return F.when(text.rlike(RANGE), whole).when(F.size(months) > 0, ends(months)).when(F.size(korean) > 0, ends(korean)).otherwise(F.struct(F.lit(None).cast("string").alias("start"), F.lit(None).cast("string").alias("end")))
+    whole = F.when(text.rlike(RANGE), pair(F.regexp_extract(text, RANGE, 1), F.when(~end.isin(OPEN_ENDS), end)))
+    none = F.lit(None).cast("string")
+    return F.coalesce(whole, ends(months), ends(korean), pair(none, none))
 
 
 def period_of(cell: Column, row: Column) -> Column:
     """The period of a cell, else of its whole row."""
     own, other = parse_period(F.coalesce(cell, F.lit(""))), parse_period(F.coalesce(row, F.lit("")))
-    return F.when(own["start"].isNotNull() | own["end"].isNotNull(), own).otherwise(other)
+    return x.once(own, lambda o: F.when(o["start"].isNotNull() | o["end"].isNotNull(), o).otherwise(other))
 
 
 def education_level(school: Column, department: Column, level: Column, row: Column) -> Column:
@@ -68,12 +71,18 @@ def education_level(school: Column, department: Column, level: Column, row: Colu
 
 def slice_section(text: Column, starts: list[str], ends: list[str]) -> Column:
     """What stands between the earliest start header and the nearest end header after it; empty without a start."""
-    plain = F.replace(text, F.lit("\r"), F.lit(""))
-    at = F.array_min(F.filter(F.array(*[F.struct(F.locate(k, plain).alias("at"), F.lit(i).alias("i"), F.lit(len(k)).alias("n")) for i, k in enumerate(starts)]), lambda p: p["at"] > 0))
-    rest = F.substring(plain, at["at"] + at["n"], F.char_length(plain))
     stops = [e for e in ends if e and e not in starts]
-    end = F.array_min(F.filter(F.array(*[F.locate(e, rest) for e in stops]), lambda p: p > 0)) if stops else F.lit(None).cast("int")
-    return F.when(at.isNull(), F.lit("")).otherwise(x.strip(F.when(end.isNull(), rest).otherwise(F.substring(rest, F.lit(1), end - 1))))
+
+    def cut(rest: Column) -> Column:
+        end = F.array_min(F.filter(F.array(*[F.locate(e, rest) for e in stops]), lambda p: p > 0)) if stops else F.lit(None).cast("int")
+        return x.once(end, lambda e: x.strip(F.when(e.isNull(), rest).otherwise(F.substring(rest, F.lit(1), e - 1))))
+
+    def after(plain: Column) -> Column:
+        places = F.array(*[F.struct(F.locate(k, plain).alias("at"), F.lit(i).alias("i"), F.lit(len(k)).alias("n")) for i, k in enumerate(starts)])
+        first = F.array_min(F.filter(places, lambda p: p["at"] > 0))
+        return x.once(first, lambda p: F.when(p.isNull(), F.lit("")).otherwise(x.once(F.substring(plain, p["at"] + p["n"], F.char_length(plain)), cut)))
+
+    return x.once(F.replace(text, F.lit("\r"), F.lit("")), after)
 
 
 def longest_intro(text: Column, strategies: list[tuple[list[str], list[str]]]) -> Column:
@@ -82,10 +91,15 @@ def longest_intro(text: Column, strategies: list[tuple[list[str], list[str]]]) -
     return F.array_max(F.transform(cuts, lambda c: F.struct(F.char_length(c).alias("n"), c.alias("c"))))["c"]
 
 
+def is_header_line(line: Column) -> Column:
+    """Whether a line is nothing but a table's header, whatever white space it holds."""
+    return x.squeezed(line).isin([*HEADERS, *TABLE_HEADERS])
+
+
 def qualification_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (key, line_no, certificate, organization, issued) of lines that may be a qualification; the feature's limit is 30 per text."""
     lines = df.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "_raw")).select(key, "line_no", x.strip(F.col("_raw")).alias("line"))
-    lines = lines.where((F.char_length("line") >= 3) & ~x.squeezed(F.col("line")).isin(HEADERS) & ~F.col("line").rlike(r"^[\s\-.0-9]+$"))
+    lines = lines.where((F.char_length("line") >= 3) & ~is_header_line(F.col("line")) & ~F.col("line").rlike(r"^[\s\-.0-9]+$"))
     date = r"(20\d{2})[.\-/년]\s*(\d{1,2})"
     body = F.regexp_extract("line", r"(\S+)\s*$", 1)
     named = F.col("line").contains("산업인력") | F.col("line").contains("협회") | F.col("line").contains("공단")
@@ -166,7 +180,7 @@ def split_job_descriptions(docs: DataFrame, key: str, text: str) -> DataFrame:
 # Label patterns of profile fields; a value ends at a cell border or line end.
 GENDER = r"성별\s*[:：]?\s*(남성|여성|남|여|男|女)"
 DISABILITY = [r"보훈\s*[/／]\s*장애[^\n]{0,20}?\s*[：:|｜]?\s*([^\n|｜]{1,64})", r"(?<!시스템 )(?<!네트워크 )장애(?:\s*인(?:\([^)]*\))?)?\s*[:：]\s*([^\n\|｜]{1,64})"]
-VETERAN = [r"(?:국가\s*)?보훈(?:\s*여부)?[^\n:：]{0,12}[：:｜│]\s*([^｜|\n]{1,64})", r"보훈(?:\s*등록)?(?:\s*번호)?[^\n:：]{0,8}[：:｜│]\s*([^｜|\n]{1,64})", r"보훈\s*(?:등록|증)?\s*번호\s*[：:]\s*(\d[\d\s\-]{5,16})"]
+VETERAN = [r"(?:국가\s*)?보훈(?:\s*여부)?[^\n:：]{0,12}[：:｜│]\s*([^｜|\n]{1,64})", r"국가\s*보훈\s*(?:대상)?[^\n:：]{0,12}[：:｜│]\s*([^｜|\n]{1,64})", r"보훈(?:\s*등록)?(?:\s*번호)?[^\n:：]{0,8}[：:｜│]\s*([^｜|\n]{1,64})", r"보훈\s*(?:등록|증)?\s*번호\s*[：:]\s*(\d[\d\s\-]{5,16})"]
 LOCATION = [r"희망\s*근무지\s*(?:[^\n\:：]{0,12}?)?[:：]\s*([^\n]{1,100})", r"희망근무[^\n]{0,12}?\s*[：:|｜]\s*([^｜|\n]{1,80})"]
 SALARY = r"희망\s*연봉\s*[:：]?\s*([^\n]{1,100})"
 HEADER_VALUES = ["대상여부", "1.대상2.비대상", "해당여부"]
@@ -198,7 +212,7 @@ def extract_profile_scalars(text: Column) -> Column:
     plain = F.replace(text, F.lit("\r"), F.lit(""))
     first = lambda patterns: F.coalesce(*[profile_value(found(plain, p)) for p in patterns])
     gender = found(plain, GENDER)
-    veteran = F.coalesce(*[F.when(~x.squeezed(v).rlike(r"^[\d.,·\[\]①②③]+$") | F.lit(i == 2), v) for i, v in enumerate(profile_value(found(plain, p)) for p in VETERAN)])
+    veteran = F.coalesce(*[F.when(~x.squeezed(v).rlike(r"^[\d.,·\[\]①②③]+$") | F.lit(i == 3), v) for i, v in enumerate(profile_value(found(plain, p)) for p in VETERAN)])
     location = first(LOCATION)
     mixed = (F.char_length(location) > 52) & location.rlike(r"보훈|장애\s*인|미해당\s*취미|취미\s*/\s*특기")
     return F.struct(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from staffloom.fixtures import Tables
 from staffloom.functions import text as x
+from staffloom.operators import resume_records as records
 from staffloom.operators import resume_text as r
 from staffloom.plans.catalog import query
 from staffloom.sources import files
@@ -14,21 +15,95 @@ from staffloom.sources import files
 DOC = "documents"
 
 
-@query("b10_repair_broken_text", r"""WITH d AS (SELECT doc_id, regexp_replace(text, '([a-zA-Z0-9._%+\-가-힣]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2})\s*\n\s*([a-zA-Z]{1,3})', '\1\2', 'g') AS t FROM documents),
- e AS (SELECT doc_id, regexp_replace(t, '((?:010|011|016|017|018|019)[-\s]?\d{3,4}[-\s]?\d{1,2})\s*\n\s*(\d{2,4})', '\1\2', 'g') AS t FROM d) SELECT doc_id, strlen(t) AS n FROM e""")
+BROKEN = "text || chr(10) || 'me@example.co' || chr(10) || ' m' || chr(10) || '010-1234-5' || chr(10) || '67' || chr(10) || '2019  ' || CAST(1 + doc_id % 9 AS VARCHAR) || chr(10) || '2018' || chr(10) || '03' || chr(10) || '2018.01' || chr(10) || '~' || chr(10) || '2019.02' || chr(10) || '2017.01 - 2018.' || CAST(1 + doc_id % 9 AS VARCHAR)"
+# the SQL's patterns have no look ahead: what follows is taken and put back
+SPLIT_EMAIL = r"regexp_replace({}, '([a-zA-Z0-9._%+\-가-힣]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2}})\s*\n\s*([a-zA-Z]{{1,3}})', '\1\2', 'g')"
+SPLIT_RANGE = r"regexp_replace({}, '(\d{{4}}[.\-]\d{{1,2}})\s*\n\s*[-~]\s*\n\s*(\d{{4}}[.\-]\d{{1,2}})', '\1~\2', 'g')"
+HWP = SPLIT_RANGE.format(r"regexp_replace({}, '(\d{{4}})\s*\n\s*(\d{{1,2}})(\s*(?:\n|$))', '\1.\2\3', 'g')".format(SPLIT_EMAIL.format(BROKEN)))
+PDF = SPLIT_RANGE.format(r"regexp_replace(regexp_replace({}, '((?:010|011|016|017|018|019)[-\s]?\d{{3,4}}[-\s]?\d{{1,2}})\s*\n\s*(\d{{2,4}})', '\1\2', 'g'), '(\d{{4}})\s+(\d{{1,2}})(\s*(?:\n|$))', '\1.\2\3', 'g')".format(SPLIT_EMAIL.format(BROKEN)))
+PDF = rf"regexp_replace({PDF}, '(\d{{4}}[.\-]\d{{1,2}})\s*[-~]\s*(\d{{4}}[.\-]\d{{1,2}})', '\1~\2', 'g')"
+
+
+@query("b10_repair_broken_text", f"SELECT doc_id, sha256({HWP}) AS hwp, sha256({PDF}) AS pdf FROM documents")
+def _(t: Tables) -> DataFrame:
+    text = F.expr(BROKEN.replace("chr(10)", "'\\n'").replace("AS VARCHAR", "AS STRING"))
+    return t.raw(DOC).select("doc_id", *[F.sha2(x.repair_broken_text(text, kind), 256).alias(kind) for kind in ("hwp", "pdf")])
+
+
+@query("c1_extract_basic", "SELECT doc_id, name, birth, phone, email, address, role FROM resume_parts")
 def _(t: Tables) -> DataFrame:
-    text = F.col("text")
-    for pattern, to in x.REPAIRS["pdf"][:2]:
-        text = F.regexp_replace(text, pattern, to)
-    return t.raw(DOC).select("doc_id", F.octet_length(text).cast("long").alias("n"))
+    return t.resume_texts.select("doc_id", r.extract_basic(F.col("text")).alias("b")).select("doc_id", "b.*")
 
 
-@query("c1_extract_basic", rf"""SELECT doc_id, trim(regexp_extract(text, '{r.BIRTH}', 1)) AS birth, CASE WHEN regexp_matches(text, '{r.MOBILE}') THEN trim(regexp_extract(text, '{r.MOBILE}', 1)) ELSE trim(regexp_extract(text, '{r.LANDLINE}', 1)) END AS phone, trim(regexp_extract(text, '{r.ADDRESS}', 1)) AS address FROM documents""")
+@query("c1_extract_basic_documents", rf"""SELECT doc_id, trim(regexp_extract(text, '{r.BIRTH}', 1)) AS birth, CASE WHEN regexp_matches(text, '{r.MOBILE}') THEN trim(regexp_extract(text, '{r.MOBILE}', 1)) ELSE trim(regexp_extract(text, '{r.LANDLINE}', 1)) END AS phone, trim(regexp_extract(text, '{r.ADDRESS}', 1)) AS address FROM documents""")
 def _(t: Tables) -> DataFrame:
     found = t.raw(DOC).select("doc_id", r.extract_basic(F.col("text")).alias("b"))
     return found.select("doc_id", "b.birth", "b.phone", "b.address")
 
 
+EDUCATION = "CASE WHEN has_school = 1 THEN school || ' ' || major || ' 졸업 (' || studied || ')' ELSE '' END"
+
+
+@query("c5_split_education", "SELECT doc_id, school, CASE WHEN k % 3 = 1 THEN '문헌정보' ELSE major END AS department, '학사' AS level, CASE WHEN k % 3 <> 2 THEN studied END AS period, CASE WHEN k % 3 <> 2 THEN split_part(studied, '~', 1) END AS starts, CASE WHEN k % 3 <> 2 THEN split_part(studied, '~', 2) END AS ends FROM resume_parts")
+def _(t: Tables) -> DataFrame:
+    blob = F.expr("CASE CAST(k % 3 AS INT) WHEN 0 THEN concat(school, ' ', major, ' 졸업 (', studied, ')') WHEN 1 THEN concat(studied, ' ', school, ' 재학  문헌정보') ELSE concat(school, '   ', major, ' 수료') END")
+    return t.resume_parts.select("doc_id", records.split_education(blob).alias("e")).select("doc_id", "e.school", "e.department", "e.level", "e.period", F.col("e.start").alias("starts"), F.col("e.end").alias("ends"))
+
+
+@query("c6_final_education", f"SELECT doc_id, {EDUCATION} AS value, CASE WHEN has_school = 1 THEN studied ELSE '' END AS period FROM resume_parts")
+def _(t: Tables) -> DataFrame:
+    return t.resume_texts.select("doc_id", records.final_education(F.col("text")).alias("e")).select("doc_id", "e.*")
+
+
+@query("c6_section_education", f"SELECT doc_id, kind, CASE WHEN k % 2 = 1 THEN {EDUCATION} ELSE '' END AS value FROM resume_parts, (SELECT unnest(['hwp', 'pdf']) AS variant) WHERE kind = variant")
+def _(t: Tables) -> DataFrame:
+    of = lambda kind: t.resume_texts.where(F.col("kind") == kind).select("doc_id", "kind", records.section_education(F.col("text"), kind)["value"].alias("value"))
+    return of("hwp").union(of("pdf"))
+
+
+CAREERS = "SELECT doc_id, 1 AS n, '2015.03~2018.02' AS period, company, job FROM resume_parts WHERE n_careers > 0 UNION ALL SELECT doc_id, 2, '2018.04~현재', company || '주식회사', job FROM resume_parts WHERE n_careers > 1"
+
+
+@query("c7_career_entries", f"SELECT doc_id, period, company, job FROM ({CAREERS})")
+def _(t: Tables) -> DataFrame:
+    rows = t.resume_texts.select("doc_id", "text", records.final_education(F.col("text"))["period"].alias("studied_"))
+    return rows.select("doc_id", F.explode(records.career_entries(F.col("text"), F.col("studied_"))).alias("e")).select("doc_id", "e.*")
+
+
+@query("c7_section_career", "SELECT doc_id, CASE WHEN k % 2 = 0 THEN '2015.03~2018.02' ELSE '2016.05~2019.11' END AS period, company, job FROM resume_parts")
+def _(t: Tables) -> DataFrame:
+    text = F.expr("concat_ws('\\n', '경력사항', '회사명', CASE WHEN k % 2 = 0 THEN '2015.03 ~ 2018.02' ELSE '2016.05\\n201911' END, company, '부 서', job, '재직 회사', '해외경험', '2011.01 ~ 2012.02')")
+    plain = F.regexp_replace(text, r"\s*~\s*", "~")
+    kinds = F.when(F.col("k") % 2 == 0, records.section_career(plain, "pdf")).otherwise(records.section_career(plain, "hwp"))
+    return t.resume_parts.select("doc_id", kinds.alias("c")).select("doc_id", "c.*")
+
+
+SERVICE = """SELECT doc_id, CASE served WHEN 0 THEN '군필' WHEN 1 THEN '면제' WHEN 2 THEN '면제' ELSE '군필' END AS type, CASE served WHEN 0 THEN '육군' WHEN 3 THEN '해군' END AS service, CASE WHEN served IN (0, 3) THEN '2012.05' WHEN served = 4 THEN '2011.01' END AS starts,
+ CASE WHEN served IN (0, 3) THEN '2014.02' WHEN served = 4 THEN '2012.12' END AS ends, CASE WHEN served = 3 THEN '병장' END AS rank, CASE served WHEN 1 THEN '신체 등급 판정' WHEN 2 THEN '담당자 확인 필요' END AS reason, 1 AS n FROM resume_parts WHERE served < 5
+ UNION ALL SELECT doc_id, NULL, '해군', '2012.05', '2014.02', NULL, NULL, 2 FROM resume_parts WHERE served = 3 UNION ALL SELECT doc_id, NULL, NULL, '2011.01', '2012.12', NULL, NULL, 2 FROM resume_parts WHERE served = 4"""
+
+
+@query("c9_military_rows", SERVICE)
+def _(t: Tables) -> DataFrame:
+    rows = t.resume_texts.select("doc_id", F.posexplode(records.military_rows(F.col("text"))).alias("n", "r"))
+    return rows.select("doc_id", "r.type", "r.service", F.col("r.start").alias("starts"), F.col("r.end").alias("ends"), "r.rank", F.col("r.exemption_reason").alias("reason"), (F.col("n") + 1).alias("n"))
+
+
+@query("c8_longest_intro", "SELECT doc_id, '1. 지원동기' || chr(10) || trim(repeat('저는 꾸준히 배우는 사람입니다. ', 20)) AS letter FROM resume_parts")
+def _(t: Tables) -> DataFrame:
+    return t.resume_texts.select("doc_id", records.letter(F.col("text")).alias("letter"))
+
+
+@query("c21_parse_resumes", f"""WITH car AS (SELECT doc_id, string_agg(period, chr(10) ORDER BY n) AS careerPeriod, string_agg(company, chr(10) ORDER BY n) AS careerCompany, string_agg(job, chr(10) ORDER BY n) AS careerRole FROM ({CAREERS}) GROUP BY doc_id), mil AS (SELECT doc_id, count(*) AS n FROM ({SERVICE}) GROUP BY doc_id)
+ SELECT doc_id, name, birth AS birthDate, phone AS contact, email, address, role AS originalJobRole, CASE WHEN has_school = 1 THEN {EDUCATION} ELSE '기타' END AS finalEducation, coalesce(careerPeriod, '') AS careerPeriod, coalesce(careerCompany, '') AS careerCompany, coalesce(careerRole, '') AS careerRole, upper(kind) AS fileType,
+ CASE WHEN k % 2 = 0 THEN '여' ELSE '남' END AS gender, CASE WHEN k % 8 = 0 THEN '비대상' ELSE '' END AS veteran, CASE WHEN k % 3 = 0 THEN '서울' ELSE '' END AS desired_location, CASE WHEN k % 3 = 1 THEN CAST(3000 + k % 50 AS VARCHAR) || '만원' ELSE '' END AS desired_salary, CAST(coalesce(mil.n, 0) AS INTEGER) AS n_military,
+ '정보처리기사' || coalesce(' ' || passed, '') || ' 한국산업인력공단//한국산업인력공단//' || coalesce('2019-05-01', '') || '|컴퓨터활용능력 1급////' AS qualifications FROM resume_parts LEFT JOIN car USING (doc_id) LEFT JOIN mil USING (doc_id)""".replace("coalesce('2019-05-01', '')", "CASE WHEN passed IS NULL THEN '' ELSE '2019-05-01' END"))
+def _(t: Tables) -> DataFrame:
+    rows = records.parse_resumes(t.resume_texts, "doc_id", "text", "kind")
+    shown = F.array_join(F.transform("qualificationRows", lambda q: F.concat(q["certificate"], F.lit("//"), F.coalesce(q["organization"], F.lit("")), F.lit("//"), F.coalesce(q["issued"], F.lit("")))), "|")
+    return rows.select("doc_id", *records.RECORD, "fileType", "gender", "veteran", "desired_location", "desired_salary", F.size("militaryRows").alias("n_military"), shown.alias("qualifications"))
+
+
 @query("c3_parse_period", """SELECT career_no, replace(start_date, '-', '.') AS starts, CASE WHEN end_date <> 'present' THEN replace(end_date, '-', '.') END AS ends FROM careers""")
 def _(t: Tables) -> DataFrame:
     dotted = lambda c: F.replace(F.col(c), F.lit("-"), F.lit("."))
@@ -43,7 +118,7 @@ def _(t: Tables) -> DataFrame:
     return t.raw(DOC).select("doc_id", r.slice_section(F.col("text"), ["the", "der"], ["\n", ". "]).alias("part"))
 
 
-HEADERS = ", ".join(f"'{h}'" for h in r.HEADERS)
+HEADERS = ", ".join(f"'{h}'" for h in [*r.HEADERS, *r.TABLE_HEADERS])
 
 
 @query("c10_qualification_rows", rf"""WITH l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, regexp_replace(line, '^\s+|\s+$', '', 'g') AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),

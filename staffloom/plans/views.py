@@ -196,6 +196,15 @@ FROM events
 SELECT c_custkey AS doc_id, p AS provider_no, 'name' AS field,
   CASE WHEN (c_custkey + p) % 5 = 0 THEN '' WHEN (c_custkey * p) % 4 = 1 THEN c_name || ' Jr' ELSE c_name END AS value
 FROM customer, (SELECT unnest([1, 2, 3]) AS p)
+""",
+    "resume_parts": """
+SELECT k + 1 AS doc_id, k, ['text', 'pdf', 'hwp'][1 + CAST(k % 3 AS INT)] AS kind, ['김민수', '이서연', '박지훈', '최유진', '정하늘'][1 + CAST(k % 5 AS INT)] AS name,
+  CAST(1970 + k % 25 AS VARCHAR) || '.0' || CAST(1 + k % 9 AS VARCHAR) || '.1' || CAST(k % 9 AS VARCHAR) AS birth,
+  CASE WHEN k % 6 = 0 THEN '02-555-' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') ELSE '010-1234-' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') END AS phone, 'user' || CAST(k AS VARCHAR) || '@example.com' AS email,
+  '서울시 강남구 ' || CAST(k % 300 AS VARCHAR) || '번지' AS address, ['백엔드 개발', '데이터 분석', '생산 관리', '국내영업'][1 + CAST(k % 4 AS INT)] AS role, CASE WHEN k % 5 <> 4 THEN 1 ELSE 0 END AS has_school, ['한국대학교', '서울대학교', '미래전문대학', '동서대학교'][1 + CAST(k % 4 AS INT)] AS school,
+  ['컴퓨터공학과', '경영학과', '기계공학과'][1 + CAST(k % 3 AS INT)] AS major, CAST(2000 + k % 15 AS VARCHAR) || '.03~' || CAST(2004 + k % 15 AS VARCHAR) || '.02' AS studied, CAST(k % 3 AS INT) AS n_careers,
+  ['한빛전자', '가온소프트', '누리산업'][1 + CAST(k % 3 AS INT)] AS company, ['펌웨어개발', '품질관리', '사업기획'][1 + CAST(k % 3 AS INT)] AS job, CASE WHEN k % 4 = 0 THEN '2019.05' END AS passed, CAST(k % 6 AS INT) AS served
+FROM (SELECT *, c_custkey AS k FROM customer)
 """,
     "written_templates": """
 SELECT o_orderkey AS id, 'Hi {k' || CAST(o_orderkey % 7 AS VARCHAR) || '}' AS subject, '{k' || CAST(o_orderkey % 5 AS VARCHAR) || '} then {name_' || CAST(o_orderkey % 3 AS VARCHAR) || '} and {bad key} {k' || CAST(o_orderkey % 7 AS VARCHAR) || '}' AS body
