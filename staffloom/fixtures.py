@@ -300,3 +300,14 @@ def resume_texts(t: Tables) -> DataFrame:
      '자격사항', '자격증', concat('정보처리기사', coalesce(concat(' ', passed), ''), ' 한국산업인력공단'), '학 교 명', '컴퓨터활용능력 1급', CASE WHEN served < 5 THEN '병역사항' END,
      CASE served WHEN 0 THEN '군필 육군 2012년 5월 ~ 2014년 2월' WHEN 1 THEN '면제 사유: 신체 등급 판정' WHEN 2 THEN '면제 (모름)' WHEN 3 THEN '병역사항 | 필 / 2012년 5월 ~ 2014년 2월 / 해군 / 병장' WHEN 4 THEN '복무기간: 2011년 1월 ~ 2012년 12월' END,
      '자기소개서', '1. 지원동기', repeat('{LETTER}', 20), '학력사항', CASE WHEN has_school = 0 THEN '서울고등학교' WHEN k % 2 = 0 THEN concat(school, ' ', major, ' 졸업 (', studied, ')') ELSE concat(studied, '\n', school, '\n', major, '\n졸업') END) AS text""")
+
+
+@view
+def resume_tables(t: Tables) -> DataFrame:
+    """The tables of cells of each customer's resume: labels with values, education, careers, qualifications with a header or without."""
+    cells = """array(
+     array(array('사진', '사진', '성 명', name, '생년월일', birth), array('', '연락처', '전화', phone), array('E-mail', '주소'), array(email, address), array('병 역', CASE WHEN k % 2 = 0 THEN '군필' ELSE '확인' END, concat('필 / ', studied, ' / 공군 / 병장'))),
+     array(array('학교명', '전공', '재학기간', '졸업구분', '소재지'), array('서울고등학교', '-', '1997.03~1999.02', '졸업', '서울'), CASE WHEN has_school = 1 THEN array(school, major, studied, '졸업', '부산') ELSE array('', '', '', '', '') END, CASE WHEN k % 7 = 0 THEN array(concat(school, ' ', major, ' 졸업 (2001.03~2003.02)'), '', '', '', '') ELSE array('없음', '', '', '', '') END),
+     array(array('회사명', '재직기간', '담당업무'), array(company, '2015.03~2018.02', job), array('회사명', '없음', job)),
+     CASE WHEN k % 2 = 0 THEN array(array('번호', '자격증명', '취득일', '발행처', '등록번호'), array('1', '정보처리기사', '2019년 5월', '한국산업인력공단', concat('N', k)), array('2', '등급', '', '', '')) ELSE array(array('2018.03', '토익 900', 'ETS'), array('2019.11', '정보처리기사'), array('2020.01', '등급')) END)"""
+    return t.resume_parts.selectExpr("*", f"{cells} AS tables")

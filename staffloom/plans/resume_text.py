@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from staffloom.fixtures import Tables
 from staffloom.functions import text as x
+from staffloom.operators import resume_grids as grids
 from staffloom.operators import resume_records as records
 from staffloom.operators import resume_text as r
 from staffloom.plans.catalog import query
@@ -94,6 +95,20 @@ def _(t: Tables) -> DataFrame:
     return t.resume_texts.select("doc_id", records.letter(F.col("text")).alias("letter"))
 
 
+@query("c12_grid_records", """SELECT doc_id, name, phone, address, email, birth, CASE WHEN has_school = 1 THEN school || ' ' || major || ' 졸업 (' || studied || ')' WHEN k % 7 = 0 THEN school || ' 졸업 (2001.03~2003.02)' ELSE '' END AS education, 1 + has_school + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS n_education,
+ '서울고등학교/고등학교/1997.03/1999.02' || CASE WHEN has_school = 1 THEN '|' || school || ' ' || major || '/학사/' || split_part(studied, '~', 1) || '/' || split_part(studied, '~', 2) ELSE '' END || CASE WHEN k % 7 = 0 THEN '|' || school || '/학사/2001.03/2003.02' ELSE '' END AS rows,
+ '2015.03~2018.02/' || company || '/' || job AS careers, CASE WHEN k % 2 = 0 THEN '정보처리기사/한국산업인력공단/2019-05-01/N' || k ELSE '토익 900/ETS/2018-03-01/|정보처리기사//2019-11-01/' END AS qualifications,
+ CASE WHEN k % 2 = 0 THEN '군필////|' ELSE '' END || '군필/공군/' || split_part(studied, '~', 1) || '/' || split_part(studied, '~', 2) || '/병장' AS service FROM resume_parts""")
+def _(t: Tables) -> DataFrame:
+    rows = grids.grid_records(t.resume_tables, "doc_id", "tables")
+    shown = lambda c, *fields: F.array_join(F.transform(c, lambda r: F.concat_ws("/", *[F.coalesce(r[f], F.lit("")) for f in fields])), "|")
+    education = F.array_join(F.transform("educationRows", lambda r: F.concat_ws("/", F.concat_ws(" ", r["school"], r["department"]), r["level"], r["start"], r["end"])), "|")
+    return rows.select(
+        "doc_id", "name", "phone", "address", "email", "birth", F.col("finalEducation").alias("education"), F.size("educationRows").alias("n_education"), education.alias("rows"), shown("careers", "period", "company", "job").alias("careers"),
+        shown("qualificationRows", "certificate", "organization", "issued", "number").alias("qualifications"), shown("militaryRows", "type", "service", "start", "end", "rank").alias("service"),
+    )
+
+
 @query("c21_parse_resumes", f"""WITH car AS (SELECT doc_id, string_agg(period, chr(10) ORDER BY n) AS careerPeriod, string_agg(company, chr(10) ORDER BY n) AS careerCompany, string_agg(job, chr(10) ORDER BY n) AS careerRole FROM ({CAREERS}) GROUP BY doc_id), mil AS (SELECT doc_id, count(*) AS n FROM ({SERVICE}) GROUP BY doc_id)
  SELECT doc_id, name, birth AS birthDate, phone AS contact, email, address, role AS originalJobRole, CASE WHEN has_school = 1 THEN {EDUCATION} ELSE '기타' END AS finalEducation, coalesce(careerPeriod, '') AS careerPeriod, coalesce(careerCompany, '') AS careerCompany, coalesce(careerRole, '') AS careerRole, upper(kind) AS fileType,
  CASE WHEN k % 2 = 0 THEN '여' ELSE '남' END AS gender, CASE WHEN k % 8 = 0 THEN '비대상' ELSE '' END AS veteran, CASE WHEN k % 3 = 0 THEN '서울' ELSE '' END AS desired_location, CASE WHEN k % 3 = 1 THEN CAST(3000 + k % 50 AS VARCHAR) || '만원' ELSE '' END AS desired_salary, CAST(coalesce(mil.n, 0) AS INTEGER) AS n_military,
