@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from staffloom.functions import text as x
 from staffloom.functions.text import once
-from staffloom.operators.resume_text import MAX_QUALIFICATIONS, education_level, extract_basic, extract_profile_scalars, found, is_header_line, parse_period, period_of, slice_section
+from staffloom.operators.resume_text import MAX_QUALIFICATIONS, bad_education, education_level, extract_basic, extract_profile_scalars, found, is_header_line, parse_period, period_of, slice_section
 
 # Schools, majors, states of graduation, date ranges.
 SCHOOL = r"([가-힣]{2,}\s*(?:대학교|대학원|대학))"
@@ -64,17 +64,6 @@ def at_or_null(items: Column, i: int) -> Column:
     return F.get(items, F.lit(i))
 
 
-def bad_education(value: Column) -> Column:
-    """Blank, begins with a bracket, or names no university."""
-    v = x.strip(F.coalesce(value, F.lit("")))
-    return (v == "") | v.startswith("(") | ~v.contains("대학")
-
-
-def valid_education(value: Column) -> Column:
-    """A university with a closed period."""
-    return ~bad_education(value) & value.rlike(r"\(\d{4}[.\-]\d{1,2}\s*[~\-]\s*\d{4}[.\-]\d{1,2}")
-
-
 def education_text(school: Column, major: Column, status: Column, period: Column) -> Column:
     named = [F.when((x.strip(F.coalesce(p, F.lit(""))) != "") & ~p.isin(EDU_SKIP), p) for p in (school, major, status)]
     return F.concat_ws(" ", *named, F.when(F.coalesce(period, F.lit("")) != "", F.concat(F.lit("("), period, F.lit(")"))))

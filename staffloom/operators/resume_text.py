@@ -137,26 +137,82 @@ def exists_in_source(value: Column, source: Column) -> Column:
     return F.coalesce((x.strip(value) != "") & (tight(source).contains(tight(value)) | bare(source).contains(bare(value))), F.lit(False))
 
 
-def grounded_merge(df: DataFrame, fields: list[str], proposed: str, source: str) -> DataFrame:
-    """Empty fields take the proposed ones (columns with a prefix) where those occur in the source."""
-    take = lambda c: (F.coalesce(F.col(c), F.lit("")) == "") & exists_in_source(F.col(proposed + c), F.col(source))
+def bad_education(value: Column) -> Column:
+    """Blank, begins with a bracket, or names no university."""
+    v = x.strip(F.coalesce(value, F.lit("")))
+    return (v == "") | v.startswith("(") | ~v.contains("대학")
+
+
+def valid_education(value: Column) -> Column:
+    """A university with a closed period."""
+    return ~bad_education(value) & value.rlike(r"\(\d{4}[.\-]\d{1,2}\s*[~\-]\s*\d{4}[.\-]\d{1,2}")
+
+
+def grounded_merge(df: DataFrame, fields: list[str], proposed: str, source: str, education: str = "finalEducation") -> DataFrame:
+    """Empty fields take the proposed ones (columns with a prefix) where those occur in the source.
+
+    The education is taken where the own one is no good and the proposed one names a university and a period.
+    """
+    there = lambda c: exists_in_source(F.col(proposed + c), F.col(source))
+    take = lambda c: there(c) & (bad_education(F.col(c)) & valid_education(F.col(proposed + c)) if c == education else F.coalesce(F.col(c), F.lit("")) == "")
     return df.withColumns({c: F.when(take(c), F.col(proposed + c)).otherwise(F.col(c)) for c in fields})
 
 
-def vote_fields(values: DataFrame) -> DataFrame:
-    """values: doc_id, provider_no, field, value. The value most providers give, of equals the longest, then the first provider's."""
+def vote_fields(values: DataFrame, education: str = "finalEducation") -> DataFrame:
+    """values: doc_id, provider_no, field, value. The value most providers give, of equals the longest, then the first provider's.
+
+    An education without university and period is blanked.
+    """
     given = values.withColumn("value", x.strip(F.col("value"))).where("value <> ''")
     votes = given.groupBy("doc_id", "field", "value").agg(F.count("*").alias("votes"), F.min("provider_no").alias("_first"))
     order = Window.partitionBy("doc_id", "field").orderBy(F.desc("votes"), F.desc(F.char_length("value")), "_first")
     best = votes.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("doc_id", "field", "value", "votes")
     every = values.select("doc_id", "field").distinct()
-    return every.join(best, ["doc_id", "field"], "left").withColumn("value", F.coalesce("value", F.lit("")))
+    rows = every.join(best, ["doc_id", "field"], "left").withColumn("value", F.coalesce("value", F.lit("")))
+    return rows.withColumn("value", F.when((F.col("field") == education) & ~valid_education(F.col("value")), "").otherwise(F.col("value")))
+
 
+def voted_records(votes: DataFrame, fields: list[str]) -> DataFrame:
+    """A row per document with a column for each field."""
+    return votes.groupBy("doc_id").pivot("field", fields).agg(F.first("value"))
 
-def prompt_text(df: DataFrame, parts: dict[str, str], limit: int = 12_000) -> Column:
-    """Headed sections of the columns given by title, blank ones left out, redacted and cut."""
-    sections = [F.when(x.strip(F.col(c)) != "", F.concat(F.lit(f"## {title}\n"), F.col(c))) for title, c in parts.items()]
-    return x.truncate(x.redact_sensitive_lines(F.concat_ws("\n\n", *sections)), limit)
+
+def prompt_text(record: dict[str, Column], rows: dict[str, Column]) -> Column:
+    """The text of a parsed resume for a prompt: its fields under headings, its rows as numbered JSON items, personal data masked.
+
+    record: originalJobRole, finalEducation, desired_location, desired_salary, careerPeriod, careerCompany, careerRole. rows: arrays by title.
+    """
+    text = lambda c: F.coalesce(record[c], F.lit("")) if c in record else F.lit("")
+    line = lambda label, c: F.concat(F.lit(f"- {label}: "), text(c))
+    head = [F.lit("## Resume Summary"), line("Original job role text", "originalJobRole"), line("Final education", "finalEducation"), line("Desired location", "desired_location"), line("Desired salary", "desired_salary")]
+    career = [F.lit("\n## Career"), line("Period", "careerPeriod"), line("Company", "careerCompany"), line("Role", "careerRole")]
+    items = lambda c: F.when(F.coalesce(F.size(c), F.lit(0)) <= 0, "- Not extracted.").otherwise(F.array_join(F.transform(c, lambda v, i: F.concat(F.lit("- Item "), (i + 1).cast("string"), F.lit(": "), F.to_json(v))), "\n"))
+    listed = [part for title, c in rows.items() for part in (F.lit(f"\n### {title}"), items(c))]
+    return x.mask_pii(x.strip(F.concat_ws("\n", *head, *career, *listed)))
+
+
+FOCUS = """## Interview Focus
+- Ask about verifiable job-related experience, skills, decisions, and outcomes.
+- Do not ask about age, gender, family, religion, disability, veteran status, address, appearance, or other unrelated personal information.
+- Use unclear resume content as a neutral confirmation question, not as an accusation."""
+
+
+def resume_context(limit: int = 12_000) -> Column:
+    """The context of a resume for questions, over columns position_name, desired_location, desired_salary, ai_profile, parsed_json (JSON texts), summary, raw_text.
+
+    The raw text, without lines that name a personal field, stands only where there is nothing else.
+    """
+    given = lambda c: F.nullif(x.strip(F.col(c).cast("string")), F.lit(""))
+    shown = lambda c: F.concat(F.lit("- "), F.coalesce(given(c), F.lit("Not provided")))
+    labelled = lambda label, c: F.concat(F.lit(f"- {label}: "), F.coalesce(given(c), F.lit("Not provided")))
+    section = lambda title, body: F.when(body.isNotNull(), F.concat(F.lit(f"\n## {title}\n"), body))
+    parsed = lambda c: F.when(given(c).isNotNull(), x.truncate(x.drop_sensitive_fields(F.col(c)), 8_000))
+    nothing = F.coalesce(given("ai_profile"), given("summary"), given("parsed_json")).isNull()
+    raw = F.when(nothing & given("raw_text").isNotNull(), x.truncate(x.redact_sensitive_lines(given("raw_text")), 6_000))
+    none = F.when(nothing & given("raw_text").isNull(), F.lit("\n## Resume Content\n- No parsed resume content is stored."))
+    parts = [F.lit("# Resume Context\n\n## Target Position"), shown("position_name"), F.lit("\n## Resume Metadata"), labelled("Desired location", "desired_location"), labelled("Desired salary", "desired_salary")]
+    parts += [section("AI Profile", parsed("ai_profile")), section("Summary", given("summary")), section("Parsed Resume JSON", parsed("parsed_json")), section("Raw Resume Text", raw), none, F.lit("\n" + FOCUS)]
+    return x.truncate(F.concat_ws("\n", *parts), limit)
 
 
 def split_job_descriptions(docs: DataFrame, key: str, text: str) -> DataFrame:

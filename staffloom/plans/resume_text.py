@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from staffloom.operators import resume_grids as grids
 from staffloom.operators import resume_records as records
 from staffloom.operators import resume_text as r
 from staffloom.plans.catalog import query
-from staffloom.sources import files
+from staffloom.sources import files, tables
 
 DOC = "documents"
 
@@ -119,10 +121,12 @@ def _(t: Tables) -> DataFrame:
     return rows.select("doc_id", *records.RECORD, "fileType", "gender", "veteran", "desired_location", "desired_salary", F.size("militaryRows").alias("n_military"), shown.alias("qualifications"))
 
 
-@query("c3_parse_period", """SELECT career_no, replace(start_date, '-', '.') AS starts, CASE WHEN end_date <> 'present' THEN replace(end_date, '-', '.') END AS ends FROM careers""")
+@query("c3_parse_period", """SELECT career_no, CASE WHEN career_no % 5 = 4 THEN NULL ELSE replace(start_date, '-', '.') END AS starts, CASE career_no % 5 WHEN 0 THEN CASE WHEN end_date <> 'present' THEN replace(end_date, '-', '.') END WHEN 1 THEN '2031.12' WHEN 3 THEN '2032.01' END AS ends FROM careers""")
 def _(t: Tables) -> DataFrame:
     dotted = lambda c: F.replace(F.col(c), F.lit("-"), F.lit("."))
-    text = F.concat(F.lit("근무 "), dotted("start_date"), F.lit(" ~ "), F.when(F.col("end_date") == "present", "현재").otherwise(dotted("end_date")))
+    korean = F.regexp_replace("start_date", r"(\d{4})-0?(\d{1,2})", "$1년 $2월")
+    forms = [F.concat(F.lit("근무 "), dotted("start_date"), F.lit(" ~ "), F.when(F.col("end_date") == "present", "현재").otherwise(dotted("end_date"))), F.concat(dotted("start_date"), F.lit(" 2020.05 그리고 2031.12")), F.concat(F.lit("since "), dotted("start_date")), F.concat(korean, F.lit("부터 2032년 1월")), F.lit("기간 없음 2020")]
+    text = F.get(F.array(*forms), (F.col("career_no") % 5).cast("int"))
     return t.careers.select("career_no", r.parse_period(text).alias("p")).select("career_no", F.col("p.start").alias("starts"), F.col("p.end").alias("ends"))
 
 
@@ -143,33 +147,55 @@ def _(t: Tables) -> DataFrame:
     return r.qualification_rows(t.raw(DOC), "doc_id", "text").select("doc_id", "line_no", "certificate", "issued")
 
 
-@query("c13_experience_rows", """WITH g AS (SELECT candidate_id, career_no, company_name, replace(start_date, '-', '.') AS starts, CASE WHEN end_date <> 'present' THEN replace(end_date, '-', '.') END AS ends, row_number() OVER (PARTITION BY candidate_id ORDER BY career_no) - 1 AS row_no FROM careers)
- SELECT candidate_id, CAST(row_no AS INTEGER) AS row_no, company_name AS company, starts, ends FROM g""")
+@query("c13_experience_rows", """WITH g AS (SELECT candidate_id, career_no, company_name, position, replace(start_date, '-', '.') AS starts, CASE WHEN end_date <> 'present' THEN replace(end_date, '-', '.') END AS ends, row_number() OVER (PARTITION BY candidate_id ORDER BY career_no) - 1 AS row_no FROM careers),
+ n AS (SELECT candidate_id, max(row_no) AS top FROM g GROUP BY 1), l AS (SELECT g.candidate_id, top, starts AS ls, ends AS le FROM g JOIN n ON n.candidate_id = g.candidate_id AND row_no = greatest(top - 1, 0))
+ SELECT g.candidate_id, CAST(row_no AS INTEGER) AS row_no, company_name AS company, position AS role, CASE WHEN row_no = top AND top > 0 THEN ls ELSE starts END AS starts, CASE WHEN row_no = top AND top > 0 THEN le ELSE ends END AS ends FROM g JOIN l ON l.candidate_id = g.candidate_id""")
 def _(t: Tables) -> DataFrame:
     dotted = lambda c: F.replace(F.col(c), F.lit("-"), F.lit("."))
     period = F.concat(dotted("start_date"), F.lit("-"), F.when(F.col("end_date") == "present", "현재").otherwise(dotted("end_date")))
-    lines = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("career_no", c.alias("v")))), lambda s: s["v"]), "\n")
-    merged = t.careers.groupBy("candidate_id").agg(lines(period).alias("p"), lines(F.col("company_name")).alias("c"), lines(F.col("position")).alias("r"))
-    return r.experience_rows(merged, "candidate_id", "p", "c", "r").select("candidate_id", "row_no", "company", F.col("start").alias("starts"), F.col("end").alias("ends"))
+    lines = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("career_no", c.alias("v")))), lambda s: s["v"])
+    merged = t.careers.groupBy("candidate_id").agg(lines(period).alias("p"), F.array_join(lines(F.col("company_name")), "\n").alias("c"), F.array_join(lines(F.col("position")), "\n").alias("r"))
+    merged = merged.withColumn("p", F.array_join(F.slice("p", F.lit(1), F.greatest(F.size("p") - 1, F.lit(1))), "\n"))  # the last period is left out, so the one before it counts again
+    return r.experience_rows(merged, "candidate_id", "p", "c", "r").select("candidate_id", "row_no", "company", "role", F.col("start").alias("starts"), F.col("end").alias("ends"))
 
 
-@query("c14_finalize_record", "SELECT candidate_id, name, coalesce(phone, '') AS contact, '기타' AS role, CASE WHEN candidate_id % 2 = 0 THEN '기타' ELSE '' END AS company FROM candidates")
+@query("c14_finalize_record", "SELECT candidate_id, name, coalesce(phone, '') AS contact, '기타' AS role, '기타' AS education, CASE WHEN candidate_id % 2 = 0 THEN '기타' ELSE '' END AS company, CASE WHEN candidate_id % 3 = 0 THEN 1 ELSE 0 END AS n_education, 0 AS n_statements FROM candidates")
 def _(t: Tables) -> DataFrame:
     none = F.lit(None).cast("string")
-    rows = t.candidates.select("candidate_id", "name", F.col("phone").alias("contact"), none.alias("originalJobRole"), F.lit("  ").alias("finalEducation"), F.when(F.col("candidate_id") % 2 == 0, " 2020.01~2021.01 ").alias("careerPeriod"), none.alias("careerCompany"), none.alias("careerRole"))
-    return r.finalize_record(rows).select("candidate_id", "name", "contact", F.col("originalJobRole").alias("role"), F.col("careerCompany").alias("company"))
+    lists = {"educationRows": F.when(F.col("candidate_id") % 3 == 0, F.array(F.lit("x"))), "statementRows": F.lit(None).cast("array<string>")}
+    rows = t.candidates.select("candidate_id", "name", F.col("phone").alias("contact"), none.alias("originalJobRole"), F.lit("  ").alias("finalEducation"), F.when(F.col("candidate_id") % 2 == 0, " 2020.01~2021.01 ").alias("careerPeriod"), none.alias("careerCompany"), none.alias("careerRole")).withColumns(lists)
+    return r.finalize_record(rows).select("candidate_id", "name", "contact", F.col("originalJobRole").alias("role"), F.col("finalEducation").alias("education"), F.col("careerCompany").alias("company"), F.size("educationRows").alias("n_education"), F.size("statementRows").alias("n_statements"))
+
+
+@query("c15_grounded_merge", r"SELECT candidate_id, CASE WHEN candidate_id % 2 = 0 THEN 'kept' WHEN candidate_id % 3 = 0 THEN name ELSE NULL END AS name, CASE candidate_id % 4 WHEN 0 THEN '서울대학교' WHEN 1 THEN '한국대학교 (2010.03~2014.02)' WHEN 2 THEN '(2010)' ELSE '고교' END AS education FROM candidates")
+def _(t: Tables) -> DataFrame:
+    own = F.expr("CASE candidate_id % 4 WHEN 0 THEN '서울대학교' WHEN 1 THEN '' WHEN 2 THEN '(2010)' ELSE '고교' END")
+    offered = F.expr("CASE candidate_id % 4 WHEN 3 THEN '한국대학교' WHEN 2 THEN '다른대학교 (2010.03~2014.02)' ELSE '한국대학교 (2010.03~2014.02)' END")
+    source = F.concat(F.when(F.col("candidate_id") % 3 == 0, F.concat(F.lit("about "), F.upper(x.squeezed(F.col("name"))))).otherwise("nothing"), F.lit(" 한국 대학교(2010-03 ~ 2014-02)"))
+    rows = t.candidates.select("candidate_id", F.when(F.col("candidate_id") % 2 == 0, "kept").alias("name"), F.col("name").alias("ai_name"), own.alias("finalEducation"), offered.alias("ai_finalEducation"), source.alias("source"))
+    return r.grounded_merge(rows, ["name", "finalEducation"], "ai_", "source").select("candidate_id", "name", F.col("finalEducation").alias("education"))
+
+
+VOTED = """v AS (SELECT doc_id, field, value, count(*) AS votes, min(provider_no) AS first FROM fields WHERE value <> '' GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY votes DESC, length(value) DESC, first) AS n FROM v),
+ o AS (SELECT DISTINCT p.doc_id, p.field, CASE WHEN p.field = 'finalEducation' AND NOT regexp_matches(coalesce(b.value, ''), '대학.*\\(\\d{4}\\.\\d{1,2}~') THEN '' ELSE coalesce(b.value, '') END AS value, b.votes FROM fields p LEFT JOIN b ON b.doc_id = p.doc_id AND b.field = p.field AND n = 1)""".replace("\\\\", "\\")
+EDUCATION_FIELD = "CASE WHEN doc_id % 3 = 0 THEN '한국대학교 (2010.03~2014.02)' WHEN doc_id % 3 = 1 THEN '한국대학교' ELSE '(2010.03~2014.02)' END"
+
 
+def fields_of(t: Tables) -> DataFrame:
+    return t.provider_fields.union(t.provider_fields.selectExpr("doc_id", "provider_no", "'finalEducation' AS field", f"{EDUCATION_FIELD} AS value"))
 
-@query("c15_grounded_merge", r"SELECT candidate_id, CASE WHEN candidate_id % 2 = 0 THEN 'kept' WHEN candidate_id % 3 = 0 THEN name ELSE NULL END AS name FROM candidates")
+
+FIELDS = f"fields AS (SELECT * FROM provider_fields UNION ALL SELECT doc_id, provider_no, 'finalEducation', {EDUCATION_FIELD} FROM provider_fields)"
+
+
+@query("c16_vote_fields", f"WITH {FIELDS}, {VOTED} SELECT * FROM o")
 def _(t: Tables) -> DataFrame:
-    rows = t.candidates.select("candidate_id", F.when(F.col("candidate_id") % 2 == 0, "kept").alias("name"), F.col("name").alias("ai_name"), F.when(F.col("candidate_id") % 3 == 0, F.concat(F.lit("about "), F.upper(x.squeezed(F.col("name"))))).otherwise("nothing").alias("source"))
-    return r.grounded_merge(rows, ["name"], "ai_", "source").select("candidate_id", "name")
+    return r.vote_fields(fields_of(t))
 
 
-@query("c16_vote_fields", """WITH v AS (SELECT doc_id, field, value, count(*) AS votes, min(provider_no) AS first FROM provider_fields WHERE value <> '' GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY votes DESC, length(value) DESC, first) AS n FROM v)
- SELECT DISTINCT p.doc_id, p.field, coalesce(b.value, '') AS value, b.votes FROM provider_fields p LEFT JOIN b ON b.doc_id = p.doc_id AND b.field = p.field AND n = 1""")
+@query("c16_voted_records", f"WITH {FIELDS}, {VOTED} SELECT doc_id, max(value) FILTER (field = 'name') AS name, max(value) FILTER (field = 'finalEducation') AS education FROM o GROUP BY doc_id")
 def _(t: Tables) -> DataFrame:
-    return r.vote_fields(t.provider_fields)
+    return r.voted_records(r.vote_fields(fields_of(t)), ["name", "finalEducation"]).select("doc_id", "name", F.col("finalEducation").alias("education"))
 
 
 EXPORTED = ", ".join(c if c in ("name", "contact", "email", "address") else f"'' AS {c}" for c in files.EXPORT_COLUMNS)
@@ -182,20 +208,53 @@ def _(t: Tables) -> DataFrame:
     return files.cumulative_export(old, t.resume_intake.selectExpr("seq", "name", "phone AS contact", "email", "address"))
 
 
-@query("a5_parse_resume_json", "SELECT event_id, CAST(NULL AS VARCHAR) AS error FROM events")
+@query("a5_parse_resume_json", """SELECT candidate_id, CASE WHEN candidate_id % 7 = 0 THEN 'not a JSON record' END AS error, CASE WHEN candidate_id % 7 <> 0 THEN name END AS name, CASE WHEN candidate_id % 7 <> 0 THEN 'C' || candidate_id END AS company, CASE WHEN candidate_id % 7 <> 0 AND candidate_id % 2 = 0 THEN 'kept' END AS summary,
+ CASE WHEN candidate_id % 7 <> 0 THEN CAST(4000 + candidate_id AS BIGINT) END AS salary, CASE WHEN candidate_id % 7 <> 0 THEN 'SQL|Spark' END AS skills, CASE WHEN candidate_id % 7 <> 0 THEN 'Target' END AS target FROM candidates""")
 def _(t: Tables) -> DataFrame:
-    return t.raw("events").select("event_id", files.parse_resume_json(F.col("props"))["error"].alias("error"))
+    text = F.to_json(F.struct(
+        F.struct(F.struct("name", F.lit("x").alias("unknown")).alias("personal_info"), F.struct(F.struct((F.col("candidate_id") + 4000).alias("amount")).alias("desired_salary")).alias("desired_conditions"), F.array(F.struct(F.concat(F.lit("C"), F.col("candidate_id").cast("string")).alias("company_name"))).alias("careers"), F.array(F.lit("SQL"), F.lit("Spark")).alias("skills")).alias("parsed_json"),
+        F.when(F.col("candidate_id") % 2 == 0, " kept ").otherwise("  ").alias("summary"), F.struct(F.lit("Target").alias("target_position")).alias("ai_profile"),
+    ))
+    bad = F.expr("CASE WHEN candidate_id % 7 = 0 THEN 'no JSON {' END")
+    v = t.candidates.select("candidate_id", files.parse_resume_json(F.coalesce(bad, text)).alias("p")).select("candidate_id", "p.error", "p.value.*")
+    return v.select("candidate_id", "error", F.col("parsed_json.personal_info.name").alias("name"), F.get("parsed_json.careers", F.lit(0))["company_name"].alias("company"), "summary", F.col("parsed_json.desired_conditions.desired_salary.amount").alias("salary"), F.array_join("parsed_json.skills", "|").alias("skills"), F.col("ai_profile.target_position").alias("target"))
 
 
-@query("c2_profile_scalars")
+@query("c2_profile_scalars", "SELECT doc_id, CASE WHEN k % 2 = 0 THEN '여' ELSE '남' END AS gender, CAST(NULL AS VARCHAR) AS disability, CASE WHEN k % 8 = 0 THEN '비대상' END AS veteran, CASE WHEN k % 3 = 0 THEN '서울' END AS desired_location, CASE WHEN k % 3 = 1 THEN CAST(3000 + k % 50 AS VARCHAR) || '만원' END AS desired_salary FROM resume_parts")
 def _(t: Tables) -> DataFrame:
-    return t.resumes.select("resume_id", r.extract_profile_scalars(F.col("raw_text")).alias("p")).select("resume_id", "p.*")
+    return t.resume_texts.select("doc_id", r.extract_profile_scalars(F.col("text")).alias("p")).select("doc_id", "p.*")
+
 
+LEVEL_CASES = [("서울고등학교", "", "", "고등학교"), ("한국대학교", "컴퓨터공학 박사", "", "박사"), ("한국대학교", "Ph. D in CS", "", "박사"), ("한국대학교", "경영 석사", "", "석사"), ("X", "MBA", "", "석사"), ("한국대학원", "", "", r.UNCLEAR_GRADUATE), ("미래전문대", "", "", "학사"), ("동서 대학", "", "", "학사"), ("중앙중학교 고등학교", "", "", None), ("", "", "한국대학 (서울)", "학사"), ("학원", "", "", None)]
 
-@query("c4_education_level", "SELECT position_id, CASE WHEN contains(position_name, 'PhD') THEN '박사' END AS level FROM positions")
+
+@query("c4_education_level", f"SELECT doc_id, CASE CAST(k % {len(LEVEL_CASES)} AS INT) " + " ".join(f"WHEN {i} THEN '{c[3]}'" for i, c in enumerate(LEVEL_CASES) if c[3]) + " END AS level FROM resume_parts")
 def _(t: Tables) -> DataFrame:
-    none = F.lit(None).cast("string")
-    return t.positions.select("position_id", r.education_level(F.col("position_name"), none, none, none).alias("level"))
+    of = lambda n: F.get(F.lit([c[n] for c in LEVEL_CASES]), (F.col("k") % len(LEVEL_CASES)).cast("int"))
+    return t.resume_parts.select("doc_id", r.education_level(of(0), of(1), F.lit(None).cast("string"), of(2)).alias("level"))
+
+
+@query("a1_read_tables", "SELECT position_id, position_name, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM positions")
+def _(t: Tables) -> DataFrame:
+    folder = f"{tables.shared_folder(t.spark)}/a1-{uuid.uuid4().hex}"
+    t.positions.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss")).write.option("header", True).csv(f"{folder}/positions.csv")
+    return tables.read_table(t.spark, "positions", folder, "csv").withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("a1_read_arrays", "SELECT candidate_id, name, array_to_string(meets_preferred_criteria, '|') AS criteria, strftime(date_of_birth, '%Y-%m-%d') AS born FROM candidates")
+def _(t: Tables) -> DataFrame:
+    folder = f"{tables.shared_folder(t.spark)}/a1-{uuid.uuid4().hex}"
+    order = [c.split()[0] for c in tables.SCHEMAS["candidates"].split(", ")]
+    rows = t.candidates.withColumn("meets_preferred_criteria", F.to_json("meets_preferred_criteria")).withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss"))
+    rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in order]).write.option("header", True).option("escape", '"').csv(f"{folder}/candidates.csv")
+    return tables.read_table(t.spark, "candidates", folder, "csv", escape='"').select("candidate_id", "name", F.array_join("meets_preferred_criteria", "|").alias("criteria"), F.date_format("date_of_birth", "yyyy-MM-dd").alias("born"))
+
+
+@query("a3_write_csv_export", '''SELECT '"' || name || '","' || coalesce(phone, '') || '","say ""' || candidate_id || '"""' AS line FROM candidates''')
+def _(t: Tables) -> DataFrame:
+    folder = f"{tables.shared_folder(t.spark)}/a3-{uuid.uuid4().hex}"
+    files.write_csv_export(t.candidates.withColumn("said", F.concat(F.lit('say "'), F.col("candidate_id").cast("string"), F.lit('"'))), {"name": "이름", "phone": "연락처", "said": "메모"}, folder)
+    return t.spark.read.text(folder).where(~F.col("value").startswith('"이름"')).select(F.col("value").alias("line"))
 
 
 @query("c11_split_cover_letter")
@@ -203,10 +262,26 @@ def _(t: Tables) -> DataFrame:
     return r.split_cover_letter(t.raw(DOC), "doc_id", "text")
 
 
-@query("c17_resume_prompt_text")
+@query("c17_resume_prompt_text", """SELECT candidate_id, '## Resume Summary' || chr(10) || '- Original job role text: ' || experience_level || chr(10) || '- Final education: ' || chr(10) || '- Desired location: ' || chr(10) || '- Desired salary: [phone]' || chr(10) || chr(10) || '## Career' || chr(10) || '- Period: ' || chr(10) || '- Company: ' || coalesce(CASE WHEN email IS NOT NULL THEN '[email]' END, '') || chr(10) || '- Role: ' || chr(10) || chr(10) || '### Experience' || chr(10) ||
+ CASE WHEN candidate_id % 2 = 0 THEN '- Item 1: {"company":"C' || candidate_id || '"}' || chr(10) || '- Item 2: {"company":"D"}' ELSE '- Not extracted.' END AS prompt FROM candidates""")
 def _(t: Tables) -> DataFrame:
-    rows = t.resumes.join(t.candidates.select("candidate_id", F.col("name"), "experience_level"), "candidate_id")
-    return rows.select("resume_id", r.prompt_text(rows, {"Experience": "experience_level", "Summary": "summary", "Resume": "raw_text"}).alias("prompt"))
+    rows = F.when(F.col("candidate_id") % 2 == 0, F.array(F.struct(F.concat(F.lit("C"), F.col("candidate_id").cast("string")).alias("company")), F.struct(F.lit("D").alias("company"))))
+    return t.candidates.select("candidate_id", r.prompt_text({"originalJobRole": F.col("experience_level"), "desired_salary": F.lit("010-1234-5678"), "careerCompany": F.col("email")}, {"Experience": rows}).alias("prompt"))
+
+
+FOCUS = r.FOCUS.replace("'", "''").replace("\n", "' || chr(10) || '")
+
+
+@query("c17_resume_context", f"""SELECT candidate_id, '# Resume Context' || chr(10) || chr(10) || '## Target Position' || chr(10) || '- ' || coalesce(position_name, 'Not provided') || chr(10) || chr(10) || '## Resume Metadata' || chr(10) || '- Desired location: Not provided' || chr(10) || '- Desired salary: ' || candidate_id || chr(10) || chr(10) ||
+ CASE candidate_id % 3 WHEN 0 THEN '## Summary' || chr(10) || 'Good' || chr(10) || chr(10) || '## Parsed Resume JSON' || chr(10) || '{{"level": "' || experience_level || '"}}' WHEN 1 THEN '## Raw Resume Text' || chr(10) || 'first line' || chr(10) || 'reach [email]' ELSE '## Resume Content' || chr(10) || '- No parsed resume content is stored.' END || chr(10) || chr(10) || '{FOCUS}' AS context
+ FROM candidates LEFT JOIN positions USING (position_id)""")
+def _(t: Tables) -> DataFrame:
+    by = lambda n, value: F.when(F.col("candidate_id") % 3 == n, value)
+    rows = t.candidates.join(t.positions.select("position_id", "position_name"), "position_id", "left").select(
+        "candidate_id", "position_name", F.lit(" ").alias("desired_location"), F.col("candidate_id").alias("desired_salary"), F.lit(None).cast("string").alias("ai_profile"), by(0, F.lit(" Good ")).alias("summary"),
+        by(0, F.to_json(F.struct(F.col("experience_level").alias("level"), F.col("name"), F.col("phone")))).alias("parsed_json"), F.when(F.col("candidate_id") % 3 < 2, F.lit("first line\nEmail: x@y.zz\nreach x@y.zz\nhome Address: Seoul")).alias("raw_text"),
+    )
+    return rows.select("candidate_id", r.resume_context().alias("context"))
 
 
 @query("c20_split_job_descriptions")

@@ -51,13 +51,19 @@ def read_tables(spark: SparkSession, source: str, kind: str = "parquet", **optio
     return {name: read_table(spark, name, source, kind, **options) for name in SCHEMAS}
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Writes a frame to the folder that the cluster shares (spark.checkpoint.dir) and reads it back, which cuts its lineage."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share (spark.checkpoint.dir); only a local session gets one of its own where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="staffloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{label}"
+    return folder.rstrip("/")
+
+
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """Writes a frame to the shared folder and reads it back, which cuts its lineage."""
+    path = f"{shared_folder(df.sparkSession)}/{label}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
