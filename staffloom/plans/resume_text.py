@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from staffloom.fixtures import Tables
 from staffloom.functions import text as x
 from staffloom.operators import resume_grids as grids
+from staffloom.operators import resume_intake as intake
 from staffloom.operators import resume_records as records
 from staffloom.operators import resume_text as r
 from staffloom.plans.catalog import query
@@ -257,6 +258,13 @@ def _(t: Tables) -> DataFrame:
     return t.spark.read.text(folder).where(~F.col("value").startswith('"이름"')).select(F.col("value").alias("line"))
 
 
+@query("i1_resume_intake", f"""WITH car AS (SELECT doc_id, 36 AS months FROM ({CAREERS}) GROUP BY doc_id)
+ SELECT doc_id AS seq, name, phone, CASE WHEN k % 2 = 0 THEN '여' ELSE '남' END AS gender, address, replace(birth, '.', '-') AS born, email, CASE WHEN months >= 12 AND job NOT LIKE '%교육%' THEN '경력' ELSE '신입' END AS experience_level, CAST(NULL AS VARCHAR) AS error FROM resume_parts LEFT JOIN car USING (doc_id)""")
+def _(t: Tables) -> DataFrame:
+    rows = intake.intake_of(t.resume_texts, "doc_id", "text", "kind", "2024-01-20 00:00:00")
+    return rows.select("seq", "name", "phone", "gender", "address", F.date_format("date_of_birth", "yyyy-MM-dd").alias("born"), "email", "experience_level", "error")
+
+
 @query("c11_split_cover_letter")
 def _(t: Tables) -> DataFrame:
     return r.split_cover_letter(t.raw(DOC), "doc_id", "text")

@@ -43,12 +43,22 @@ def decoded(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
-def read_resume_text(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (path, text, error) of all files below a path; other suffixes and blank files have an error.
+def empty_paths(spark: SparkSession, path: str) -> list[str]:
+    """The files of no bytes below a path, which Spark's reader skips; from the listing alone."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files, found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True), []
+    while files.hasNext():
+        status = files.next()
+        if status.getLen() == 0 and not status.getPath().getName().startswith(("_", ".")):
+            found.append(status.getPath().toString())
+    return found
+
 
-    A file of no bytes at all is skipped by the reader and has no row.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+def read_resume_text(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (path, text, error) of all files below a path; other suffixes and blank files have an error."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    none = spark.createDataFrame([(p,) for p in empty_paths(spark, path)], "path string").withColumn("content", F.lit(b"").cast("binary"))
+    files = files.union(none)
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     known = suffix.isin(TEXT_SUFFIXES)
     rows = files.select("path", known.alias("_known"), x.normalize_text(decoded(F.when(known, F.col("content")))).alias("text"))

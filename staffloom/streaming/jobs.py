@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staffloom.functions import text as x
+from staffloom.operators.people import upsert_candidates
 
 FINISHED = ["succeeded", "failed"]
 
@@ -69,3 +70,22 @@ def stream_resume_intake(stream: DataFrame, parse: Callable[[DataFrame], DataFra
             rows.unpersist()
 
     return follow(stream, apply, checkpoint)
+
+
+def stream_candidates(stream: DataFrame, intake: Callable[[DataFrame], DataFrame], existing: DataFrame, out: str, checkpoint: str):
+    """New resumes become intake rows as they come and are folded into the candidates; bad rows go to ``errors``.
+
+    The candidates after a batch stand under its number and are made from those of the batch before, so a batch that is run again writes
+    the same once more.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        rows = intake(batch).persist()
+        try:
+            before = existing if number == 0 else batch.sparkSession.read.parquet(f"{out}/candidates/batch={number - 1}")
+            upsert_candidates(before, rows.where("error IS NULL")).write.mode("overwrite").parquet(f"{out}/candidates/batch={number}")
+            rows.where("error IS NOT NULL").write.mode("overwrite").parquet(f"{out}/errors/batch={number}")
+        finally:
+            rows.unpersist()
+
+    return follow(stream, apply, checkpoint)
