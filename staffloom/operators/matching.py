@@ -107,8 +107,9 @@ def scores(evidence: DataFrame, positions: DataFrame) -> DataFrame:
     terms = evidence.select("id", "index", F.explode(x.position_terms(F.col("text"))).alias("term"))
     names = positions.select("position_id", x.normalize_position(F.col("position_name")).alias("name"))
     asked, score = terms.select("term").distinct(), pair_score(F.col("term"), F.col("name"))
-    found = [asked.join(part, score > 0).select("term", "name", "position_id", score.alias("score")) for part in in_blocks(names, "position_id")]
-    known = reduce(DataFrame.union, found).select("term", "position_id", "score", pair_reason(F.col("term"), F.col("name"), F.col("score")).alias("reason"))
+    told = x.once(score, lambda s: F.struct(s.alias("score"), pair_reason(F.col("term"), F.col("name"), s).alias("reason")))
+    found = [asked.join(part, score > 0).select("term", "position_id", told.alias("_s")).select("term", "position_id", "_s.*") for part in in_blocks(names, "position_id")]
+    known = reduce(DataFrame.union, found)
     cap = F.when(F.col("index") == 0, 100).when(F.col("index") == 1, 90).otherwise(75)
     return terms.join(known, "term").withColumn("score", F.least("score", cap).cast("int")).groupBy("id", "position_id").agg(F.max("score").alias("score"), F.min(F.struct((-F.col("score")).alias("s"), "term", "reason")).alias("_why")).select("id", "position_id", "score", F.concat_ws(": ", "_why.reason", "_why.term").alias("reason"))
 
