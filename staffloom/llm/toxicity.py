@@ -2,11 +2,11 @@
 
 1. Voters. On a bounded sample of labelled rows, words and word beginnings are counted by document and label; those
    far commoner in toxic texts become voters (the lexicon and the patterns), each of which fires on a text or abstains.
-   Other voters speak for clean texts: no word of the lexicon fires, no pattern does, fewer than one firing in 200 words.
+   One more voter speaks for clean texts: it fires where no word of the lexicon and no pattern does.
 2. Label model. A generative model of the votes of the sampled texts, which sees no labels: a hidden label, for each voter its rates of
    firing under either label (its accuracies), and correlations as parameters: each voter's rates depend on another
    voter as well, the one that it shares most information with given the label (a tree over the voters). All is estimated by expectation
-   maximisation from the start that texts with a toxic vote are toxic. A voter that doesn't fire abstains.
+   maximisation from the start that texts with a toxic vote are toxic. A voter that doesn't fire abstains, which is no evidence.
 3. Classifier. A logistic regression on the voters' firings and rates is trained on the label model's posterior labels and
    scores every text.
 
@@ -59,7 +59,7 @@ class Model:
     voters: list[str]
     weights: np.ndarray  # of firings, then of rates
     bias: float
-    accuracies: np.ndarray  # firing rates of all voters under label 0 and 1, those for clean texts last
+    accuracies: np.ndarray  # firing rates of all voters under label 0 and 1, that for clean texts last
     parents: np.ndarray  # the voter that each one depends on, -1 for the root
 
     def features(self, texts: list[str | None]) -> np.ndarray:
@@ -120,13 +120,10 @@ def find_voters(sample: DataFrame, toxic: int, clean: int, max_voters: int = MAX
     return [r["mark"] for r in rows if r["mark"] not in longer][:max_voters]  # a mark that a longer one says as well is left out
 
 
-def with_clean_voters(voters: list[str], x: np.ndarray) -> np.ndarray:
-    """Firings of the toxic voters and of those for clean texts. x: rows of ``features``."""
-    n = len(voters)
-    fires, rate = x[:, :n] > 0, np.expm1(x[:, n:]).max(1, initial=0)
-    lexicon = np.array([v[0] == "=" for v in voters], bool)
-    clean = [~fires[:, lexicon].any(1), ~fires[:, ~lexicon].any(1), rate < 5]
-    return np.hstack([fires, np.stack(clean, 1)]).astype(float)
+def with_clean_voters(x: np.ndarray) -> np.ndarray:
+    """Firings of the toxic voters, and of the one that speaks for clean texts: nothing of the lexicon and no pattern fires. x: rows of ``features``."""
+    fires = x[:, : x.shape[1] // 2] > 0
+    return np.hstack([fires, ~fires.any(1, keepdims=True)]).astype(float)
 
 
 def tree(votes: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -150,33 +147,34 @@ def tree(votes: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return parent
 
 
-def label_model(votes: np.ndarray, toxic: int, prior: float = 5.0, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, toxic: int, prior: float = 5.0, clean: float = 0.02, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior labels, firing rates under labels 0 and 1, and the tree of the voters, without any label.
 
-    votes: firings; the first ``toxic`` voters speak for label 1. prior: how many texts a voter's rate counts for where its parent
-    changes it.
+    votes: firings; the first ``toxic`` voters speak for label 1, the others for label 0. Only firings are evidence: who abstains says nothing.
+    Where only voters for clean texts fire nothing else bears on the label, so their accuracy can't be learned from votes: it is the parameter ``clean``,
+    the chance that such a text is toxic after all. prior: how many texts a voter's rate counts for where its parent changes it.
     """
-    posterior = np.where(votes[:, :toxic].any(1), 0.9, 0.02)
+    own, told = votes[:, :toxic], votes[:, :toxic].any(1)
+    posterior = np.where(told, 0.9, clean)
     for step in range(rounds):
         weight = np.stack([1 - posterior, posterior])
-        if step % 5 == 0:
-            parent = tree(votes, weight)
-        of = votes[:, np.maximum(parent, 0)] * (parent >= 0)
+        if step % 4 == 0:
+            parent = tree(own, weight)
+        of = own[:, np.maximum(parent, 0)] * (parent >= 0)
         logit = np.full(len(votes), np.log((weight[1].sum() + 1) / (weight[0].sum() + 1)))
-        rates = np.stack([(w @ votes + 0.1) / (w.sum() + 1) for w in weight])
         for y, sign in ((0, -1), (1, 1)):
-            w = weight[y]
-            both, above = w @ (votes * of), w @ of
-            given_1 = (both + prior * rates[y]) / (above + prior)
-            given_0 = (w @ votes - both + prior * rates[y]) / (w.sum() - above + prior)
-            chance = np.clip(np.where(of > 0, given_1, given_0), 1e-6, 1 - 1e-6)
-            logit += sign * np.where(votes > 0, np.log(chance), np.log(1 - chance)).sum(1)
-        new = sigmoid(logit)
-        done = np.abs(new - posterior).max() < 1e-4 and step % 5
+            w, rate = weight[y], (weight[y] @ own + 0.1) / (weight[y].sum() + 1)
+            both, above = w @ (own * of), w @ of
+            given_1 = (both + prior * rate) / (above + prior)
+            given_0 = (w @ own - both + prior * rate) / (w.sum() - above + prior)
+            logit += sign * (own * np.log(np.clip(np.where(of > 0, given_1, given_0), 1e-6, 1))).sum(1)
+        new = np.where(told, sigmoid(logit), clean)
+        done = np.abs(new - posterior).max() < 1e-3
         posterior = new
         if done:
             break
-    return posterior, rates, parent
+    weight = np.stack([1 - posterior, posterior])
+    return posterior, np.stack([(w @ votes + 0.1) / (w.sum() + 1) for w in weight]), parent
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 40) -> tuple[np.ndarray, float]:
@@ -213,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = sample.mapInPandas(fire, "x binary, y int").groupBy("x").count().collect()
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]).astype(np.float64)
     x = np.repeat(x, [r["count"] for r in rows], axis=0)
-    posterior, rates, parents = label_model(with_clean_voters(voters, x), len(voters))
+    posterior, rates, parents = label_model(with_clean_voters(x), len(voters))
     weights, bias = logistic(x, posterior)
     return Model(voters, weights, bias, rates, parents)
 
