@@ -177,6 +177,8 @@ def upsert_candidates(existing: DataFrame, intake: DataFrame) -> DataFrame:
     name is always a new candidate; new ids follow the greatest one in order of first appearance.
     """
     fields = ["name", "phone", "gender", "address", "date_of_birth", "email", "position_id", "experience_level", "meets_preferred_criteria"]
+    fields = [f for f in fields if f in existing.columns or f in intake.columns]
+    existing, intake = (df.withColumns({f: F.lit(None).cast("string") for f in fields if f not in df.columns}) for df in (existing, intake))
     own = existing.select("candidate_id", F.lit(-1).cast("long").alias("seq"), *fields)
     new = intake.select(F.lit(None).cast("long").alias("candidate_id"), F.col("seq").cast("long"), *fields)
     keyed = lambda df: df.withColumn("_p", x.clean(F.col("phone"))).withColumn("_m", x.clean(F.col("name")))
@@ -190,7 +192,7 @@ def upsert_candidates(existing: DataFrame, intake: DataFrame) -> DataFrame:
     folded = touched.unionByName(new.where(whole)).groupBy("_p", "_m").agg(
         F.max("candidate_id").alias("candidate_id"), F.min("seq").alias("_first"),
         last("name", F.col("name").isNotNull()), last("phone", F.col("phone").isNotNull()), last("date_of_birth", F.col("date_of_birth").isNotNull()),
-        last("gender", x.clean(F.col("gender")).isNotNull()), last("address", x.clean(F.col("address")).isNotNull()),
+        *[last(c, x.clean(F.col(c)).isNotNull()) for c in ("gender", "address") if c in fields],
         first("email", x.clean(F.col("email")).isNotNull()), first("position_id", F.col("position_id").isNotNull()),
         F.max_by("experience_level", "seq").alias("experience_level"), F.max_by("meets_preferred_criteria", "seq").alias("meets_preferred_criteria"),
     )
