@@ -74,7 +74,7 @@ def text_of(sketched: Column) -> Column:
     return F.array_join(F.transform(sketched, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, key: str, carried: list[str], per_range: int = 10_000, most_ranges: int = 100_000) -> DataFrame:
+def with_next(docs: DataFrame, key: str, carried: list[str], per_range: int = 4_000, most_ranges: int = 100_000) -> DataFrame:
     """Adds ``next_<c>`` for each carried column: that of the next row by key, the first row's for the last.
 
     Rows are ordered by key and, where keys are equal or null (nulls first), by the carried columns. Spark's range
