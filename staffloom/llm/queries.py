@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffloom.llm import bpe, licenses, packing, quality, secrets, sharding, simhash, sketches, toxicity, warc
+from staffloom.llm import bpe, collocations, licenses, packing, quality, secrets, sharding, simhash, sketches, toxicity, warc
 from staffloom.llm.shared import table, written
 
 
@@ -79,8 +79,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_shards, op3_license_scan, op4_byte_bpe, op5_warc_round_trip, op6_toxicity, op7_best_fit_packing, op8_simhash_components, op9_secret_scan, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_shards, op3_license_scan, op4_byte_bpe, op5_warc_round_trip, op6_toxicity, op7_best_fit_packing, op8_simhash_components, op9_secret_scan, op10_fingerprints, op12_collocations)}
 
 
 OP1_SQL = r"""
@@ -122,6 +126,23 @@ first AS (SELECT digest, min(page_id) AS first FROM q WHERE n >= 100 GROUP BY di
 SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM q LEFT JOIN first USING (digest)"""
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+OP12_SQL = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 30),
+inner_ AS (SELECT lang, array_to_string(ws[i : i + j - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest(range(1, k - j + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS j FROM c)) GROUP BY ALL),
+cuts AS (SELECT lang, phrase, a, i, array_to_string(ws[1 : i], ' ') AS head, array_to_string(ws[i + 1 :], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS i FROM c)),
+s AS (SELECT c.lang, c.phrase, c.a, i, h.a AS l, t.a AS r, CAST((2000000::HUGEINT * c.a) // (h.a::HUGEINT + t.a) AS BIGINT) AS score FROM cuts c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f t ON t.lang = c.lang AND t.phrase = c.tail),
+weakest AS (SELECT lang, phrase, a, l, r, score FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+kept AS (SELECT w.* FROM weakest w LEFT JOIN inner_ x ON x.lang = w.lang AND x.phrase = w.phrase WHERE x.longer IS NULL OR 100::HUGEINT * x.longer < 80::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM kept JOIN total USING (lang) QUALIFY rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for what it can express; the others are fitted models, searches or encodings and are tested against brute force."""
-    return {"op1_quality_rules": OP1_SQL, "op5_warc_round_trip": OP5_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op5_warc_round_trip": OP5_SQL, "op12_collocations": OP12_SQL}
