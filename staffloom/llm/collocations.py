@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 from staffloom.llm.shared import broadcast_within, buckets_for, dealt, written
 
 LEAST = 30
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 SLICE = 1 << 20
 #: Frequent phrases of a level up to which their numbers (24 bytes each) are broadcast; beyond, the join shuffles.
 BROADCAST_PHRASES = 1_000_000
@@ -240,7 +240,7 @@ def count_pairs(shards: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
     to = np.zeros(max(int(text.max()), int(words["place"].max()) + 1) + 1, np.int64)
     to[words["place"].to_numpy(np.int64) + 1] = place[1:]
     text, alphabet = narrowed(to[text], alphabet)
-    index = FMIndex(text, len(alphabet))
+    index = FMIndex(text, len(alphabet), depth=2)
     pairs = index.grown(index.singles(), left=True)
     return counted(shard, *alphabet[pairs.words.T], pairs.count, text, alphabet)
 
