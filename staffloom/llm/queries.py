@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffloom.llm import bpe, collocations, licenses, packing, quality, secrets, sharding, simhash, sketches, toxicity, warc
+from staffloom.llm import bpe, classifier, collocations, licenses, packing, quality, secrets, sharding, simhash, sketches, spelling, toxicity, warc
 from staffloom.llm.shared import table, written
 
 
@@ -79,12 +79,22 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = classifier.scored(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", F.coalesce(classifier.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.counted_words(table(spark, sf_dir, "documents"), thinned=199))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_shards, op3_license_scan, op4_byte_bpe, op5_warc_round_trip, op6_toxicity, op7_best_fit_packing, op8_simhash_components, op9_secret_scan, op10_fingerprints, op12_collocations)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_shards, op3_license_scan, op4_byte_bpe, op5_warc_round_trip, op6_toxicity, op7_best_fit_packing, op8_simhash_components, op9_secret_scan, op10_fingerprints, op11_quality_classifier, op12_collocations, op13_spelling_variants)}
 
 
 OP1_SQL = r"""
