@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -169,12 +171,12 @@ def employment_months(careers: DataFrame, now: str) -> DataFrame:
     return months.withColumn("experience_level", F.when(F.col("months") >= 12, "경력").otherwise("신입"))
 
 
-def upsert_candidates(existing: DataFrame, intake: DataFrame) -> DataFrame:
+def upsert_candidates(existing: DataFrame, intake: DataFrame, top: int | None = None) -> DataFrame:
     """Candidates after folding intake rows, in order of ``seq``, by (phone, name).
 
     Of several candidates with the key the smallest id is updated. Name, phone, gender, address and birth date are those last given; e-mail and
     position are filled where empty, by the first given; experience level and criteria are the last. A row without phone or
-    name is always a new candidate; new ids follow the greatest one in order of first appearance.
+    name is always a new candidate; new ids follow the greatest one (or ``top``, where ``existing`` is a part of the candidates) in order of first appearance.
     """
     fields = ["name", "phone", "gender", "address", "date_of_birth", "email", "position_id", "experience_level", "meets_preferred_criteria"]
     fields = [f for f in fields if f in existing.columns or f in intake.columns]
@@ -198,21 +200,51 @@ def upsert_candidates(existing: DataFrame, intake: DataFrame) -> DataFrame:
     )
     kept = folded.where("candidate_id IS NOT NULL").select("candidate_id", *fields)
     added = folded.where("candidate_id IS NULL").select("_first", *fields).unionByName(new.where(~whole).select(F.col("seq").alias("_first"), *fields))
-    return untouched.unionByName(kept).unionByName(with_new_ids(added, existing, fields))
+    top = existing.agg(F.coalesce(F.max("candidate_id"), F.lit(0)).alias("_top")).first()["_top"] if top is None else top
+    return untouched.unionByName(kept).unionByName(with_new_ids(added, top, fields))
 
 
-def with_new_ids(added: DataFrame, existing: DataFrame, fields: list[str], per_range: int = 10_000) -> DataFrame:
-    """Ids after the greatest one in order of ``_first``: rows are numbered within ranges of it, shifted by the earlier ranges' counts."""
-    top = existing.agg(F.coalesce(F.max("candidate_id"), F.lit(0)).alias("_top")).first()["_top"]
-    ranged = added.withColumn("_range", F.floor(F.col("_first") / per_range))
+def range_bounds(rows: DataFrame, column: str, per_range: int, most: int = 1_000) -> list[float]:
+    """Values that cut the rows into ranges of about ``per_range`` rows, whatever the values' spread; ``most`` ranges at most."""
+    n = min(most, -(-rows.count() // per_range))
+    return sorted(set(rows.approxQuantile(column, [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
+
+
+def with_new_ids(added: DataFrame, top: int, fields: list[str], per_range: int = 10_000) -> DataFrame:
+    """Ids after ``top`` in order of ``_first``: rows are numbered within ranges of equal counts, shifted by the earlier ranges' counts (at most 1,000 numbers)."""
+    bounds = range_bounds(added, "_first", per_range)
+
+    @F.pandas_udf("int")
+    def place(values: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, values, side="right"))
+
+    ranged = added.withColumn("_range", place(F.col("_first").cast("double")) if bounds else F.lit(0))
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_c"))
     starts = counts.select(F.col("_range"), F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
     local = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy("_first", "name")))
-    return local.join(starts, "_range").select((F.col("_n") + F.col("_s") + top).cast("long").alias("candidate_id"), *fields)
+    return local.join(F.broadcast(starts), "_range").select((F.col("_n") + F.col("_s") + top).cast("long").alias("candidate_id"), *fields)
+
+
+def page_after(df: DataFrame, keys: dict[str, bool], size: int, after: dict | None = None) -> DataFrame:
+    """The page that follows the row ``after`` (its values of ``keys``; none: the first page) in the order of ``keys``: column names, True for descending.
+
+    The keys together identify a row. Rows up to that one are filtered away before the sort, the leading key by a plain comparison that a scan
+    can be pruned by, so a deep page costs what the first one does. Nulls come last and are found as values.
+    """
+    if after is not None:
+        beyond = lambda c, down: (F.col(c) < F.lit(after[c]) if down else F.col(c) > F.lit(after[c])) | F.col(c).isNull() if after[c] is not None else F.lit(False)
+        wanted, same = F.lit(False), F.lit(True)
+        for c, down in keys.items():
+            wanted, same = wanted | (same & beyond(c, down)), same & F.col(c).eqNullSafe(F.lit(after[c]))
+        lead, down = next(iter(keys.items()))
+        if after[lead] is not None:
+            df = df.where((F.col(lead) <= F.lit(after[lead]) if down else F.col(lead) >= F.lit(after[lead])) | F.col(lead).isNull())
+        df = df.where(F.coalesce(wanted, F.lit(False)))
+    return df.orderBy(*[F.desc_nulls_last(c) if down else F.asc_nulls_last(c) for c, down in keys.items()]).limit(size)
 
 
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> tuple[DataFrame, DataFrame]:
-    """(rows of a page, one row with total and pages). Deep pages sort all before them; prefer a key range there."""
+    """(rows of a page, one row with total and pages). Deep pages sort all before them; ``page_after`` doesn't."""
     total = df.agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / size).cast("long"))
     return df.orderBy(*order).offset((number - 1) * size).limit(size), total
 

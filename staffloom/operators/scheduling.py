@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from staffloom.functions.text import strip
+from staffloom.operators.intervals import clash_flags, overlapping
 
 ROUNDS = ["1차", "2차", "3차"]
 
@@ -106,31 +107,29 @@ def slot_details(slots: DataFrame, bookings: DataFrame, bridge: DataFrame, inter
     return rows.withColumn("interviewer_names", F.coalesce("interviewer_names", none)).withColumn("candidate_names", F.coalesce("candidate_names", none)).orderBy("interview_starts_at", "slot_id")
 
 
-def by_day(df: DataFrame, start: str, end: str) -> DataFrame:
-    """One row per day that an interval touches, as ``_day``: the equi-join key of interval joins."""
-    last = F.greatest(F.to_date(F.col(start)), F.to_date(F.col(end) - F.expr("INTERVAL 1 MICROSECOND")))
-    return df.withColumn("_day", F.explode(F.sequence(F.to_date(F.col(start)), last)))
-
-
 def interviewer_conflicts(requests: DataFrame, slots: DataFrame, bridge: DataFrame, own_slot: str | None = None) -> DataFrame:
-    """Existing slots of the same interviewer that overlap a request (half-open), but for the request's own slot.
-
-    Joined by interviewer and day, so that a busy interviewer's requests meet only slots of their days.
-    """
-    held = by_day(bridge.join(slots.select("slot_id", F.col("interview_starts_at").alias("s"), F.col("interview_ends_at").alias("e")), "slot_id"), "s", "e")
-    pairs = by_day(requests, "starts_at", "ends_at").join(held, ["interviewer_id", "_day"]).where("s < ends_at AND e > starts_at")
+    """Existing slots of the same interviewer that overlap a request (half-open), but for the request's own slot; intervals of any length."""
+    held = bridge.join(slots.select("slot_id", F.col("interview_starts_at").alias("_held_from"), F.col("interview_ends_at").alias("_held_to")), "slot_id").withColumnRenamed("slot_id", "conflict_slot_id")
+    pairs = overlapping(requests, held, ["interviewer_id"], ("starts_at", "ends_at"), ("_held_from", "_held_to"))
     if own_slot:
-        pairs = pairs.where(~F.col("slot_id").eqNullSafe(F.col(own_slot)))
-    return pairs.select(*requests.columns, F.col("slot_id").alias("conflict_slot_id")).distinct()
+        pairs = pairs.where(~F.col("conflict_slot_id").eqNullSafe(F.col(own_slot)))
+    return pairs.select(*requests.columns, "conflict_slot_id").distinct()
 
 
 def batch_conflicts(requests: DataFrame) -> DataFrame:
-    """Pairs within a batch with the same interviewer and overlapping times, the earlier request first."""
-    rows = by_day(requests, "starts_at", "ends_at")
-    keys = ["batch_id", "interviewer_id", "_day"]
-    a = rows.select(*keys, F.col("request_no").alias("first_no"), F.col("starts_at").alias("s1"), F.col("ends_at").alias("e1"))
-    b = rows.select(*keys, F.col("request_no").alias("second_no"), F.col("starts_at").alias("s2"), F.col("ends_at").alias("e2"))
-    return a.join(b, keys).where("first_no < second_no AND s1 < e2 AND e1 > s2").select("batch_id", "interviewer_id", "first_no", "second_no").distinct()
+    """Pairs within a batch with the same interviewer and overlapping times, the smaller request number first."""
+    own = lambda n: requests.select("batch_id", "interviewer_id", F.col("request_no").alias(f"{n}_no"), F.col("starts_at").alias(f"_{n}_from"), F.col("ends_at").alias(f"_{n}_to"))
+    pairs = overlapping(own("first"), own("second"), ["batch_id", "interviewer_id"], ("_first_from", "_first_to"), ("_second_from", "_second_to"))
+    return pairs.where("first_no < second_no").select("batch_id", "interviewer_id", "first_no", "second_no").distinct()
+
+
+def clashing_requests(times: DataFrame, slots: DataFrame, bridge: DataFrame) -> DataFrame:
+    """times: batch_id, request_no, interviewer_id, starts_at, ends_at. Per request whether it overlaps another one of its batch (``_clash``), or an existing slot (``_held``), of one of its interviewers."""
+    both = clash_flags(times, ["batch_id", "interviewer_id"], "starts_at", "ends_at", out="_clash").groupBy("request_no").agg(F.bool_or("_clash").alias("_clash"))
+    held = bridge.join(slots.select("slot_id", F.col("interview_starts_at").alias("starts_at"), F.col("interview_ends_at").alias("ends_at")), "slot_id").select(F.lit(None).cast("bigint").alias("request_no"), "interviewer_id", "starts_at", "ends_at")
+    rows = times.select("request_no", "interviewer_id", "starts_at", "ends_at").unionByName(held)
+    taken = clash_flags(rows, ["interviewer_id"], "starts_at", "ends_at", F.col("request_no").isNotNull(), F.col("request_no").isNull(), "_held").groupBy("request_no").agg(F.bool_or("_held").alias("_held"))
+    return both.join(taken, "request_no")
 
 
 def assignment_check(slots: DataFrame, bridge: DataFrame, interviewers: DataFrame) -> DataFrame:
@@ -234,11 +233,9 @@ def validate_slot_requests(requests: DataFrame, slots: DataFrame, bridge: DataFr
     """
     each = requests.select("batch_id", "request_no", "position_id", "interview_round", F.explode(F.array_distinct("interviewer_ids")).alias("interviewer_id"), "starts_at", "ends_at")
     times = each.select("batch_id", "request_no", "interviewer_id", "starts_at", "ends_at")
-    both = batch_conflicts(times)
-    clash = both.select(F.col("first_no").alias("request_no")).union(both.select("second_no")).distinct().withColumn("_clash", F.lit(True))
-    held = interviewer_conflicts(times, slots, bridge).select("request_no").distinct().withColumn("_held", F.lit(True))
+    clash = clashing_requests(times, slots, bridge)
     known = positions.select("position_id", F.lit(True).alias("_position"))
-    rows = requests.join(fitness(each, interviewers, "request_no"), "request_no", "left").join(clash, "request_no", "left").join(held, "request_no", "left").join(known, "position_id", "left")
+    rows = requests.join(fitness(each, interviewers, "request_no"), "request_no", "left").join(clash, "request_no", "left").join(known, "position_id", "left")
     place, ids = strip(F.coalesce("interview_location", F.lit(""))), F.col("interviewer_ids")
     reason = (
         F.when(F.coalesce("position_id", F.lit(0)) <= 0, "bad_position").when(~F.coalesce(F.col("interview_round").isin(ROUNDS), F.lit(False)), "bad_round").when((F.array_min(ids) <= 0) | (F.size(F.array_distinct(ids)) < F.size(ids)), "bad_ids")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from staffloom.functions import text as x
-from staffloom.operators.people import upsert_candidates
 
 FINISHED = ["succeeded", "failed"]
 
@@ -29,26 +31,60 @@ def job_status(events: DataFrame) -> DataFrame:
     return seen.groupBy("job_id").agg(F.max_by("status", F.struct("ts", "seq")).alias("status"), F.min(F.when(F.col("status") == "running", F.col("ts"))).alias("started_at"), F.min(F.when(F.col("status").isin(FINISHED), F.col("ts"))).alias("finished_at"))
 
 
-def stream_job_status(events: DataFrame) -> DataFrame:
-    """Stream: the same by state per job; emits a job's state whenever it changes."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+class JobState(StatefulProcessor):
+    """The state of one job: its status, first start and end. What follows the end is left out.
 
-    def fold(key, batches, state: GroupState):
-        status, started, finished = state.get if state.exists else (None, None, None)
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        for row in rows.itertuples():
+    State goes by timers in event time: ``keep`` after a job's end, so that late events of a finished job meet its state until then, and ``idle`` after the
+    last event of a job that never ended, which is told as ``expired``. Later events are behind the watermark or begin a job anew.
+    """
+
+    def __init__(self, keep: timedelta, idle: timedelta):
+        self.keep, self.idle = (int(t.total_seconds() * 1000) for t in (keep, idle))
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("job", "status string, started_at string, finished_at string, until long")
+
+    def row(self, key, status, started, finished) -> pd.DataFrame:
+        return pd.DataFrame({"job_id": [key[0]], "status": [status], "started_at": [started], "finished_at": [finished]}, dtype=object)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  Spark's names
+        status, started, finished, until = self.state.get() if self.state.exists() else (None, None, None, None)
+        told, latest = False, 0
+        for row in pd.concat(list(rows)).sort_values(["ts", "seq"]).itertuples():
             if status in FINISHED:
                 break
-            status = row.status
+            status, told, latest = row.status, True, int(row.ts.timestamp() * 1000)
             if status == "running" and started is None:
                 started = str(row.ts)
             if status in FINISHED:
                 finished = str(row.ts)
-        state.update((status, started, finished))
-        yield pd.DataFrame([(key[0], status, started, finished)], columns=["job_id", "status", "started_at", "finished_at"])
+        if told:
+            if until is not None:
+                self.handle.deleteTimer(until)
+            until = max(latest + (self.keep if status in FINISHED else self.idle), timerValues.getCurrentWatermarkInMs() + 1)
+            self.handle.registerTimer(until)
+            self.state.update((status, started, finished, until))
+            yield self.row(key, status, started, finished)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        status, started, finished, _ = self.state.get()
+        self.state.clear()
+        if status not in FINISHED:
+            yield self.row(key, "expired", started, finished)
 
-    return events.groupBy("job_id").applyInPandasWithState(fold, "job_id long, status string, started_at string, finished_at string", "status string, started_at string, finished_at string", "update", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def stream_job_status(events: DataFrame, keep: timedelta = timedelta(days=7), idle: timedelta = timedelta(days=30), late: str = "1 hour") -> DataFrame:
+    """Stream: the same by state per job; emits a job's state whenever it changes. events: job_id, seq, ts, status.
+
+    State is bounded by the jobs of the last ``keep`` (finished ones) or ``idle`` (others); events that come more than ``late`` behind the newest are left out.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    timed = events.select("job_id", "seq", F.col("ts").cast("timestamp").alias("ts"), "status").withWatermark("ts", late)
+    return timed.groupBy("job_id").transformWithStateInPandas(JobState(keep, idle), "job_id long, status string, started_at string, finished_at string", "Update", "EventTime")
 
 
 def follow(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
@@ -70,22 +106,3 @@ def stream_resume_intake(stream: DataFrame, parse: Callable[[DataFrame], DataFra
             rows.unpersist()
 
     return follow(stream, apply, checkpoint)
-
-
-def stream_candidates(stream: DataFrame, intake: Callable[[DataFrame], DataFrame], existing: DataFrame, out: str, checkpoint: str):
-    """New resumes become intake rows as they come and are folded into the candidates; bad rows go to ``errors``.
-
-    The candidates after a batch stand under its number and are made from those of the batch before, so a batch that is run again writes
-    the same once more.
-    """
-
-    def apply(batch: DataFrame, number: int) -> None:
-        rows = intake(batch).persist()
-        try:
-            before = existing if number == 0 else batch.sparkSession.read.parquet(f"{out}/candidates/batch={number - 1}")
-            upsert_candidates(before, rows.where("error IS NULL")).write.mode("overwrite").parquet(f"{out}/candidates/batch={number}")
-            rows.where("error IS NOT NULL").write.mode("overwrite").parquet(f"{out}/errors/batch={number}")
-        finally:
-            rows.unpersist()
-
-    return follow(stream, apply, checkpoint)

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from staffloom.operators import people, resume_grids, resume_intake, resume_records, scheduling
-from staffloom.streaming import jobs
+from staffloom.streaming import candidates, jobs
 
 TEXT = "성명: 김민수\n생년월일: 1990.03.12\n연락처: 010-1234-5678\nE-mail: kim@example.com\n주소: 서울시 강남구\n지원직무: 백엔드 개발\n경력사항\n2015.03~2018.02 한빛전자 펌웨어개발\n자기소개서\n1. 지원동기\n" + "배우는 사람입니다. " * 30 + "\n학력사항\n한국대학교 컴퓨터공학과 졸업 (2010.03~2014.02)"
 OTHER = TEXT.replace("김민수", "이서연").replace("5678", "0000").replace("kim@", "lee@")
@@ -45,9 +45,8 @@ def test_stream_of_resumes_ends_in_candidates(spark, tmp_path):
         spark.createDataFrame(part, "id long, text string, kind string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id long, text string, kind string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     read = lambda b: resume_intake.intake_of(b, "id", "text", "kind", "2024-01-01 00:00:00")
-    jobs.stream_candidates(stream, read, existing, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(300)
-    last = max((tmp_path / "out/candidates").glob("batch=*"))
-    found = {r.name: r for r in spark.read.parquet(str(last)).collect()}
+    candidates.stream_candidates(stream, read, existing, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(300)
+    found = {r.name: r for r in candidates.current_candidates(spark, str(tmp_path / "out")).collect()}
     assert {n: (r.candidate_id, r.email, r.position_id, r.experience_level) for n, r in found.items()} == {"김민수": (7, "kim@example.com", 3, "경력"), "이서연": (8, "lee@example.com", None, "경력")}
     assert spark.read.parquet(str(tmp_path / "out/errors")).count() == 1
     once = people.upsert_candidates(existing, read(spark.read.parquet(str(tmp_path / "in"))).where("error IS NULL"))
