@@ -233,7 +233,7 @@ def job_events(t: Tables) -> DataFrame:
 @view
 def booking_invitations(t: Tables) -> DataFrame:
     n = t.count("orders")
-    return t.raw("events").where("event_type IN ('signup', 'view')").selectExpr(
+    return t.raw("events").selectExpr(
         "event_id + 1 AS invitation_id", "user_id + 1 AS candidate_id", "sha2(concat('t', event_id), 256) AS token_hash", "ts + INTERVAL 3 DAY AS expires_at",
         f"CASE WHEN event_id % 4 = 0 THEN NULL ELSE array(event_id % {n} + 1, (event_id * 7) % {n} + 1) END AS allowed_slot_ids",
         "CASE WHEN event_id % 10 = 0 THEN ts + INTERVAL 1 DAY END AS revoked_at", "ts AS created_at",
@@ -243,7 +243,7 @@ def booking_invitations(t: Tables) -> DataFrame:
 @view
 def interviewer_invites(t: Tables) -> DataFrame:
     n = t.count("supplier")
-    return t.raw("events").where("event_type = 'purchase'").selectExpr("event_id + 1 AS invite_id", f"user_id % {n} + 1 AS interviewer_id", "sha2(concat('i', event_id), 256) AS token_hash", "CASE WHEN event_id % 8 = 0 THEN NULL ELSE concat('i', event_id) END AS raw_token", "ts + INTERVAL 7 DAY AS expires_at", "CASE WHEN event_id % 12 = 0 THEN ts + INTERVAL 1 DAY END AS revoked_at", "ts AS created_at")
+    return t.raw("events").selectExpr("event_id + 1 AS invite_id", f"user_id % {n} + 1 AS interviewer_id", "sha2(concat('i', event_id), 256) AS token_hash", "CASE WHEN event_id % 8 = 0 THEN NULL ELSE concat('i', event_id) END AS raw_token", "ts + INTERVAL 7 DAY AS expires_at", "CASE WHEN event_id % 12 = 0 THEN ts + INTERVAL 1 DAY END AS revoked_at", "ts AS created_at")
 
 
 @view

@@ -80,6 +80,19 @@ def folded(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).casefold())
 
 
+@F.pandas_udf(T.StringType())
+def nfc(values: pd.Series) -> pd.Series:
+    """Composed characters (NFC), which Spark lacks: names of files and what is copied from some systems have Hangul in parts."""
+    return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.ArrayType(T.StringType()))))
+def nfc_cells(values: pd.Series) -> pd.Series:
+    """The same for tables of rows of cells."""
+    composed = lambda v: v if v is None else unicodedata.normalize("NFC", v) if isinstance(v, str) else [composed(w) for w in v]
+    return values.map(composed)
+
+
 def normalize_position(col: Column) -> Column:
     return F.regexp_replace(folded(col), "[^0-9a-zA-Z가-힣]+", "")
 

@@ -1,7 +1,7 @@
 """Matching of resumes to positions, position categories, job descriptions.
 
-Positions and job descriptions are small dimensions: up to ``BROADCAST_POSITIONS`` rows of them are broadcast to the distinct terms
-of all resumes. More are refused, so that none is left out unseen; the best of parts is the best of all.
+Terms of resumes and names of positions meet by equal texts, by the rarest piece of four letters of the one that is to lie within the other, and by groups of
+synonyms: equi-joins, so neither side is bounded. Job sections are taken in broadcast blocks of ``BROADCAST_POSITIONS`` rows.
 """
 
 from __future__ import annotations
@@ -68,75 +68,90 @@ def category_groups(positions: DataFrame) -> DataFrame:
     return grouped.withColumn("place", F.array_position(order, F.col("category")).cast("int")).orderBy("place")
 
 
-def has_alias(value: Column, group: list[str]) -> Column:
-    return F.coalesce(value.rlike("|".join(group)), F.lit(False))
-
-
-def pair_score(term: Column, name: Column) -> Column:
-    """The score of one term against one normalized position name."""
-    usable = ~term.isin(BROAD)
-    inside = F.when(usable & term.contains(name) & (F.char_length(name) >= 4), F.when(F.char_length(name) >= 8, 95).otherwise(90)).otherwise(0)
-    holds = F.when(usable & name.contains(term) & (F.char_length(term) >= 4), F.when(F.char_length(term) >= 8, 95).otherwise(85)).otherwise(0)
-    kin = F.when(sum(((has_alias(term, g) & has_alias(name, g)).cast("int") for g in SYNONYMS), F.lit(0)) > 0, 80).otherwise(0)
-    return F.when((name == term) & (name != ""), 100).when(name == "", 0).otherwise(F.greatest(inside, holds, kin))
-
-
 def in_blocks(df: DataFrame, key: str) -> list[DataFrame]:
     """A dimension in parts small enough for broadcast, by a hash of its key; one part where the whole is."""
     n = -(-df.count() // BROADCAST_POSITIONS) or 1
     return [F.broadcast(df.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) if n > 1 else df) for i in range(n)]
 
 
+#: Why a term and a name match, in order of preference among equal scores.
 KINDS = ["exact", "contains", "contained", "synonym"]
+PIECE = 4
+SHOWN = 5
+
+
+def pieces(col: Column) -> Column:
+    """The distinct runs of four letters of a text; none of a shorter one."""
+    return F.when(F.char_length(col) >= PIECE, F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(col) - PIECE + 1), lambda i: F.substring(col, i, PIECE))))
+
+
+def contained_in(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """Pairs (part, whole) of distinct texts where a part of four letters or more lies within a whole.
+
+    All pieces of a part must be pieces of the wholes; the one that the fewest wholes have leads to those.
+    """
+    held = wholes.select("whole", F.explode(pieces(F.col("whole"))).alias("piece"))
+    times = held.groupBy("piece").agg(F.count("*").alias("n"))
+    own = parts.select("part", F.size(pieces(F.col("part"))).alias("size"), F.explode(pieces(F.col("part"))).alias("piece")).join(times, "piece")
+    rarest = own.groupBy("part").agg(F.count("*").alias("found"), F.first("size").alias("size"), F.min(F.struct("n", "piece")).alias("_r")).where("found = size").select("part", "_r.piece")
+    return rarest.join(held, "piece").where(F.col("whole").contains(F.col("part"))).select("part", "whole")
 
 
-def pair_reason(term: Column, name: Column, score: Column) -> Column:
-    """Which rule gave a score; of rules that give the same the first."""
-    usable = ~term.isin(BROAD)
-    contains = usable & term.contains(name) & (F.char_length(name) >= 4) & (score == F.when(F.char_length(name) >= 8, 95).otherwise(90))
-    contained = usable & name.contains(term) & (F.char_length(term) >= 4) & (score == F.when(F.char_length(term) >= 8, 95).otherwise(85))
-    return F.when(score == 100, "exact").when(contains, "contains").when(contained, "contained").otherwise("synonym")
+def groups_of(col: Column) -> Column:
+    """The numbers of the synonym groups of which a text holds a word."""
+    return F.array_compact(F.array(*[F.when(col.rlike("|".join(group)), F.lit(i)) for i, group in enumerate(SYNONYMS)]))
 
 
-def scores(evidence: DataFrame, positions: DataFrame) -> DataFrame:
+def scores(evidence: DataFrame, positions: DataFrame, least_ids: int | None = None) -> DataFrame:
     """evidence: id, index, text. The best score of each (id, position) over all evidence, capped by index: 0 none, 1 90, others 75.
 
     Terms are scored per distinct term, so a term that many resumes share is matched once. The reason is that of the greatest score, of
-    equal ones that of the first term.
+    equal ones that of the first term. least_ids: of the positions of a synonym group, which all score alike, only so many with the smallest ids are
+    kept; those are the ones that can be among as many best ones, or tie.
     """
     terms = evidence.select("id", "index", F.explode(x.position_terms(F.col("text"))).alias("term"))
-    names = positions.select("position_id", x.normalize_position(F.col("position_name")).alias("name"))
-    asked, score = terms.select("term").distinct(), pair_score(F.col("term"), F.col("name"))
-    told = x.once(score, lambda s: F.struct(s.alias("score"), pair_reason(F.col("term"), F.col("name"), s).alias("reason")))
-    found = [asked.join(part, score > 0).select("term", "position_id", told.alias("_s")).select("term", "position_id", "_s.*") for part in in_blocks(names, "position_id")]
-    known = reduce(DataFrame.union, found)
+    names = positions.select("position_id", x.normalize_position(F.col("position_name")).alias("name")).where("name <> ''")
+    asked, named = terms.select("term").distinct(), names.select("name").distinct()
+    usable = asked.where(~F.col("term").isin(BROAD))
+    found = lambda pairs, kind, score: pairs.join(names, "name").select("term", "position_id", F.lit(KINDS.index(kind)).alias("kind"), score.alias("score"))
+    long = lambda c, other: F.when(F.char_length(c) >= 8, 95).otherwise(other)
+    exact = found(asked.join(named, F.col("term") == F.col("name")), "exact", F.lit(100))
+    contains = found(contained_in(named.select(F.col("name").alias("part")), usable.select(F.col("term").alias("whole"))).select(F.col("whole").alias("term"), F.col("part").alias("name")), "contains", long("name", 90))
+    contained = found(contained_in(usable.select(F.col("term").alias("part")), named.select(F.col("name").alias("whole"))).select(F.col("part").alias("term"), F.col("whole").alias("name")), "contained", long("term", 85))
+    kin = names.select("position_id", F.explode(groups_of(F.col("name"))).alias("group"))
+    if least_ids is not None:
+        kin = kin.withColumn("_n", F.row_number().over(Window.partitionBy("group").orderBy("position_id"))).where(F.col("_n") <= least_ids)
+    synonym = asked.select("term", F.explode(groups_of(F.col("term"))).alias("group")).join(kin, "group").select("term", "position_id", F.lit(KINDS.index("synonym")).alias("kind"), F.lit(80).alias("score"))
+    known = reduce(DataFrame.union, [exact, contains.select(*exact.columns), contained.select(*exact.columns), synonym]).groupBy("term", "position_id").agg(F.max(F.struct("score", (-F.col("kind")).alias("less"))).alias("_s"))
+    known = known.select("term", "position_id", "_s.score", F.get(F.lit(KINDS), -F.col("_s.less")).alias("reason"))
     cap = F.when(F.col("index") == 0, 100).when(F.col("index") == 1, 90).otherwise(75)
     return terms.join(known, "term").withColumn("score", F.least("score", cap).cast("int")).groupBy("id", "position_id").agg(F.max("score").alias("score"), F.min(F.struct((-F.col("score")).alias("s"), "term", "reason")).alias("_why")).select("id", "position_id", "score", F.concat_ws(": ", "_why.reason", "_why.term").alias("reason"))
 
 
-def decide(scored: DataFrame, ids: DataFrame, least: int, positions: DataFrame) -> DataFrame:
-    """Per id: status, matched_position_id, the reason of the match, best score and the five best candidates."""
+def decide(scored: DataFrame, ids: DataFrame, least: int, positions: DataFrame, best_only: bool = False) -> DataFrame:
+    """Per id: status, matched_position_id, the reason of the match, best score and the five best candidates (best_only: those with the best score)."""
     none_there = positions.isEmpty()
     order = Window.partitionBy("id").orderBy(F.desc("score"), "position_id")
     ranked = scored.withColumn("_n", F.row_number().over(order)).withColumn("_best", F.max("score").over(Window.partitionBy("id"))).withColumn("_tied", F.count(F.when(F.col("score") == F.col("_best"), 1)).over(Window.partitionBy("id")))
-    top = ranked.where("_n <= 5").groupBy("id").agg(F.max("_best").alias("score"), F.max("_tied").alias("tied"), F.min(F.when(F.col("_n") == 1, F.col("position_id"))).alias("first"), F.min(F.when(F.col("_n") == 1, F.col("reason"))).alias("why"), F.transform(F.sort_array(F.collect_list(F.struct("_n", "position_id"))), lambda c: c["position_id"]).alias("candidates"))
+    listed = ranked.where((F.col("_n") <= SHOWN) & (F.col("score") == F.col("_best") if best_only else F.lit(True)))
+    top = listed.groupBy("id").agg(F.max("_best").alias("score"), F.max("_tied").alias("tied"), F.min(F.when(F.col("_n") == 1, F.col("position_id"))).alias("first"), F.min(F.when(F.col("_n") == 1, F.col("reason"))).alias("why"), F.transform(F.sort_array(F.collect_list(F.struct("_n", "position_id"))), lambda c: c["position_id"]).alias("candidates"))
     rows = ids.join(top, "id", "left")
     status = F.when(~F.col("provided"), "notProvided").when(F.lit(none_there), "noPositions").when(F.col("score").isNull(), "noMatch").when(F.col("score") < least, "lowConfidence").when(F.col("tied") > 1, "ambiguous").otherwise("matched")
     return rows.select("id", status.alias("status"), F.when(status == "matched", F.col("first")).alias("matched_position_id"), F.when(status == "matched", F.col("why")).alias("reason"), "score", F.coalesce("candidates", F.array().cast("array<bigint>")).alias("candidates"))
 
 
 def match_positions(texts: DataFrame, positions: DataFrame) -> DataFrame:
-    """texts: id, text. One text per id."""
+    """texts: id, text. One text per id. Candidates are the positions with the best score: one if matched, up to five if ambiguous."""
     given = texts.select("id", x.clean(F.col("text")).alias("text"))
     ids = given.select("id", F.col("text").isNotNull().alias("provided"))
-    return decide(scores(given.where("text IS NOT NULL").withColumn("index", F.lit(0)), positions), ids, 0, positions)
+    return decide(scores(given.where("text IS NOT NULL").withColumn("index", F.lit(0)), positions, SHOWN), ids, 0, positions, best_only=True)
 
 
 def match_resume_positions(evidence: DataFrame, positions: DataFrame) -> DataFrame:
     """evidence: id, fields (array of texts in order of weight). Blank fields go before places are counted."""
     given = evidence.select("id", F.filter(F.transform("fields", x.clean), lambda v: v.isNotNull()).alias("fields"))
     ids = given.select("id", (F.size("fields") > 0).alias("provided"))
-    return decide(scores(given.select("id", F.posexplode("fields").alias("index", "text")), positions), ids, 80, positions)
+    return decide(scores(given.select("id", F.posexplode("fields").alias("index", "text")), positions, SHOWN), ids, 80, positions)
 
 
 def section_number(value: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from staffloom.functions import text as x
 from staffloom.functions.text import once
-from staffloom.operators.resume_records import DATE_RANGE, EDU_SKIP, GRADUATION, SCHOOL, YEAR_MONTH, any_of, best, candidate, cell_service, education_score, education_text, first_of, messy_school, slash_service, split_education
+from staffloom.operators.resume_records import DATE_RANGE, EDU_SKIP, GRADUATION, SCHOOL, YEAR_MONTH, any_of, best, candidate, cell_service, education_score, education_text, first_of, messy_school, education_parts, slash_service
 from staffloom.operators.resume_text import LANDLINE, MOBILE, education_level, found, is_header_line, period_of
 
 # Labels without white space in lower case, and marks of a photo's cell.
@@ -113,7 +113,7 @@ def education_rows(rows: Column) -> Column:
             whole = once(period_of(f["period"], f["text"]), plain)
             merged = F.concat_ws(" ", none(f["school"]), none(f["major"]), none(f["period"]))
             finer = lambda s: F.struct(F.coalesce(s["school"], f["school"]).alias("school"), F.coalesce(s["department"], none(f["major"])).alias("department"), s["level"].alias("level"), F.coalesce(s["period"], none(f["period"])).alias("period"), none(f["location"]).alias("location"), none(f["grade"]).alias("grade"), s["start"].alias("start"), s["end"].alias("end"))
-            return F.when(messy_school(f["school"]), once(split_education(merged), finer)).otherwise(whole)
+            return F.when(messy_school(f["school"]), once(education_parts(merged), finer)).otherwise(whole)
 
         some = F.filter(body(rows), lambda row: any_of(F.array_join(row, " "), ["대학교", "대학원", "대학", "고등학교"]))
         return F.transform(F.transform(some, fields), made)
@@ -209,7 +209,7 @@ def grid_service(tables: Column) -> Column:
 
 def grid_records(docs: DataFrame, key: str, tables: str) -> DataFrame:
     """A row per document from its tables (tables of rows of cells): labelled values, best education, and rows of each kind; null tables give an empty record."""
-    rows = docs.select(F.col(key), without_merged(F.coalesce(F.col(tables), F.array().cast("array<array<array<string>>>"))).alias("_t"))
+    rows = docs.select(F.col(key), without_merged(F.coalesce(x.nfc_cells(F.col(tables)), F.array().cast("array<array<array<string>>>"))).alias("_t"))
     rows = rows.withColumns({"_e": table_of(F.col("_t"), "education"), "_c": table_of(F.col("_t"), "career")})
     return rows.select(
         key, *[label_value(F.col("_t"), kind).alias(kind) for kind in LABELS], grid_education(F.col("_e"))["value"].alias("finalEducation"), education_rows(F.col("_e")).alias("educationRows"), grid_careers(F.col("_c")).alias("careers"),

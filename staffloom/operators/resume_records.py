@@ -29,6 +29,10 @@ CUT_HEADERS = ["학력사항", "학력구분", "학교명", "재학기간", "졸
 CAREER_WORDS = ["MCU", "펌웨어", "개발", "사원", "대리", "과장", "차장", "부장", "팀장", "엔지니어", "Engineer", "연구", "설계", "제어", "테크", "솔루션", "오토", "센서", "R&D", "시스템", "소프트웨어", "하드웨어", "매니저", "직원", "재직", "근무", "입사", "퇴사", "(주)", "㈜", "주식회사", "회사", "기업", "산업", "인턴", "계약직", "정규직", "선임", "수석", "책임"]
 EDUCATION_WORDS = ["대학교", "대학원", "대학", "고등학교", "수료", "양성과정", "사관학교", "중학교"]
 NOISE_WORDS = ["학력사항", "학력구분", "학교명", "단과대학", "단과대학(학부)", "학 과", "평균학점", "소재지", "경력사항", "회사명", "직 급", "부 서", "담당업무", "연 봉", "해외경험", "외국어", "자격사항", "병역사항", "자기소개", "기 간", "기간", "년", "월", "구분", "평가년월", "활 동  내 역", "자격종류", "등급", "기 관", "국가보훈", "대상여부"]
+# Heads of a career table that fell into lines.
+CAREER_HEADS = ["-", "회사명", "직급", "부서", "담당업무", "연봉", "년", "월"]
+# Lines that fill an empty cell of a career table (the last one is how an amount of 8,000 is spelled there).
+FILLERS = ["-", "/", "`8000"]
 COMPANY = r"([가-힣]{2,}[\w가-힣]*)"
 JOB = r"([가-힣/]{2,}(?:개발|분석|관리|기획|설계|마케팅|영업|연구|사원|대리|과장|팀장|엔지니어))"
 JOB_WORDS = r"(?i)(개발|분석|관리|기획|설계|연구|엔지니어|담당|업무|부서|직무|QA|테스트)"
@@ -91,7 +95,12 @@ def major_of(text: Column) -> Column:
 
 
 def split_education(blob: Column) -> Column:
-    """struct(school, department, level, period, start, end) of one merged cell: school, major, state and (period)."""
+    """struct(school, department, level, period, start, end) of one merged cell: school, major, state and (period), in composed characters."""
+    return education_parts(x.nfc(blob))
+
+
+def education_parts(blob: Column) -> Column:
+    """``split_education`` of a text that is composed already."""
     period = F.regexp_extract(blob, DATE_RANGE, 1)
     bare = F.regexp_replace(blob, r"\(\s*" + DATE_RANGE + r"\s*\)", " ")
     cut = F.when(bare == blob, F.when(period != "", F.replace(blob, period, F.lit(" "))).otherwise(blob)).otherwise(bare)
@@ -218,10 +227,10 @@ def section_career(text: Column, kind: str) -> Column:
         if kind == "hwp":
             numbered = F.filter(F.transform(lines, lambda v, i: F.struct(i.alias("i"), F.regexp_replace(v, r"^(\d{4})[.\-]?(\d{1,2})$", "$1.$2").alias("m"), v.rlike(r"^\d{4}[.\-]?\d{1,2}$").alias("ok"))), lambda n: n["ok"])
             pairs = once(numbered, lambda n: F.filter(F.transform(n, lambda a, k: F.struct(F.get(n, k + 1)["i"].alias("i"), F.concat(a["m"], F.lit("~"), F.get(n, k + 1)["m"]).alias("period"), (k % 2).alias("odd"))), lambda q: (q["odd"] == 0) & q["period"].isNotNull()))
-            plain = lambda v: ~v.isin("-", "회사명", "직급", "부서", "담당업무", "연봉", "년", "월") & ~any_of(v, NOISE_WORDS)
+            plain = lambda v: ~v.isin(*CAREER_HEADS) & ~any_of(v, NOISE_WORDS)
         else:
             pairs = F.filter(F.transform(lines, lambda v, i: F.struct(i.alias("i"), found(v, DATE_RANGE).alias("period"), F.lit(0).alias("odd"))), lambda q: q["period"].isNotNull())
-            plain = lambda v: ~any_of(v, NOISE_WORDS) & ~v.isin("-", "/", "`8000") & ~v.rlike(DATE_RANGE)
+            plain = lambda v: ~any_of(v, NOISE_WORDS) & ~v.isin(*FILLERS) & ~v.rlike(DATE_RANGE)
 
         def made(q: Column) -> Column:
             rest = F.filter(tail(q["i"]), plain)
@@ -360,14 +369,14 @@ def parse_resumes(docs: DataFrame, key: str, text: str, kind: str) -> DataFrame:
     kind: a column, ``pdf`` or ``hwp`` (tables that fell into lines; each has its repairs and its sections) or another. A null text has an empty
     record. Statements are rows of ``split_cover_letter`` over the column ``letter``. Other columns are left out.
     """
-    source = F.coalesce(F.col(text), F.lit(""))
+    source = F.coalesce(x.nfc(F.col(text)), F.lit(""))
     repaired = F.when(F.col(kind) == "pdf", x.repair_broken_text(source, "pdf")).when(F.col(kind) == "hwp", x.repair_broken_text(source, "hwp")).otherwise(source)
     rows = docs.select(F.col(key), F.col(kind).alias("fileType"), repaired.alias("_raw")).withColumn("_clean", F.regexp_replace("_raw", r"[ \t]+", " "))
     of_kind = lambda f: F.when(F.col("fileType") == "pdf", f(F.col("_raw"), "pdf")).when(F.col("fileType") == "hwp", f(F.col("_raw"), "hwp"))
     clean = F.col("_clean")
     rows = rows.withColumns({"_basic": extract_basic(clean), "_edu": final_education(clean), "_sec": of_kind(section_education), "_job": of_kind(section_career), "_more": extract_profile_scalars(clean)})
     rows = rows.withColumn("_careers", career_entries(clean, F.col("_edu.period")))
-    has_major = lambda v: split_education(v)["department"].isNotNull()
+    has_major = lambda v: education_parts(v)["department"].isNotNull()
     section = F.coalesce(F.col("_sec.value"), F.lit(""))
     better = (section != "") & (bad_education(F.col("_edu.value")) | (~has_major(F.col("_edu.value")) & has_major(section)))
     joined = lambda c: F.array_join(F.transform("_careers", lambda e: e[c]), "\n")

@@ -6,6 +6,9 @@ joins, so no join multiplies rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -260,25 +263,54 @@ def validate_bookings(requests: DataFrame, candidates: DataFrame, slots: DataFra
     return rows.select("request_no", "slot_id", "candidate_id", reason.alias("reason"), F.coalesce("remaining", F.lit(0)).alias("remaining"))
 
 
-def admit_bookings(requests: DataFrame, candidates: DataFrame, slots: DataFrame, bookings: DataFrame, now: str, save) -> DataFrame:
-    """Replays requests in order: one active booking per candidate, no more than a slot's capacity, earlier ones first.
+def replayed(pending: DataFrame) -> DataFrame:
+    """Decisions of pending requests one after another, in one task."""
+
+    def replay(rows: pd.DataFrame) -> pd.DataFrame:
+        left, booked, told = {}, set(), []
+        for row in rows.sort_values("request_no").itertuples():
+            room = left.setdefault(row.slot_id, row.remaining)
+            told.append("already_booked" if row.candidate_id in booked else "full" if room <= 0 else "admitted")
+            if told[-1] == "admitted":
+                booked.add(row.candidate_id)
+                left[row.slot_id] -= 1
+        return rows.sort_values("request_no")[["request_no", "slot_id", "candidate_id"]].assign(decision=told)
+
+    kinds = dict(pending.dtypes)
+    return pending.groupBy(F.lit(0)).applyInPandas(replay, ", ".join(f"{c} {kinds[c]}" for c in ("request_no", "slot_id", "candidate_id")) + ", decision string")
+
+
+def admit_bookings(requests: DataFrame, candidates: DataFrame, slots: DataFrame, bookings: DataFrame, now: str, save, tail: int = 10_000) -> DataFrame:
+    """Replays requests in order: one active booking per candidate, no more than a slot's capacity, earlier ones first. With the ``round`` of each decision.
 
     Rounds: a request is refused once its candidate is booked or its slot is full; it is admitted if it is its candidate's first
     pending one and among the pending of its slot stands within the room left. The earliest pending request is always decided, so
-    the rounds end. save: writes a frame to shared storage and reads it back, which cuts the lineage.
+    the rounds end. A round reads and writes the pending requests only, with the room left of their slots; once no more than ``tail`` are pending, one task
+    replays them in order, so long chains of a few requests take no rounds. save: writes a frame to shared storage and reads it back, which cuts the lineage.
     """
-    checked = validate_bookings(requests, candidates, slots, bookings, now)
-    state = save(checked.withColumn("decision", F.when(F.col("reason") != "ok", F.col("reason"))))
-    while state.where("decision IS NULL").limit(1).count():
-        taken = state.where("decision = 'admitted'").select("candidate_id").distinct().withColumn("_taken", F.lit(True))
-        used = state.where("decision = 'admitted'").groupBy("slot_id").agg(F.count("*").alias("_used"))
-        pending = state.where("decision IS NULL").join(taken, "candidate_id", "left").join(used, "slot_id", "left").withColumn("_left", F.col("remaining") - F.coalesce("_used", F.lit(0)))
-        refused = F.when(F.col("_taken").isNotNull(), "already_booked").when(F.col("_left") <= 0, "full")
-        pending = pending.withColumn("_no", refused)
-        alive = pending.where("_no IS NULL").withColumn("_first", F.row_number().over(Window.partitionBy("candidate_id").orderBy("request_no"))).withColumn("_rank", F.row_number().over(Window.partitionBy("slot_id").orderBy("request_no")))
-        decided = alive.select("request_no", F.when((F.col("_first") == 1) & (F.col("_rank") <= F.col("_left")), "admitted").alias("_new")).union(pending.where("_no IS NOT NULL").select("request_no", "_no")).where("_new IS NOT NULL")
-        state = save(state.join(decided, "request_no", "left").withColumn("decision", F.coalesce("decision", "_new")).drop("_new"))
-    return state.select("request_no", "slot_id", "candidate_id", "decision")
+    said = ["request_no", "slot_id", "candidate_id", "decision"]
+    checked = save(validate_bookings(requests, candidates, slots, bookings, now))
+    done = [checked.where("reason <> 'ok'").select(*said[:3], F.col("reason").alias("decision"), F.lit(0).alias("round"))]
+    pending = checked.where("reason = 'ok'").select(*said[:3], "remaining")
+    number = 0
+    while (count := pending.count()) > 0:
+        number += 1
+        if count <= tail:
+            done.append(save(replayed(pending).withColumn("round", F.lit(number))))
+            break
+        most = pending.agg(F.max("remaining")).first()[0]
+        first = pending.groupBy("candidate_id").agg(F.min("request_no").alias("request_no"))
+        # of a slot no more than the most room of any is looked at, which each task cuts its rows to
+        ranked = pending.withColumn("_rank", F.row_number().over(Window.partitionBy("slot_id").orderBy("request_no"))).where(F.col("_rank") <= F.lit(most)).where(F.col("_rank") <= F.col("remaining"))
+        admitted = save(ranked.select("slot_id", "request_no", "candidate_id").join(first, ["candidate_id", "request_no"]))
+        taken = admitted.select("candidate_id", F.col("request_no").alias("_by"))
+        used = admitted.groupBy("slot_id").agg(F.count("*").alias("_used"))
+        rest = pending.join(taken, "candidate_id", "left").join(used, "slot_id", "left").withColumn("remaining", F.col("remaining") - F.coalesce("_used", F.lit(0)))
+        decision = F.when(F.col("_by") == F.col("request_no"), "admitted").when(F.col("_by").isNotNull(), "already_booked").when(F.col("remaining") <= 0, "full")
+        step = save(rest.withColumn("decision", decision).select(*said, "remaining"))
+        done.append(step.where("decision IS NOT NULL").select(*said, F.lit(number).alias("round")))
+        pending = step.where("decision IS NULL").select(*said[:3], "remaining")
+    return reduce(DataFrame.union, done)
 
 
 def validate_cancellations(requests: DataFrame, slots: DataFrame, bookings: DataFrame, now: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from staffloom.fixtures import Tables
 from staffloom.operators import matching as m
-from staffloom.operators import quality, vectors
+from staffloom.operators import vectors
 from staffloom.plans.catalog import query, stamp
 from staffloom.streaming import jobs
 
@@ -25,13 +25,13 @@ WHY = f"""CASE WHEN s = 100 THEN 'exact' WHEN term NOT IN ({BROAD}) AND contains
  WHEN term NOT IN ({BROAD}) AND contains(pname, term) AND length(term) >= 4 AND s = CASE WHEN length(term) >= 8 THEN 95 ELSE 85 END THEN 'contained' ELSE 'synonym' END"""
 
 
-def decided(evidence: str, least: int) -> str:
+def decided(evidence: str, least: int, listed: str = "n <= 5") -> str:
     """SQL of a match over evidence(id, idx, text) and ids(id)."""
     return f"""WITH {evidence}, raw AS (SELECT id, idx, unnest(list_concat([text], string_split_regex(text, '{SEP}'))) AS t FROM ev), terms AS (SELECT DISTINCT id, idx, {NORM.format('t')} AS term FROM raw WHERE {NORM.format('t')} <> ''),
  names AS (SELECT position_id, {NORM.format('position_name')} AS pname FROM positions), known AS (SELECT term, position_id, s, {WHY} AS why FROM (SELECT term, pname, position_id, {PAIR} AS s FROM (SELECT DISTINCT term FROM terms), names)),
  sc AS (SELECT id, position_id, max(c) AS s, arg_min(why || ': ' || term, (-c, term)) AS why FROM (SELECT *, least(s, CASE idx WHEN 0 THEN 100 WHEN 1 THEN 90 ELSE 75 END) AS c FROM terms JOIN known USING (term) WHERE s > 0) GROUP BY id, position_id),
  rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, position_id) AS n, max(s) OVER (PARTITION BY id) AS best FROM sc),
- top AS (SELECT id, max(best) AS score, count(*) FILTER (s = best) AS tied, min(position_id) FILTER (n = 1) AS first, min(why) FILTER (n = 1) AS why, string_agg(CAST(position_id AS VARCHAR), '|' ORDER BY n) FILTER (n <= 5) AS candidates FROM rk GROUP BY id),
+ top AS (SELECT id, max(best) AS score, count(*) FILTER (s = best) AS tied, min(position_id) FILTER (n = 1) AS first, min(why) FILTER (n = 1) AS why, string_agg(CAST(position_id AS VARCHAR), '|' ORDER BY n) FILTER ({listed}) AS candidates FROM rk GROUP BY id),
  st AS (SELECT ids.id, score, first, why, candidates, CASE WHEN ids.id NOT IN (SELECT id FROM ev) THEN 'notProvided' WHEN score IS NULL THEN 'noMatch' WHEN score < {least} THEN 'lowConfidence' WHEN tied > 1 THEN 'ambiguous' ELSE 'matched' END AS status FROM ids LEFT JOIN top ON top.id = ids.id)
  SELECT id, status, CASE WHEN status = 'matched' THEN first END AS matched_position_id, CASE WHEN status = 'matched' THEN why END AS reason, CAST(score AS INTEGER) AS score, coalesce(candidates, '') AS candidates FROM st"""
 
@@ -40,7 +40,7 @@ def shown(df: DataFrame) -> DataFrame:
     return df.withColumn("candidates", F.array_join(F.col("candidates").cast("array<string>"), "|"))
 
 
-@query("d17_match_positions", decided("ids AS (SELECT p_partkey AS id FROM part), ev AS (SELECT p_partkey AS id, 0 AS idx, p_name || ' / ' || position_name || CASE WHEN p_partkey % 4 = 0 THEN ' + server' ELSE '' END AS text FROM part JOIN positions ON position_id = p_partkey % 24 + 1 WHERE p_partkey % 9 <> 0)", 0))
+@query("d17_match_positions", decided("ids AS (SELECT p_partkey AS id FROM part), ev AS (SELECT p_partkey AS id, 0 AS idx, p_name || ' / ' || position_name || CASE WHEN p_partkey % 4 = 0 THEN ' + server' ELSE '' END AS text FROM part JOIN positions ON position_id = p_partkey % 24 + 1 WHERE p_partkey % 9 <> 0)", 0, "n <= 5 AND s = best"))
 def _(t: Tables) -> DataFrame:
     rows = t.raw("part").withColumn("position_id", F.expr("CAST(p_partkey % 24 + 1 AS INT)")).join(t.positions, "position_id")
     return shown(m.match_positions(rows.selectExpr("p_partkey AS id", "CASE WHEN p_partkey % 9 <> 0 THEN concat(p_name, ' / ', position_name, CASE WHEN p_partkey % 4 = 0 THEN ' + server' ELSE '' END) END AS text"), t.positions))
@@ -118,14 +118,11 @@ def _(t: Tables) -> DataFrame:
     return vectors.topk_similar(e.where("vec_id % 50 = 0"), e, metric="l2").withColumn("score", F.round("score", 4))
 
 
-@query("h8_audit_constraints", """SELECT 'interview_bookings' AS table_name, 'one_active_per_candidate' AS rule, CAST(candidate_id AS VARCHAR) AS key FROM bookings WHERE cancelled_at IS NULL GROUP BY candidate_id HAVING count(*) > 1
- UNION ALL SELECT 'question_generation_jobs', 'one_active_per_user', CAST(created_by_user_id AS VARCHAR) FROM question_jobs WHERE status IN ('queued', 'running') AND created_by_user_id IS NOT NULL GROUP BY created_by_user_id HAVING count(*) > 1
- UNION ALL SELECT 'question_generation_jobs', 'one_active_per_interviewer', CAST(created_by_interviewer_id AS VARCHAR) FROM question_jobs WHERE status IN ('queued', 'running') AND created_by_interviewer_id IS NOT NULL GROUP BY created_by_interviewer_id HAVING count(*) > 1
- UNION ALL SELECT 'interview_bookings', 'cancel_after_create', CAST(booking_id AS VARCHAR) FROM bookings WHERE cancelled_at < created_at UNION ALL SELECT 'interview_slots', 'position_exists', CAST(slot_id AS VARCHAR) FROM slots WHERE position_id NOT IN (SELECT position_id FROM positions)
- UNION ALL SELECT 'interview_bookings', 'slot_exists', CAST(booking_id AS VARCHAR) FROM bookings WHERE slot_id NOT IN (SELECT slot_id FROM slots) UNION ALL SELECT 'interview_slots', 'deadline_before_start', CAST(slot_id AS VARCHAR) FROM slots WHERE booking_deadline_at > interview_starts_at
- UNION ALL SELECT 'interview_slot_interviewers', 'interviewer_exists', CAST(slot_id AS VARCHAR) FROM slot_interviewers WHERE interviewer_id NOT IN (SELECT interviewer_id FROM interviewers)""")
+@query("c19_topk_index")
 def _(t: Tables) -> DataFrame:
-    return quality.audit_constraints(t)
+    e = t.raw("embeddings")
+    centres = vectors.fit_cells(e)
+    return vectors.search_index(e.where("vec_id % 50 = 0"), vectors.build_index(e, centres), centres).withColumn("score", F.round("score", 4))
 
 
 @query("i2_latest_decision", "SELECT token, arg_max(lower(trim(decision)), (decided_at, seq)) AS decision FROM availability_decisions WHERE lower(trim(decision)) IN ('accepted', 'declined') GROUP BY token")

@@ -178,14 +178,14 @@ SELECT event_id + 1 AS invitation_id, user_id + 1 AS candidate_id,
   CASE WHEN event_id % 4 = 0 THEN NULL
        ELSE [event_id % (SELECT count(*) FROM orders) + 1, (event_id * 7) % (SELECT count(*) FROM orders) + 1] END AS allowed_slot_ids,
   CASE WHEN event_id % 10 = 0 THEN ts + to_days(1) END AS revoked_at, ts AS created_at
-FROM events WHERE event_type IN ('signup', 'view')
+FROM events
 """,
     "interviewer_invites": """
 SELECT event_id + 1 AS invite_id, user_id % (SELECT count(*) FROM supplier) + 1 AS interviewer_id,
   sha256('i' || CAST(event_id AS VARCHAR)) AS token_hash,
   CASE WHEN event_id % 8 = 0 THEN NULL ELSE 'i' || CAST(event_id AS VARCHAR) END AS raw_token,
   ts + to_days(7) AS expires_at, CASE WHEN event_id % 12 = 0 THEN ts + to_days(1) END AS revoked_at, ts AS created_at
-FROM events WHERE event_type = 'purchase'
+FROM events
 """,
     "availability_decisions": """
 SELECT user_id AS token, event_id AS seq, ts AS decided_at,

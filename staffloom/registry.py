@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from staffloom.plans import matching, people, questions, resume_text, scalars, scheduling  # noqa: F401
+from staffloom.plans import audit, matching, people, questions, resume_text, scalars, scheduling  # noqa: F401
 from staffloom.plans.catalog import ORACLES, QUERIES
 
 Query = Callable[[SparkSession, str], DataFrame]

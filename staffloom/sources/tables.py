@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Columns by table, as SQL types; keys of the sources are not trusted, see operators.quality.audit_constraints.
 SCHEMAS = {
@@ -26,24 +27,33 @@ SCHEMAS = {
 SPLIT_ON = {name: schema.split()[0] for name, schema in SCHEMAS.items()}
 
 
+def arrays_read(df: DataFrame, schema: str) -> DataFrame:
+    """Columns of the schema's types; arrays come as JSON text."""
+    kinds = {c.split()[0]: c.split(maxsplit=1)[1] for c in schema.split(", ")}
+    return df.select(*[(F.from_json(c, kind) if "ARRAY" in kind else F.col(c).cast(kind)).alias(c) for c, kind in kinds.items() if c in df.columns])
+
+
+def key_bounds(spark: SparkSession, name: str, source: str, **options: str) -> tuple[int, int]:
+    """The smallest and the greatest key of a table in a database, which is asked for these two numbers only."""
+    key = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(source).quoteIdentifier(SPLIT_ON[name])
+    row = spark.read.format("jdbc").option("url", source).option("query", f"SELECT MIN({key}) AS lo, MAX({key}) AS hi FROM {name}").options(**options).load().first()
+    return row[0] or 0, row[1] or 0
+
+
 def read_table(spark: SparkSession, name: str, source: str, kind: str = "parquet", partitions: int = 32, bounds: tuple[int, int] | None = None, **options: str) -> DataFrame:
-    """One table from a folder (parquet, csv, json) or a database (jdbc, read in ranges of its key).
+    """One table from a folder (parquet, csv, json) or a database (jdbc).
 
-    Text formats are read by the schema, arrays as JSON text; no types are inferred.
+    A database is read in ``partitions`` ranges of the key between ``bounds``, by default its smallest and greatest one. Text formats are read
+    by the schema; arrays come as JSON text from csv and databases; no types are inferred.
     """
     schema = SCHEMAS[name]
     if kind == "jdbc":
-        reader = spark.read.format("jdbc").option("url", source).option("dbtable", name).options(**options)
-        if bounds:
-            reader = reader.option("partitionColumn", SPLIT_ON[name]).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", partitions)
-        return reader.load()
+        low, high = bounds or key_bounds(spark, name, source, **options)
+        ranges = {"partitionColumn": SPLIT_ON[name], "lowerBound": str(low), "upperBound": str(max(high, low + 1)), "numPartitions": str(partitions)}
+        return arrays_read(spark.read.format("jdbc").option("url", source).option("dbtable", name).options(**ranges, **options).load(), schema)
     if kind == "csv":
-        from pyspark.sql import functions as F
-
         flat = schema.replace("ARRAY<STRING>", "STRING").replace("ARRAY<BIGINT>", "STRING")
-        df = spark.read.schema(flat).option("header", True).options(**options).csv(f"{source}/{name}.csv")
-        arrays = {c.split()[0]: c.split(maxsplit=1)[1] for c in schema.split(", ") if "ARRAY" in c}
-        return df.withColumns({c: F.from_json(c, kind) for c, kind in arrays.items()})
+        return arrays_read(spark.read.schema(flat).option("header", True).options(**options).csv(f"{source}/{name}.csv"), schema)
     return spark.read.schema(schema).options(**options).format(kind).load(f"{source}/{name}.{kind}")
 
 

@@ -128,7 +128,8 @@ def test_employment_months_match_month_sets(spark):
     assert out == {c: len(m) for c, m in expected.items() if m}
 
 
-def test_admission_matches_replay(spark):
+@pytest.mark.parametrize("tail", [0, 20, 10_000])
+def test_admission_matches_replay(spark, tail):
     rng = random.Random(4)
     t = datetime(2030, 1, 1)
     slots = [(s, 1, "open", t, None, rng.randrange(1, 4)) for s in range(12)]
@@ -137,7 +138,7 @@ def test_admission_matches_replay(spark):
         spark.createDataFrame(requests, "request_no long, slot_id long, candidate_id long"), spark.createDataFrame([(c, 1) for c in range(38)], "candidate_id long, position_id long"),
         spark.createDataFrame(slots, "slot_id long, position_id long, slot_status string, interview_starts_at timestamp_ntz, booking_deadline_at timestamp_ntz, capacity int"), spark.createDataFrame([(1, 0, 3, None)], "booking_id long, slot_id long, candidate_id long, cancelled_at timestamp_ntz"),
     )
-    out = {r.request_no: r.decision for r in scheduling.admit_bookings(*frames, "2029-01-01 00:00:00", lambda df: saved(df, f"t-{random.random()}")).collect()}
+    out = {r.request_no: r.decision for r in scheduling.admit_bookings(*frames, "2029-01-01 00:00:00", lambda df: saved(df, f"t-{random.random()}"), tail).collect()}
     used, booked, expected = {0: 1}, {3}, {}
     room = {s[0]: s[5] for s in slots}
     for n, s, c in sorted(requests):
