@@ -9,7 +9,8 @@
    parts of one word less are both frequent everywhere are counted at the next. What a phrase grows to are its left and right extensions.
 
 Phrases go by number: a level's phrase is the pair of the numbers of its first and its last words but one, so rows of counts are three
-numbers. All shuffles are by word, by phrase or by shard, and no list of words or phrases is held anywhere but a shard's own.
+numbers. All shuffles are by word, by phrase or by shard. A level's frequent phrases go back to the shards that have them by a join, or, where they
+prove to be ``BROADCAST_PHRASES`` at most (24 bytes each), to all of them by broadcast.
 
 Defined results: a null text is empty and adds nothing; a null language is ``und``; repeated rows count each; pieces of any length are
 read whole; ties are broken by the phrase's bytes; an empty table gives no rows; other columns are left out, whatever their names.
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -28,12 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from staffloom.llm.shared import broadcast_within, buckets_for, dealt, written
+from staffloom.llm.shared import broadcast_within, buckets_for, dealt, within, written
 
 LEAST = 30
 SHARD_WORDS = 1_000_000
 SLICE = 1 << 20
-#: Frequent phrases of a level up to which their numbers (24 bytes each) are broadcast; beyond, the join shuffles.
+#: Frequent phrases of the levels so far up to which their numbers are broadcast; beyond, a join brings each shard its own.
 BROADCAST_PHRASES = 1_000_000
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 PLAIN = bytes.maketrans(bytes(range(65, 91)) + BREAKS + b"\t", bytes(range(97, 123)) + b"\n" * len(BREAKS) + b" ")
@@ -106,14 +107,16 @@ def shards_of(docs: DataFrame, lang: str, text: str, shard_words: int) -> DataFr
     return rows.mapInPandas(deal, "shard long, lang string, words array<string>, counts array<long>, ids binary")
 
 
-def ranks(text: np.ndarray, depth: int) -> np.ndarray:
-    """The rank of each place of a text by its next ``depth`` numbers, by doubling."""
+def ordered(text: np.ndarray, depth: int) -> np.ndarray:
+    """The places of a text by their next ``depth`` numbers (a power of two), by doubling."""
     rank, width = text.astype(np.int64), 1
-    while width < depth:
+    while True:
         ahead = np.concatenate([rank[width:] + 1, np.zeros(min(width, len(rank)), np.int64)])
-        rank = np.unique(rank * (int(rank.max()) + 2) + ahead, return_inverse=True)[1]
+        key = rank * (int(rank.max()) + 2) + ahead
         width *= 2
-    return rank
+        if width >= depth:
+            return np.argsort(key, kind="stable")
+        rank = np.unique(key, return_inverse=True)[1]
 
 
 @dataclass
@@ -126,11 +129,12 @@ class Transform:
 
     text: np.ndarray
     depth: int
+    size: int
 
     def __post_init__(self) -> None:
-        rows = np.argsort(ranks(self.text, self.depth), kind="stable")
-        self.last = self.text[rows - 1].astype(np.int64)
-        order = np.argsort(self.last, kind="stable")
+        last = self.text[ordered(self.text, self.depth) - 1]
+        order = np.argsort(last.astype(np.uint16) if self.size <= 1 << 16 else last, kind="stable")
+        self.last = last.astype(np.int64)
         self.pairs = self.last[order] * len(order) + order
 
     def step(self, number: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -160,11 +164,11 @@ class FMIndex:
 
     @cached_property
     def forward(self) -> Transform:
-        return Transform(self.text, self.depth)
+        return Transform(self.text, self.depth, self.size)
 
     @cached_property
     def reverse(self) -> Transform:
-        return Transform(self.text[::-1], self.depth)
+        return Transform(self.text[::-1], self.depth, self.size)
 
     def singles(self) -> Phrases:
         count = np.bincount(self.text, minlength=self.size)
@@ -250,7 +254,8 @@ def count_longer(shards: pd.DataFrame, phrases: pd.DataFrame) -> pd.DataFrame:
     if not len(shards) or not len(phrases):
         return pd.DataFrame({c.split()[0]: [] for c in COUNTED.split(", ")})
     text, alphabet, shard = (*(np.frombuffer(shards[c].iloc[0], t) for c, t in (("ids", np.int32), ("alphabet", np.int64))), int(shards["shard"].iloc[0]))
-    two, three = (Known(*(part[c].to_numpy(np.int64) for c in ("pre", "suf", "number"))) for part in (phrases[phrases["level"] == k] for k in (2, 3)))
+    own = phrases[(phrases["level"] != 2) | (phrases["pre"].isin(alphabet) & phrases["suf"].isin(alphabet))]
+    two, three = (Known(*(part[c].to_numpy(np.int64) for c in ("pre", "suf", "number"))) for part in (own[own["level"] == k] for k in (2, 3)))
     linked = two.of(alphabet[text[:-1]], alphabet[text[1:]]) > 0
     text, alphabet = narrowed(np.where(np.concatenate([linked, [False]]) | np.concatenate([[False], linked]), text, BREAK), alphabet)
     index = FMIndex(text, len(alphabet))
@@ -279,18 +284,29 @@ def level(rows: DataFrame, count, given: DataFrame, label: str) -> DataFrame:
     return written(rows.groupBy("shard").cogroup(given.withColumnRenamed("shard", "_of").groupBy("_of")).applyInPandas(count, COUNTED), label)
 
 
+def longer(counts: DataFrame, known: list[tuple[int, DataFrame, DataFrame]], label: str) -> DataFrame:
+    """The counts of the next level. counts: the level before; known: (level, its counts, its frequent phrases) of levels 2 and above."""
+    texts = counts.where("ids IS NOT NULL").select("shard", "ids", "alphabet")
+    whole = reduce(DataFrame.unionByName, [found.select(F.lit(k).alias("level"), "pre", "suf", "number") for k, _, found in known])
+    if not within(whole, BROADCAST_PHRASES):
+        own = [rows.where("ids IS NULL").select("shard", "pre", "suf").join(found.select("pre", "suf", "number"), ["pre", "suf"]).select("shard", F.lit(k).alias("level"), "pre", "suf", "number") for k, rows, found in known]
+        return level(texts, count_longer, reduce(DataFrame.unionByName, own), label)
+    shared = counts.sparkSession.sparkContext.broadcast(whole.toPandas())  # at most BROADCAST_PHRASES rows of four numbers
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(len(batch)):
+                yield count_longer(batch.iloc[i : i + 1], shared.value)
+
+    return written(texts.mapInPandas(each, COUNTED), label)
+
+
 def frequent(counts: DataFrame, least: int, label: str) -> DataFrame:
     """(pre, suf, n, number) of the phrases that are frequent over all shards."""
     sums = counts.where("ids IS NULL").groupBy("pre", "suf").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return written(numbered(written(sums, f"{label}-sums"), ["pre", "suf"]), label)
 
 
-def returned(counts: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """(shard, level, pre, suf, number): the frequent phrases of a level that each shard has."""
-    own = counts.where("ids IS NULL").select("shard", "pre", "suf")
-    return own.join(broadcast_within(found.select("pre", "suf", "number"), BROADCAST_PHRASES), ["pre", "suf"]).select("shard", F.lit(k).alias("level"), "pre", "suf", "number")
-
-
 def phrases(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
     """All phrases of 1 to 4 words with ``least`` occurrences or more, and the number of words by language.
 
@@ -305,11 +321,9 @@ def phrases(docs: DataFrame, lang: str = "lang", text: str = "text", least: int
     places = own.select("shard", "lang", "place", F.col("words").alias("word")).join(one.select("lang", "word", "number"), ["lang", "word"]).select("shard", "place", "number")
     pairs = level(shards.select("shard", "ids"), count_pairs, places, "phrases-2-counts")
     two = frequent(pairs, least, "phrases-2")
-    known = returned(pairs, two, 2)
-    texts = lambda counts: counts.where("ids IS NOT NULL").select("shard", "ids", "alphabet")
-    triples = level(texts(pairs), count_longer, known, "phrases-3-counts")
+    triples = longer(pairs, [(2, pairs, two)], "phrases-3-counts")
     three = frequent(triples, least, "phrases-3")
-    fours = level(texts(triples), count_longer, known.unionByName(returned(triples, three, 3)), "phrases-4-counts")
+    fours = longer(triples, [(2, pairs, two), (3, triples, three)], "phrases-4-counts")
     four = frequent(fours, least, "phrases-4")
     return spelled(one, two, three, four), total
 

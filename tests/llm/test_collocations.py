@@ -54,8 +54,9 @@ def corpus():
     return rows + [rows[10]] * 30
 
 
-@pytest.mark.parametrize("shard_words", [collocations.SHARD_WORDS, 500])
-def test_equal_to_brute_force(spark, corpus, shard_words):
+@pytest.mark.parametrize(("shard_words", "broadcast"), [(collocations.SHARD_WORDS, 1_000_000), (500, 0)])
+def test_equal_to_brute_force(spark, corpus, shard_words, broadcast, monkeypatch):
+    monkeypatch.setattr(collocations, "BROADCAST_PHRASES", broadcast)
     docs = spark.createDataFrame([(*r, "x", 1, 2) for r in corpus], "text string, lang string, shard string, n int, pre int").repartition(5)
     assert rows_of(collocations.collocations(docs, shard_words=shard_words)) == brute(corpus, 30)
     assert rows_of(collocations.collocations(docs, least=3, top=50, shard_words=shard_words)) == brute(corpus, 3, top=50)
@@ -81,6 +82,6 @@ def test_intervals_of_both_transforms_stay_in_step():
     told = {tuple(w): n for w, n in zip(found.words.tolist(), found.count.tolist(), strict=True)}
     assert told == {p: n for p, n in Counter(zip(*(text[i:].tolist() for i in range(4)), strict=False)).items() if 0 not in p}
     for words, n, ahead, back in zip(found.words, found.count, found.ahead, found.back, strict=True):
-        for rows, start, want in ((np.argsort(collocations.ranks(text, 4), kind="stable"), ahead, words), (np.argsort(collocations.ranks(text[::-1], 4), kind="stable"), back, words[::-1])):
+        for rows, start, want in ((collocations.ordered(text, 4), ahead, words), (collocations.ordered(text[::-1], 4), back, words[::-1])):
             own = text if want is words else text[::-1]
             assert all((own[i : i + 4] == want).all() for i in rows[start : start + n])
