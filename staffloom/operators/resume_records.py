@@ -94,13 +94,13 @@ def major_of(text: Column) -> Column:
     return F.coalesce(*[x.strip(found(text, p)) for p in MAJORS], F.lit(""))
 
 
-def split_education(blob: Column) -> Column:
-    """struct(school, department, level, period, start, end) of one merged cell: school, major, state and (period), in composed characters."""
-    return education_parts(x.nfc(blob))
+def split_education(docs: DataFrame, key: str, blob: Column) -> DataFrame:
+    """(key, education): of each merged cell, in composed characters, struct(school, department, level, period, start, end)."""
+    return docs.select(key, x.nfc(blob).alias("_blob")).select(key, education_parts(F.col("_blob")).alias("education"))
 
 
 def education_parts(blob: Column) -> Column:
-    """``split_education`` of a text that is composed already."""
+    """struct(school, department, level, period, start, end) of one merged cell of composed characters: school, major, state and (period)."""
     period = F.regexp_extract(blob, DATE_RANGE, 1)
     bare = F.regexp_replace(blob, r"\(\s*" + DATE_RANGE + r"\s*\)", " ")
     cut = F.when(bare == blob, F.when(period != "", F.replace(blob, period, F.lit(" "))).otherwise(blob)).otherwise(bare)

@@ -277,7 +277,7 @@ def replayed(pending: DataFrame) -> DataFrame:
         return rows.sort_values("request_no")[["request_no", "slot_id", "candidate_id"]].assign(decision=told)
 
     kinds = dict(pending.dtypes)
-    return pending.groupBy(F.lit(0)).applyInPandas(replay, ", ".join(f"{c} {kinds[c]}" for c in ("request_no", "slot_id", "candidate_id")) + ", decision string")
+    return pending.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(replay, ", ".join(f"{c} {kinds[c]}" for c in ("request_no", "slot_id", "candidate_id")) + ", decision string")
 
 
 def admit_bookings(requests: DataFrame, candidates: DataFrame, slots: DataFrame, bookings: DataFrame, now: str, save, tail: int = 10_000) -> DataFrame:

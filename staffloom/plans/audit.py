@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from staffloom.fixtures import Tables
 from staffloom.operators import quality as q
-from staffloom.plans.catalog import query
+from staffloom.plans.catalog import ORACLES, query
 
 #: Every rule is broken by the rows whose number has its place as remainder of this.
 EVERY = 101
@@ -71,6 +71,9 @@ def audited(t: Tables) -> dict[str, DataFrame]:
     return {name: t.spark.sql(table_sql(name).replace("FROM orders)", "FROM {orders})"), orders=orders) for name in q.KEYS}
 
 
-@query("h8_audit_constraints", twin())
+ORACLES["h8_audit_constraints"] = twin()  # its tables are not the views of that name
+
+
+@query("h8_audit_constraints")
 def _(t: Tables) -> DataFrame:
     return q.audit_constraints(audited(t))

@@ -51,7 +51,7 @@ EDUCATION = "CASE WHEN has_school = 1 THEN school || ' ' || major || ' 졸업 ('
 @query("c5_split_education", "SELECT doc_id, school, CASE WHEN k % 3 = 1 THEN '문헌정보' ELSE major END AS department, '학사' AS level, CASE WHEN k % 3 <> 2 THEN studied END AS period, CASE WHEN k % 3 <> 2 THEN split_part(studied, '~', 1) END AS starts, CASE WHEN k % 3 <> 2 THEN split_part(studied, '~', 2) END AS ends FROM resume_parts")
 def _(t: Tables) -> DataFrame:
     blob = F.expr("CASE CAST(k % 3 AS INT) WHEN 0 THEN concat(school, ' ', major, ' 졸업 (', studied, ')') WHEN 1 THEN concat(studied, ' ', school, ' 재학  문헌정보') ELSE concat(school, '   ', major, ' 수료') END")
-    return t.resume_parts.select("doc_id", records.split_education(blob).alias("e")).select("doc_id", "e.school", "e.department", "e.level", "e.period", F.col("e.start").alias("starts"), F.col("e.end").alias("ends"))
+    return records.split_education(t.resume_parts, "doc_id", blob).select("doc_id", "education.school", "education.department", "education.level", "education.period", F.col("education.start").alias("starts"), F.col("education.end").alias("ends"))
 
 
 @query("c6_final_education", f"SELECT doc_id, {EDUCATION} AS value, CASE WHEN has_school = 1 THEN studied ELSE '' END AS period FROM resume_parts")
