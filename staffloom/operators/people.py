@@ -201,7 +201,11 @@ def upsert_candidates(existing: DataFrame, intake: DataFrame, top: int | None =
     kept = folded.where("candidate_id IS NOT NULL").select("candidate_id", *fields)
     added = folded.where("candidate_id IS NULL").select("_first", *fields).unionByName(new.where(~whole).select(F.col("seq").alias("_first"), *fields))
     top = existing.agg(F.coalesce(F.max("candidate_id"), F.lit(0)).alias("_top")).first()["_top"] if top is None else top
-    return untouched.unionByName(kept).unionByName(with_new_ids(added, top, fields))
+    return untouched.unionByName(kept).unionByName(with_new_ids(added, top, fields, range_bounds(intake, "seq", PER_RANGE)))
+
+
+#: Intake rows to a range of new ids.
+PER_RANGE = 10_000
 
 
 def range_bounds(rows: DataFrame, column: str, per_range: int, most: int = 1_000) -> list[float]:
@@ -210,9 +214,11 @@ def range_bounds(rows: DataFrame, column: str, per_range: int, most: int = 1_000
     return sorted(set(rows.approxQuantile(column, [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
 
 
-def with_new_ids(added: DataFrame, top: int, fields: list[str], per_range: int = 10_000) -> DataFrame:
-    """Ids after ``top`` in order of ``_first``: rows are numbered within ranges of equal counts, shifted by the earlier ranges' counts (at most 1,000 numbers)."""
-    bounds = range_bounds(added, "_first", per_range)
+def with_new_ids(added: DataFrame, top: int, fields: list[str], bounds: list[float]) -> DataFrame:
+    """Ids after ``top`` in order of ``_first``: rows are numbered within the ranges between ``bounds``, shifted by the earlier ranges' counts (at most 1,000 numbers).
+
+    The bounds are those of the intake rows that the added ones come from, so no range has more rows than of those.
+    """
 
     @F.pandas_udf("int")
     def place(values: pd.Series) -> pd.Series:

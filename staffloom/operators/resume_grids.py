@@ -190,21 +190,36 @@ def grid_qualifications(tables: Column) -> Column:
     return F.slice(F.coalesce(chosen, F.array().cast(QUALIFICATION)), 1, MAX_GRID_ROWS)
 
 
-def grid_service(tables: Column) -> Column:
-    """Rows of military service: columns of a table of it, the cell beside 병역, and cells with slashes."""
+def row_service(row: Column) -> Column:
+    """The first that the cells of a row say of military service: the cell beside 병역, the cells from 병역구분 on, or a cell with slashes and a year."""
+    size = F.size(row)
+
+    def told(c: Column, i: Column) -> Column:
+        name = x.squeezed(c)
+        slashed = once(F.when(c.contains("/") & c.rlike(r"\d{4}"), slash_service(x.strip(c))), lambda r: F.when(F.coalesce(r["service"], r["start"], r["type"]).isNotNull(), r))
+        rest = F.array_join(F.filter(F.transform(F.slice(row, i + 1, size - i), x.strip), lambda v: v != ""), "/")
+        return F.coalesce(F.when((name == "병역") & (i + 1 < size), cell_service(F.get(row, i + 1))), F.when((name == "병역구분") & (i + 1 < size), slash_service(rest)), slashed)
+
+    return F.get(F.filter(F.transform(row, told), lambda r: r.isNotNull()), F.lit(0))
+
 
+def grid_service(tables: Column) -> Column:
+    """Rows of military service by table and row: by the columns of a table of it, by what the row's cells say, by cells with slashes; equal ones once."""
     def of(rows: Column) -> Column:
-        def over(header: Column) -> Column:
-            joined = lambda row: slash_service(F.array_join(F.filter(F.array(*[cell(row, column_of(F.transform(header, x.squeezed), [w])) for w in ("병역구분", "복무기간", "군별", "계급")]), lambda v: v != ""), "/"))
-            has = any_of(x.squeezed(F.array_join(header, "")), ["병역", "군별", "계급"])
-            by_column = F.transform(F.filter(body(rows), lambda row: has & F.array_join(row, "|").contains("/") & F.array_join(row, "|").rlike(r"\d{4}")), joined)
-            return by_column
+        header = F.get(rows, F.lit(0))
+        has = any_of(x.squeezed(F.array_join(header, "")), ["병역", "군별", "계급"])
+
+        def said(row: Column) -> Column:
+            joined = lambda h: slash_service(F.array_join(F.filter(F.array(*[cell(row, column_of(F.transform(h, x.squeezed), [w])) for w in ("병역구분", "복무기간", "군별", "계급")]), lambda v: v != ""), "/"))
+            by_column = once(F.array_join(row, "|"), lambda line: F.when(has & line.contains("/") & line.rlike(r"\d{4}"), once(header, joined)))
+            slashed = F.transform(F.filter(row, lambda c: c.contains("/") & c.rlike(r"\d{4}") & c.rlike("육군|해군|공군|해병|군필|필")), slash_service)
+            return F.concat(F.array(by_column, row_service(row)), slashed)
 
-        beside = F.flatten(F.transform(rows, lambda row: F.transform(row, lambda c, i: F.when(x.squeezed(c) == "병역", cell_service(F.coalesce(F.get(row, i + 1), F.lit("")))))))
-        slashed = F.flatten(F.transform(rows, lambda row: F.transform(F.filter(row, lambda c: c.contains("/") & c.rlike(r"\d{4}") & c.rlike("육군|해군|공군|해병|군필|필")), slash_service)))
-        return F.concat(once(F.get(rows, F.lit(0)), over), beside, slashed)
+        return F.flatten(F.transform(F.when(has & (F.size(rows) > 1), F.slice(rows, 2, F.size(rows))).otherwise(rows), said))
 
-    return F.flatten(F.transform(F.filter(tables, lambda rows: F.size(rows) > 0), of))
+    sign = lambda r: F.to_json(F.struct(r["type"], r["service"], r["start"], r["end"]))
+    found = F.filter(F.flatten(F.transform(F.filter(tables, lambda rows: F.size(rows) > 0), of)), lambda r: r.isNotNull())
+    return once(found, lambda rows: once(F.transform(rows, sign), lambda signs: F.filter(rows, lambda r, i: F.array_position(signs, F.get(signs, i)) == i + 1)))
 
 
 def grid_records(docs: DataFrame, key: str, tables: str) -> DataFrame:
@@ -213,5 +228,5 @@ def grid_records(docs: DataFrame, key: str, tables: str) -> DataFrame:
     rows = rows.withColumns({"_e": table_of(F.col("_t"), "education"), "_c": table_of(F.col("_t"), "career")})
     return rows.select(
         key, *[label_value(F.col("_t"), kind).alias(kind) for kind in LABELS], grid_education(F.col("_e"))["value"].alias("finalEducation"), education_rows(F.col("_e")).alias("educationRows"), grid_careers(F.col("_c")).alias("careers"),
-        grid_qualifications(F.col("_t")).alias("qualificationRows"), F.filter(grid_service(F.col("_t")), lambda r: r.isNotNull()).alias("militaryRows"),
+        grid_qualifications(F.col("_t")).alias("qualificationRows"), grid_service(F.col("_t")).alias("militaryRows"),
     )

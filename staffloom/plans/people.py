@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from staffloom.fixtures import NOW, Tables
 from staffloom.operators import people as p
 from staffloom.plans.catalog import joined, query
 from staffloom.plans.scalars import ALIAS, IDENT, KEYS, masked
+from staffloom.sources.tables import shared_folder
+from staffloom.streaming import candidates
 
 N = f"TIMESTAMP '{NOW}'"
 CURRENT = "cur AS (SELECT candidate_id, max(booking_id) AS booking_id FROM bookings WHERE cancelled_at IS NULL GROUP BY candidate_id)"
@@ -162,6 +166,13 @@ def _(t: Tables) -> DataFrame:
     return p.page(t.interviewers.where(F.col("interviewer_name").ilike("%0%")), [F.desc("interviewer_id")], 2, 5)[0].select("interviewer_id", "interviewer_name")
 
 
+@query("f6_page_after", "SELECT interviewer_id, interviewer_name FROM interviewers WHERE interviewer_name ILIKE '%0%' ORDER BY interviewer_id DESC LIMIT 5 OFFSET 5")
+def _(t: Tables) -> DataFrame:
+    rows, keys = t.interviewers.where(F.col("interviewer_name").ilike("%0%")), {"interviewer_id": True}
+    last = p.page_after(rows, keys, 5).agg(F.min("interviewer_id").alias("interviewer_id")).first()
+    return p.page_after(rows, keys, 5, last.asDict()).select("interviewer_id", "interviewer_name")
+
+
 @query("f6_page_total", "SELECT count(*) AS total, CAST(ceil(count(*) / 5.0) AS BIGINT) AS pages FROM interviewers WHERE interviewer_name ILIKE '%0%'")
 def _(t: Tables) -> DataFrame:
     return p.page(t.interviewers.where(F.col("interviewer_name").ilike("%0%")), [F.desc("interviewer_id")], 2, 5)[1]
@@ -176,7 +187,7 @@ FOLD = "gender, address, date_of_birth, email, position_id, experience_level, ar
 KEPT = "name, phone, gender, address, date_of_birth, email, position_id, experience_level, criteria"
 
 
-@query("f8_upsert_candidates", rf"""WITH own AS (SELECT candidate_id, -1 AS seq, name, phone, {FOLD} FROM old_candidates), mx AS (SELECT max(candidate_id) AS top FROM own), inc AS (SELECT CAST(NULL AS BIGINT) AS candidate_id, seq, name, phone, {FOLD} FROM resume_intake),
+FOLDED = rf"""WITH own AS (SELECT candidate_id, -1 AS seq, name, phone, {FOLD} FROM old_candidates), mx AS (SELECT max(candidate_id) AS top FROM own), inc AS (SELECT CAST(NULL AS BIGINT) AS candidate_id, seq, name, phone, {FOLD} FROM resume_intake),
  tgt AS (SELECT phone, name, min(candidate_id) AS target FROM own WHERE phone IS NOT NULL AND name IS NOT NULL GROUP BY ALL),
  un AS (SELECT * FROM own WHERE candidate_id NOT IN (SELECT target FROM tgt)),
  al AS (SELECT o.* FROM own o JOIN tgt ON tgt.target = o.candidate_id UNION ALL SELECT * FROM inc WHERE phone IS NOT NULL AND name IS NOT NULL),
@@ -184,12 +195,30 @@ KEPT = "name, phone, gender, address, date_of_birth, email, position_id, experie
   arg_min(position_id, seq) FILTER (position_id IS NOT NULL) AS position_id, arg_max(experience_level, seq) AS experience_level, arg_max(criteria, seq) AS criteria FROM al GROUP BY phone, name),
  nw AS (SELECT first, {KEPT} FROM f WHERE candidate_id IS NULL UNION ALL SELECT seq, {KEPT} FROM inc WHERE phone IS NULL OR name IS NULL),
  u AS (SELECT candidate_id, {KEPT} FROM un UNION ALL SELECT candidate_id, {KEPT} FROM f WHERE candidate_id IS NOT NULL UNION ALL SELECT row_number() OVER (ORDER BY first) + (SELECT top FROM mx), {KEPT} FROM nw)
- SELECT candidate_id, name, phone, gender, address, strftime(date_of_birth, '%Y-%m-%d') AS born, email, position_id, experience_level, criteria FROM u""")
-def _(t: Tables) -> DataFrame:
-    out = p.upsert_candidates(t.old_candidates, t.resume_intake)
+ SELECT candidate_id, name, phone, gender, address, strftime(date_of_birth, '%Y-%m-%d') AS born, email, position_id, experience_level, criteria FROM u"""
+
+
+def folded(out: DataFrame) -> DataFrame:
     return out.select("candidate_id", "name", "phone", "gender", "address", F.date_format("date_of_birth", "yyyy-MM-dd").alias("born"), "email", "position_id", "experience_level", joined("meets_preferred_criteria", "criteria"))
 
 
+@query("f8_upsert_candidates", FOLDED)
+def _(t: Tables) -> DataFrame:
+    return folded(p.upsert_candidates(t.old_candidates, t.resume_intake))
+
+
+@query("i1_candidate_batches", FOLDED)
+def _(t: Tables) -> DataFrame:
+    """The same intake in four batches, folded into the table as it stands after each; the third is run twice and the versions merged."""
+    out = f"{shared_folder(t.spark)}/candidates-{uuid.uuid4().hex}"
+    intake, top = t.resume_intake.withColumn("error", F.lit(None).cast("string")), t.count("customer")
+    candidates.seed(t.old_candidates, out)
+    for n in (0, 1, 2, 2, 3):
+        candidates.fold_batch(intake.where((F.col("seq") > top * n // 4) & (F.col("seq") <= top * (n + 1) // 4)), out, n)
+    candidates.compact(t.spark, out)
+    return folded(candidates.current_candidates(t.spark, out))
+
+
 ITEMS = "CASE WHEN candidate_id % 5 = 0 THEN 'Target ' || candidate_id % 9 WHEN candidate_id % 5 = 1 THEN '' END AS target_position, position_name AS matched_position, CASE WHEN candidate_id % 2 = 0 THEN 'Raw ' || candidate_id % 7 END AS raw_position"
 
 

@@ -46,3 +46,22 @@ def test_decomposed_cells_and_blobs(spark):
 def test_blobs_of_other_shapes(spark, blob, school, department, level):
     out = resume_records.split_education(spark.createDataFrame([(1, blob)], "id long, b string"), "id", F.col("b")).first().education
     assert out.school == school and (department is None or out.department == department) and (level is None or out.level == level)
+
+
+def test_service_in_tables_of_other_shapes(spark):
+    """Each expected row worked out by the rules: which cell is the kind, which the period, what follows."""
+    tables = [
+        (1, [[["병역구분", "필", "2012.05 ~ 2014.02", "육군"]]]),
+        (2, [[["성명", "홍길동"], ["기타", "면제 / 2012년 5월 / 질병 4급"]]]),
+        (3, [[["병역구분", "복무기간", "군별", "계급"], ["필", "2012.05/2014.02", "해군", "병장"], ["", "", "", ""]]]),
+        (4, [[["병 역", "만기 제대"], ["병역", "모름"]]]),
+        (5, [[["병역", "군필"], ["비고", "필 / 2012.05 ~ 2014.02 / 공군 / 병장"]], [["x", "필/2012.05 ~ 2014.02/공군/병장"]]]),
+        (6, [[["병역"]], [["2012/05/06", None, "3/4"]]]),
+    ]
+    out = {r.id: [tuple(m) for m in r.militaryRows] for r in resume_grids.grid_records(spark.createDataFrame(tables, "id long, t array<array<array<string>>>"), "id", "t").collect()}
+    assert out[1] == [("병역구분", "2012.05 ~ 2014.02", None, None, "육군", None)]
+    assert out[2] == [("면제", "질병 4급", "2012.05", None, None, "질병 4급")]
+    assert out[3] == [("군필", "2014.02", "2012.05", None, "해군", None)]
+    assert out[4] == []  # the first row is the head of a table of service
+    assert out[5] == [("군필", "공군", "2012.05", "2014.02", "병장", None)]
+    assert out[6] == []
