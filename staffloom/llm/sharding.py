@@ -122,7 +122,7 @@ def place(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     ordered = cells.select("_g", F.col("_c").alias("text_crc32"), F.sort_array("cells", asc=False).alias("cells"))
     upto = lambda i: F.aggregate(F.slice("cells", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, y: a + y["m"])
     ends = ordered.select("_g", "text_crc32", F.transform("cells", lambda x, i: F.struct(upto(i).alias("end"), x["shard"].alias("shard"))).alias("ends"))
-    members = gapless(sized.where("n is not null"), ["_g", "text_crc32"], [key, "_u"], 64, "_nth")
+    members = gapless(sized.where("n is not null"), ["_g", "text_crc32"], [key, "_u"], buckets, "_nth")
     linked = members.join(ends, ["_g", "text_crc32"]).withColumn("shard", F.get(F.filter("ends", lambda e: e["end"] > F.col("_nth")), F.lit(0))["shard"])
     placed = written(gapless(linked.select(key, "_u", "size", "text_crc32", "n", "shard"), ["shard"], [key, "_u"], buckets, "slot"), "shard-linked")
     kept = placed.where(F.col("slot") < capacity(F.col("shard"), rows, shards))

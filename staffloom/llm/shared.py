@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import reduce
 
@@ -10,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from staffloom.sources.tables import shared_folder
+
 #: A word is a run of characters other than ASCII white space.
 SPACES = "[\\x20\\x09-\\x0D]+"
 
@@ -19,21 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, by the setting ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session (tests, a first try) gets a folder of its own, kept for the session; on a cluster that would be a
-    folder of one machine, so an error is raised there.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="staffloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Writes a frame to the shared folder and reads it back.
 
@@ -41,7 +27,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     call takes a folder of its own; the files go when the session's application ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
     return spark.read.schema(df.schema).parquet(path)

@@ -27,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staffloom.llm.shared import broadcast_within, scratch_dir, written
+from staffloom.llm.shared import broadcast_within, written
+from staffloom.sources.tables import shared_folder
 
 SKIPPABLE = 0x184D2A5D  # the frame that holds the dictionary
 NEW_LINE = b"\r\n"
@@ -155,7 +156,7 @@ def write_archives(pages: DataFrame, key: str = "page_id", body: str = "html", u
 
     archive_bytes: records gathered for one archive before it is closed, the bound of a task's memory.
     """
-    folder = folder or f"{scratch_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    folder = folder or f"{shared_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = opened(folder)
