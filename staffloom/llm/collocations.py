@@ -107,16 +107,24 @@ def shards_of(docs: DataFrame, lang: str, text: str, shard_words: int) -> DataFr
     return rows.mapInPandas(deal, "shard long, lang string, words array<string>, counts array<long>, ids binary")
 
 
+def dense(key: np.ndarray) -> np.ndarray:
+    """The rank of each number among the distinct ones."""
+    order = np.argsort(key)
+    own, rank = key[order], np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(np.concatenate([[False], own[1:] != own[:-1]]))
+    return rank
+
+
 def ordered(text: np.ndarray, depth: int) -> np.ndarray:
-    """The places of a text by their next ``depth`` numbers (a power of two), by doubling."""
+    """The places of a text by their next ``depth`` numbers (a power of two), by doubling; equal ones in any order."""
     rank, width = text.astype(np.int64), 1
     while True:
         ahead = np.concatenate([rank[width:] + 1, np.zeros(min(width, len(rank)), np.int64)])
         key = rank * (int(rank.max()) + 2) + ahead
         width *= 2
         if width >= depth:
-            return np.argsort(key, kind="stable")
-        rank = np.unique(key, return_inverse=True)[1]
+            return np.argsort(key)
+        rank = dense(key)
 
 
 @dataclass
@@ -129,13 +137,10 @@ class Transform:
 
     text: np.ndarray
     depth: int
-    size: int
 
     def __post_init__(self) -> None:
-        last = self.text[ordered(self.text, self.depth) - 1]
-        order = np.argsort(last.astype(np.uint16) if self.size <= 1 << 16 else last, kind="stable")
-        self.last = last.astype(np.int64)
-        self.pairs = self.last[order] * len(order) + order
+        self.last = self.text[ordered(self.text, self.depth) - 1].astype(np.int64)
+        self.pairs = np.sort(self.last * len(self.last) + np.arange(len(self.last)))
 
     def step(self, number: np.ndarray, row: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.pairs, number * len(self.pairs) + row)
@@ -164,11 +169,11 @@ class FMIndex:
 
     @cached_property
     def forward(self) -> Transform:
-        return Transform(self.text, self.depth, self.size)
+        return Transform(self.text, self.depth)
 
     @cached_property
     def reverse(self) -> Transform:
-        return Transform(self.text[::-1], self.depth, self.size)
+        return Transform(self.text[::-1], self.depth)
 
     def singles(self) -> Phrases:
         count = np.bincount(self.text, minlength=self.size)
@@ -238,7 +243,7 @@ def narrowed(text: np.ndarray, alphabet: np.ndarray) -> tuple[np.ndarray, np.nda
 def count_pairs(shards: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
     """Level 2 of a shard. words: place (in the shard's words, from 0), number; those of frequent words."""
     if not len(shards) or not len(words):
-        return pd.DataFrame({c.split()[0]: [] for c in COUNTED.split(", ")})
+        return nothing()
     text, shard = np.frombuffer(shards["ids"].iloc[0], np.int32), int(shards["shard"].iloc[0])
     alphabet, place = np.unique(np.concatenate([[0], words["number"].to_numpy(np.int64)]), return_inverse=True)
     to = np.zeros(max(int(text.max()), int(words["place"].max()) + 1) + 1, np.int64)
@@ -249,13 +254,21 @@ def count_pairs(shards: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
     return counted(shard, *alphabet[pairs.words.T], pairs.count, text, alphabet)
 
 
-def count_longer(shards: pd.DataFrame, phrases: pd.DataFrame) -> pd.DataFrame:
-    """Level 3, or 4, of a shard. phrases: level, pre, suf, number; the frequent ones of the levels before that occur in it."""
-    if not len(shards) or not len(phrases):
-        return pd.DataFrame({c.split()[0]: [] for c in COUNTED.split(", ")})
+def known_of(phrases: pd.DataFrame) -> tuple[Known, Known]:
+    """The numbers of frequent pairs and triples. phrases: level, pre, suf, number."""
+    two, three = (Known(*(part[c].to_numpy(np.int64) for c in ("pre", "suf", "number"))) for part in (phrases[phrases["level"] == k] for k in (2, 3)))
+    return two, three
+
+
+def nothing() -> pd.DataFrame:
+    return pd.DataFrame({c.split()[0]: [] for c in COUNTED.split(", ")})
+
+
+def count_longer(shards: pd.DataFrame, size: int, two: Known, three: Known) -> pd.DataFrame:
+    """Level 3 or 4 (``size``) of a shard."""
+    if not len(shards) or not len(two.keys if size == 3 else three.keys):
+        return nothing()
     text, alphabet, shard = (*(np.frombuffer(shards[c].iloc[0], t) for c, t in (("ids", np.int32), ("alphabet", np.int64))), int(shards["shard"].iloc[0]))
-    own = phrases[(phrases["level"] != 2) | (phrases["pre"].isin(alphabet) & phrases["suf"].isin(alphabet))]
-    two, three = (Known(*(part[c].to_numpy(np.int64) for c in ("pre", "suf", "number"))) for part in (own[own["level"] == k] for k in (2, 3)))
     linked = two.of(alphabet[text[:-1]], alphabet[text[1:]]) > 0
     text, alphabet = narrowed(np.where(np.concatenate([linked, [False]]) | np.concatenate([[False], linked]), text, BREAK), alphabet)
     index = FMIndex(text, len(alphabet))
@@ -263,7 +276,7 @@ def count_longer(shards: pd.DataFrame, phrases: pd.DataFrame) -> pd.DataFrame:
     pairs = index.grown(index.singles(), left=True)
     found = index.grown(pairs.where(number(pairs, 0) > 0), left=False)
     pre, suf = number(found, 0), number(found, 1)
-    if (phrases["level"] == 3).any():
+    if size == 4:
         own = three.of(pre, suf)
         kept = own > 0
         found, inner = index.grown(found.where(kept), left=True), Known(pre[kept], suf[kept], own[kept])
@@ -286,17 +299,18 @@ def level(rows: DataFrame, count, given: DataFrame, label: str) -> DataFrame:
 
 def longer(counts: DataFrame, known: list[tuple[int, DataFrame, DataFrame]], label: str) -> DataFrame:
     """The counts of the next level. counts: the level before; known: (level, its counts, its frequent phrases) of levels 2 and above."""
-    texts = counts.where("ids IS NOT NULL").select("shard", "ids", "alphabet")
+    texts, size = counts.where("ids IS NOT NULL").select("shard", "ids", "alphabet"), known[-1][0] + 1
     whole = reduce(DataFrame.unionByName, [found.select(F.lit(k).alias("level"), "pre", "suf", "number") for k, _, found in known])
     if not within(whole, BROADCAST_PHRASES):
         own = [rows.where("ids IS NULL").select("shard", "pre", "suf").join(found.select("pre", "suf", "number"), ["pre", "suf"]).select("shard", F.lit(k).alias("level"), "pre", "suf", "number") for k, rows, found in known]
-        return level(texts, count_longer, reduce(DataFrame.unionByName, own), label)
+        return level(texts, lambda shard, phrases: count_longer(shard, size, *known_of(phrases)), reduce(DataFrame.unionByName, own), label)
     shared = counts.sparkSession.sparkContext.broadcast(whole.toPandas())  # at most BROADCAST_PHRASES rows of four numbers
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here = known_of(shared.value)
         for batch in batches:
             for i in range(len(batch)):
-                yield count_longer(batch.iloc[i : i + 1], shared.value)
+                yield count_longer(batch.iloc[i : i + 1], size, *here)
 
     return written(texts.mapInPandas(each, COUNTED), label)
 

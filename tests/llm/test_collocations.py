@@ -54,9 +54,10 @@ def corpus():
     return rows + [rows[10]] * 30
 
 
-@pytest.mark.parametrize(("shard_words", "broadcast"), [(collocations.SHARD_WORDS, 1_000_000), (500, 0)])
+@pytest.mark.parametrize(("shard_words", "broadcast"), [(collocations.SHARD_WORDS, 1_000_000), (500, 0), (60, 0)])
 def test_equal_to_brute_force(spark, corpus, shard_words, broadcast, monkeypatch):
     monkeypatch.setattr(collocations, "BROADCAST_PHRASES", broadcast)
+    monkeypatch.setattr(collocations, "SLICE", 200 if shard_words == 60 else collocations.SLICE)  # shards of a few texts, many without a frequent triple
     docs = spark.createDataFrame([(*r, "x", 1, 2) for r in corpus], "text string, lang string, shard string, n int, pre int").repartition(5)
     assert rows_of(collocations.collocations(docs, shard_words=shard_words)) == brute(corpus, 30)
     assert rows_of(collocations.collocations(docs, least=3, top=50, shard_words=shard_words)) == brute(corpus, 3, top=50)
