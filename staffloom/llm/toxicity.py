@@ -30,11 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from staffloom.llm.shared import written
+
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = range(3, 8)
 MAX_LABELLED = 20_000
 MAX_VOTERS = 192
-CHANCE = 13.8  # log of 1,000,000
+#: Marks in fewer sampled texts are not tested; of the marks taken, the share that may be there by chance.
+LEAST_TEXTS, BY_CHANCE = 3, 0.05
 
 
 def held_out(key: Column) -> Column:
@@ -98,7 +101,11 @@ def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, max_labell
 
 
 def find_voters(sample: DataFrame, toxic: int, clean: int, max_voters: int = MAX_VOTERS, least_precision: float = 0.97) -> list[str]:
-    """The marks whose document frequency speaks most for the toxic label."""
+    """The marks whose document frequency speaks most for the toxic label.
+
+    A mark's chance is bounded by Chernoff's bound; of all marks in ``LEAST_TEXTS`` texts or more those are taken that keep the share of chance ones among them at
+    ``BY_CHANCE`` (Benjamini and Hochberg), so that with few labels, and so few marks, less is asked of each.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -109,12 +116,13 @@ def find_voters(sample: DataFrame, toxic: int, clean: int, max_voters: int = MAX
             yield pd.DataFrame(found, columns=["mark", "pos", "neg"])
 
     counts = sample.mapInPandas(count, "mark string, pos long, neg long").groupBy("mark").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    # by the Chernoff bound a mark this unlike the mean is not one of a million chance ones
+    tested = written(counts.where(F.col("pos") + F.col("neg") >= LEAST_TEXTS), "toxicity-marks")
     n, mean = F.col("pos") + F.col("neg"), toxic / (toxic + clean)
     share = F.col("pos") / n  # of toxic texts
     unlikely = F.col("pos") * F.log(share / mean) + F.when(F.col("neg") > 0, F.col("neg") * F.log((1 - share) / (1 - mean) if clean else F.lit(1.0))).otherwise(0.0)
-    strong = counts.where((F.col("pos") > 0) & (share >= least_precision)).withColumn("gain", unlikely).where(F.col("gain") >= CHANCE)
-    rows = strong.orderBy(F.desc("gain"), "mark").limit(8 * max_voters).collect()
+    strong = tested.where((F.col("pos") > 0) & (share >= least_precision) & (share > mean)).withColumn("gain", unlikely)
+    rows, m = strong.orderBy(F.desc("gain"), "mark").limit(8 * max_voters).collect(), tested.count()
+    rows = rows[: max((k for k, r in enumerate(rows, 1) if np.exp(-r["gain"]) <= BY_CHANCE * k / m), default=0)]
     numbers = {r["mark"]: (r["pos"], r["neg"]) for r in rows}
     longer = {m[:-1] if m[0] == "^" else f"^{m[1:]}" for m, c in numbers.items() if numbers.get(m[:-1] if m[0] == "^" else f"^{m[1:]}") == c}
     return [r["mark"] for r in rows if r["mark"] not in longer][:max_voters]  # a mark that a longer one says as well is left out
