@@ -40,7 +40,7 @@ def over(start: str, end: str, top: int) -> Column:
     for k in range(top + 1):
         low, high = F.ceil(first / (1 << k)).cast("long"), F.floor(after / (1 << k)).cast("long")
         if k == top:
-            found.append(F.when(low < high, F.transform(F.sequence(low, high - 1), lambda n, k=k: node(k, n))))
+            found.append(F.when(low < high, F.transform(F.sequence(low, high - 1), lambda n: node(top, n))))
         else:
             found += [F.when((low < high) & (F.pmod(border, F.lit(2)) == border_is), F.array(node(k, at))) for border, border_is, at in ((low, 1, low), (high, 1, high - 1))]
     return F.flatten(F.array_compact(F.array(*found)))
