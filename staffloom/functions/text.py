@@ -86,11 +86,9 @@ def nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.ArrayType(T.StringType()))))
-def nfc_cells(values: pd.Series) -> pd.Series:
-    """The same for tables of rows of cells."""
-    composed = lambda v: v if v is None else unicodedata.normalize("NFC", v) if isinstance(v, str) else [composed(w) for w in v]
-    return values.map(composed)
+def nfc_cells(tables: Column) -> Column:
+    """The same for tables of rows of cells, by way of their JSON text."""
+    return F.from_json(nfc(F.to_json(tables)), "array<array<array<string>>>")
 
 
 def normalize_position(col: Column) -> Column:
