@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from staffloom.llm import toxicity
 
@@ -73,3 +74,27 @@ def test_label_model_learns_rates_and_correlations_without_labels():
 def test_the_sample_is_bounded_in_rows(corpus):
     docs, labels, _ = corpus
     assert toxicity.labelled(docs.union(docs).union(docs), labels, "doc_id", "text", 100).count() == 100
+
+
+def test_all_labelled_rows_teach_and_tasks_can_fit(spark, monkeypatch):
+    """The texts of a quarter of the ids, those with the largest hashes, have a word of their own; 20,000 rows in order of hashes would leave it out."""
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), (F.col("id") % 20 == 0).cast("int").alias("toxic"), (F.xxhash64("id") > 1 << 62).alias("_late"))
+    docs = rows.select("doc_id", F.concat(F.lit("some plain words "), F.when(F.col("toxic") == 0, F.concat(F.lit("x"), F.col("doc_id") % 7)).when(F.col("_late"), "vileness").otherwise("badness")).alias("text"))
+    model = toxicity.train(docs, rows.select("doc_id", "toxic"))
+    assert {"=vileness", "=badness"} <= {v if v.startswith("=") else f"={w}" for v in model.voters for w in ("vileness", "badness") if w.startswith(v[1:])}
+    monkeypatch.setattr(toxicity, "MAX_LABELLED", 0)
+    other = toxicity.train(docs, rows.select("doc_id", "toxic"))
+    texts = ["some vileness", "badness", "plain words", None]
+    assert other.voters == model.voters and np.allclose(model.scores(texts), other.scores(texts)) and (model.scores(texts[:2]) > 0.3).all()
+
+
+def test_marks_of_many_texts():
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choice("abé") for _ in range(rng.randrange(1, 10))) for _ in range(rng.randrange(30))) for _ in range(300)]
+    toxic = np.array([rng.random() < 0.3 for _ in texts])
+    want = {m: [0, 0] for t in texts for m in toxicity.marks(t)}
+    for text, y in zip(texts, toxic, strict=True):
+        for m in toxicity.marks(text):
+            want[m][0 if y else 1] += 1
+    found = toxicity.mark_counts([toxicity.WORD.findall(t) for t in texts], toxic)
+    assert len(found) == len(want) and {r.mark: [r.pos, r.neg] for r in found.itertuples()} == want
