@@ -140,7 +140,10 @@ class Transform:
 
     def __post_init__(self) -> None:
         self.last = self.text[ordered(self.text, self.depth) - 1].astype(np.int64)
-        self.pairs = np.sort(self.last * len(self.last) + np.arange(len(self.last)))
+
+    @cached_property
+    def pairs(self) -> np.ndarray:
+        return np.sort(self.last * len(self.last) + np.arange(len(self.last)))
 
     def step(self, number: np.ndarray, row: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.pairs, number * len(self.pairs) + row)
@@ -181,20 +184,23 @@ class FMIndex:
         words = np.flatnonzero(count[1:]) + 1
         return Phrases(words[:, None], count[words], start[words], start[words])
 
-    def grown(self, phrases: Phrases, left: bool) -> Phrases:
-        """All phrases that are longer by a word on the left (or right)."""
+    def grown(self, phrases: Phrases, left: bool, final: bool = False) -> Phrases:
+        """All phrases that are longer by a word on the left (or right). final: they grow no further, so their intervals are left out."""
         own, other = (phrases.ahead, phrases.back) if left else (phrases.back, phrases.ahead)
         index = self.forward if left else self.reverse
         of = np.repeat(np.arange(len(own)), phrases.count)
         within = np.arange(len(of)) - np.repeat(np.cumsum(phrases.count) - phrases.count, phrases.count)
         key, count = np.unique(of * self.size + index.last[own[of] + within], return_counts=True)
         of, word = np.divmod(key, self.size)
-        before = np.cumsum(count) - count  # rows of the same phrase with a smaller word move the other interval
-        start = other[of] + before - before[np.searchsorted(of, of)]
         real = word != BREAK
-        of, word, count, start = of[real], word[real], count[real], start[real]
-        at = index.step(word, own[of])
+        if not final:
+            before = np.cumsum(count) - count  # rows of the same phrase with a smaller word move the other interval
+            start = (other[of] + before - before[np.searchsorted(of, of)])[real]
+        of, word, count = of[real], word[real], count[real]
         words = np.column_stack([word, phrases.words[of]] if left else [phrases.words[of], word])
+        if final:
+            return Phrases(words, count, *[np.empty(0, np.int64)] * 2)
+        at = index.step(word, own[of])
         return Phrases(words, count, at, start) if left else Phrases(words, count, start, at)
 
 
@@ -210,19 +216,24 @@ class Known:
         order = np.lexsort((self.suf, self.pre))
         self.pre, self.suf, self.number = self.pre[order], self.suf[order], self.number[order]
         self.names = np.unique(np.concatenate([self.pre, self.suf, [0]]))
-        self.keys = self.key(self.pre, self.suf)[0]
+        self.keys = self.place(self.pre) * len(self.names) + self.place(self.suf)
 
-    def key(self, pre: np.ndarray, suf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = (np.minimum(np.searchsorted(self.names, x), len(self.names) - 1) for x in (pre, suf))
-        return a * len(self.names) + b, (self.names[a] == pre) & (self.names[b] == suf)
+    def place(self, numbers: np.ndarray) -> np.ndarray:
+        """Where numbers stand among those of the pairs, -1 where they don't."""
+        at = np.minimum(np.searchsorted(self.names, numbers), len(self.names) - 1)
+        return np.where(self.names[at] == numbers, at, -1)
 
-    def of(self, pre: np.ndarray, suf: np.ndarray) -> np.ndarray:
-        """The number of each pair, 0 where it has none."""
+    def at(self, pre: np.ndarray, suf: np.ndarray) -> np.ndarray:
+        """The number of each pair of places, 0 where it has none."""
         if not len(self.keys):
             return np.zeros(len(pre), np.int64)
-        key, known = self.key(pre, suf)
+        key = pre * len(self.names) + suf
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(known & (self.keys[at] == key), self.number[at], 0)
+        return np.where((pre >= 0) & (suf >= 0) & (self.keys[at] == key), self.number[at], 0)
+
+    def of(self, pre: np.ndarray, suf: np.ndarray) -> np.ndarray:
+        """The number of each pair, 0 where it has none."""
+        return self.at(self.place(pre), self.place(suf))
 
 
 COUNTED = "shard long, pre long, suf long, n long, ids binary, alphabet binary"
@@ -236,8 +247,10 @@ def counted(shard: int, pre: np.ndarray, suf: np.ndarray, n: np.ndarray, text: n
 
 def narrowed(text: np.ndarray, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A tight text over its own words only, numbered from 1 in order of their numbers everywhere (``alphabet``, 0 first)."""
-    own, text = np.unique(np.concatenate([[BREAK], tight(text)]), return_inverse=True)
-    return text[1:], alphabet[own]
+    text = tight(text)
+    there = np.bincount(text, minlength=1) > 0
+    there[BREAK] = True
+    return (np.cumsum(there) - 1)[text], alphabet[np.flatnonzero(there)]
 
 
 def count_pairs(shards: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
@@ -250,7 +263,7 @@ def count_pairs(shards: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
     to[words["place"].to_numpy(np.int64) + 1] = place[1:]
     text, alphabet = narrowed(to[text], alphabet)
     index = FMIndex(text, len(alphabet), depth=2)
-    pairs = index.grown(index.singles(), left=True)
+    pairs = index.grown(index.singles(), left=True, final=True)
     return counted(shard, *alphabet[pairs.words.T], pairs.count, text, alphabet)
 
 
@@ -269,17 +282,18 @@ def count_longer(shards: pd.DataFrame, size: int, two: Known, three: Known) -> p
     if not len(shards) or not len(two.keys if size == 3 else three.keys):
         return nothing()
     text, alphabet, shard = (*(np.frombuffer(shards[c].iloc[0], t) for c, t in (("ids", np.int32), ("alphabet", np.int64))), int(shards["shard"].iloc[0]))
-    linked = two.of(alphabet[text[:-1]], alphabet[text[1:]]) > 0
+    place = two.place(alphabet)[text]
+    linked = two.at(place[:-1], place[1:]) > 0
     text, alphabet = narrowed(np.where(np.concatenate([linked, [False]]) | np.concatenate([[False], linked]), text, BREAK), alphabet)
-    index = FMIndex(text, len(alphabet))
-    number = lambda found, k: two.of(alphabet[found.words[:, k]], alphabet[found.words[:, k + 1]])
+    index, place = FMIndex(text, len(alphabet)), two.place(alphabet)
+    number = lambda found, k: two.at(place[found.words[:, k]], place[found.words[:, k + 1]])
     pairs = index.grown(index.singles(), left=True)
-    found = index.grown(pairs.where(number(pairs, 0) > 0), left=False)
+    found = index.grown(pairs.where(number(pairs, 0) > 0), left=False, final=size == 3)
     pre, suf = number(found, 0), number(found, 1)
     if size == 4:
         own = three.of(pre, suf)
         kept = own > 0
-        found, inner = index.grown(found.where(kept), left=True), Known(pre[kept], suf[kept], own[kept])
+        found, inner = index.grown(found.where(kept), left=True, final=True), Known(pre[kept], suf[kept], own[kept])
         first, middle, last = (number(found, k) for k in range(3))
         pre, suf = inner.of(first, middle), inner.of(middle, last)
     kept = (pre > 0) & (suf > 0)

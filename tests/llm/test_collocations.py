@@ -86,3 +86,13 @@ def test_intervals_of_both_transforms_stay_in_step():
         for rows, start, want in ((collocations.ordered(text, 4), ahead, words), (collocations.ordered(text[::-1], 4), back, words[::-1])):
             own = text if want is words else text[::-1]
             assert all((own[i : i + 4] == want).all() for i in rows[start : start + n])
+
+
+@pytest.mark.parametrize("left", [True, False])
+def test_phrases_that_grow_no_further_are_counted_without_intervals(left):
+    rng = np.random.default_rng(4)
+    text = collocations.tight(np.where(rng.random(2000) < 0.1, 0, rng.integers(1, 6, 2000)))
+    index, plain = collocations.FMIndex(text, 6), collocations.FMIndex(text, 6)
+    found, whole = index.grown(index.singles(), left, final=True), plain.grown(plain.singles(), left)
+    assert (found.words == whole.words).all() and (found.count == whole.count).all()
+    assert "pairs" not in vars(index.forward if left else index.reverse) and not len(found.ahead) and not len(found.back)
