@@ -11,6 +11,7 @@ no rows; texts of any length are read whole.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,21 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOXIC_FROM = 0.3
 #: Near copies share so much of their shingles of so many words; fingerprints of so many differing bits are candidates.
 NEAR = {"width": 5, "radius": 20, "similarity": 0.8}
+#: Rows of whole texts that go to a Python worker at once; Spark's 10,000 would be held several times over, beside a full heap.
+BATCH_ROWS = 1_000
+
+
+def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage whose texts reach Python in batches of ``BATCH_ROWS`` at most. The session keeps that setting, as the returned frame is planned when it is used."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+            spark.conf.set(key, str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,6 +86,7 @@ STAGES = [
     ("secret scans", secret_stage),
     ("best-fit packing", packing_stage),
 ]
+STAGES = [(name, in_small_batches(stage)) for name, stage in STAGES]
 
 #: The stages are fitted models, a graph search and a packing search: not for SQL. They are tested against brute force.
 ORACLE_SQL = None

@@ -117,3 +117,14 @@ def test_sharding_against_the_fewest_cuts(spark):
         cut += sum(groups[i] == groups[j] and shard[i] != shard[j] for i in range(8) for j in range(i))
         fewest += fewest_cuts(groups, 2)
     assert fewest <= cut <= fewest + 2
+
+
+def test_texts_reach_python_in_small_batches(spark, messy):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10000")
+    corpus_pipeline.STAGES[3][1](spark, messy, SF)
+    assert spark.conf.get(key) == str(corpus_pipeline.BATCH_ROWS)
+    spark.conf.set(key, "7")
+    corpus_pipeline.STAGES[3][1](spark, messy, SF)
+    assert spark.conf.get(key) == "7"  # a smaller bound stays
+    spark.conf.unset(key)
