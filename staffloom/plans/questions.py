@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from staffloom.fixtures import NOW, NOW_EV, Tables
 from staffloom.functions import text as x
 from staffloom.operators import questions as q
+from staffloom.operators.products import spread_join
 from staffloom.operators.scheduling import available_slots
 from staffloom.plans.catalog import query, stamp
 
@@ -147,7 +148,7 @@ FREE_SLOTS = """free AS (SELECT s.* FROM slots s LEFT JOIN (SELECT slot_id, coun
 @query("d21_mail_merge_slots", f"""WITH {FREE_SLOTS} SELECT c.candidate_id, sha256(CASE WHEN coalesce(email, '') <> '' THEN 'Hello ' || name || '. You have ' || coalesce(n, 0) || ' slots:' || coalesce(chr(10) || txt, '') || chr(10) || chr(10) || 'Interview booking link: https://x.example/' || candidate_id END) AS content FROM candidates c LEFT JOIN told ON told.position_id = c.position_id""")
 def _(t: Tables) -> DataFrame:
     free = available_slots(t.slots, t.bookings, NOW)
-    rows = t.candidates.join(q.slot_summaries(free), "position_id", "left").select("candidate_id", "name", "email", F.concat(F.lit("https://x.example/"), F.col("candidate_id").cast("string")).alias("invitation_url"), "slot_summary", "slot_count")
+    rows = spread_join(t.candidates, q.slot_summaries(free), "position_id", "candidate_id", "left").select("candidate_id", "name", "email", F.concat(F.lit("https://x.example/"), F.col("candidate_id").cast("string")).alias("invitation_url"), "slot_summary", "slot_count")
     template = t.spark.range(1).select(F.lit("Slots").alias("subject"), F.lit("Hello {candidate_name}. You have {slot_count} slots:\n{slot_summary}").alias("body"))
     return q.mail_merge(rows, template).select("candidate_id", F.sha2("content", 256).alias("content"))
 
