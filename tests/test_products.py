@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from staffloom.functions import text as x
-from staffloom.operators import products, questions
+from staffloom.operators import people, products, questions
 
 
 @pytest.fixture
@@ -30,9 +30,9 @@ def test_spread_join_is_the_join(sides, how):
 
 def test_mail_keeps_braces_of_values(spark):
     """A value is no template: what it holds in braces stays as it is."""
-    people = spark.createDataFrame([(7, "{slot_count}", "a@b.cc", "http://z")], "candidate_id long, name string, email string, invitation_url string")
+    persons = spark.createDataFrame([(7, "{slot_count}", "a@b.cc", "http://z")], "candidate_id long, name string, email string, invitation_url string")
     template = spark.createDataFrame([("s", "{candidate_name} {{x}} {slot_count} 　")], "subject string, body string")
-    assert questions.mail_merge(people, template, slot_count=3).first().content == "{slot_count} {x} 3\n\nInterview booking link: http://z"
+    assert questions.mail_merge(persons, template, slot_count=3).first().content == "{slot_count} {x} 3\n\nInterview booking link: http://z"
 
 
 def test_links_and_long_texts(spark):
@@ -43,6 +43,23 @@ def test_links_and_long_texts(spark):
 
 def test_every_recipient_gets_all_slots_of_the_position(spark):
     slots = spark.createDataFrame([(i, 1 + i % 2, datetime(2024, 1, 1, 9), datetime(2024, 1, 1, 10), "1차", "Room") for i in range(40)], "slot_id long, position_id long, interview_starts_at timestamp_ntz, interview_ends_at timestamp_ntz, interview_round string, interview_location string")
-    people = spark.createDataFrame([(i, [1, 2, 3, None][i % 4]) for i in range(50)], "candidate_id long, position_id long")
-    out = {r.candidate_id: r.slot_count for r in products.spread_join(people, questions.slot_summaries(slots), "position_id", "candidate_id", "left").collect()}
+    crowd = spark.createDataFrame([(i, [1, 2, 3, None][i % 4]) for i in range(50)], "candidate_id long, position_id long")
+    out = {r.candidate_id: r.slot_count for r in products.spread_join(crowd, questions.slot_summaries(slots), "position_id", "candidate_id", "left").collect()}
     assert out == {i: "20" if i % 4 < 2 else None for i in range(50)}
+
+
+def test_product_join_lists_all_pairs_from_blocks(sides, monkeypatch):
+    left, right = sides
+    monkeypatch.setattr(products, "BLOCK", 3)
+    out = products.product_join(left.union(left.limit(5)), right.union(right.limit(5)), "k", "a")
+    rows = lambda df: sorted(map(str, df.select("a", "k", "b", "c").collect()))
+    assert rows(out) == rows(left.union(left.limit(5)).join(right.union(right.limit(5)), "k"))
+    assert len({r.p for r in out.where("k = 2").select(F.spark_partition_id().alias("p")).distinct().collect()}) > 1
+
+
+def test_candidates_of_one_position_are_listed_by_several_tasks(spark):
+    staff = spark.createDataFrame([(i, 1 if i % 5 else None) for i in range(30)], "interviewer_id long, position_id long")
+    crowd = spark.createDataFrame([(i, 1 if i % 7 else 2) for i in range(90)], "candidate_id long, position_id long")
+    out = people.candidates_for_interviewer(staff, crowd)
+    assert sorted((r.interviewer_id, r.candidate_id) for r in out.collect()) == [(i, c) for i in range(30) if i % 5 for c in range(90) if c % 7]
+    assert len({r.p for r in out.select(F.spark_partition_id().alias("p")).distinct().collect()}) > 1
