@@ -63,3 +63,12 @@ def test_candidates_of_one_position_are_listed_by_several_tasks(spark):
     out = people.candidates_for_interviewer(staff, crowd)
     assert sorted((r.interviewer_id, r.candidate_id) for r in out.collect()) == [(i, c) for i in range(30) if i % 5 for c in range(90) if c % 7]
     assert len({r.p for r in out.select(F.spark_partition_id().alias("p")).distinct().collect()}) > 1
+
+
+def test_resumes_of_a_small_file_are_read_by_many_tasks(spark, tmp_path):
+    from staffloom.fixtures import Tables
+
+    spark.range(40).selectExpr("id AS c_custkey", "'FURNITURE' AS c_mktsegment").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    t = Tables(spark, str(tmp_path))
+    for df in (t.resume_texts, t.resume_tables):
+        assert df.count() == 40 and len({r.p for r in df.select(F.spark_partition_id().alias("p")).distinct().collect()}) > 1
