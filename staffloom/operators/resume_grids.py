@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,14 +38,19 @@ def without_merged(tables: Column) -> Column:
 
 
 def column_of(header: Column, words: list[str]) -> Column:
-    """The place of the first cell of a header with one of the words; -1 if there is none."""
-    return (F.array_position(F.transform(header, lambda c: any_of(F.lower(c), words)), F.lit(True)) - 1).cast("int")
+    """The place of the first cell of a header in lower case with one of the words; -1 if there is none."""
+    return (F.array_position(F.transform(header, lambda c: any_of(c, words)), F.lit(True)) - 1).cast("int")
 
 
 def first_column(header: Column, *words: list[str]) -> Column:
     return F.coalesce(*[F.nullif(column_of(header, w), F.lit(-1)) for w in words], F.lit(-1))
 
 
+def placed(header: Column, columns: dict[str, list[list[str]]], f: Callable[[Column], Column]) -> Column:
+    """``f`` of the places of columns, each by its words, which are looked up once a table and not once a row."""
+    return once(F.transform(header, F.lower), lambda low: once(F.struct(*[first_column(low, *words).alias(name) for name, words in columns.items()]), f))
+
+
 def cell(row: Column, place: Column) -> Column:
     return F.coalesce(F.when(place >= 0, F.get(row, place)), F.lit(""))
 
@@ -58,8 +65,14 @@ def body(rows: Column) -> Column:
     return F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))
 
 
-def label_value(tables: Column, kind: str) -> Column:
-    """The value beside the first label that has one: to the right, else below or above it, else beside those."""
+def names_of(tables: Column) -> Column:
+    """Cells without white space in lower case, as labels are told by."""
+    return F.transform(tables, lambda rows: F.transform(rows, lambda row: F.transform(row, lambda c: F.lower(x.squeezed(c)))))
+
+
+def label_value(tables: Column, kind: str, names: Column | None = None) -> Column:
+    """The value beside the first label that has one: to the right, else below or above it, else beside those. names: the cells as labels are written, where they are known."""
+    names = names_of(tables) if names is None else names
     labels = [w for words in LABELS.values() for w in words]
     noise = lambda c: (c == "") | any_of(c, PHOTO) | F.lower(x.squeezed(c)).isin(labels)
     right = lambda row, i: F.coalesce(F.slice(row, i + 2, F.greatest(F.size(row) - i - 1, F.lit(0))), F.array().cast("array<string>"))
@@ -69,7 +82,8 @@ def label_value(tables: Column, kind: str) -> Column:
         below, above = F.get(rows, r + 1), F.get(rows, r - 1)
         return F.struct(F.array_join(row, " ").alias("line"), F.concat(right(row, i), at(below, i), at(above, i), right(below, i), right(above, i)).alias("near"))
 
-    cells = lambda rows: F.flatten(F.transform(rows, lambda row, r: F.filter(F.transform(row, lambda c, i: F.when(F.lower(x.squeezed(c)).isin(LABELS[kind]), around(rows, r, row, i))), lambda v: v.isNotNull())))
+    named = lambda rows, own, r: once(F.get(rows, r), lambda row: F.filter(F.transform(F.get(own, r), lambda name, i: F.when(name.isin(LABELS[kind]), around(rows, r, row, i))), lambda v: v.isNotNull()))
+    cells = lambda rows, t: once(F.get(names, t), lambda own: F.flatten(F.transform(F.filter(F.transform(own, lambda row, r: F.when(F.arrays_overlap(row, F.lit(LABELS[kind])), r)), lambda r: r.isNotNull()), lambda r: named(rows, own, r))))
     if kind == "phone":
         number = lambda v: F.coalesce(found(v, MOBILE), found(v, LANDLINE))
         value = lambda s: F.coalesce(number(s["line"]), number(F.get(F.filter(s["near"], lambda c: ~noise(c)), F.lit(0))))
@@ -100,12 +114,16 @@ def education_rows(rows: Column) -> Column:
     """Array of (school, department, level, period, location, grade, start, end) of an education table."""
     none = lambda c: F.nullif(c, F.lit(""))
 
-    def over(header: Column) -> Column:
+    columns = {"major": [["전공", "학과명"]], "school": [["학교명", "학교"]], "period": [["재학기간", "기간"]], "level": [["학력구분", "구분"]], "location": [["소재지"]], "grade": [["학점", "평균학점"]]}
+
+    def over(at: Column) -> Column:
         def fields(row: Column) -> Column:
-            text, major = F.array_join(row, " "), cell(row, first_column(header, ["전공", "학과명"]))
+            return once(F.array_join(row, " "), lambda text: once(cell(row, at["major"]), lambda major: named(row, text, major)))
+
+        def named(row: Column, text: Column, major: Column) -> Column:
             return F.struct(
-                text.alias("text"), school_in(row, text, first_column(header, ["학교명", "학교"])).alias("school"), F.when(~major.isin(EDU_SKIP), major).otherwise("").alias("major"), period_in(row, text, first_column(header, ["재학기간", "기간"])).alias("period"),
-                cell(row, first_column(header, ["학력구분", "구분"])).alias("level"), cell(row, first_column(header, ["소재지"])).alias("location"), cell(row, first_column(header, ["학점", "평균학점"])).alias("grade"),
+                text.alias("text"), school_in(row, text, at["school"]).alias("school"), F.when(~major.isin(EDU_SKIP), major).otherwise("").alias("major"), period_in(row, text, at["period"]).alias("period"),
+                cell(row, at["level"]).alias("level"), cell(row, at["location"]).alias("location"), cell(row, at["grade"]).alias("grade"),
             )
 
         def made(f: Column) -> Column:
@@ -118,42 +136,45 @@ def education_rows(rows: Column) -> Column:
         some = F.filter(body(rows), lambda row: any_of(F.array_join(row, " "), ["대학교", "대학원", "대학", "고등학교"]))
         return F.transform(F.transform(some, fields), made)
 
-    return F.coalesce(once(F.get(rows, F.lit(0)), over), F.array().cast(EDUCATION))
+    return F.coalesce(placed(F.get(rows, F.lit(0)), columns, over), F.array().cast(EDUCATION))
 
 
 def grid_education(rows: Column) -> Column:
     """struct(value, period) of the best row of an education table."""
+    columns = {"major": [["전공", "학과명"]], "status": [["졸업구분"]], "school": [["학교명", "학교"]], "period": [["재학기간", "기간"]]}
 
-    def over(header: Column) -> Column:
+    def over(at: Column) -> Column:
         def of(row: Column, i: Column) -> Column:
             return once(F.struct(F.array_join(row, " ").alias("text"), row.alias("row")), lambda r: made(r["row"], r["text"], i))
 
         def made(row: Column, text: Column, i: Column) -> Column:
-            major, state = cell(row, first_column(header, ["전공", "학과명"])), cell(row, first_column(header, ["졸업구분"]))
+            major, state = cell(row, at["major"]), cell(row, at["status"])
             status = F.coalesce(F.when((state != "") & (state != "-") & ~state.isin(EDU_SKIP) & ~state.rlike(YEAR_MONTH), state), first_of(text, GRADUATION), F.lit(""))
-            parts = F.struct(school_in(row, text, first_column(header, ["학교명", "학교"])).alias("school"), F.when(~major.isin(EDU_SKIP), major).otherwise("").alias("major"), status.alias("status"), period_in(row, text, first_column(header, ["재학기간", "기간"])).alias("period"))
+            parts = F.struct(school_in(row, text, at["school"]).alias("school"), F.when(~major.isin(EDU_SKIP), major).otherwise("").alias("major"), status.alias("status"), period_in(row, text, at["period"]).alias("period"))
             return once(parts, lambda p: candidate(any_of(text, ["대학교", "대학원", "대학"]) & (p["period"] != ""), education_score(p["school"], p["major"], p["status"]), i, education_text(p["school"], p["major"], p["status"], p["period"]), p["period"]))
 
         return best(F.transform(body(rows), of))
 
     none = F.struct(F.lit("").alias("value"), F.lit("").alias("period"))
-    return F.coalesce(once(F.get(rows, F.lit(0)), lambda h: F.when(h.isNotNull(), over(h))), none)
+    return F.coalesce(once(F.get(rows, F.lit(0)), lambda h: F.when(h.isNotNull(), placed(h, columns, over))), none)
 
 
 def grid_careers(rows: Column) -> Column:
     """Array of (period, company, job) of the rows of a career table that have a period."""
 
-    def over(header: Column) -> Column:
+    columns = {"period": [["재직기간", "기간", "활동기간"]], "company": [["회사명", "회사", "기관명"]], "job": [["직무", "담당"], ["업무"], ["부서", "재직부서"], ["직위", "직급"]]}
+
+    def over(at: Column) -> Column:
         def of(row: Column) -> Column:
-            own = cell(row, first_column(header, ["재직기간", "기간", "활동기간"]))
+            own = cell(row, at["period"])
             period = F.coalesce(F.when(own.rlike(r"\d{4}") & ~own.isin(EDU_SKIP), own), found(F.array_join(row, " "), DATE_RANGE))
-            value = lambda *words: once(cell(row, first_column(header, *words)), lambda v: F.when(v.isin(CAREER_HEADERS), "").otherwise(v))
-            job = once(value(["직무", "담당"], ["업무"], ["부서", "재직부서"], ["직위", "직급"]), lambda v: F.when(F.char_length(v) > 60, F.concat(F.substring(v, 1, 60), F.lit("…"))).otherwise(v))
-            return F.struct(period.alias("period"), value(["회사명", "회사", "기관명"]).alias("company"), job.alias("job"))
+            value = lambda name: once(cell(row, at[name]), lambda v: F.when(v.isin(CAREER_HEADERS), "").otherwise(v))
+            job = once(value("job"), lambda v: F.when(F.char_length(v) > 60, F.concat(F.substring(v, 1, 60), F.lit("…"))).otherwise(v))
+            return F.struct(period.alias("period"), value("company").alias("company"), job.alias("job"))
 
         return F.filter(F.transform(body(rows), of), lambda e: e["period"].isNotNull())
 
-    return F.coalesce(once(F.get(rows, F.lit(0)), over), F.array().cast("array<struct<period:string,company:string,job:string>>"))
+    return F.coalesce(placed(F.get(rows, F.lit(0)), columns, over), F.array().cast("array<struct<period:string,company:string,job:string>>"))
 
 
 QUALIFICATION = "array<struct<certificate:string,organization:string,issued:string,number:string>>"
@@ -174,14 +195,13 @@ def grid_qualifications(tables: Column) -> Column:
     """Array of (certificate, organization, issued, number), at most 50: of the table with such a header, else of the one with most rows that begin with a month."""
 
     def with_header(rows: Column) -> Column:
-        def over(header: Column) -> Column:
-            named, short = first_column(header, CERTIFICATE), F.get(header, F.lit(0))
+        def over(header: Column, at: Column) -> Column:
+            short = F.get(header, F.lit(0))
             second = (F.size(header) > 1) & (any_of(F.lower(short), ["no", "#", "연번", "순번", "번호", "□"]) | (F.char_length(short) <= 2))
-            place = F.when(named >= 0, named).when(second, 1).otherwise(0)
-            row = lambda r: qualification_row(cell(r, place), cell(r, first_column(header, ISSUER)), cell(r, first_column(header, ISSUED)), cell(r, first_column(header, NUMBER)))
-            return F.transform(F.filter(body(rows), lambda r: (cell(r, place) != "") & ~is_header_line(cell(r, place))), row)
+            row = lambda r, place: qualification_row(cell(r, place), cell(r, at["issuer"]), cell(r, at["issued"]), cell(r, at["number"]))
+            return once(F.when(at["named"] >= 0, at["named"]).when(second, 1).otherwise(0), lambda place: F.transform(F.filter(body(rows), lambda r: (cell(r, place) != "") & ~is_header_line(cell(r, place))), lambda r: row(r, place)))
 
-        return once(F.get(rows, F.lit(0)), over)
+        return once(F.get(rows, F.lit(0)), lambda header: placed(header, {"named": [CERTIFICATE], "issuer": [ISSUER], "issued": [ISSUED], "number": [NUMBER]}, lambda at: over(header, at)))
 
     headless = lambda rows: F.transform(dated_rows(rows), lambda r: qualification_row(F.get(r, F.lit(1)), cell(r, F.lit(2)), F.get(r, F.lit(0)), F.lit("")))
     counted = F.filter(F.transform(tables, lambda rows, i: F.struct(F.size(dated_rows(rows)).alias("n"), (-i).alias("i"), rows.alias("rows"))), lambda c: c["n"] >= 2)
@@ -206,12 +226,12 @@ def row_service(row: Column) -> Column:
 def grid_service(tables: Column) -> Column:
     """Rows of military service by table and row: by the columns of a table of it, by what the row's cells say, by cells with slashes; equal ones once."""
     def of(rows: Column) -> Column:
-        header = F.get(rows, F.lit(0))
+        header, words = F.get(rows, F.lit(0)), ("병역구분", "복무기간", "군별", "계급")
         has = any_of(x.squeezed(F.array_join(header, "")), ["병역", "군별", "계급"])
 
         def said(row: Column) -> Column:
-            joined = lambda h: slash_service(F.array_join(F.filter(F.array(*[cell(row, column_of(F.transform(h, x.squeezed), [w])) for w in ("병역구분", "복무기간", "군별", "계급")]), lambda v: v != ""), "/"))
-            by_column = once(F.array_join(row, "|"), lambda line: F.when(has & line.contains("/") & line.rlike(r"\d{4}"), once(header, joined)))
+            joined = lambda at: slash_service(F.array_join(F.filter(F.array(*[cell(row, at[w]) for w in words]), lambda v: v != ""), "/"))
+            by_column = once(F.array_join(row, "|"), lambda line: F.when(line.contains("/") & line.rlike(r"\d{4}") & has, placed(F.transform(header, x.squeezed), {w: [[w]] for w in words}, joined)))
             slashed = F.transform(F.filter(row, lambda c: c.contains("/") & c.rlike(r"\d{4}") & c.rlike("육군|해군|공군|해병|군필|필")), slash_service)
             return F.concat(F.array(by_column, row_service(row)), slashed)
 
@@ -225,8 +245,8 @@ def grid_service(tables: Column) -> Column:
 def grid_records(docs: DataFrame, key: str, tables: str) -> DataFrame:
     """A row per document from its tables (tables of rows of cells): labelled values, best education, and rows of each kind; null tables give an empty record."""
     rows = docs.select(F.col(key), without_merged(F.coalesce(x.nfc_cells(F.col(tables)), F.array().cast("array<array<array<string>>>"))).alias("_t"))
-    rows = rows.withColumns({"_e": table_of(F.col("_t"), "education"), "_c": table_of(F.col("_t"), "career")})
+    rows = rows.withColumns({"_n": names_of(F.col("_t")), "_e": table_of(F.col("_t"), "education"), "_c": table_of(F.col("_t"), "career")})
     return rows.select(
-        key, *[label_value(F.col("_t"), kind).alias(kind) for kind in LABELS], grid_education(F.col("_e"))["value"].alias("finalEducation"), education_rows(F.col("_e")).alias("educationRows"), grid_careers(F.col("_c")).alias("careers"),
+        key, *[label_value(F.col("_t"), kind, F.col("_n")).alias(kind) for kind in LABELS], grid_education(F.col("_e"))["value"].alias("finalEducation"), education_rows(F.col("_e")).alias("educationRows"), grid_careers(F.col("_c")).alias("careers"),
         grid_qualifications(F.col("_t")).alias("qualificationRows"), grid_service(F.col("_t")).alias("militaryRows"),
     )
