@@ -170,7 +170,8 @@ def career_entries(text: Column, education_period: Column) -> Column:
         return once(both, lambda b: F.struct(e["d"].alias("period"), F.coalesce(found(b, "(?U)" + COMPANY), F.lit("")).alias("company"), F.coalesce(found(b, JOB), F.lit("")).alias("job")))
 
     some = F.transform(F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(DATE_RANGE), F.lit(1))), lambda d: d != education_period), entry)
-    speaks = lambda e: any_of(F.upper(e["context"]), [w.upper() for w in CAREER_WORDS]) & ~any_of(e["context"], EDUCATION_WORDS)
+    any_case = "|".join(re.escape(w) if w.upper() == w.lower() else f"(?iu:{re.escape(w)})" for w in CAREER_WORDS)
+    speaks = lambda e: e["context"].rlike(any_case) & ~any_of(e["context"], EDUCATION_WORDS)
     return F.transform(F.filter(some, speaks), made)
 
 
