@@ -86,3 +86,24 @@ def test_reasons_and_all_scores(spark, made):
             if score:
                 want[i, pid] = (-score, f"{kind}: {term}")
     assert out == want
+
+
+def test_job_descriptions_are_selected_as_by_all_pairs_but_without_pairing(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("ab 개") for _ in range(rng.randrange(0, 9)))
+    names = [(i, word(), rng.choice([None, None, "3.4", " 7 ", "99"])) for i in range(120)]
+    heads = [(rng.randrange(1, 60), word()) for _ in range(25)] + [(61, None)]
+    positions, sections = spark.createDataFrame(names, "position_id long, position_name string, section_number string"), spark.createDataFrame(heads, "number int, title string")
+    out = matching.select_job_description(positions, sections)
+    tight = lambda v: "".join((v or "").split()).lower()
+
+    def expected(i, name, asked):
+        asked = asked and asked.strip().removeprefix("3.").strip()
+        if asked:
+            return min((n for n, _ in heads if str(n) == asked), default=None)
+        named = [n for n, h in heads if tight(h) in tight(name) or tight(name) in tight(h)]
+        return min(named or [n for n, _ in heads if n == i], default=None)
+
+    assert {r.position_id: r.section for r in out.collect()} == {i: expected(i, n, a) for i, n, a in names}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
