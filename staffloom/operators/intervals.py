@@ -67,29 +67,37 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], left_span: t
     return pairs.where((F.col(right_span[0]) < F.col(left_span[1])) & (F.col(right_span[1]) > F.col(left_span[0])) & (later == (F.col("_at.kind") == 1))).drop("_at")
 
 
+#: The width of a span of time within which ``clash_flags`` sorts the rows of a key, in units.
+SPAN = 256
+
+
 def clash_flags(rows: DataFrame, keys: list[str], start: str, end: str, asks: Column | None = None, holds: Column | None = None, out: str = "clash") -> DataFrame:
     """The rows that ask, with whether another row of their keys that holds overlaps them; rows are never paired.
 
     By begin, a row overlaps an earlier one if the latest end so far lies behind its begin, and a later one if the next begin lies before its end.
-    A key's rows are worked through by day; of other days only the extremes count, so a busy key is spread over tasks. An interval that ends
+    A key's rows are sorted by spans of ``SPAN`` days; of other spans only the extremes count, so a busy key is spread over tasks and the rows of a calm one
+    stay together. Each row is looked at once: what comes next is the next value that there is, not a minimum over all that follow. An interval that ends
     before it begins counts as empty; one without times clashes with none.
     """
     asks, holds = (F.lit(True) if c is None else c for c in (asks, holds))
-    timed = rows.withColumns({"_s": micros(start), "_e": F.greatest(micros(start), micros(end)), "_day": unit(start), "_asks": asks, "_holds": holds})
-    real, instant = F.col("_holds") & (F.col("_e") > F.col("_s")), F.col("_holds") & (F.col("_e") == F.col("_s"))
+    timed = rows.withColumns({"_s": micros(start), "_e": F.greatest(micros(start), micros(end)), "_span": F.floor(unit(start) / SPAN)})
+    real, instant = holds & (F.col("_e") > F.col("_s")), holds & (F.col("_e") == F.col("_s"))
     ends, begins, instants = F.when(real, F.col("_e")), F.when(real, F.col("_s")), F.when(instant, F.col("_s"))
-    by_day = Window.partitionBy(*keys).orderBy("_day")
-    before, behind = by_day.rowsBetween(Window.unboundedPreceding, -1), by_day.rowsBetween(1, Window.unboundedFollowing)
-    days = timed.groupBy(*keys, "_day").agg(F.max(ends).alias("_ends"), F.min(begins).alias("_begins"), F.min(instants).alias("_instants"))
-    days = days.select(*keys, "_day", F.max("_ends").over(before).alias("_before"), F.min("_begins").over(behind).alias("_behind"), F.min("_instants").over(behind).alias("_instant"))
-    own = Window.partitionBy(*keys, "_day").orderBy("_s")
-    earlier, later = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(1, Window.unboundedFollowing)
-    strictly_before, strictly_after = own.rangeBetween(Window.unboundedPreceding, -1), own.rangeBetween(1, Window.unboundedFollowing)
-    seen = timed.withColumns({"_ends_1": F.max(ends).over(earlier), "_begins_1": F.min(begins).over(later), "_ends_2": F.max(ends).over(strictly_before), "_instants_1": F.min(instants).over(strictly_after)})
-    names = {k: f"_of_{k}" for k in [*keys, "_day"]}
-    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
-    joined = seen.where("_asks").join(days.withColumnsRenamed(names), same, "left")
+    by_key = ", ".join(f"`{k}`" for k in keys)
+    following = lambda c, by, order: F.expr(f"lead({c}) IGNORE NULLS OVER (PARTITION BY {by} ORDER BY {order})")
+    spans = timed.groupBy(*keys, "_span").agg(F.max(ends).alias("_ends"), F.min(begins).alias("_begins"), F.min(instants).alias("_instants"))
+    before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(*keys, "_span", F.max("_ends").over(before).alias("_before"), following("_begins", by_key, "_span").alias("_behind"), following("_instants", by_key, "_span").alias("_instant"))
+    # rows are dealt once, by a key that is never null, for the windows and the join; what follows from their columns is computed behind that
+    placed = F.struct(*keys, "_span").alias("_key")
+    dealt = timed.select(placed, *[c for c in timed.columns if c not in (*keys, "_span")]).repartition("_key").withColumns({k: F.col("_key")[k] for k in keys})
+    # of equal begins empty intervals come first: so what is before an empty one begins before it, and the next empty one begins after a real one
+    dealt = dealt.withColumns({"_long": F.col("_e") > F.col("_s"), "_begin": begins, "_point": instants})
+    earlier = Window.partitionBy("_key").orderBy("_s", "_long").rowsBetween(Window.unboundedPreceding, -1)
+    own = lambda c: following(c, "_key", "_s, _long")
+    seen = dealt.withColumns({"_ends_1": F.max(ends).over(earlier), "_begins_1": own("_begin"), "_instants_1": own("_point")})
+    joined = seen.where(asks).join(spans.select(placed, "_before", "_behind", "_instant"), "_key", "left")
     at, until = F.col("_s"), F.col("_e")
-    meets = (F.greatest("_ends_1", "_before") > at) | (F.least("_begins_1", "_behind") < until) | (F.least("_instants_1", "_instant") < until)
-    inside = F.greatest("_ends_2", "_before") > at
-    return joined.withColumn(out, F.coalesce(F.when(until > at, meets).otherwise(inside), F.lit(False))).select(*rows.columns, out)
+    past = F.greatest("_ends_1", "_before") > at
+    meets = past | (F.least("_begins_1", "_behind") < until) | (F.least("_instants_1", "_instant") < until)
+    return joined.withColumn(out, F.coalesce(F.when(until > at, meets).otherwise(past), F.lit(False))).select(*rows.columns, out)

@@ -233,7 +233,7 @@ def validate_slot_requests(requests: DataFrame, slots: DataFrame, bridge: DataFr
     """The first rule that a request fails, ``ok`` else, with the deadline (24 hours before the start) and the stripped location.
 
     requests: batch_id, request_no, position_id, interview_round, interviewer_ids, starts_at, ends_at, interview_location, capacity. Rules of
-    the request itself come first, then conflicts within its batch, then what the tables say.
+    the request itself come first, then conflicts within its batch, then what the tables say. They are read six times, so what is dear to derive is to be saved before.
     """
     each = requests.select("batch_id", "request_no", "position_id", "interview_round", F.explode(F.array_distinct("interviewer_ids")).alias("interviewer_id"), "starts_at", "ends_at")
     times = each.select("batch_id", "request_no", "interviewer_id", "starts_at", "ends_at")

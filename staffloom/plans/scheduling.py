@@ -161,7 +161,8 @@ def _(t: Tables) -> DataFrame:
   WHEN missing THEN 'unknown_interviewer' WHEN unfit THEN 'not_eligible' WHEN q.request_no IN (SELECT request_no FROM held) THEN 'slot_conflict' ELSE 'ok' END AS reason FROM slot_plans q LEFT JOIN staff USING (request_no) LEFT JOIN positions p ON p.position_id = q.position_id)
  SELECT batch_id, request_no, reason, CASE WHEN reason = 'ok' THEN strftime(starts_at - INTERVAL 24 HOUR, '{TS}') END AS booking_deadline_at, CASE WHEN reason = 'ok' THEN trim(interview_location) END AS interview_location, CASE WHEN reason = 'ok' THEN 'open' END AS slot_status FROM v""")
 def _(t: Tables) -> DataFrame:
-    return s.validate_slot_requests(t.slot_plans, t.slots, t.slot_interviewers, t.interviewers, t.positions).withColumn("booking_deadline_at", stamp("booking_deadline_at"))
+    plans = saved(t.slot_plans, f"requests-{uuid.uuid4().hex}")
+    return s.validate_slot_requests(plans, t.slots, t.slot_interviewers, t.interviewers, t.positions).withColumn("booking_deadline_at", stamp("booking_deadline_at"))
 
 
 @query("e7_calendar_totals", f"""SELECT count(*) FILTER (CAST(interview_starts_at AS DATE) >= w AND CAST(interview_starts_at AS DATE) < w + 7) AS n_week, count(*) FILTER (strftime(interview_starts_at, '%Y-%m') = '{NOW[:7]}') AS n_month

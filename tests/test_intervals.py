@@ -71,3 +71,16 @@ def test_requests_clash_as_their_pairs_do(spark):
     # two rows of one request with an interviewer are one request, which doesn't clash with itself
     known = {r.request_no for r in scheduling.interviewer_conflicts(times, slots, bridge).collect()}
     assert {n for n, (_, h) in out.items() if h} == known and {n for n, (c, _) in out.items() if c} == within
+
+
+def test_flags_look_at_each_row_once_and_deal_rows_once(spark):
+    """A frame up to the end of a key would be gone through anew for each row; and the join behind the windows needs no shuffle of the rows of its own."""
+    df = spark.createDataFrame(spans(random.Random(1), 50, 40), SCHEMA.format("l"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = clash_flags(df, ["key"], "l_s", "l_e")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "unboundedfollowing" not in plan.lower()
+    # the rows once; their spans for the groups, for the windows (the same deal or another) and for the join
+    assert plan.count("Exchange hashpartitioning") <= 4
